@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from . import line_dedup, mixing, pii, secrets_scan
+    from . import line_dedup, mixing, pii, secrets_scan, simhash
 
-    return [mixing, line_dedup, pii, secrets_scan]
+    return [mixing, line_dedup, pii, secrets_scan, simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
