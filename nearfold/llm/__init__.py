@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from . import line_dedup, mixing, pii, secrets_scan, simhash
+    from . import decontaminate, line_dedup, mixing, pii, quality, secrets_scan, simhash
 
-    return [mixing, line_dedup, pii, secrets_scan, simhash]
+    return [mixing, line_dedup, pii, secrets_scan, simhash, decontaminate, quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
