@@ -1,11 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Learnt from a bounded sample: up to ``EXAMPLES`` labelled rows (least hash of doc_id), of which near
-copies (equal least hash of their five-word shingles) count once, are the examples.  The vocabulary
-is their terms with the strongest association with the label (log-likelihood ratio at least
+copies (equal least hash of their five-word shingles) count once, are the examples.  Terms are words
+and their stems, the first ``STEMS`` bytes of longer words, so inflected forms share a term.  The vocabulary
+is the terms with the strongest association with the label (log-likelihood ratio at least
 ``MIN_G2``, in at least ``MIN_DF`` examples and ``MIN_SHARE`` of them, up to ``VOCABULARY``).
 Document frequencies are counted over all documents.  A vector holds (1 + ln tf) * idf of the
-vocabulary's terms, normalised.
+vocabulary's terms and, with idf 1, of one term that stands for all words of the text, normalised;
+the latter lets two texts differ by how dense their terms are.
 
 The index keeps postings by term over the examples, ordered so that like examples stand together,
 cut into blocks of ``BLOCK``; for each term and block it keeps the largest weight.  A query takes
@@ -40,12 +42,40 @@ from .quality import labelled
 
 EXAMPLES = 12_000
 VOCABULARY = 4_096
-MIN_G2, MIN_DF, MIN_SHARE = 25.0, 5, 0.005
+MIN_G2, MIN_DF, MIN_SHARE = 18.0, 5, 0.002
+STEMS = (4, 5, 6)
 K, BLOCK, SOFT = 15, 64, 0.05
 EVIDENCE = "array<struct<doc_id:{id},toxic:int,cosine:double>>"
 CACHE = 100_000
 
 
+def word_terms(word: bytes) -> list[bytes]:
+    """The word and its stems, which end in ``*``."""
+    return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
+
+
+class TermCounter:
+    """Counts of a vocabulary's terms in texts; remembers the places of words, up to ``CACHE``."""
+
+    def __init__(self, places: dict[bytes, int]) -> None:
+        self.places, self.known = places, {}
+
+    def __call__(self, text: bytes) -> list[tuple[int, int]]:
+        """(place, count) in order of place; the last is the number of words, if there is a term."""
+        places, known = self.places, self.known
+        words = tokens(text)
+        if len(known) > CACHE:
+            known.clear()
+        held: dict[int, int] = {}
+        for w, n in Counter(words).items():
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(places[t] for t in word_terms(w) if t in places)
+            for t in own:
+                held[t] = held.get(t, 0) + n
+        return [*sorted(held.items()), (len(places), len(words))] if held else []
+
+
 class BlockMaxIndex:
     """Exact top-k cosine over sparse unit vectors of examples."""
 
@@ -85,10 +115,9 @@ class BlockMaxIndex:
 
 class ToxicityModel:
     def __init__(self, vocabulary: list[bytes], idf: np.ndarray, ids: list, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
-        self.idf, self.ids, self.y = idf, ids, y
+        self.idf, self.ids, self.y = np.r_[idf, 1.0], ids, y
         vectors = [self.weigh(t, c) for t, c in counts]
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
+        self.index = BlockMaxIndex(vectors, len(vocabulary) + 1)
         bare = np.array([len(t) == 0 for t, _ in vectors], bool)
         self.prior = (y.sum() + 1) / (len(y) + 2)
         self.bare = (y[bare].sum() + 1) / (bare.sum() + 2)
@@ -100,12 +129,6 @@ class ToxicityModel:
         self.curve = _logistic(np.array(votes), np.array(own, float))
         self.cache: dict[bytes, tuple[float, list]] = {}
 
-    def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        get = self.vocabulary.get
-        held = Counter(filter(self.vocabulary.__contains__, tokens(text)))
-        rows = sorted((get(w), n) for w, n in held.items())
-        return np.array([t for t, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
-
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
         norm = np.sqrt((w**2).sum())
@@ -172,7 +195,7 @@ def _term_counts(examples: DataFrame) -> DataFrame:
         for batch in batches:
             held: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[y].update(set(tokens(text)))
+                held[y].update({t for w in set(tokens(text)) for t in word_terms(w)})
             terms = list(held[0] | held[1])
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)], ["term", "n0", "n1"])
 
@@ -201,11 +224,11 @@ def _counted(docs: DataFrame, vocabulary: list[bytes], names: list[str], terms:
     places = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TermCounter(places.value)
         for batch in batches:
-            where = places.value
             ids, counts = [], []
             for text in batch.column(batch.schema.get_field_index(body)).to_pylist():
-                held = sorted((where[w], n) for w, n in Counter(filter(where.__contains__, tokens(text))).items())
+                held = count(text)
                 ids.append([t for t, _ in held])
                 counts.append([n for _, n in held])
             kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
@@ -229,14 +252,14 @@ def score(docs: DataFrame, labels: DataFrame, column: str, learn: Column, keep_t
     terms, tfs = free_name(docs.columns, "nf_terms"), free_name(docs.columns, "nf_tfs")
     vectors = staged(_counted(docs, vocabulary, names, terms, tfs), "vectors")
     n = vectors.count()
-    df = np.zeros(len(vocabulary))
+    df = np.zeros(len(vocabulary) + 1)
     for r in vectors.select(F.explode(terms).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per term
         df[r.t] = r.n
     found = _counted(examples.withColumn("text", F.col("text").cast("string")), vocabulary, ["doc_id", "y"], "terms", "tfs").toPandas()
     found["key"] = [tuple(t) + tuple(c) for t, c in zip(found["terms"], found["tfs"], strict=True)]
     found = found.sort_values(["doc_id", "y", "key"], kind="stable")
     counts = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(found["terms"], found["tfs"], strict=True)]
-    model = spark.sparkContext.broadcast(ToxicityModel(vocabulary, np.log((n + 1) / (df + 1)) + 1e-6, found["doc_id"].tolist(), found["y"].to_numpy(np.int64), counts))
+    model = spark.sparkContext.broadcast(ToxicityModel(vocabulary, np.log((n + 1) / (df[:-1] + 1)) + 1e-6, found["doc_id"].tolist(), found["y"].to_numpy(np.int64), counts))
     out, why = free_name(docs.columns, "score"), free_name(docs.columns, "evidence")
     id_type = dict(docs.dtypes)["doc_id"]
     evidence = T._parse_datatype_string(EVIDENCE.format(id=id_type))
