@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from . import decontaminate, line_dedup, lm_score, mixing, pii, quality, secrets_scan, simhash, toxicity
+    from . import decontaminate, line_dedup, lm_score, mixing, pii, quality, search, secrets_scan, simhash, toxicity
 
-    return [mixing, line_dedup, pii, secrets_scan, simhash, decontaminate, quality, toxicity, lm_score]
+    return [mixing, line_dedup, pii, secrets_scan, simhash, decontaminate, quality, toxicity, lm_score, search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
