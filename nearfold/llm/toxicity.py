@@ -87,30 +87,39 @@ class BlockMaxIndex:
         t = np.concatenate([vectors[e][0] for e in self.order] or [np.zeros(0, np.int64)])
         w = np.concatenate([vectors[e][1] for e in self.order] or [np.zeros(0)])
         place = np.repeat(np.arange(len(vectors)), [len(vectors[e][0]) for e in self.order])
-        by = np.lexsort([place, t])
-        self.place, self.weight = place[by], w[by]
-        cell = t[by] * self.blocks + self.place // BLOCK
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.bound = np.zeros((terms, self.blocks))
-        np.maximum.at(self.bound.reshape(-1), cell, self.weight)
+        cell = t * self.blocks + place // BLOCK
+        self.bound = np.zeros((terms, self.blocks))  # block-max
+        np.maximum.at(self.bound.reshape(-1), cell, w)
+        by = np.lexsort([place, t, place // BLOCK])  # postings by block, then term
+        self.term, self.place, self.weight = t[by], place[by] % BLOCK, w[by]
+        self.start = np.searchsorted(place[by] // BLOCK, np.arange(self.blocks + 1))
+        self.query = np.zeros(terms)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k nearest with a common term, best first, ties by example."""
-        bound = weights @ self.bound[terms] if len(terms) else np.zeros(self.blocks)
-        visit = np.flatnonzero(bound > 0)
-        visit = visit[np.argsort(-bound[visit], kind="stable")]
-        best: list[tuple[float, int]] = []
-        for b in visit:
-            if len(best) >= k and bound[b] < -best[k - 1][0] - 1e-12:
+        if not len(terms):
+            return []
+        bound = weights @ self.bound[terms] + 1e-12
+        self.query[terms] = weights
+        found, cosine, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for b in np.argsort(-bound, kind="stable"):
+            if bound[b] < kth or bound[b] <= 1e-12:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                s, e = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.place[s:e] - b * BLOCK] += w * self.weight[s:e]
-            hit = np.flatnonzero(score > 0)
-            best += [(-float(round(score[i], 12)), int(self.order[b * BLOCK + i])) for i in hit if self.order[b * BLOCK + i] != without]
-            best = sorted(best)[:k]
-        return [(e, -s) for s, e in best]
+            s = slice(self.start[b], self.start[b + 1])
+            score = np.bincount(self.place[s], self.query[self.term[s]] * self.weight[s], BLOCK).round(12)
+            hit = np.flatnonzero((score > 0) & (score >= kth))
+            own = self.order[b * BLOCK + hit]
+            hit, own = hit[own != without], own[own != without]
+            if len(hit):
+                found, cosine = np.r_[found, own], np.r_[cosine, score[hit]]
+                if len(found) > k:
+                    keep = np.lexsort([found, -cosine])[:k]
+                    found, cosine = found[keep], cosine[keep]
+                if len(found) == k:
+                    kth = cosine.min()
+        self.query[terms] = 0
+        best = np.lexsort([found, -cosine])
+        return [(int(found[x]), float(cosine[x])) for x in best]
 
 
 class ToxicityModel:
