@@ -1,26 +1,30 @@
 """Pruned k nearest neighbours: cluster rings, vantage points, axis-aligned cells.
 
 Each takes queries (qid, vec) and returns the neighbours with the work they took.  ``exact`` bounds
-hold for every k; the other rules prune harder and may lose neighbours.  Queries and index tables
-are joined on cluster ids or broadcast where their size is the number of clusters or pivots.
+hold for every k; the other rules prune harder and may lose neighbours.  Queries meet centres and
+pivots in blocks of bounded size; members are joined on cluster or cell ids, which AQE splits where
+one holds much.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import box_distance, doubles, euclidean
+from ..shared import staged
+from .blocks import distances, matrix
 from .clusters import summary
+from .knn import ROW_SLICE, Best, cross_distances, query_blocks, ranked
 
 SLACK = 1e-9
-
-
-def nearest_of(candidates: DataFrame, k: int) -> DataFrame:
-    """The k best rows (qid, id, dist) of each query, with ``rank``; ties by id."""
-    order = W.partitionBy("qid").orderBy("dist", "id")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+MAX_LEAVES = 4_096
 
 
 class ClusterIndex:
@@ -28,7 +32,7 @@ class ClusterIndex:
 
     def __init__(self, members: DataFrame, centres: DataFrame) -> None:
         self.members = members.select("cluster_id", "id", doubles("vec").alias("vec"), "dist")
-        self.clusters = summary(members).join(centres.select("cluster_id", doubles("vec").alias("centre")), "cluster_id")
+        self.clusters = staged(summary(members).join(centres.select("cluster_id", doubles("vec").alias("centre")), "cluster_id"), "clusters")
 
     def steps(self, queries: DataFrame, k: int, rule: str = "exact") -> tuple[DataFrame, DataFrame]:
         """(visited (qid, cluster_id, d, tau, size), candidates (qid, id, dist)).
@@ -38,10 +42,10 @@ class ClusterIndex:
         last of these clusters.  ``memory``: going outwards, tau becomes d(q, c) + least d(x, c) where
         d(q, c) > tau.  Both keep members with d(x, c) > d(q, c) - tau.
         """
-        # clusters are the smaller side: one row each
         q = queries.select("qid", doubles("vec").alias("qvec"))
-        pairs = q.join(F.broadcast(self.clusters), F.lit(True)).withColumn("d", F.round(euclidean(F.col("qvec"), F.col("centre")), 9))
-        pairs = pairs.select("qid", "cluster_id", "d", "size", "radius", "nearest")
+        centres = self.clusters.select(F.col("cluster_id").alias("id"), F.col("centre").alias("vec"))
+        far = cross_distances(queries, centres).select("qid", F.col("id").alias("cluster_id"), F.col("dist").alias("d"))
+        pairs = far.join(self.clusters.select("cluster_id", "size", "radius", "nearest"), "cluster_id")
         outwards = W.partitionBy("qid").orderBy("d", "cluster_id")
         before = F.coalesce(F.sum("size").over(outwards.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         pairs = pairs.withColumn("seed", before < k)
@@ -63,7 +67,7 @@ class ClusterIndex:
         return visited.select("qid", "cluster_id", "d", "tau", "size"), found
 
     def knn(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
-        return nearest_of(self.steps(queries, k, rule)[1], k)
+        return ranked(self.steps(queries, k, rule)[1], k)
 
     def metrics(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
         """(qid, step1, step2, n_clusters): distances to centres, distances to members, clusters read."""
@@ -81,34 +85,73 @@ def cost(metrics: DataFrame, dimensions: int, seek: float = 0.005, transfer: flo
 
 
 class VantageIndex:
-    """Distances of every row to a few vantage points, kept in one array column."""
+    """Distances of every row to a few vantage points (id, vector), kept in one array column."""
 
     def __init__(self, rows: DataFrame, points: list[tuple[int, list[float]]]) -> None:
-        self.points = points
-        own = [F.round(euclidean(doubles("vec"), F.array(*[F.lit(float(x)) for x in v])), 9) for _, v in points]
-        self.rows = rows.select("id", doubles("vec").alias("vec"), F.array(*own).alias("far"))
+        self.pivots = np.array([v for _, v in points], np.float64)
+        pivots = rows.sparkSession.sparkContext.broadcast(self.pivots)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                far = distances(matrix(batch.column(1)), pivots.value).round(9) if batch.num_rows else np.zeros((0, len(pivots.value)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(far), pa.list_(pa.float64()))], ["id", "vec", "far"])
+
+        self.id_type = dict(rows.dtypes)["id"]
+        schema = f"id {self.id_type}, vec array<double>, far array<double>"
+        self.rows = staged(rows.select("id", doubles("vec").alias("vec")).mapInArrow(run, schema), "vantage")
 
     def candidates(self, queries: DataFrame, k: int, nearest: int, exact: bool = True) -> DataFrame:
         """(qid, id, dist).  Not exact: kept where d(v, x) < 2 d(q, v) for the ``nearest`` points v.
         Exact: where max |d(v, x) - d(q, v)| is at most the k-th least min (d(v, x) + d(q, v))."""
-        own = [F.round(euclidean(doubles("vec"), F.array(*[F.lit(float(x)) for x in v])), 9) for _, v in self.points]
-        q = queries.select("qid", doubles("vec").alias("qvec"), F.array(*own).alias("qfar"))
-        pairs = self.rows.join(F.broadcast(q), F.lit(True))  # the stated query block
-        if exact:
-            low = F.array_max(F.zip_with("far", "qfar", lambda x, y: F.abs(x - y)))
-            up = F.array_min(F.zip_with("far", "qfar", lambda x, y: x + y))
-            rank = F.row_number().over(W.partitionBy("qid").orderBy("u", "id"))
-            tau = pairs.select("qid", "id", up.alias("u")).withColumn("r", rank).filter(F.col("r") <= k).groupBy("qid").agg(F.max("u").alias("tau"))
-            kept = pairs.join(F.broadcast(tau), "qid").filter(low <= F.col("tau") + SLACK)
-        else:
-            cut = F.element_at(F.array_sort("qfar"), min(nearest, len(self.points)))
-            close = F.zip_with("far", "qfar", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-            kept = pairs.filter(F.forall(close, lambda p: (p["y"] > cut) | (p["x"] < 2 * p["y"])))
-        return kept.select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist"))
+        spark, parts = self.rows.sparkSession, []
+        qid_type = dict(queries.dtypes)["qid"]
+        schema = f"qid {qid_type}, id {self.id_type}, dist double"
+        for qids, q in query_blocks(queries):
+            qfar = distances(q, self.pivots).round(9)
+            tau = np.full(len(q), np.inf)
+            if exact:
+                bounds = spark.sparkContext.broadcast((qids, qfar))
+
+                def upper(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
+                    ids, qf = bounds.value
+                    best = Best(len(ids), k)
+                    for own, _, far in _slices(batches):
+                        best.add(np.min([qf[:, [j]] + far[None, :, j] for j in range(far.shape[1])], axis=0), own)
+                    yield best.rows(ids, ["qid", "id", "u"])
+
+                found = ranked(self.rows.mapInArrow(upper, f"qid {qid_type}, id {self.id_type}, u double"), k, "u")
+                at = {v: i for i, v in enumerate(qids.tolist())}
+                for r in found.groupBy("qid").agg(F.max("u").alias("tau"), F.count(F.lit(1)).alias("n")).collect():  # a row per query of the block
+                    tau[at[r.qid]] = r.tau if r.n == k else np.inf
+            cut = np.sort(qfar, 1)[:, min(nearest, qfar.shape[1]) - 1]
+            block = spark.sparkContext.broadcast((qids, q, qfar, tau, cut))
+
+            def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+                ids, qv, qf, t, c = block.value
+                for own, x, far in _slices(batches):
+                    on = np.ones((len(ids), len(own)), bool)
+                    for j in range(far.shape[1]):
+                        if exact:
+                            on &= np.abs(far[None, :, j] - qf[:, [j]]) <= t[:, None] + SLACK
+                        else:
+                            on &= (qf[:, [j]] > c[:, None]) | (far[None, :, j] < 2 * qf[:, [j]])
+                    a, b = np.nonzero(on)
+                    d = np.sqrt(((qv[a] - x[b]) ** 2).sum(1)).round(9)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b]), pa.array(d)], ["qid", "id", "dist"])
+
+            parts.append(self.rows.mapInArrow(keep, schema))
+        return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROW_SLICE):
+            part = batch.slice(at, ROW_SLICE)
+            yield part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1)), matrix(part.column(2))
 
 
 class CellIndex:
-    """Axis-aligned cells (cell_id, low, high, density) of a density or kd tree."""
+    """Axis-aligned cells (cell_id, low, high, density) of a density or kd tree of up to ``MAX_LEAVES`` leaves."""
 
     def __init__(self, rows: DataFrame, tree: dict) -> None:
         self.tree = tree
@@ -117,16 +160,18 @@ class CellIndex:
     def knn(self, queries: DataFrame, k: int, dimensions: int) -> DataFrame:
         """Exact: tau is the k-th distance within the query's cell (or to all, if it holds fewer);
         every cell whose box is within tau of the query is searched."""
-        spark = self.rows.sparkSession
-        cells = spark.createDataFrame(leaves(self.tree, dimensions), "cell_id string, low array<double>, high array<double>, density double")
+        spark, cells = self.rows.sparkSession, leaves(self.tree, dimensions)
+        if len(cells) > MAX_LEAVES:
+            raise ValueError(f"a tree of {len(cells)} leaves; {MAX_LEAVES} at most")
+        cells = spark.createDataFrame(cells, "cell_id string, low array<double>, high array<double>, density double")
         q = queries.select("qid", doubles("vec").alias("qvec"))
         home = q.withColumn("cell_id", cell_of(self.tree, F.col("qvec")))
-        first = nearest_of(home.join(self.rows, "cell_id").select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")), k)
+        first = ranked(home.join(self.rows, "cell_id").select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")), k)
         tau = first.groupBy("qid").agg(F.max("dist").alias("tau"), F.count(F.lit(1)).alias("n")).select("qid", F.when(F.col("n") == k, F.col("tau")).otherwise(float("inf")).alias("tau"))
-        reach = q.join(tau, "qid", "left").join(F.broadcast(cells), F.lit(True))  # a row per leaf
+        reach = q.join(tau, "qid", "left").join(F.broadcast(cells), F.lit(True))  # MAX_LEAVES rows at most
         reach = reach.filter(box_distance(F.col("qvec"), F.col("low"), F.col("high")) <= F.coalesce("tau", F.lit(float("inf"))) + SLACK)
         found = reach.select("qid", "qvec", "cell_id").join(self.rows, "cell_id")
-        return nearest_of(found.select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")), k)
+        return ranked(found.select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")), k)
 
 
 def cell_of(tree: dict, vec: Column) -> Column:
@@ -165,3 +210,32 @@ def median_tree(rows: DataFrame, dimensions: int, depth: int) -> dict:
                 node = node["right" if side == "1" else "left"]
             node |= {"axis": axis, "value": float(r.m), "left": {}, "right": {}}
     return root
+
+
+class ShellIndex:
+    """Shells of equal counts around one vantage point, each with its least and greatest distance."""
+
+    def __init__(self, rows: DataFrame, point: list[float], shells: int) -> None:
+        far = F.round(euclidean(doubles("vec"), F.array(*[F.lit(float(x)) for x in point])), 9)
+        self.point = point
+        own = staged(rows.select("id", doubles("vec").alias("vec"), far.alias("far")), "shells")
+        cuts = own.agg(F.percentile_approx("far", [i / shells for i in range(1, shells)], 100_000).alias("c")).first()[0] or []
+        shell = reduce(lambda a, c: a + F.when(F.col("far") > c, 1).otherwise(0), cuts, F.lit(0))
+        self.rows = own.withColumn("shell", shell)
+        self.shells = self.rows.groupBy("shell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))  # `shells` rows
+
+    def knn(self, queries: DataFrame, k: int) -> DataFrame:
+        """Exact: tau is the k-th distance within the nearest shells that hold k rows; every shell that
+        comes within tau of the query's own distance is searched."""
+        q = queries.select("qid", doubles("vec").alias("qvec"))
+        q = q.withColumn("qfar", F.round(euclidean(F.col("qvec"), F.array(*[F.lit(float(x)) for x in self.point])), 9))
+        gap = F.greatest(F.col("low") - F.col("qfar"), F.col("qfar") - F.col("high"), F.lit(0.0))
+        pairs = q.join(F.broadcast(self.shells), F.lit(True)).withColumn("gap", gap)  # `shells` rows
+        outwards = W.partitionBy("qid").orderBy("gap", "shell").rowsBetween(W.unboundedPreceding, -1)
+        pairs = pairs.withColumn("seed", F.coalesce(F.sum("n").over(outwards), F.lit(0)) < k)
+        dist = F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")
+        seen = pairs.filter("seed").select("qid", "qvec", "shell").join(self.rows, "shell").select("qid", "id", dist)
+        tau = ranked(seen, k).groupBy("qid").agg(F.max("dist").alias("tau"))
+        reach = pairs.join(tau, "qid").filter(F.col("gap") <= F.col("tau") + SLACK)
+        near = F.abs(F.col("far") - F.col("qfar")) <= F.col("tau") + SLACK
+        return ranked(reach.select("qid", "qvec", "qfar", "tau", "shell").join(self.rows, "shell").filter(near).select("qid", "id", dist), k)

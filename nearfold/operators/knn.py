@@ -17,7 +17,45 @@ from pyspark.sql import functions as F
 
 from .blocks import distances, matrix
 
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 2_048
+ROW_SLICE = 1_024
+
+
+def query_blocks(queries: DataFrame, query_block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at most ``query_block`` queries (qid, vec), one block after the other."""
+    ids, held = [], []
+    for row in queries.select("qid", F.col("vec").cast("array<double>")).toLocalIterator():
+        ids.append(row[0])
+        held.append(row[1])
+        if len(ids) == query_block:
+            yield np.array(ids), np.array(held, dtype=np.float64)
+            ids, held = [], []
+    if ids:
+        yield np.array(ids), np.array(held, dtype=np.float64)
+
+
+class Best:
+    """The k least (distance, id) of each query so far."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.d = np.full((queries, 0), np.inf)
+        self.i = np.zeros((queries, 0), np.int64)
+
+    def add(self, d: np.ndarray, ids: np.ndarray) -> None:
+        both_d, both_i = np.concatenate([self.d, d], 1), np.concatenate([self.i, np.broadcast_to(ids, d.shape)], 1)
+        order = np.lexsort([both_i, both_d], axis=1)[:, : self.k]
+        self.d, self.i = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
+
+    def rows(self, qids: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        real = np.isfinite(self.d)
+        return pa.RecordBatch.from_arrays([pa.array(qids[np.nonzero(real)[0]]), pa.array(self.i[real]), pa.array(self.d[real])], names)
+
+
+def ranked(found: DataFrame, k: int, dist: str = "dist") -> DataFrame:
+    """The k best rows (qid, id, dist) of each query, with ``rank``; ties by id."""
+    order = W.partitionBy("qid").orderBy(dist, "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def knn(queries: DataFrame, catalogue: DataFrame, k: int, metric: str = "euclidean", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -25,42 +63,48 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int, metric: str = "euclide
 
     Equal distances (to nine decimals) are ranked by id.
     """
-    spark = catalogue.sparkSession
-    parts, ids, held = [], [], []
+    spark, parts = catalogue.sparkSession, []
     kinds = dict(queries.dtypes)["qid"], dict(catalogue.dtypes)["id"]
+    rows = catalogue.select("id", F.col("vec").cast("array<double>"))
+    for held in query_blocks(queries, query_block):
+        block = spark.sparkContext.broadcast(held)
 
-    def part(ids: list, held: list) -> DataFrame:
-        block = spark.sparkContext.broadcast((np.array(ids), np.array(held, dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             qids, q = block.value
-            best_d = np.full((len(q), 0), np.inf)
-            best_i = np.zeros((len(q), 0), np.int64)
+            best = Best(len(q), k)
             for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                x = matrix(batch.column(1))
-                if not len(x):
-                    continue
-                d = distances(q, x, metric).round(9)
-                d[qids[:, None] == own[None, :]] = np.inf
-                both_d, both_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(own, d.shape)], 1)
-                order = np.lexsort([both_i, both_d], axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
-            real = np.isfinite(best_d)
-            at = np.nonzero(real)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(best_i[real]), pa.array(best_d[real])], ["qid", "id", "dist"])
-
-        return catalogue.select("id", F.col("vec").cast("array<double>")).mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double")
+                for at in range(0, batch.num_rows, ROW_SLICE):
+                    part = batch.slice(at, ROW_SLICE)
+                    own, x = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
+                    d = distances(q, x, metric).round(9)
+                    d[qids[:, None] == own[None, :]] = np.inf
+                    best.add(d, own)
+            yield best.rows(qids, ["qid", "id", "dist"])
 
-    for row in queries.select("qid", F.col("vec").cast("array<double>")).toLocalIterator():
-        ids.append(row[0])
-        held.append(row[1])
-        if len(ids) == query_block:
-            parts.append(part(ids, held))
-            ids, held = [], []
-    if ids:
-        parts.append(part(ids, held))
+        parts.append(rows.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double"))
     if not parts:
         return spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, dist double, rank int")
-    order = W.partitionBy("qid").orderBy("dist", "id")
-    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked(reduce(DataFrame.union, parts), k)
+
+
+def cross_distances(queries: DataFrame, rows: DataFrame, metric: str = "euclidean", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, id, dist): a stated query set against every row, as between queries and cluster centres."""
+    spark, parts = rows.sparkSession, []
+    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
+    right = rows.select("id", F.col("vec").cast("array<double>"))
+    for held in query_blocks(queries, query_block):
+        block = spark.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            qids, q = block.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROW_SLICE):
+                    part = batch.slice(at, ROW_SLICE)
+                    own, x = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
+                    d = distances(q, x, metric).round(9)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, len(own))), pa.array(np.tile(own, len(qids))), pa.array(d.ravel())], ["qid", "id", "dist"])
+
+        parts.append(right.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double"))
+    if not parts:
+        return spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, dist double")
+    return reduce(DataFrame.union, parts)
