@@ -110,7 +110,7 @@ def features(rows: DataFrame) -> DataFrame:
     g = x.groupBy("id").agg(
         F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.max("median").alias("median"),
         (F.percentile(F.when(c("up") > c("n") - c("tail"), m), 0.5) - F.percentile(F.when(c("up") <= c("tail"), m), 0.5)).alias("ends"),
-        F.avg(F.when(F.abs(m - c("mean")) > c("sd") * F.sqrt(c("n") / (c("n") - 1)), 1.0).otherwise(0.0)).alias("beyond"),
+        F.avg(F.when(F.abs(m - c("mean")) > c("sd") * F.sqrt(F.try_divide(c("n"), c("n") - 1)), 1.0).otherwise(0.0)).alias("beyond"),
         F.sum(F.when(run, 1).otherwise(0)).alias("runs"),
         F.avg("w").alias("w_mean"), F.sum("w").alias("w_sum"), F.sum(c("w") * c("dm") * c("dm")).alias("w_dm"), (F.max("t") - F.min("t")).alias("length"),
         F.regr_slope("mag", "t").alias("slope"), F.max(F.when(c("dt") > 0, F.abs(c("dm") / c("dt")))).alias("steepest"),
@@ -149,8 +149,8 @@ def colour_features(rows: DataFrame, first: str, second: str, within: float) ->
     pairs = align(observations(rows), first, second, within)
     every = W.partitionBy("id")
     n = F.count(F.lit(1)).over(every)
-    scale = F.sqrt(n / (n - 1))
-    score = lambda v: scale * (F.col(v) - F.avg(v).over(every)) / F.stddev_pop(v).over(every)
+    scale = F.sqrt(F.try_divide(n, n - 1))
+    score = lambda v: scale * F.try_divide(F.col(v) - F.avg(v).over(every), F.stddev_pop(v).over(every))
     x = pairs.withColumn("n", n).withColumn("p", F.when(F.col("n") > 1, score("mag") * score("mag2"))).withColumn("c", F.col("mag") - F.col("mag2"))
     j = F.avg(F.signum("p") * F.sqrt(F.abs("p")))
     return x.groupBy("id").agg(F.max("n").alias("n"), F.avg("c").alias("Color"), (F.percentile("c", 0.75) - F.percentile("c", 0.25)).alias("Q31_color"), j.alias("StetsonJ"))
