@@ -1,46 +1,19 @@
-"""What the operators of this subpackage share: tables in the shared folder, texts as bytes."""
+"""What the operators of this subpackage share: texts as bytes, folds, tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path, staged
+
+__all__ = ["WHITE", "WORD", "documents", "fold", "free_name", "new_path", "staged", "text_bytes"]
+
 #: ASCII white space: 0x20 and 0x09 to 0x0D, also what ``bytes.split()`` splits at.
 WHITE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the cluster names none (local tests) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="nearfold-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/nearfold/{uuid.uuid4().hex}/{name}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage with files that outlive any executor, and lets several readers use
-    one computation.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table ``documents``."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

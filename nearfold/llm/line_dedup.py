@@ -224,8 +224,9 @@ class LineDedup:
         rows = docs.select("doc_id", text_bytes().alias("t")).mapInArrow(hashes, f"doc_id {id_type}, h1 long, h2 long")
         frequent = self.refcounts().filter(F.col("n") >= self.min_docs).select("h1", "h2")
         found = rows.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias(drop))
-        found = found.withColumnRenamed("doc_id", "nf_id")
-        with_keys = docs.join(found, docs["doc_id"].eqNullSafe(found["nf_id"]), "left").drop("nf_id")
+        other = free_name(docs.columns, "nf_id")
+        found = found.withColumnRenamed("doc_id", other)
+        with_keys = docs.join(found, F.col("doc_id").eqNullSafe(F.col(other)), "left").drop(other)
 
         def dropped(batch: pa.RecordBatch, digests: np.ndarray, owner: np.ndarray) -> np.ndarray:
             out = np.zeros(len(digests), bool)

@@ -94,18 +94,17 @@ def mix(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> Data
     Joined by doc_id; rows that repeat a doc_id each get that id's copies of one of its rows in
     turn, so the total stays exact.
     """
-    number = free_name(docs.columns, "copy")
-    k, n = free_name(docs.columns, "nf_k"), free_name(docs.columns, "nf_n")
+    number, k, n, i, source, size, words = (free_name(docs.columns, c) for c in ("copy", "nf_k", "nf_n", "nf_id", "nf_src", "nf_size", "nf_words"))
     taken = copies(docs, seed, max_repeat)
     each = taken.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias(n))
-    each = each.select(F.col("doc_id").alias("nf_id"), F.col("source").alias("nf_src"), F.col("size").alias("nf_size"), n)
-    rows = docs.withColumn("nf_words", word_count())
-    on = rows["doc_id"].eqNullSafe(each["nf_id"]) & rows["source"].eqNullSafe(each["nf_src"]) & (rows["nf_words"] == each["nf_size"])
+    each = each.select(F.col("doc_id").alias(i), F.col("source").alias(source), F.col("size").alias(size), n)
+    rows = docs.withColumn(words, word_count())
+    on = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
     rows = rows.join(each, on)
     # equal (doc_id, source, size) rows: the j-th takes the j-th number of the sorted list
     single, many = rows.filter(F.size(n) == 1).withColumn(k, F.lit(1)), rows.filter(F.size(n) > 1)
-    many = many.withColumn(k, F.row_number().over(W.partitionBy("nf_id", "nf_src", "nf_size").orderBy("text")))
-    out = single.unionByName(many).withColumn(number, F.explode(F.expr(f"filter(sequence(0, cast(element_at({n}, {k}) as int)), x -> x > 0)")))
+    many = many.withColumn(k, F.row_number().over(W.partitionBy(i, source, size).orderBy("text")))
+    out = single.unionByName(many).withColumn(number, F.explode(F.expr(f"filter(sequence(0, cast(element_at(`{n}`, `{k}`) as int)), x -> x > 0)")))
     return out.select(*docs.columns, number)
 
 

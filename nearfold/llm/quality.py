@@ -180,9 +180,9 @@ def _vectors(docs: DataFrame, names: list[str], out: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, learn: Column, most: int = MAX_TRAIN) -> AdditiveModel:
     """The model of ``labels.column`` from documents that may be learnt from."""
-    ids = labelled(labels, column, learn, most).withColumnRenamed("doc_id", "nf_id")
+    ids = labelled(labels, column, learn, most)
     # at most `most` rows of an id and a label
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("nf_id")).select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
     found = _vectors(rows, ["y"], "x").toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, found["y"]]) if len(x) else np.zeros(0, int)

@@ -291,9 +291,8 @@ def drop_copies(docs: DataFrame, words: int = WORDS, run: int = RUN) -> DataFram
     """
     found = staged(near_duplicates(docs.select("doc_id", "text"), words, run), "near")
     chosen = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    single, many = (chosen.filter(x).select(F.col("doc_id").alias("nf_id")) for x in ("n = 1", "n > 1"))
-    out = docs.join(single, docs["doc_id"] == F.col("nf_id"), "left_semi")
-    out = out.union(docs.join(many, docs["doc_id"] == F.col("nf_id"), "left_semi").dropDuplicates(["doc_id"]))
+    single, many = (chosen.filter(x).select("doc_id") for x in ("n = 1", "n > 1"))
+    out = docs.join(single, "doc_id", "left_semi").union(docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
     bare = docs.filter(F.col("doc_id").isNull())
     if bare.isEmpty():
         return out
