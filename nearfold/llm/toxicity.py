@@ -11,7 +11,7 @@ the latter lets two texts differ by how dense their terms are.
 
 The index keeps postings by term over the examples, ordered so that like examples stand together,
 cut into blocks of ``BLOCK``; for each term and block it keeps the largest weight.  A query takes
-the upper bound of every block (the sum over its terms), visits blocks from the largest bound down
+the upper bound of every block (the sum over its terms), scores blocks from the largest bound down
 and stops once the bound is below the ``K``-th best cosine so far, so the K nearest are exact; ties
 go to the lower doc_id.  Neighbours vote with weight 1 / (``SOFT`` + distance), the prior counts as
 one neighbour, and a logistic curve fitted on the examples, each without itself, makes votes scores.
@@ -44,7 +44,7 @@ EXAMPLES = 12_000
 VOCABULARY = 4_096
 MIN_G2, MIN_DF, MIN_SHARE = 18.0, 5, 0.002
 STEMS = (4, 5, 6)
-K, BLOCK, SOFT = 15, 64, 0.05
+K, BLOCK, LEAD, SOFT = 15, 64, 8, 0.05
 EVIDENCE = "array<struct<doc_id:{id},toxic:int,cosine:double>>"
 CACHE = 100_000
 
@@ -81,8 +81,13 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
         """vectors: (term ids ascending, weights) of examples in order of their ids."""
-        lead = [int(t[np.argmax(w)]) if len(t) else terms for t, w in vectors]
-        self.order = np.lexsort([np.arange(len(vectors)), lead])  # place -> example
+
+        def like(e: int) -> tuple:
+            t, w = vectors[e]
+            by = np.lexsort([t, -w.round(3)])  # heaviest terms first
+            return not len(t), tuple(t[by].tolist()), tuple(w[by].round(2).tolist()), e
+
+        self.order = np.array(sorted(range(len(vectors)), key=like), np.int64)  # place -> example
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         t = np.concatenate([vectors[e][0] for e in self.order] or [np.zeros(0, np.int64)])
         w = np.concatenate([vectors[e][1] for e in self.order] or [np.zeros(0)])
@@ -90,34 +95,46 @@ class BlockMaxIndex:
         cell = t * self.blocks + place // BLOCK
         self.bound = np.zeros((terms, self.blocks))  # block-max
         np.maximum.at(self.bound.reshape(-1), cell, w)
-        by = np.lexsort([place, t, place // BLOCK])  # postings by block, then term
-        self.term, self.place, self.weight = t[by], place[by] % BLOCK, w[by]
-        self.start = np.searchsorted(place[by] // BLOCK, np.arange(self.blocks + 1))
-        self.query = np.zeros(terms)
+        by = np.argsort(cell, kind="stable")  # postings by term, then block
+        self.place, self.weight = place[by] % BLOCK, w[by]
+        self.start = np.searchsorted(cell[by], np.arange(terms * self.blocks + 1))
+        self.example = np.append(self.order, np.full(self.blocks * BLOCK - len(self.order), -1)).reshape(-1, BLOCK)
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all places of the blocks."""
+        cells = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+        count = self.start[cells + 1] - self.start[cells]
+        at = np.arange(count.sum()) + np.repeat(self.start[cells] - (np.cumsum(count) - count), count)
+        row = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), count) + self.place[at]
+        return np.bincount(row, np.repeat(np.repeat(weights, len(blocks)), count) * self.weight[at], len(blocks) * BLOCK).round(12)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest with a common term, best first, ties by example."""
+        """(example, cosine) of the k nearest with a common term, best first, ties by example.
+
+        Blocks are scored from the largest bound down, ``LEAD`` together, then twice as many each time.
+        """
         if not len(terms):
             return []
         bound = weights @ self.bound[terms] + 1e-12
-        self.query[terms] = weights
-        found, cosine, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] < kth or bound[b] <= 1e-12:
-                break
-            s = slice(self.start[b], self.start[b + 1])
-            score = np.bincount(self.place[s], self.query[self.term[s]] * self.weight[s], BLOCK).round(12)
+        order = np.argsort(-bound, kind="stable")
+        bound = bound[order]
+        found, cosine, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, LEAD
+        while at < len(order) and bound[at] >= kth and bound[at] > 1e-12:
+            stop = min(at + step, int(np.searchsorted(-bound, -max(kth, 1.1e-12), side="right")))
+            blocks = order[at:stop]
+            score = self._scores(terms, weights, blocks)
             hit = np.flatnonzero((score > 0) & (score >= kth))
-            own = self.order[b * BLOCK + hit]
+            own = self.example[blocks].ravel()[hit]
             hit, own = hit[own != without], own[own != without]
-            if len(hit):
-                found, cosine = np.r_[found, own], np.r_[cosine, score[hit]]
-                if len(found) > k:
-                    keep = np.lexsort([found, -cosine])[:k]
-                    found, cosine = found[keep], cosine[keep]
-                if len(found) == k:
-                    kth = cosine.min()
-        self.query[terms] = 0
+            found, cosine = np.r_[found, own], np.r_[cosine, score[hit]]
+            if len(found) > k:
+                on = cosine >= np.partition(cosine, -k)[-k]
+                found, cosine = found[on], cosine[on]
+                on = np.lexsort([found, -cosine])[:k]
+                found, cosine = found[on], cosine[on]
+            if len(found) == k:
+                kth = cosine.min()
+            at, step = stop, step * 2
         best = np.lexsort([found, -cosine])
         return [(int(found[x]), float(cosine[x])) for x in best]
 
@@ -250,9 +267,9 @@ def _counted(docs: DataFrame, vocabulary: list[bytes], names: list[str], terms:
 def score(docs: DataFrame, labels: DataFrame, column: str, learn: Column, keep_text: bool = True) -> DataFrame:
     """``docs`` (without ``text`` unless kept) with ``score`` and ``evidence``."""
     spark = docs.sparkSession
-    ids = labelled(labels, column, learn, EXAMPLES).withColumnRenamed("doc_id", "nf_id")
+    ids = labelled(labels, column, learn, EXAMPLES)
     # at most EXAMPLES rows of an id and a label
-    found = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("nf_id")).select("doc_id", text_bytes().alias("text"), "y")
+    found = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
     examples = staged(_once(found, dict(docs.dtypes)["doc_id"]), "examples")
     by_label = {r.y: r.n for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = (by_label.get(0, 0), by_label.get(1, 0))
