@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.curves import phase
+from ..shared import staged
 
 CHUNK = 100_000
 
@@ -144,16 +145,80 @@ def _place(percent: int) -> Column:
     return F.max(F.when(F.col("up") == at + 1, F.col("mag")))
 
 
+LAGS = 100
+
+
+def _normal(z: Column) -> Column:
+    """The normal distribution function, by a rational approximation of erf good to 1.5e-7."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    erf = 1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-x * x)
+    return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+
+
+def order_features(rows: DataFrame, lags: int = LAGS) -> DataFrame:
+    """(id, n, AndersonDarling, Autocor_length): a logistic of the normality statistic, and the first lag
+    (in observations, up to ``lags``) whose autocorrelation is below 1/e; null where there is none."""
+    every, by_time = W.partitionBy("id"), W.partitionBy("id").orderBy("t", "mag")
+    x = observations(rows).select("id", "t", "mag").withColumns({"n": F.count(F.lit(1)).over(every), "m": F.avg("mag").over(every), "sd": F.stddev_pop("mag").over(every), "up": F.row_number().over(W.partitionBy("id").orderBy("mag", "t"))})
+    y = F.col("mag") - F.col("m")
+    x = x.filter("sd > 0").withColumn("y", y).withColumn("p", F.greatest(F.least(_normal(F.col("y") / F.col("sd")), F.lit(1 - 1e-9)), F.lit(1e-9)))
+    x = x.withColumns({f"y{k}": F.lead("y", k).over(by_time) for k in range(1, lags + 1)})
+    rank = 2 * F.col("up") - 1
+    a2 = -F.max("n") - F.sum(rank * F.log("p") + (2 * F.col("n") - rank) * F.log(1 - F.col("p"))) / F.max("n")
+    g = x.groupBy("id").agg(F.max("n").alias("n"), a2.alias("a2"), F.array(*[F.sum(F.col("y") * F.col(f"y{k}")) / F.sum(F.col("y") * F.col("y")) for k in range(1, lags + 1)]).alias("ac"))
+    first = F.array_position(F.transform("ac", lambda v: F.coalesce(v < F.exp(F.lit(-1.0)), F.lit(False))), F.lit(True))
+    return g.select("id", "n", (1 / (1 + F.exp(-10 * (F.col("a2") - 0.3)))).alias("AndersonDarling"), F.when(first > 0, first).alias("Autocor_length"))
+
+
+def harmonics(rows: DataFrame, low: float, high: float, steps: int, frequencies: int = 3, orders: int = 4) -> DataFrame:
+    """A row per curve: amplitudes and relative phases of ``orders`` multiples of its strongest frequency, then of the
+    strongest one left when those are taken away, and so on.
+
+    Each multiple is fitted by least squares on centred sums, which are additive; a phase is relative to
+    that of the first multiple.
+    """
+    left = observations(rows).select("id", "t", "mag")
+    out = left.select("id").distinct()
+    for i in range(1, frequencies + 1):
+        left = staged(left, "left")
+        own = staged(periods(left, low, high, steps).select("id", (2 * F.pi() / F.col("period")).alias("w")), "periods")
+        x = left.join(own, "id")
+        for j in range(orders):
+            x = x.withColumns({f"s{j}": F.sin((j + 1) * F.col("w") * F.col("t")), f"c{j}": F.cos((j + 1) * F.col("w") * F.col("t"))})
+        cov = lambda a, b, j: F.covar_pop(f"{a}{j}", "mag" if b == "y" else f"{b}{j}").alias(f"{a}{b}{j}")
+        g = x.groupBy("id").agg(*[cov(*ab, j) for j in range(orders) for ab in ("ss", "cc", "sc", "sy", "cy")])
+        fit = []
+        for j in range(orders):
+            ss, cc, sc, sy, cy = (F.col(f"{ab}{j}") for ab in ("ss", "cc", "sc", "sy", "cy"))
+            det = ss * cc - sc * sc
+            fit += [F.when(det > 1e-12, (sy * cc - cy * sc) / det).otherwise(0.0).alias(f"a{j}"), F.when(det > 1e-12, (cy * ss - sy * sc) / det).otherwise(0.0).alias(f"b{j}")]
+        fits = staged(g.select("id", *fit), "fits")
+        wave = sum((F.col(f"a{j}") * F.col(f"s{j}") + F.col(f"b{j}") * F.col(f"c{j}") for j in range(orders)), F.lit(0.0))
+        left = x.join(fits, "id").select("id", "t", (F.col("mag") - wave).alias("mag"))
+        size = [F.hypot(f"a{j}", f"b{j}").alias(f"Freq{i}_harmonics_amplitude_{j}") for j in range(orders)]
+        turn = [(F.atan2(f"b{j}", f"a{j}") - F.atan2("b0", "a0")).alias(f"Freq{i}_harmonics_rel_phase_{j}") for j in range(orders)]
+        out = out.join(fits.select("id", *size, *turn), "id", "left")
+    return out
+
+
 def colour_features(rows: DataFrame, first: str, second: str, within: float) -> DataFrame:
-    """A row per curve with both bands: Color, Q31_color, StetsonJ and StetsonL need two aligned bands."""
+    """A row per curve with both bands aligned: Color, Q31_color, Eta_color, StetsonJ and StetsonL."""
     pairs = align(observations(rows), first, second, within)
     every = W.partitionBy("id")
     n = F.count(F.lit(1)).over(every)
     scale = F.sqrt(F.try_divide(n, n - 1))
     score = lambda v: scale * F.try_divide(F.col(v) - F.avg(v).over(every), F.stddev_pop(v).over(every))
-    x = pairs.withColumn("n", n).withColumn("p", F.when(F.col("n") > 1, score("mag") * score("mag2"))).withColumn("c", F.col("mag") - F.col("mag2"))
+    by_time = W.partitionBy("id").orderBy("t", "mag")
+    x = pairs.withColumns({"n": n, "c": F.col("mag") - F.col("mag2"), "z1": score("mag"), "z2": score("mag2"), "dt": F.col("t") - F.lag("t").over(by_time)})
+    x = x.withColumns({"p": F.col("z1") * F.col("z2"), "dc": F.col("c") - F.lag("c").over(by_time), "w": F.when(F.col("dt") > 0, 1 / (F.col("dt") * F.col("dt")))})
     j = F.avg(F.signum("p") * F.sqrt(F.abs("p")))
-    return x.groupBy("id").agg(F.max("n").alias("n"), F.avg("c").alias("Color"), (F.percentile("c", 0.75) - F.percentile("c", 0.25)).alias("Q31_color"), j.alias("StetsonJ"))
+    k = F.sum(F.abs("z1")) / (F.sqrt(F.max("n")) * F.sqrt(F.sum(F.col("z1") * F.col("z1"))))
+    eta = F.try_divide(F.avg("w") * F.pow(F.max("t") - F.min("t"), F.lit(2.0)) * F.sum(F.col("w") * F.col("dc") * F.col("dc")), F.var_pop("c") * F.sum("w") * F.max("n") * F.max("n"))
+    return x.groupBy("id").agg(
+        F.max("n").alias("n"), F.avg("c").alias("Color"), (F.percentile("c", 0.75) - F.percentile("c", 0.25)).alias("Q31_color"),
+        eta.alias("Eta_color"), j.alias("StetsonJ"), (j * k / 0.798).alias("StetsonL"),
+    )
 
 
 def periodogram(rows: DataFrame, frequencies: np.ndarray, chunk: int = CHUNK) -> DataFrame:

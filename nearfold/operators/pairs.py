@@ -1,7 +1,10 @@
-"""All pairs of a table, in tiles: closest and farthest pair, histogram, pairs within a distance.
+"""Pairs of a table, in tiles: closest and farthest pair, histogram, pairs within a distance.
 
-Rows fall into blocks by a hash of the id; every two blocks meet in one task of bounded size, which
-returns only what it has found.
+Rows fall into blocks by a hash of the id; two blocks meet in one task of bounded size, which returns
+only what it has found.  Where a largest distance is known, rows are first dealt into bands of
+that width by their distance to one fixed row: by the triangle inequality pairs within it lie in
+the same or neighbouring bands, and only their blocks meet.  The closest pair is sought within
+blocks first; what is found there is the largest distance for the rest.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import METRICS, doubles
+from ..shared import staged
 from .blocks import distances
 
 TILE = 1_024
@@ -33,6 +38,39 @@ def tiles(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd
     return spread.drop("other").groupBy("x", "y").applyInPandas(run, schema)
 
 
+def band_tiles(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, width: float, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
+    """``work(left, right, same)`` on all blocks that can hold pairs at most ``width`` apart.
+
+    ``metric`` must obey the triangle inequality.  A band of many rows has as many blocks as it needs.
+    """
+    fixed = rows.select(doubles("vec").alias("vec")).first()
+    if fixed is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    far = METRICS[metric](doubles("vec"), F.array(*[F.lit(float(x)) for x in fixed.vec]))
+    base = staged(rows.select("id", doubles("vec").alias("vec"), F.floor(far / (width * (1 + 1e-6) + 1e-6)).alias("band")), "bands")
+    blocks = base.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+    above, below = (blocks.select((F.col("band") - step).alias("band"), F.col("blocks").alias(name)) for step, name in ((1, "above"), (-1, "below")))
+    base = base.join(blocks.join(above, "band", "left").join(below, "band", "left"), "band")
+    base = base.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    none = F.array().cast("array<int>")
+    every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(none)
+    meet = lambda b1, x, b2, y: F.struct(b1.alias("b1"), x.alias("x"), b2.alias("b2"), y.alias("y"))
+    band, own = F.col("band"), F.col("own")
+    partners = F.concat(
+        F.transform(every("blocks"), lambda s: meet(band, F.least(own, s), band, F.greatest(own, s))),
+        F.transform(every("above"), lambda s: meet(band, own, band + 1, s)),
+        F.transform(every("below"), lambda s: meet(band - 1, s, band, own)),
+    )
+    spread = base.select("id", "vec", "band", "own", F.explode(partners).alias("m")).select("id", "vec", "band", "own", "m.*")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b1, x, b2, y = key
+        pdf = pdf.sort_values("id")
+        return work(pdf[(pdf.band == b1) & (pdf.own == x)], pdf[(pdf.band == b2) & (pdf.own == y)], (b1, x) == (b2, y))
+
+    return spread.groupBy("b1", "x", "b2", "y").applyInPandas(run, schema)
+
+
 def _grid(left: pd.DataFrame, right: pd.DataFrame, same: bool, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids of both sides and the distances of all pairs in order of ids, each once."""
     if not len(left) or not len(right):
@@ -44,7 +82,7 @@ def _grid(left: pd.DataFrame, right: pd.DataFrame, same: bool, metric: str) -> t
     return np.minimum(a, b), np.maximum(a, b), d.round(9)
 
 
-def extreme_pair(rows: DataFrame, closest: bool = True, metric: str = "euclidean") -> DataFrame:
+def extreme_pair(rows: DataFrame, closest: bool = True, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
     """(a, b, dist) of the closest (or farthest) pair; ties by ids."""
 
     def work(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
@@ -54,11 +92,19 @@ def extreme_pair(rows: DataFrame, closest: bool = True, metric: str = "euclidean
         at = np.lexsort([b, a, d if closest else -d])[0]
         return pd.DataFrame({"a": [a[at]], "b": [b[at]], "dist": [d[at]]})
 
+    schema = "a long, b long, dist double"
     order = F.col("dist") if closest else F.desc("dist")
-    return tiles(rows, work, "a long, b long, dist double").orderBy(order, "a", "b").limit(1)
+    if not closest or metric == "sq_euclidean":
+        return tiles(rows, work, schema, tile).orderBy(order, "a", "b").limit(1)
+    blocks = max(1, -(-rows.count() // tile))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own")
+    within = rows.select("id", doubles("vec").alias("vec"), own).groupBy("own").applyInPandas(lambda pdf: work(pdf, pdf, True), schema)
+    bound = within.agg(F.min("dist")).first()[0]
+    found = tiles(rows, work, schema, tile) if bound is None else band_tiles(rows, work, schema, bound, metric, tile)
+    return found.orderBy(order, "a", "b").limit(1)
 
 
-def pairs_within(rows: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
+def pairs_within(rows: DataFrame, radius: float, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
     """(a, b, dist) of all pairs at most ``radius`` apart."""
 
     def work(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
@@ -66,7 +112,9 @@ def pairs_within(rows: DataFrame, radius: float, metric: str = "euclidean") -> D
         on = d <= radius
         return pd.DataFrame({"a": a[on], "b": b[on], "dist": d[on]})
 
-    return tiles(rows, work, "a long, b long, dist double")
+    if metric == "sq_euclidean":
+        return tiles(rows, work, "a long, b long, dist double", tile)
+    return band_tiles(rows, work, "a long, b long, dist double", radius, metric, tile)
 
 
 def pair_histogram(rows: DataFrame, width: float, metric: str = "euclidean") -> DataFrame:

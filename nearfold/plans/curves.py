@@ -56,7 +56,7 @@ def lc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lc_colour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ops.colour_features(curves(spark, sf_dir), FIRST, SECOND, WITHIN), ["Color", "Q31_color", "StetsonJ"], "id", "n")
+    return _rounded(ops.colour_features(curves(spark, sf_dir), FIRST, SECOND, WITHIN), ["Color", "Q31_color", "Eta_color", "StetsonJ", "StetsonL"], "id", "n")
 
 
 def lc_folded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,15 @@ def lc_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.periods(curves(spark, sf_dir), 0.05, 1.0, 96), ["period", "power"], "id")
 
 
+def lc_order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ops.order_features(curves(spark, sf_dir), 20), ["AndersonDarling"], "id", "n", "Autocor_length")
+
+
+def lc_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ops.harmonics(curves(spark, sf_dir), 0.05, 1.0, 96)
+    return _rounded(out, [c for c in out.columns if c != "id"], "id")
+
+
 def curve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves nested as documents: count, first and last observation."""
     docs = ops.nest(curves(spark, sf_dir))
@@ -85,7 +94,7 @@ def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    phase_fold, grid_resolution, noise_filter, band_full_outer, band_align, lc_features, lc_colour_features, lc_folded_features, lc_period,
+    phase_fold, grid_resolution, noise_filter, band_full_outer, band_align, lc_features, lc_colour_features, lc_folded_features, lc_period, lc_order_features, lc_harmonics,
     curve_documents, curve_observations, observation_counts,
 )} | {"interpolate_grid": _grid(True), "interpolate_grid_uniform": _grid(False)}
 
@@ -137,8 +146,21 @@ ORACLE_SQL = {
     "lc_features": _FEATURES,
     "lc_colour_features": f"""
 WITH {C}, {_ALIGNED}, s AS (SELECT *, count(*) OVER e AS n, avg(mag) OVER e AS m, avg(mag2) OVER e AS m2, stddev_pop(mag) OVER e AS sd, stddev_pop(mag2) OVER e AS sd2, mag - mag2 AS d FROM a WINDOW e AS (PARTITION BY id)),
-p AS (SELECT *, CASE WHEN n > 1 AND sd > 0 AND sd2 > 0 THEN n / (n - 1) * (mag - m) / sd * (mag2 - m2) / sd2 END AS p FROM s)
-SELECT id, count(*) AS n, round(avg(d), 5) AS Color, round(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), 5) AS Q31_color, round(avg(sign(p) * sqrt(abs(p))), 5) AS StetsonJ FROM p GROUP BY id""",
+p AS (SELECT *, CASE WHEN n > 1 AND sd > 0 THEN sqrt(n / (n - 1)) * (mag - m) / sd END AS z1, CASE WHEN n > 1 AND sd2 > 0 THEN sqrt(n / (n - 1)) * (mag2 - m2) / sd2 END AS z2,
+      t - lag(t) OVER o AS dt, d - lag(d) OVER o AS dc FROM s WINDOW o AS (PARTITION BY id ORDER BY t, mag)),
+y AS (SELECT *, sign(z1 * z2) * sqrt(abs(z1 * z2)) AS j, CASE WHEN dt > 0 THEN 1 / (dt * dt) END AS w FROM p)
+SELECT id, count(*) AS n, round(avg(d), 5) AS Color, round(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), 5) AS Q31_color,
+  round(avg(w) * pow(max(t) - min(t), 2) * sum(w * dc * dc) / nullif(var_pop(d) * sum(w) * max(n) * max(n), 0), 5) AS Eta_color, round(avg(j), 5) AS StetsonJ,
+  round(avg(j) * sum(abs(z1)) / (sqrt(max(n)) * sqrt(sum(z1 * z1))) / 0.798, 5) AS StetsonL FROM y GROUP BY id""",
+    "lc_order_features": f"""
+WITH {C}, x AS (SELECT id, t, mag, count(*) OVER e AS n, avg(mag) OVER e AS m, stddev_pop(mag) OVER e AS sd, row_number() OVER (PARTITION BY id ORDER BY mag, t) AS up, row_number() OVER (PARTITION BY id ORDER BY t, mag) AS r FROM c WINDOW e AS (PARTITION BY id)),
+y AS (SELECT *, mag - m AS y, abs(mag - m) / sd / sqrt(2) AS a, 1 / (1 + 0.3275911 * (abs(mag - m) / sd / sqrt(2))) AS k FROM x WHERE sd > 0),
+z AS (SELECT *, 1 - ((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-a * a) AS erf FROM y),
+p AS (SELECT *, greatest(least(CASE WHEN y >= 0 THEN (1 + erf) / 2 ELSE (1 - erf) / 2 END, 1 - 1e-9), 1e-9) AS p FROM z),
+ad AS (SELECT id, max(n) AS n, -max(n) - sum((2 * up - 1) * ln(p) + (2 * n - 2 * up + 1) * ln(1 - p)) / max(n) AS a2, sum(y * y) AS yy FROM p GROUP BY id),
+ac AS (SELECT l.id, r.r - l.r AS k, sum(l.y * r.y) / any_value(yy) AS v FROM y l JOIN y r ON l.id = r.id AND r.r BETWEEN l.r + 1 AND l.r + 20 JOIN ad ON ad.id = l.id GROUP BY l.id, r.r - l.r),
+f AS (SELECT id, min(k) AS k FROM ac WHERE v < exp(-1) GROUP BY id)
+SELECT ad.id, n, round(1 / (1 + exp(-10 * (a2 - 0.3))), 5) AS AndersonDarling, f.k AS Autocor_length FROM ad LEFT JOIN f USING (id)""",
     "lc_folded_features": f"""
 WITH {C}, o AS (SELECT id, t, mag, fmod(t, {PERIOD}) / {PERIOD} AS phase FROM c),
 x AS (SELECT *, count(*) OVER e AS n, avg(mag) OVER e AS m, stddev_pop(mag) OVER e AS sd, mag - lag(mag) OVER (PARTITION BY id ORDER BY phase, t) AS dm FROM o WINDOW e AS (PARTITION BY id)),

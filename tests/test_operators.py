@@ -96,7 +96,23 @@ def test_pairs_of_repeated_points(spark):
     near, far = pairs.extreme_pair(rows).first(), pairs.extreme_pair(rows, closest=False).first()
     assert (near.a, near.b, near.dist) == (0, 1, 0.0) and (far.a, far.b) == (0, 3)
     assert {(r.a, r.b) for r in pairs.pairs_within(rows, 1.0).collect()} == {(0, 1), (2, 3)}
-    assert pairs.tiles(rows, lambda a, b, s: pairs.pd.DataFrame({"n": [len(a) * len(b)]}), "n long", tile=2).count() >= 1
+    assert pairs.pairs_within(rows, 0.0).count() == 1 and pairs.pairs_within(rows.limit(0), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "sq_euclidean"])
+def test_pairs_within_equal_all_pairs(spark, metric):
+    """Bands, their blocks and ties lose no pair."""
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.random((150, 2)) * 20, np.round(rng.random((150, 2)), 1)])
+    rows = table(spark, points).cache()
+    d = pairs.distances(points, points, metric).round(9)
+    for radius in (0.0, 0.5, 3.0):
+        want = {(i, j) for i, j in np.argwhere(d <= radius).tolist() if i < j}
+        got = [(r.a, r.b) for r in pairs.pairs_within(rows, radius, metric, tile=20).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    i, j = min(((x, y) for x, y in np.argwhere(np.triu(np.ones_like(d), 1) > 0).tolist()), key=lambda p: (d[p[0], p[1]], p))
+    near = pairs.extreme_pair(rows, metric=metric, tile=20).first()
+    assert (near.a, near.b) == (i, j)
 
 
 def test_pca_keeps_distances(spark):
@@ -167,6 +183,15 @@ def test_period_of_a_sine(spark):
     assert np.allclose(split.power, curves.periodogram(rows, np.linspace(0.05, 1.0, 96)).orderBy("f").toPandas().power)
 
 
+def test_harmonics_of_two_waves(spark):
+    rng = np.random.default_rng(6)
+    t = np.sort(rng.random(600) * 80)
+    mag = 5 * np.sin(2 * np.pi * 0.25 * t) + 2 * np.cos(2 * np.pi * 0.5 * t) + 1.5 * np.sin(2 * np.pi * 0.4 * t) + 9
+    r = curves.harmonics(curve(spark, [(1, "b", float(x), float(m), i) for i, (x, m) in enumerate(zip(t, mag, strict=True))]), 0.05, 1.0, 96, frequencies=2).first()
+    assert abs(r.Freq1_harmonics_amplitude_0 - 5) < 0.3 and abs(r.Freq1_harmonics_amplitude_1 - 2) < 0.3 and abs(r.Freq2_harmonics_amplitude_0 - 1.5) < 0.3
+    assert r.Freq1_harmonics_rel_phase_0 == 0 and abs(abs(r.Freq1_harmonics_rel_phase_1) - np.pi / 2) < 0.3
+
+
 def test_features_of_odd_curves(spark):
     rows = curve(spark, [(1, "b", 0.0, 5.0, 0), (2, "b", 0.0, 3.0, 1), (2, "b", 1.0, 3.0, 2), (3, "b", None, 3.0, 3), (4, "b", 1.0, None, 4), (5, "b", 0.0, 1.0, 5), (5, "b", 0.0, 2.0, 6)])
     out = {r.id: r for r in curves.features(rows).collect()}
