@@ -27,6 +27,7 @@ from .common import WORD, documents, free_name, staged
 
 SEED = "mix-1"
 MAX_REPEAT = 3
+MAX_RANGES = 200_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -83,8 +84,10 @@ def copies(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> D
     rank = F.col("at") - F.col("first") + F.col("before")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor((rank + 1) * rate + _offset(seed)) - F.floor(rank * rate + _offset(seed))
-    # one row per partition and source: at most (partitions + sources) rows
-    out = ranged.join(F.broadcast(ranges), (ranged["part"] == F.col("prt")) & ranged["source"].eqNullSafe(F.col("src")))
+    # one row per partition and source: at most (partitions + sources) rows; beyond MAX_RANGES by shuffle
+    ranges = staged(ranges, "ranges")
+    small = ranges.count() <= MAX_RANGES
+    out = ranged.join(F.broadcast(ranges) if small else ranges, (ranged["part"] == F.col("prt")) & ranged["source"].eqNullSafe(F.col("src")))
     return out.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
