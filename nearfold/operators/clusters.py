@@ -13,6 +13,7 @@ from ..functions.vectors import doubles
 from .blocks import distances, matrix
 
 CENTRE_BLOCK = 20_000
+CELL_ROWS, MAX_CELLS = 20_000, 1_024
 
 
 def assign(rows: DataFrame, centres: DataFrame) -> DataFrame:
@@ -55,42 +56,50 @@ def assign(rows: DataFrame, centres: DataFrame) -> DataFrame:
 
 class Birch:
     """BIRCH as mergeable sums: every task absorbs its rows into cluster features whose radius (or
-    diameter) stays below the threshold; features of tasks are absorbed into each other in rounds,
-    ``fan_in`` tasks into one, until one task holds them.  What is passed on is features, never rows.
+    diameter) stays below the threshold, and the features of tasks are absorbed into each other.  What
+    is passed on is features, never rows.
+
+    Large tables are cut into cells around up to ``MAX_CELLS`` rows (those of least hash, one for each
+    ``CELL_ROWS`` rows); features merge within a cell only, so the second step runs in as many tasks as
+    there are cells and no task holds all features.
 
     The result depends on the order, as BIRCH does; it always holds that every feature of more than
     one row is below the threshold and that the features add up to the data.
     """
 
-    def __init__(self, threshold: float, distance: str = "d0", size: str = "r", fan_in: int = 8) -> None:
-        self.threshold, self.distance, self.size, self.fan_in = threshold, distance, size, fan_in
+    def __init__(self, threshold: float, distance: str = "d0", size: str = "r") -> None:
+        self.threshold, self.distance, self.size = threshold, distance, size
 
     def fit(self, rows: DataFrame, start: DataFrame | None = None) -> DataFrame:
         """(cluster_id, n, ls, ss); ``start`` holds the features of earlier batches."""
         one = F.aggregate(doubles("vec"), F.lit(0.0), lambda a, x: a + x * x)
-        features = rows.select(F.lit(1).cast("long").alias("n"), doubles("vec").alias("ls"), one.alias("ss"))
-        features = features.mapInArrow(self._absorb(), "n long, ls array<double>, ss double")
+        features = rows.select(F.lit(0).alias("cell"), F.lit(1).cast("long").alias("n"), doubles("vec").alias("ls"), one.alias("ss"))
+        cells = min(MAX_CELLS, rows.count() // CELL_ROWS)
+        middles = [r.ls for r in features.orderBy(F.xxhash64("ls"), "ls").limit(cells).select("ls").collect()] if cells > 1 else []
         if start is not None:
-            features = features.unionByName(start.select("n", "ls", "ss"))
-        parts = features.rdd.getNumPartitions()
-        while parts > 1:
-            parts = -(-parts // self.fan_in)
-            features = features.coalesce(parts).mapInArrow(self._absorb(), "n long, ls array<double>, ss double")
-        return features.coalesce(1).select(F.monotonically_increasing_id().alias("cluster_id"), "n", "ls", "ss")
-
-    def _absorb(self):
+            features = features.unionByName(start.select(F.lit(0).alias("cell"), "n", "ls", "ss"))
+        schema = "cell int, n long, ls array<double>, ss double"
+        features = features.mapInArrow(self._absorb(np.array(middles)), schema).repartition("cell").mapInArrow(self._absorb(None), schema)
+        return features.select(F.monotonically_increasing_id().alias("cluster_id"), "n", "ls", "ss")
+
+    def _absorb(self, middles: np.ndarray | None):
+        """Features absorbed by cell: that of the nearest middle, or the one they come with."""
         threshold, distance, size = self.threshold, self.distance, self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
+            held: dict[int, _Features] = {}
             for batch in batches:
-                x = matrix(batch.column(1))
-                for n, ls, ss in zip(batch.column(0).to_numpy(), x, batch.column(2).to_numpy(), strict=True):
-                    held = held or _Features(len(ls))
-                    held.add(int(n), ls, float(ss), threshold, distance, size)
-            if held:
-                k = held.k
-                yield pa.RecordBatch.from_arrays([pa.array(held.n[:k].astype(np.int64)), pa.array(list(held.ls[:k]), pa.list_(pa.float64())), pa.array(held.ss[:k])], ["n", "ls", "ss"])
+                x, n = matrix(batch.column(2)), batch.column(1).to_numpy()
+                cell = batch.column(0).to_numpy()
+                if middles is not None and len(middles) and len(x):
+                    cell = distances(x / n[:, None], middles).argmin(1)
+                for c, k, ls, ss in zip(cell.tolist(), n.tolist(), x, batch.column(3).to_pylist(), strict=True):
+                    if c not in held:
+                        held[c] = _Features(len(ls))
+                    held[c].add(k, ls, ss, threshold, distance, size)
+            for c, f in held.items():
+                ls = pa.array(list(f.ls[: f.k]), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(f.k, c, np.int32)), pa.array(f.n[: f.k].astype(np.int64)), ls, pa.array(f.ss[: f.k])], ["cell", "n", "ls", "ss"])
 
         return run
 

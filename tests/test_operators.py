@@ -132,6 +132,17 @@ def test_blobs_are_found(spark):
     assert all(not ({labels[i] for i in range(a, a + 10)} & {labels[i] for i in range(b, b + 10)}) for a in range(0, 50, 10) for b in range(0, a, 10))
 
 
+def test_birch_in_cells_keeps_its_contract(spark, monkeypatch):
+    monkeypatch.setattr("nearfold.operators.clusters.CELL_ROWS", 40)
+    points = np.random.default_rng(3).random((300, 3)) * 10
+    birch = Birch(1.0)
+    features = birch.fit(table(spark, points), start=birch.fit(table(spark, points[:50])))
+    got = features.collect()
+    assert sum(r.n for r in got) == 350 and np.allclose(sum(np.array(r.ls) for r in got), points.sum(0) + points[:50].sum(0))
+    radius = [max(0, r.ss / r.n - (np.array(r.ls) ** 2).sum() / r.n**2) ** 0.5 for r in got]
+    assert max(radius) < 1.0 and len(got) < 250 and len({r.cluster_id for r in got}) == len(got)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.floats(-50, 50), st.floats(-50, 50)), min_size=3, max_size=30))
 def test_distance_of_merged_features(spark, points):
