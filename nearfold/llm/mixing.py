@@ -88,7 +88,7 @@ def copies(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> D
     ranges = staged(ranges, "ranges")
     small = ranges.count() <= MAX_RANGES
     out = ranged.join(F.broadcast(ranges) if small else ranges, (ranged["part"] == F.col("prt")) & ranged["source"].eqNullSafe(F.col("src")))
-    return out.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(max_repeat)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -145,7 +145,7 @@ ranked AS (
   SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY size, h, doc_id NULLS FIRST) - 1 AS k FROM sized s),
 taken AS (
   SELECT doc_id, size, source_size, target,
-         CAST(floor((k + 1) * r + u) - floor(k * r + u) AS BIGINT) AS copies
+         CAST(least(floor((k + 1) * r + u) - floor(k * r + u), 3) AS BIGINT) AS copies
   FROM (SELECT ranked.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS r
         FROM ranked JOIN tg ON ranked.source IS NOT DISTINCT FROM tg.source))
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM taken
