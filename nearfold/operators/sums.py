@@ -72,7 +72,7 @@ def correlation(grams: DataFrame) -> DataFrame:
     var = covariance(grams, 0)
     diagonal = var.filter("i = j").select("grp", F.col("i").alias("k"), F.col("cov").alias("v"))
     left, right = diagonal.withColumnsRenamed({"k": "i", "v": "vi"}), diagonal.withColumnsRenamed({"k": "j", "v": "vj"})
-    both = var.join(F.broadcast(left), ["grp", "i"]).join(F.broadcast(right), ["grp", "j"])  # a row per component
+    both = var.join(left, ["grp", "i"]).join(right, ["grp", "j"])
     return both.select("grp", "i", "j", F.when(F.col("vi") * F.col("vj") <= 0, 0.0).otherwise(F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))).alias("corr"))
 
 
