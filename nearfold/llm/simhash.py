@@ -276,31 +276,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, run: int = RUN) -> Data
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = staged(fingerprints(docs, words), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, run))
+    return named(prints, distinct, components(links(distinct, run)))
+
+
+def named(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of ``prints`` (doc_id, fp), from (fp, least) and (node, root)."""
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = staged(rooted.join(named, "root").select("fp", "component_id"), "components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_copies(docs: DataFrame, words: int = WORDS, run: int = RUN) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id.
-
-    Rows without a doc_id stay only where the whole component has none, one for each fingerprint;
-    of rows that repeat a doc_id one stays.
-    """
-    found = staged(near_duplicates(docs.select("doc_id", "text"), words, run), "near")
-    chosen = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    single, many = (chosen.filter(x).select("doc_id") for x in ("n = 1", "n > 1"))
-    out = docs.join(single, "doc_id", "left_semi").union(docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-    bare = docs.filter(F.col("doc_id").isNull())
-    if bare.isEmpty():
-        return out
-    rows = fingerprints(bare.select(F.struct(*bare.columns).alias("doc_id"), "text"), words)
-    alone = found.filter(F.col("component_id").isNull()).select("fp").distinct()
-    return out.union(rows.join(alone, "fp").groupBy("fp").agg(F.min("doc_id").alias("r")).select("r.*"))
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     out = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
