@@ -4,9 +4,10 @@ Words are lower-cased (A-Z) and split at ASCII white space and punctuation.  Eac
 six token positions of a window of up to 12 and ignores the rest, so a window with substitutions at
 ignored positions still hashes alike.  Hashes of all windows of the benchmark are joined with those
 of all windows of the documents; around each hit, the item is laid along the document at that offset
-and the best stretch is found (match +1, mismatch -2).  A leak has at least ``IDENTITY`` of the
-stretch equal and at least ``min(MIN_MATCH, ceil(IDENTITY * tokens of the item))`` equal tokens.
-The four masks find every stretch of 15 tokens with up to three substitutions.
+and the stretch with the most equal tokens is taken among all that have at least ``IDENTITY`` equal.
+A leak has at least ``min(MIN_MATCH, ceil(IDENTITY * tokens of the item))`` equal tokens there.
+The four masks find every stretch of 15 tokens with up to three substitutions, and every item of 15
+to 24 tokens with a fifth of them substituted; ``SHORT_MASKS`` do so for items of 8 to 14.
 
 The benchmark is the stated query set: it is read in blocks of ``BLOCK_TOKENS`` tokens, each
 block's vocabulary and sorted hashes (under 200 MB) go to the workers as one broadcast, and the
@@ -15,8 +16,7 @@ vocabulary, so a document window with any other token drops out before it is has
 hashes are settled by comparing tokens.
 
 Defined cases: null or empty texts and items have no windows and give no rows; an item of fewer than
-``MIN_ITEM`` tokens can't be told from chance and gives none; items shorter than a mask are found by
-the masks that fit; a null doc_id or item_id is carried; repeated rows each give their rows; empty
+``MIN_ITEM`` tokens can't be told from chance and gives none; a null doc_id or item_id is carried; repeated rows each give their rows; empty
 tables give an empty result.
 """
 
@@ -36,6 +36,8 @@ from .common import documents, free_name, staged, text_bytes
 
 #: Kept positions; together they meet every 15 tokens with three or fewer substitutions.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 4, 8, 9, 10), (0, 1, 5, 7, 9, 10), (0, 1, 3, 6, 7, 11))
+#: For items of fewer than ``SHORT`` tokens: five kept positions, which meet all with up to a fifth substituted.
+SHORT, SHORT_MASKS = 15, ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
 MIN_MATCH = 13
 IDENTITY = 0.8
 MIN_ITEM = 8
@@ -59,7 +61,7 @@ def _hashes(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndar
     known = ids != 0
     at = np.flatnonzero(reduce(np.logical_and, (known[o : o + n] for o in mask)))
     h = np.zeros(len(at), np.uint64)
-    for o, c in zip(mask, ODD, strict=True):
+    for o, c in zip(mask, ODD, strict=False):
         h = (h ^ (ids[at + o].astype(np.uint64) * c)) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(29)
     return at, h
@@ -76,9 +78,11 @@ class Block:
         owner = np.repeat(np.arange(len(ids)), [len(x) + 1 for x in ids])
         begin = np.cumsum([0, *(len(x) + 1 for x in ids)])
         self.index = []
-        for mask in MASKS:
+        short = np.array([len(x) < SHORT for x in ids], bool)
+        for mask in (*MASKS, *SHORT_MASKS):
             at, h = _hashes(flat, mask)
-            at, h = at[owner[at] == owner[at + mask[-1]]], h[owner[at] == owner[at + mask[-1]]]
+            own = (owner[at] == owner[at + mask[-1]]) & (short[owner[at]] == (mask in SHORT_MASKS))
+            at, h = at[own], h[own]
             order = np.argsort(h, kind="stable")
             at = at[order]
             self.index.append((h[order], owner[at].astype(np.int32), (at - begin[owner[at]]).astype(np.int32)))
@@ -93,9 +97,11 @@ class Block:
             if w:
                 ids[b : b + len(w)] = [get(x, 0) for x in w]
         found: set[tuple[int, int]] = set()
-        for mask, (table, item, pos) in zip(MASKS, self.index, strict=True):
+        for mask, (table, item, pos) in zip((*MASKS, *SHORT_MASKS), self.index, strict=True):
+            if not len(table):
+                continue
             at, h = _hashes(ids, mask)
-            if not len(at) or not len(table):
+            if not len(at):
                 continue
             low = np.searchsorted(table, h)
             hit = table[np.minimum(low, len(table) - 1)] == h
@@ -125,12 +131,17 @@ class Block:
 
 
 def _stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(matches, length, start) of the best-scoring stretch: +1 a match, -2 a mismatch."""
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.argmax(score[: end + 1] == low[end]))
-    return int(same[start:end].sum()), end - start, start
+    """(matches, length, start) of the stretch with the most matches at ``IDENTITY`` or more; the shortest, then first."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    # a stretch has four fifths equal if the sum over it (1 a match, -4 a mismatch) is not negative
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+    top = np.maximum.accumulate(total[at + 1][::-1])[::-1]  # the highest sum at this or a later match
+    last = np.searchsorted(-top, -total[at], side="right") - 1
+    matched, length = last - np.arange(len(at)) + 1, at[last] - at + 1
+    best = np.lexsort((length, -matched))[0]
+    return int(matched[best]), int(length[best]), int(at[best])
 
 
 def blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[tuple[list, list[list[bytes]]]]:
