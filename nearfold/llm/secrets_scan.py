@@ -1,8 +1,7 @@
 """Secret scans: a battery of randomness tests on tokens, with length-aware false-discovery control.
 
 SQL functions only.  Base kinds are assign, access and hex.  The method adds ``random``: a token of
-``MIN_LEN`` to ``MAX_LEN`` characters from the base64 and URL alphabets whose characters look drawn
-at random.  For each token the narrowest encoding that holds all its characters is inferred (hex,
+``MIN_LEN`` or more characters from the base64 and URL alphabets whose characters look drawn at random.  For each token the narrowest encoding that holds all its characters is inferred (hex,
 lower, upper, lower-alphanumeric, alphanumeric, base64 and its URL form).  Then
 
 * chi-squared uniformity over that alphabet gives X.  For written language with coincidence index
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, free_name, staged
 from .spans import found, joined, sha
 
-MIN_LEN, MAX_LEN = 20, 512
+MIN_LEN = 20
 LANGUAGE_IC = 0.065
 Z_LIMIT = 3.3
 ALPHA = 0.001
@@ -47,7 +46,7 @@ VALID = {
     "assign": "length(x.g) >= 6",
     "access": "length(x.v) >= 20",
     "hex": "true",
-    "random": f"length(x.v) <= {MAX_LEN} AND x.v RLIKE '[0-9A-Z+/_-]'",
+    "random": "x.v RLIKE '[0-9A-Z+/_-]'",
 }
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (pattern of the whole token, alphabet), narrowest first.
@@ -74,8 +73,9 @@ def _battery() -> str:
     """SQL over x (kind, s, e, v): struct with log-p bin (null if a test excludes it) and length class."""
     token = "rtrim('=', x.v)"
     chars = f"filter(split({token}, ''), c -> c != '')"
-    first = f"transform(array(struct({chars} AS c, {_alphabet(token)} AS a)), y -> struct(transform(y.c, q -> instr(y.a, q) - 1) AS i, length(y.a) AS m, size(y.c) AS n))"
-    square = "aggregate(array_distinct(y.i), 0D, (acc, u) -> acc + power(size(filter(y.i, w -> w = u)), 2))"
+    first = f"transform(array(struct({chars} AS c, {_alphabet(token)} AS a, {token} AS t)), y -> struct(y.t AS t, y.a AS a, transform(y.c, q -> instr(y.a, q) - 1) AS i, length(y.a) AS m, size(y.c) AS n))"
+    # one count a letter, and one of all characters outside the alphabet
+    square = "aggregate(split(y.a, ''), power(length(translate(y.t, y.a, '')), 2), (acc, u) -> acc + power(y.n - length(replace(y.t, u, '')), 2))"
     above = "transform(y.i, w -> CASE WHEN w >= y.m / 2 THEN 1 ELSE 0 END)"
     second = f"transform({first}, y -> struct(y.i AS i, y.m AS m, double(y.n) AS n, {square} * y.m / y.n - y.n AS chi, {above} AS up, aggregate(y.i, 0D, (acc, w) -> acc + w) / y.n AS mean))"
     pair = lambda a, f: f"aggregate(zip_with(slice({a}, 1, size({a}) - 1), slice({a}, 2, size({a}) - 1), (p, q) -> {f}), 0D, (acc, w) -> acc + w)"
