@@ -27,12 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold, free_name, text_bytes
+from .common import documents, fold, free_name
 
 MAX_TRAIN = 20_000
 BINS, PAIR_BINS = 32, 12
 ROUNDS, PAIR_ROUNDS, PAIRS = 120, 60, 8
 RATE, RIDGE = 0.12, 2.0
+ROWS = 512
 
 FEATURES = (
     "log_words", "word_length", "word_length_sd", "upper", "digit", "symbol", "punctuation", "exclaim", "pipe",
@@ -165,45 +166,51 @@ def labelled(labels: DataFrame, column: str, learn: Column, most: int) -> DataFr
     return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
 
 
-def _vectors(docs: DataFrame, names: list[str], out: str) -> DataFrame:
-    body = free_name(docs.columns, "nf_body")
+def with_texts(docs: DataFrame, columns: list[str], added: list[T.StructField], run) -> DataFrame:
+    """``columns`` of ``docs`` with ``added``, made from the texts as bytes by ``run``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts go to Python once, as bytes, and are looked at ``ROWS`` at a time, so that a task holds few of
+    them.  ``run`` takes a list of texts and returns the arrays of the added columns.
+    """
+    body = free_name([*docs.columns, *(f.name for f in added)], "nf_body")
+    kept = [c for c in columns if c != "text"]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t) for t in batch.column(batch.schema.get_field_index(body)).to_pylist()]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.list_(pa.float64()))], [*names, out])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                arrays = run([t or b"" for t in part.column(len(kept)).to_pylist()])
+                back = part.columns if "text" in columns else part.columns[: len(kept)]
+                yield pa.RecordBatch.from_arrays([*back, *arrays], [*kept, *([body] if "text" in columns else []), *(f.name for f in added)])
 
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return docs.withColumn(body, text_bytes()).mapInArrow(run, schema)
+    text = [T.StructField(body, T.BinaryType())] if "text" in columns else []
+    schema = T.StructType([*(docs.schema[c] for c in kept), *text, *added])
+    out = docs.select(*kept, F.col("text").cast("binary").alias(body)).mapInArrow(parts, schema)
+    return out.select(*[F.col(body).cast("string").alias("text") if c == "text" else F.col(c) for c in columns], *(f.name for f in added))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, learn: Column, most: int = MAX_TRAIN) -> AdditiveModel:
     """The model of ``labels.column`` from documents that may be learnt from."""
-    ids = labelled(labels, column, learn, most)
-    # at most `most` rows of an id and a label
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
-    found = _vectors(rows, ["y"], "x").toPandas()
+    rows = examples(docs, labels, column, learn, most)
+    found = with_texts(rows, ["y"], [T.StructField("x", T.ArrayType(T.DoubleType()))], lambda texts: [pa.array([features(t) for t in texts], pa.list_(pa.float64()))]).toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, found["y"]]) if len(x) else np.zeros(0, int)
     return AdditiveModel(x[order], found["y"].to_numpy(np.int64)[order])
 
 
+def examples(docs: DataFrame, labels: DataFrame, column: str, learn: Column, most: int) -> DataFrame:
+    """(doc_id, text, y) of up to ``most`` labelled documents; of rows that repeat a doc_id the least text."""
+    ids = labelled(labels, column, learn, most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `most` rows of an id and a label
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
 def score(docs: DataFrame, model: AdditiveModel, keep_text: bool = True) -> DataFrame:
     """``docs`` (without ``text`` unless kept) with a column ``score``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if keep_text or c != "text"]
-    out, body = free_name(docs.columns, "score"), free_name(docs.columns, "nf_body")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t) for t in batch.column(batch.schema.get_field_index(body)).to_pylist()]
-            p = held.value.score(np.array(rows, np.float64).reshape(-1, len(FEATURES)))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(p)], [*names, out])
-
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.DoubleType())])
-    return docs.withColumn(body, text_bytes()).mapInArrow(run, schema)
+    columns = [c for c in docs.columns if keep_text or c != "text"]
+    out = T.StructField(free_name(docs.columns, "score"), T.DoubleType())
+    return with_texts(docs, columns, [out], lambda texts: [pa.array(held.value.score(np.array([features(t) for t in texts], np.float64).reshape(-1, len(FEATURES))))])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

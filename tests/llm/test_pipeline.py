@@ -6,10 +6,10 @@ import numpy as np
 
 import corpus_pipeline
 from nearfold.llm import decontaminate as dc
-from nearfold.llm import line_dedup, mixing, quality, simhash
+from nearfold.llm import line_dedup, mixing, quality
 
 from .helpers import edge_rows, save, table
-from .test_simhash import brute as all_pairs
+from .test_near_copies import brute as all_pairs
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -40,7 +40,7 @@ def test_stages_on_their_own_input(spark, tmp_path):
     assert lines.columns == columns and lines.count() == len(texts)
 
     copies = stages["copies"](spark, lines, SMALL)
-    component = {i: c for i, _, c in all_pairs([(r.doc_id, r.text) for r in lines.collect()])}
+    component = all_pairs([(r.doc_id, r.text) for r in lines.collect()])
     assert copies.columns == columns and {r.doc_id for r in copies.collect()} == set(component.values())
 
     clean = stages["benchmark"](spark, copies, SMALL)
@@ -85,7 +85,4 @@ def test_planted_copies_and_leaks_go_and_clean_documents_stay(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
     found = {r.doc_id for r in docs.collect()}
-    assert found >= {i for i, _ in own} and not found & {i for i, _ in copies + leaked}
-    fp = simhash.fingerprint
-    for (i, t), (_, o) in zip(near, own[20:30], strict=True):
-        assert (i in found) == (bin(fp(t.encode()) ^ fp(o.encode())).count("1") > simhash.RADIUS)
+    assert found == {i for i, _ in own}  # one of 150 words changed: a similarity of 0.93
