@@ -7,7 +7,8 @@ of all windows of the documents; around each hit, the item is laid along the doc
 and the stretch with the most equal tokens is taken among all that have at least ``IDENTITY`` equal.
 A leak has at least ``min(MIN_MATCH, ceil(IDENTITY * tokens of the item))`` equal tokens there.
 The four masks find every stretch of 15 tokens with up to three substitutions, and every item of 15
-to 24 tokens with a fifth of them substituted; ``SHORT_MASKS`` do so for items of 8 to 14.
+to 24 tokens with a fifth of them substituted; ``SHORT_MASKS`` do so for items of 8 to 14.  Items of
+``MIN_ITEM`` to 7 tokens leak where they stand word for word; ``WHOLE_MASKS`` keep all their tokens.
 
 The benchmark is the stated query set: it is read in blocks of ``BLOCK_TOKENS`` tokens, each
 block's vocabulary and sorted hashes (under 200 MB) go to the workers as one broadcast, and the
@@ -38,14 +39,17 @@ from .common import documents, free_name, staged, text_bytes
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 4, 8, 9, 10), (0, 1, 5, 7, 9, 10), (0, 1, 3, 6, 7, 11))
 #: For items of fewer than ``SHORT`` tokens: five kept positions, which meet all with up to a fifth substituted.
 SHORT, SHORT_MASKS = 15, ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
+#: For items of fewer than ``WHOLE`` tokens: all positions.
+MIN_ITEM, WHOLE = 5, 8
+WHOLE_MASKS = tuple(tuple(range(n)) for n in range(MIN_ITEM, WHOLE))
 MIN_MATCH = 13
 IDENTITY = 0.8
-MIN_ITEM = 8
 BLOCK_TOKENS = 1_000_000
+ROWS, HITS = 256, 1_000_000
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 TO_SPACE = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 LEAK = "array<struct<item:int,matched:long,length:long,start:long>>"
 
 
@@ -67,6 +71,11 @@ def _hashes(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndar
     return at, h
 
 
+def _uses() -> list[tuple[tuple[int, ...], int, int]]:
+    """(mask, least, bound): masks, and the lengths of the items that they are for."""
+    return [*((m, SHORT, 1 << 60) for m in MASKS), *((m, WHOLE, SHORT) for m in SHORT_MASKS), *((m, len(m), len(m) + 1) for m in WHOLE_MASKS)]
+
+
 class Block:
     """A block of the benchmark: vocabulary, items as token ids, and per mask the sorted hashes."""
 
@@ -78,10 +87,10 @@ class Block:
         owner = np.repeat(np.arange(len(ids)), [len(x) + 1 for x in ids])
         begin = np.cumsum([0, *(len(x) + 1 for x in ids)])
         self.index = []
-        short = np.array([len(x) < SHORT for x in ids], bool)
-        for mask in (*MASKS, *SHORT_MASKS):
+        size = np.array([len(x) for x in ids], np.int64)
+        for mask, low, high in _uses():
             at, h = _hashes(flat, mask)
-            own = (owner[at] == owner[at + mask[-1]]) & (short[owner[at]] == (mask in SHORT_MASKS))
+            own = (owner[at] == owner[at + mask[-1]]) & (size[owner[at]] >= low) & (size[owner[at]] < high)
             at, h = at[own], h[own]
             order = np.argsort(h, kind="stable")
             at = at[order]
@@ -96,8 +105,8 @@ class Block:
         for w, b in zip(words, begin, strict=False):
             if w:
                 ids[b : b + len(w)] = [get(x, 0) for x in w]
-        found: set[tuple[int, int]] = set()
-        for mask, (table, item, pos) in zip((*MASKS, *SHORT_MASKS), self.index, strict=True):
+        found = np.zeros((2, 0), np.int64)  # items and shifts, each pair once
+        for (mask, _, _), (table, item, pos) in zip(_uses(), self.index, strict=True):
             if not len(table):
                 continue
             at, h = _hashes(ids, mask)
@@ -107,22 +116,26 @@ class Block:
             hit = table[np.minimum(low, len(table) - 1)] == h
             at, low = at[hit], low[hit]
             many = np.searchsorted(table, h[hit], side="right") - low
-            # every benchmark window with this hash: rows low, low + 1, ...
-            row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.update(zip(item[row].tolist(), (np.repeat(at, many) - pos[row]).tolist(), strict=True))
+            # every benchmark window with this hash: rows low, low + 1, ...; about HITS of them at a time
+            part = np.cumsum(many) // HITS
+            for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+                n = many[lo:hi]
+                row = np.repeat(low[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found = np.unique(np.concatenate([found, [item[row], np.repeat(at[lo:hi], n) - pos[row]]], 1), axis=1)
         out: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in words]
-        for item, shift in sorted(found):
+        for item, shift in found.T.tolist():
             text = self.items[item]
+            least = len(text) if len(text) < WHOLE else min(MIN_MATCH, ceil(IDENTITY * len(text)))
             # the document of the hit: the first that ends after the item's middle hit is not known
             # here, so lay the item over each document it touches
             first = int(np.searchsorted(begin, max(shift, 0), side="right") - 1)
             last = int(np.searchsorted(begin, min(shift + len(text), begin[-1]) - 1, side="right") - 1)
             for d in range(first, last + 1):
                 lo, hi = max(shift, int(begin[d])), min(shift + len(text), int(begin[d + 1]) - 1)
-                if hi <= lo:
+                if hi <= lo or item in out[d] and out[d][item][1] == len(text):  # the first whole one is the best
                     continue
                 matched, length, start = _stretch(ids[lo:hi] == text[lo - shift : hi - shift])
-                if matched >= min(MIN_MATCH, ceil(IDENTITY * len(text))) and matched >= IDENTITY * length:
+                if matched >= least and matched >= IDENTITY * length:
                     best = out[d].get(item)
                     row = (item, matched, length, lo + start - int(begin[d]))
                     if best is None or (matched, -length, -row[3]) > (best[1], -best[2], -best[3]):
@@ -169,7 +182,9 @@ def _scan(docs: DataFrame, items: list[list[bytes]], out: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = block.value.leaks([tokens(t) for t in batch.column(batch.schema.get_field_index(body)).to_pylist()])
+            texts, rows = batch.column(batch.schema.get_field_index(body)), []
+            for at in range(0, len(texts), ROWS):
+                rows += block.value.leaks([tokens(t) for t in texts.slice(at, ROWS).to_pylist()])
             kind = pa.list_(pa.struct([("item", pa.int32()), ("matched", pa.int64()), ("length", pa.int64()), ("start", pa.int64())]))
             found = pa.array([[dict(zip(("item", "matched", "length", "start"), x, strict=True)) for x in r] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), found], [*names, out])

@@ -1,27 +1,29 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learnt from a bounded sample: up to ``EXAMPLES`` labelled rows (least hash of doc_id), of which near
-copies (equal least hash of their five-word shingles) count once, are the examples.  Terms are words
-and their stems, the first ``STEMS`` bytes of longer words, so inflected forms share a term.  The vocabulary
-is the terms with the strongest association with the label (log-likelihood ratio at least
-``MIN_G2``, in at least ``MIN_DF`` examples and ``MIN_SHARE`` of them, up to ``VOCABULARY``).
-Document frequencies are counted over all documents.  A vector holds (1 + ln tf) * idf of the
-vocabulary's terms and, with idf 1, of one term that stands for all words of the text, normalised;
-the latter lets two texts differ by how dense their terms are.
+Learnt from a bounded sample: up to ``EXAMPLES`` labelled rows (least hash of doc_id), of which those
+with the same words in the same order and the same label count once, are the examples.  Terms are
+words and, of words longer than ``STEM`` bytes, their first ``STEM`` bytes, so inflected forms share
+a term.  All terms of the examples are indexed.  Document frequencies are counted over all documents.
+A vector holds (1 + ln tf) * idf * a(term), normalised, where ``a`` grows with the term's association
+with the label (log-likelihood ratio among the examples) and is never below ``FLOOR``: terms that tell
+nothing about the label count little, but none is left out.  Terms that no example has can't match
+and are no part of a vector.
 
 The index keeps postings by term over the examples, ordered so that like examples stand together,
 cut into blocks of ``BLOCK``; for each term and block it keeps the largest weight.  A query takes
 the upper bound of every block (the sum over its terms), scores blocks from the largest bound down
 and stops once the bound is below the ``K``-th best cosine so far, so the K nearest are exact; ties
 go to the lower doc_id.  Neighbours vote with weight 1 / (``SOFT`` + distance), the prior counts as
-one neighbour, and a logistic curve fitted on the examples, each without itself, makes votes scores.
-Documents without any term of the vocabulary have no neighbours: they get the share of such
-examples that are toxic.  Index and model are bounded by the sample, so each task holds them whole.
+one neighbour, and a logistic curve fitted on the examples, each without itself, makes votes scores;
+those votes are taken in tasks.  Documents without any term of the examples have no neighbours: they
+get the share of such examples that are toxic.  Index and model are bounded by the sample, so each
+task holds them whole.
 
 Defined cases: a null or empty text has no terms; label rows with null or other values than 0 and 1
-are left out, where a doc_id has several the largest counts; without examples every score is 0.5,
-the share of none with one added to each side; repeated rows and null doc_ids are scored row by
-row; an empty table gives an empty result.
+are left out, where a doc_id has several the largest counts; of documents that repeat a labelled
+doc_id the least text is learnt from; without examples every score is 0.5, the share of none with one
+added to each side; repeated rows and null doc_ids are scored row by row; doc_id may be of any type;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,98 +37,121 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import documents, fold, free_name, staged, text_bytes
 from .decontaminate import tokens
-from .quality import labelled
+from .quality import examples, with_texts
 
 EXAMPLES = 12_000
-VOCABULARY = 4_096
-MIN_G2, MIN_DF, MIN_SHARE = 18.0, 5, 0.002
-STEMS = (4, 5, 6)
+STEM = 5
+FLOOR, HALF = 0.02, 18.0
 K, BLOCK, LEAD, SOFT = 15, 64, 8, 0.05
-EVIDENCE = "array<struct<doc_id:{id},toxic:int,cosine:double>>"
-CACHE = 100_000
+CACHE = 20_000
 
 
-def word_terms(word: bytes) -> list[bytes]:
-    """The word and its stems, which end in ``*``."""
-    return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
+def term(word: bytes) -> int:
+    """The 63-bit hash of a term."""
+    return xxhash.xxh3_64_intdigest(word) >> 1
 
 
-class TermCounter:
-    """Counts of a vocabulary's terms in texts; remembers the places of words, up to ``CACHE``."""
+def word_terms(word: bytes) -> list[int]:
+    """The word and its stem, which ends in ``*``, as hashes."""
+    return [term(word), term(word[:STEM] + b"*")] if len(word) > STEM else [term(word)]
 
-    def __init__(self, places: dict[bytes, int]) -> None:
-        self.places, self.known = places, {}
 
-    def __call__(self, text: bytes) -> list[tuple[int, int]]:
-        """(place, count) in order of place; the last is the number of words, if there is a term."""
-        places, known = self.places, self.known
-        words = tokens(text)
-        if len(known) > CACHE:
+class TermCounter:
+    """Counts of terms in texts, by their place in a table of terms if given, else by their hash."""
+
+    def __init__(self, table: np.ndarray | None = None) -> None:
+        self.table, self.known = table, {}
+
+    def _of(self, word: bytes) -> tuple[int, ...]:
+        own = word_terms(word)
+        if self.table is None:
+            return tuple(own)
+        at = np.minimum(np.searchsorted(self.table, own), len(self.table) - 1) if len(self.table) else []
+        return tuple(int(i) for i, t in zip(at, own, strict=False) if self.table[i] == t)
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Terms ascending, and their counts."""
+        known = self.known
+        if len(known) > CACHE * 5:
             known.clear()
-        held: dict[int, int] = {}
-        for w, n in Counter(words).items():
+        ids, counts = [], []
+        for w, n in Counter(tokens(text)).items():
             own = known.get(w)
             if own is None:
-                own = known[w] = tuple(places[t] for t in word_terms(w) if t in places)
-            for t in own:
-                held[t] = held.get(t, 0) + n
-        return [*sorted(held.items()), (len(places), len(words))] if held else []
+                own = known[w] = self._of(w)
+            ids += own
+            counts += [n] * len(own)
+        t, which = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return t, np.bincount(which, counts, len(t)).astype(np.int64)
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
+    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
 
 
 class BlockMaxIndex:
     """Exact top-k cosine over sparse unit vectors of examples."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
-        """vectors: (term ids ascending, weights) of examples in order of their ids."""
-
-        def like(e: int) -> tuple:
-            t, w = vectors[e]
-            by = np.lexsort([t, -w.round(3)])  # heaviest terms first
-            return not len(t), tuple(t[by].tolist()), tuple(w[by].round(2).tolist()), e
-
-        self.order = np.array(sorted(range(len(vectors)), key=like), np.int64)  # place -> example
-        self.blocks = max(1, -(-len(vectors) // BLOCK))
-        t = np.concatenate([vectors[e][0] for e in self.order] or [np.zeros(0, np.int64)])
-        w = np.concatenate([vectors[e][1] for e in self.order] or [np.zeros(0)])
-        place = np.repeat(np.arange(len(vectors)), [len(vectors[e][0]) for e in self.order])
-        cell = t * self.blocks + place // BLOCK
-        self.bound = np.zeros((terms, self.blocks))  # block-max
-        np.maximum.at(self.bound.reshape(-1), cell, w)
-        by = np.argsort(cell, kind="stable")  # postings by term, then block
-        self.place, self.weight = place[by] % BLOCK, w[by]
-        self.start = np.searchsorted(cell[by], np.arange(terms * self.blocks + 1))
-        self.example = np.append(self.order, np.full(self.blocks * BLOCK - len(self.order), -1)).reshape(-1, BLOCK)
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of all places of the blocks."""
-        cells = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-        count = self.start[cells + 1] - self.start[cells]
-        at = np.arange(count.sum()) + np.repeat(self.start[cells] - (np.cumsum(count) - count), count)
-        row = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), count) + self.place[at]
-        return np.bincount(row, np.repeat(np.repeat(weights, len(blocks)), count) * self.weight[at], len(blocks) * BLOCK).round(12)
+    def __init__(self, start: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> None:
+        """Vector e: ``terms`` (below ``size``) and ``weights`` from start[e] to start[e + 1]; in order of the examples' ids."""
+        n = len(start) - 1
+        owner = np.repeat(np.arange(n), np.diff(start))
+        by = np.lexsort([terms, -weights.round(3), owner])
+        lead = np.full((n, 8), size, np.int64)  # the heaviest terms of each
+        rank = np.arange(len(by)) - start[owner[by]]
+        few = by[rank < 8]
+        lead[owner[few], rank[rank < 8]] = terms[few]
+        self.order = np.lexsort([np.arange(n), *lead.T[::-1]])  # place -> example
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.blocks = max(1, -(-n // BLOCK))
+        at = place[owner]
+        by = np.lexsort([at, terms])  # postings by term, then place
+        t, at, w = terms[by], at[by], weights[by].astype(np.float32)
+        block = at // BLOCK
+        cell = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (block[1:] != block[:-1])]) if len(t) else np.zeros(0, np.int64)
+        self.cell_term = np.searchsorted(t[cell], np.arange(size + 1)).astype(np.int32)
+        self.cell_block, self.cell_start = block[cell].astype(np.int32), np.r_[cell, len(t)].astype(np.int32)
+        self.cell_max = np.maximum.reduceat(w, cell) if len(cell) else w  # block-max
+        self.place, self.weight = (at % BLOCK).astype(np.uint8), w
+        self.example = np.append(self.order, np.full(self.blocks * BLOCK - n, -1)).reshape(-1, BLOCK)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k nearest with a common term, best first, ties by example.
 
         Blocks are scored from the largest bound down, ``LEAD`` together, then twice as many each time.
         """
-        if not len(terms):
+        begin = self.cell_term[terms]
+        count = self.cell_term[terms + 1] - begin
+        cells = _ranges(begin, count)
+        if not len(cells):
             return []
-        bound = weights @ self.bound[terms] + 1e-12
+        own, block = np.repeat(weights, count), self.cell_block[cells]
+        bound = np.bincount(block, own * self.cell_max[cells], self.blocks) + 1e-9
         order = np.argsort(-bound, kind="stable")
         bound = bound[order]
         found, cosine, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, LEAD
-        while at < len(order) and bound[at] >= kth and bound[at] > 1e-12:
-            stop = min(at + step, int(np.searchsorted(-bound, -max(kth, 1.1e-12), side="right")))
+        slot = np.empty(self.blocks, np.int64)
+        while at < len(order) and bound[at] >= kth and bound[at] > 1e-9:
+            stop = min(at + step, int(np.searchsorted(-bound, -max(kth, 1.1e-9), side="right")))
             blocks = order[at:stop]
-            score = self._scores(terms, weights, blocks)
+            slot[:] = -1
+            slot[blocks] = np.arange(len(blocks)) * BLOCK
+            here = np.flatnonzero(slot[block] >= 0)
+            first = self.cell_start[cells[here]]
+            many = self.cell_start[cells[here] + 1] - first
+            post = _ranges(first, many)
+            row = np.repeat(slot[block[here]], many) + self.place[post]
+            score = np.bincount(row, np.repeat(own[here], many) * self.weight[post], len(blocks) * BLOCK).round(12)
             hit = np.flatnonzero((score > 0) & (score >= kth))
-            own = self.example[blocks].ravel()[hit]
-            hit, own = hit[own != without], own[own != without]
-            found, cosine = np.r_[found, own], np.r_[cosine, score[hit]]
+            name = self.example[blocks].ravel()[hit]
+            hit, name = hit[name != without], name[name != without]
+            found, cosine = np.r_[found, name], np.r_[cosine, score[hit]]
             if len(found) > k:
                 on = cosine >= np.partition(cosine, -k)[-k]
                 found, cosine = found[on], cosine[on]
@@ -139,26 +164,41 @@ class BlockMaxIndex:
         return [(int(found[x]), float(cosine[x])) for x in best]
 
 
+def association(terms: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """a(term): from ``FLOOR`` to 1 by the log-likelihood ratio of term and label over the examples."""
+    ones, zeros = float(y.sum()), float(len(y) - y.sum())
+    a = np.bincount(terms, y[owner], size)
+    c = np.bincount(terms, minlength=size) - a
+    n = max(1.0, ones + zeros)
+
+    def part(x: np.ndarray, row: np.ndarray, column: float) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) * n / np.maximum(row * column, 1e-300)), 0.0)
+
+    b, d = ones - a, zeros - c
+    g2 = np.maximum(0, 2 * (part(a, a + c, ones) + part(b, b + d, ones) + part(c, a + c, zeros) + part(d, b + d, zeros)))
+    return FLOOR + (1 - FLOOR) * (g2 / (g2 + HALF)) ** 2
+
+
 class ToxicityModel:
-    def __init__(self, vocabulary: list[bytes], idf: np.ndarray, ids: list, y: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.idf, self.ids, self.y = np.r_[idf, 1.0], ids, y
-        vectors = [self.weigh(t, c) for t, c in counts]
-        self.index = BlockMaxIndex(vectors, len(vocabulary) + 1)
-        bare = np.array([len(t) == 0 for t, _ in vectors], bool)
+    """Examples in order of their ids: their labels, and term counts as one run after another."""
+
+    def __init__(self, table: np.ndarray, df: np.ndarray, n: int, ids: list, y: np.ndarray, start: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
+        """table: all terms, ascending; df: documents with each, of n; terms: places in the table."""
+        self.table, self.ids, self.y = table, ids, y
+        owner = np.repeat(np.arange(len(y)), np.diff(start))
+        self.factor = (np.log((n + 1) / (df + 1)) + 1e-6) * association(terms, owner, y, len(table))
+        w = (1 + np.log(counts)) * self.factor[terms]
+        w /= np.sqrt(np.maximum(np.bincount(owner, w**2, len(y)), 1e-300))[owner]
+        self.index = BlockMaxIndex(start, terms, w, len(table))
+        bare = np.diff(start) == 0
         self.prior = (y.sum() + 1) / (len(y) + 2)
         self.bare = (y[bare].sum() + 1) / (bare.sum() + 2)
-        votes, own = [], []
-        for e, (t, w) in enumerate(vectors):
-            if len(t):
-                votes.append(self.vote(self.index.top(t, w, K, without=e)))
-                own.append(y[e])
-        self.curve = _logistic(np.array(votes), np.array(own, float))
+        self.curve = 1.0, 0.0
         self.cache: dict[bytes, tuple[float, list]] = {}
 
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
-        norm = np.sqrt((w**2).sum())
-        return (terms, w / norm) if norm > 0 else (terms[:0], w[:0])
+    def near(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> list[tuple[int, float]]:
+        w = (1 + np.log(counts)) * self.factor[terms]
+        return self.index.top(terms, w / np.sqrt((w**2).sum()), K, without)
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         w = [1 / (SOFT + max(0.0, 1 - c)) for _, c in near]
@@ -166,18 +206,16 @@ class ToxicityModel:
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
         """(score, [(doc_id, label, cosine) of the three nearest])."""
-        key = terms.tobytes() + counts.tobytes()
+        if not len(terms):
+            return float(self.bare), []
+        key = xxhash.xxh3_128_digest(terms.tobytes() + counts.tobytes())
         if key not in self.cache:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            t, w = self.weigh(terms, counts)
-            if not len(t):
-                self.cache[key] = float(self.bare), []
-            else:
-                near = self.index.top(t, w, K)
-                v = self.vote(near)
-                a, b = self.curve
-                self.cache[key] = float(1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b)))), [(self.ids[e], int(self.y[e]), c) for e, c in near[:3]]
+            near = self.near(terms, counts)
+            v = self.vote(near)
+            a, b = self.curve
+            self.cache[key] = float(1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b)))), [(self.ids[e], int(self.y[e]), c) for e, c in near[:3]]
         return self.cache[key]
 
 
@@ -196,111 +234,88 @@ def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def _once(rows: DataFrame, id_type: str) -> DataFrame:
-    """One of each group of near copies: that of the lowest doc_id."""
+def _examples(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> DataFrame:
+    """(doc_id, y, terms, counts): the examples; terms and counts as binary longs."""
+    rows = examples(docs, labels, column, learn, EXAMPLES)
+    names = ["sign", "terms", "counts"]
 
-    def least(text: bytes) -> int:
-        words = tokens(text)
-        shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-        return min(map(xxhash.xxh64_intdigest, shingles)) >> 1
+    def run(texts: list[bytes]) -> list[pa.Array]:
+        count = TermCounter()
+        held = [count(t) for t in texts]
+        sign = [xxhash.xxh3_128_digest(b" ".join(tokens(t))) for t in texts]
+        return [pa.array(sign, pa.binary()), *(pa.array([h[i].tobytes() for h in held], pa.binary()) for i in (0, 1))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sign = pa.array([least(t) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sign], ["doc_id", "text", "y", "sign"])
+    signed = with_texts(rows, ["doc_id", "y"], [T.StructField(c, T.BinaryType()) for c in names], run)
+    first = F.min(F.struct("doc_id", "terms", "counts")).alias("r")
+    return staged(signed.groupBy("sign", "y").agg(first).select("r.doc_id", "y", "r.terms", "r.counts"), "examples")
 
-    signed = rows.mapInArrow(run, f"doc_id {id_type}, text binary, y int, sign long")
-    first = F.min(F.struct("doc_id", "text", "y")).alias("r")
-    return signed.groupBy("sign").agg(first).select("r.doc_id", "r.text", "r.y")
 
-
-def _term_counts(examples: DataFrame) -> DataFrame:
-    """(term, n0, n1): examples of either label with each term."""
+def _frequencies(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many documents hold each term of the table, and the number of documents."""
+    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, df, n = TermCounter(held.value), np.zeros(len(held.value), np.int64), 0
         for batch in batches:
-            held: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[y].update({t for w in set(tokens(text)) for t in word_terms(w)})
-            terms = list(held[0] | held[1])
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)], ["term", "n0", "n1"])
-
-    return examples.mapInArrow(run, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def _g2(n0: float, n1: float) -> Column:
-    """Log-likelihood ratio of term and label; n0, n1: examples of either label."""
-    a, c = F.col("n1").cast("double"), F.col("n0").cast("double")
-    b, d = n1 - a, n0 - c
-    n = n0 + n1
-    part = lambda x, r, k: F.when(x > 0, x * F.log(x * n / (r * k))).otherwise(0.0)
-    return 2 * (part(a, a + c, F.lit(n1)) + part(b, b + d, F.lit(n1)) + part(c, a + c, F.lit(n0)) + part(d, b + d, F.lit(n0)))
-
-
-def _vocabulary(examples: DataFrame, total: tuple[int, int]) -> list[bytes]:
-    least = max(MIN_DF, MIN_SHARE * sum(total))
-    terms = _term_counts(examples).filter(F.col("n0") + F.col("n1") >= least).withColumn("g2", _g2(float(total[0]), float(total[1])))
-    rows = terms.filter(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "term").limit(VOCABULARY).select("term").collect()
-    return sorted(bytes(r.term) for r in rows)
-
-
-def _counted(docs: DataFrame, vocabulary: list[bytes], names: list[str], terms: str, tfs: str) -> DataFrame:
-    """``docs`` (columns ``names``) with the ids and counts of the vocabulary's terms."""
-    body = free_name([*docs.columns, terms, tfs], "nf_body")
-    places = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+            for text in batch.column(0):
+                df[count(text.as_py())[0]] += 1
+            n += batch.num_rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], ["place", "n"])
+
+    rows = docs.select(text_bytes().alias("t")).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # a row per term of the sample
+    out = np.zeros(len(table) + 1, np.int64)
+    out[rows["place"].to_numpy()] = rows["n"].to_numpy()  # place -1: the number of documents
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> ToxicityModel:
+    """The model of ``labels.column`` from documents that may be learnt from."""
+    table = _examples(docs, labels, column, learn)
+    rows = table.orderBy("doc_id").toArrow()  # at most EXAMPLES
+    y = rows["y"].to_numpy().astype(np.int64)
+    parts = [np.frombuffer(t, np.int64) for t in rows["terms"].to_pylist()]
+    start = np.cumsum([0, *map(len, parts)])
+    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.int64)
+    known, terms = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_inverse=True)
+    df, n = _frequencies(docs, known)
+    model = ToxicityModel(known, df, n, rows["doc_id"].to_pylist(), y, start, terms, counts)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = TermCounter(places.value)
+        place = {i: e for e, i in enumerate(held.value.ids)}
         for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(batch.schema.get_field_index(body)).to_pylist():
-                held = count(text)
-                ids.append([t for t, _ in held])
-                counts.append([n for _, n in held])
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], [*names, terms, tfs])
+            votes, own = [], []
+            for i, label, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if t:
+                    at = np.searchsorted(held.value.table, np.frombuffer(t, np.int64))
+                    votes.append(held.value.vote(held.value.near(at, np.frombuffer(c, np.int64), place[i])))
+                    own.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(own, pa.int32())], ["v", "y"])
 
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(terms, T.ArrayType(T.LongType())), T.StructField(tfs, T.ArrayType(T.LongType()))])
-    return docs.withColumn(body, text_bytes()).mapInArrow(run, schema)
+    dealt = table.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    votes = dealt.mapInArrow(run, "v double, y int").toPandas().sort_values(["v", "y"])
+    model.curve = _logistic(votes["v"].to_numpy(), votes["y"].to_numpy(float))
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, column: str, learn: Column, keep_text: bool = True) -> DataFrame:
     """``docs`` (without ``text`` unless kept) with ``score`` and ``evidence``."""
-    spark = docs.sparkSession
-    ids = labelled(labels, column, learn, EXAMPLES)
-    # at most EXAMPLES rows of an id and a label
-    found = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
-    examples = staged(_once(found, dict(docs.dtypes)["doc_id"]), "examples")
-    by_label = {r.y: r.n for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = (by_label.get(0, 0), by_label.get(1, 0))
-    vocabulary = _vocabulary(examples.select("text", "y"), total) if min(total) else []
-    names = [c for c in docs.columns if keep_text or c != "text"]
-    terms, tfs = free_name(docs.columns, "nf_terms"), free_name(docs.columns, "nf_tfs")
-    vectors = staged(_counted(docs, vocabulary, names, terms, tfs), "vectors")
-    n = vectors.count()
-    df = np.zeros(len(vocabulary) + 1)
-    for r in vectors.select(F.explode(terms).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per term
-        df[r.t] = r.n
-    found = _counted(examples.withColumn("text", F.col("text").cast("string")), vocabulary, ["doc_id", "y"], "terms", "tfs").toPandas()
-    found["key"] = [tuple(t) + tuple(c) for t, c in zip(found["terms"], found["tfs"], strict=True)]
-    found = found.sort_values(["doc_id", "y", "key"], kind="stable")
-    counts = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(found["terms"], found["tfs"], strict=True)]
-    model = spark.sparkContext.broadcast(ToxicityModel(vocabulary, np.log((n + 1) / (df[:-1] + 1)) + 1e-6, found["doc_id"].tolist(), found["y"].to_numpy(np.int64), counts))
-    out, why = free_name(docs.columns, "score"), free_name(docs.columns, "evidence")
-    id_type = dict(docs.dtypes)["doc_id"]
-    evidence = T._parse_datatype_string(EVIDENCE.format(id=id_type))
-    arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, c = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in (terms, tfs))
-            rows = [model.value.score(np.array(x, np.int64), np.array(y, np.int64)) for x, y in zip(t, c, strict=True)]
-            kept = [batch.column(batch.schema.get_field_index(x)) for x in names]
-            near = pa.array([[{"doc_id": d, "toxic": y, "cosine": s} for d, y, s in r] for _, r in rows], arrow)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([s for s, _ in rows], pa.float64()), near], [*names, out, why])
-
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.DoubleType()), T.StructField(why, evidence)])
-    return vectors.mapInArrow(run, schema)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column, learn))
+    id_type = docs.schema["doc_id"].dataType
+    near = T.StructType([T.StructField("doc_id", id_type), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+    arrow = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+    added = [T.StructField(free_name(docs.columns, "score"), T.DoubleType()), T.StructField(free_name(docs.columns, "evidence"), T.ArrayType(near))]
+    counters: list[TermCounter] = []
+
+    def run(texts: list[bytes]) -> list[pa.Array]:
+        if not counters:
+            counters.append(TermCounter(model.value.table))
+        rows = [model.value.score(*counters[0](t)) for t in texts]
+        why = [[{"doc_id": d, "toxic": y, "cosine": s} for d, y, s in r] for _, r in rows]
+        return [pa.array([s for s, _ in rows], pa.float64()), pa.array(why, arrow)]
+
+    return with_texts(docs, [c for c in docs.columns if keep_text or c != "text"], added, run)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
