@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..shared import new_path, staged
 
-__all__ = ["WHITE", "WORD", "documents", "fold", "free_name", "new_path", "staged", "text_bytes"]
+__all__ = ["WHITE", "WORD", "documents", "fold", "free_name", "new_path", "small_batches", "staged", "text_bytes"]
+
+#: Texts that go to Python at once; Spark's own bound, 64 MB, is held several times over by every task.
+BATCH_BYTES = 8 << 20
 
 #: ASCII white space: 0x20 and 0x09 to 0x0D, also what ``bytes.split()`` splits at.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -16,7 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with batches to Python of at most ``BATCH_BYTES`` from now on in its session (fewer stay as set)."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, free_name, staged, text_bytes
+from .common import documents, free_name, small_batches, staged, text_bytes
 
 #: Kept positions; together they meet every 15 tokens with three or fewer substitutions.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 4, 8, 9, 10), (0, 1, 5, 7, 9, 10), (0, 1, 3, 6, 7, 11))
@@ -190,7 +190,7 @@ def _scan(docs: DataFrame, items: list[list[bytes]], out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), found], [*names, out])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(LEAK))])
-    return docs.withColumn(body, text_bytes()).mapInArrow(scan, schema)
+    return small_batches(docs).withColumn(body, text_bytes()).mapInArrow(scan, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

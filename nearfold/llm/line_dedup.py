@@ -5,12 +5,17 @@ hold each line key, named by its 128-bit hash; and ``filters`` (shard, keys, tab
 filter per shard over the keys that reached ``min_docs``.  ``insert`` and ``delete`` add or
 subtract the counts of a batch of documents, and put into or take out of the filters just the
 keys that crossed the limit, so inserting and deleting the same documents restores the state.
+A third table, ``manifest``, gets a row for every version when its tables are complete; a folder is
+opened at the last one, with its limits and number of shards, in any session.  When shards hold more
+than ``keys_per_shard`` keys on average, their number is doubled as often as it takes and the filters
+are made anew from the exact counts.
 
 Counting emits each key once per document and sums within the batch before the shuffle, so a line
 that stands in every document costs one row per batch.  ``apply`` tests all lines against the
 filters in numpy and settles the positives with the exact table.  Up to ``BROADCAST_KEYS`` keys
 both go to the workers as one broadcast (16 bytes a key and under 4 a filter slot: 20 MB at most);
-beyond that, hashes of (document, key) are joined with the exact table by shuffle.
+beyond that, keys of the documents go to their filter's shard, in parts, and what it lets through is
+joined with the exact table; rows get ids of their own, so doc_id may be anything.
 
 Defined cases: a null or empty text is one empty line; empty keys (fewer than ``min_chars`` code
 points) are never dropped; every row counts as a document, so repeated rows count each; a doc_id
@@ -19,23 +24,27 @@ may be null or repeated; an empty table gives an empty result; other columns sta
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, documents, free_name, new_path, text_bytes
+from .common import WHITE, documents, free_name, new_path, small_batches, staged, text_bytes
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 BROADCAST_KEYS = 1_000_000
 KEYS_PER_SHARD = 500_000
+PART_KEYS = 1_000_000
 SLOTS = 4
+MANIFEST = "version int, name string, shards int, frequent long, min_docs int, min_chars int"
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -119,10 +128,24 @@ class LineDedup:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS, keys_per_shard: int = KEYS_PER_SHARD) -> None:
-        self.spark, self.path = spark, path or new_path(spark, "lines")
+        """A new folder takes the limits given here, one in use keeps its own ``min_docs`` and ``min_chars``."""
+        self.spark, self.path = spark, (path or new_path(spark, "lines")).rstrip("/")
         self.min_docs, self.min_chars = min_docs, min_chars
         self.broadcast_keys, self.keys_per_shard = broadcast_keys, keys_per_shard
-        self.version, self.shards, self.frequent = 0, 1, 0
+        self.version, self.name, self.shards, self.frequent = 0, "", 1, 0
+        if path is not None and (last := self._last()) is not None:
+            self.version, self.name, self.shards, self.frequent, self.min_docs, self.min_chars = last
+
+    def _last(self) -> tuple | None:
+        """The manifest's last row."""
+        try:
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        last = rows.orderBy(F.desc("version")).first()
+        return tuple(last) if last else None
 
     def _counts(self, docs: DataFrame) -> DataFrame:
         least = self.min_chars
@@ -135,14 +158,14 @@ class LineDedup:
                 h = np.frombuffer(b"".join(seen), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["h1", "h2", "n"])
 
-        rows = docs.select(text_bytes().alias("t")).mapInArrow(count, "h1 long, h2 long, n long")
+        rows = small_batches(docs).select(text_bytes().alias("t")).mapInArrow(count, "h1 long, h2 long, n long")
         return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
     def refcounts(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/refcounts-{self.version}") if self.version else None
+        return self.spark.read.parquet(f"{self.path}/refcounts-{self.name}") if self.version else None
 
     def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/filters-{self.version}")
+        return self.spark.read.parquet(f"{self.path}/filters-{self.name}")
 
     def insert(self, docs: DataFrame) -> LineDedup:
         return self._change(docs, 1)
@@ -152,27 +175,30 @@ class LineDedup:
         return self._change(docs, -1)
 
     def _change(self, docs: DataFrame, sign: int) -> LineDedup:
-        old, new = self.refcounts(), self.version + 1
+        old, name = self.refcounts(), uuid.uuid4().hex
         delta = self._counts(docs).select("h1", "h2", (F.col("n") * sign).alias("n"))
         if old is None:
             both = delta.select("h1", "h2", F.lit(0).cast("long").alias("was"), "n")
         else:
             both = old.select("h1", "h2", F.col("n").alias("was"), "n").unionByName(delta.withColumn("was", F.lit(0).cast("long")))
             both = both.groupBy("h1", "h2").agg(F.sum("was").alias("was"), F.sum("n").alias("n"))
-        path = f"{self.path}/changed-{new}"
+        path = f"{self.path}/changed-{name}"
         both.write.parquet(path)
         changed = self.spark.read.parquet(path)
         now, was = F.col("n") >= self.min_docs, F.col("was") >= self.min_docs
-        if old is None:
-            frequent = changed.filter(now).count()
-            self.shards = max(1, -(-frequent // self.keys_per_shard))
-        changed.filter(F.col("n") > 0).select("h1", "h2", "n").write.parquet(f"{self.path}/refcounts-{new}")
-        shard = F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard")
-        keys = changed.filter(now | was).select(shard, "h2", (now.cast("int") - was.cast("int")).alias("step"))
-        kept = self.filters() if self.version else self.spark.createDataFrame([], "shard int, keys long, table binary")
-        self.version = new
-        kept.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(_update_filter, "shard int, keys long, table binary").write.parquet(f"{self.path}/filters-{new}")
-        self.frequent = self.filters().agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0]
+        self.frequent, shards = changed.filter(now).count(), self.shards
+        while self.frequent > shards * self.keys_per_shard:
+            shards *= 2
+        changed.filter(F.col("n") > 0).select("h1", "h2", "n").write.parquet(f"{self.path}/refcounts-{name}")
+        shard, step = F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), now.cast("int") - was.cast("int")
+        if self.version and shards == self.shards:
+            kept, keys = self.filters(), changed.filter(now | was).select(shard, "h2", step.alias("step"))
+        else:  # all filters anew
+            kept, keys = self.spark.createDataFrame([], "shard int, keys long, table binary"), changed.filter(now).select(shard, "h2", F.lit(1).alias("step"))
+        kept.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(_update_filter, "shard int, keys long, table binary").write.parquet(f"{self.path}/filters-{name}")
+        self.version, self.name, self.shards = self.version + 1, name, shards
+        row = (self.version, name, shards, self.frequent, self.min_docs, self.min_chars)
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return self
 
     def apply(self, docs: DataFrame) -> DataFrame:
@@ -207,26 +233,31 @@ class LineDedup:
         return self._rewrite(docs, lambda _, digests: dropped(digests))
 
     def _apply_shuffled(self, docs: DataFrame) -> DataFrame:
-        """Keys of each doc_id that are frequent, found by a join, come with the document."""
+        """Frequent keys of each row, found in the filters and settled by a join, come with the row."""
+        *_, drop = self._out(docs)
+        rid = free_name([*docs.columns, drop], "nf_row")
+        docs = staged(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
 
         def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, found = [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = {xxhash.xxh3_128_digest(k) for k in line_keys(text)}
-                    ids += [i] * len(own)
-                    found += own
-                h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "h1", "h2"])
-
-        *_, drop = self._out(docs)
-        id_type = T._parse_datatype_string(dict(docs.dtypes)["doc_id"]).simpleString()
-        rows = docs.select("doc_id", text_bytes().alias("t")).mapInArrow(hashes, f"doc_id {id_type}, h1 long, h2 long")
+                for at in range(0, batch.num_rows, 512):
+                    part, ids, found = batch.slice(at, 512), [], []
+                    for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        own = {xxhash.xxh3_128_digest(k) for k in line_keys(text)}
+                        ids += [i] * len(own)
+                        found += own
+                    h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["row", "h1", "h2"])
+
+        lines = staged(docs.select(rid, text_bytes().alias("t")).mapInArrow(hashes, "row long, h1 long, h2 long"), "line_keys")
+        parts = max(1, -(-lines.count() // (self.shards * PART_KEYS)))
+        shard = F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard")
+        dealt = lines.select("row", "h1", "h2", shard, F.pmod(F.xxhash64("row", "h2"), F.lit(parts)).cast("int").alias("part"))
+        tables = self.filters().select("shard", "table", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        passed = dealt.groupBy("shard", "part").cogroup(tables.groupBy("shard", "part")).applyInArrow(_passed, "row long, h1 long, h2 long")
         frequent = self.refcounts().filter(F.col("n") >= self.min_docs).select("h1", "h2")
-        found = rows.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias(drop))
-        other = free_name(docs.columns, "nf_id")
-        found = found.withColumnRenamed("doc_id", other)
-        with_keys = docs.join(found, F.col("doc_id").eqNullSafe(F.col(other)), "left").drop(other)
+        found = passed.join(frequent, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias(drop))  # keys of one text
+        with_keys = docs.join(found, docs[rid] == found["row"], "left").drop("row", rid)
 
         def dropped(batch: pa.RecordBatch, digests: np.ndarray, owner: np.ndarray) -> np.ndarray:
             out = np.zeros(len(digests), bool)
@@ -246,7 +277,7 @@ class LineDedup:
         least = self.min_chars
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(at, 1_024) for b in batches for at in range(0, b.num_rows, 1_024)):
                 texts = batch.column(batch.schema.get_field_index(body)).to_pylist()
                 keys = [line_keys(t) for t in texts]
                 owner = np.repeat(np.arange(len(texts)), [len(k) for k in keys])
@@ -266,10 +297,19 @@ class LineDedup:
         names = [f.name for f in kept]
         schema = T.StructType([*kept, T.StructField(body, T.BinaryType()), T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
         columns = [c for c in docs.columns if c != "text"]
-        out = docs.select(*columns, text_bytes().alias(body)).mapInArrow(rewrite, schema)
+        out = small_batches(docs).select(*columns, text_bytes().alias(body)).mapInArrow(rewrite, schema)
         return out.select(*[F.col(body).cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != extra], n_lines, n_dropped)
 
 
+def _passed(lines: pa.Table, tables: pa.Table) -> pa.Table:
+    """The keys (row, h1, h2) that their shard's filter holds."""
+    own = lines.select(["row", "h1", "h2"])
+    if not tables.num_rows or not lines.num_rows:
+        return own.slice(0, 0)
+    table = np.frombuffer(tables["table"][0].as_py(), np.uint16)
+    return own.filter(pa.array(CuckooFilter(len(table) // SLOTS, table).contains(own["h2"].to_numpy())))
+
+
 def _update_filter(key, old, new):
     """One shard: its filter so far, and its keys with step 1 (enters), 0 (stays) or -1 (leaves)."""
     import pandas as pd

@@ -35,30 +35,40 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(rows: DataFrame, order: list[Column], number: str) -> DataFrame:
+    """``rows`` with their place in the order, from 0, in ``number``; no task sees more than a range of them."""
+    at, part, first = (free_name([*rows.columns, number], c) for c in ("nf_at", "nf_part", "nf_first"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    out = staged(out.withColumn(part, F.shiftright(at, 33)), "ranged")
+    counts = out.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias(first)).orderBy(part).collect()  # a row per partition
+    before, total = [], 0
+    for r in counts:
+        before.append((r[part], total - r[first]))
+        total += r.n
+    shift = rows.sparkSession.createDataFrame(before, f"`{part}` long, `{first}` long")
+    return out.join(F.broadcast(shift), part).withColumn(number, F.col(at) + F.col(first)).drop(at, part, first)  # `parts` rows
+
+
 def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Targets per source from (source, size, ...) rows: one row per source.
 
     Sources by code point, null last, weigh 1, 2, 3 in turn and share the total size; targets stop
     at ``max_repeat`` times the source's size and the excess is shared again by weight.  That is the
-    level t with sum(min(cap, t * weight)) = total; sorted by cap / weight it is found with running
-    sums over the table of sources, which has one row per source.
+    level t with sum(min(cap, t * weight)) = total.  It is reached from below: sources capped at a level
+    stay so, and the others share what is left, until none is above; each turn is one sum over sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    per = per.withColumn("w", (F.row_number().over(order) - 1) % 3 + 1).withColumn("cap", F.col("source_size") * max_repeat)
-    by = W.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source").cast("binary"))
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    capped = F.coalesce(F.sum("cap").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rest_w = F.sum("w").over(by.rowsBetween(0, W.unboundedFollowing))
-    level = (F.sum("source_size").over(every) - capped) / rest_w
-    per = per.withColumn("level", level)
-    holds = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    first = F.first(holds, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return per.withColumn("t", first).select(
-        "source",
-        "source_size",
-        F.coalesce(F.least(F.col("cap").cast("double"), F.col("t") * F.col("w")), F.lit(0.0)).alias("target"),
-    )
+    per = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "per_source")
+    per = numbered(per, [F.col("source").isNull(), F.col("source").cast("binary")], "nf_rank")
+    per = staged(per.withColumn("w", F.col("nf_rank") % 3 + 1).withColumn("cap", F.col("source_size") * max_repeat), "weighted")
+    level, capped = 0.0, -1
+    while True:
+        on = F.col("cap") < F.lit(level) * F.col("w")
+        r = per.agg(F.sum("source_size"), F.sum(F.when(on, F.col("cap"))), F.sum(F.when(~on, F.col("w"))), F.count(F.when(on, 1))).first()
+        if r[0] is None or r[2] is None or r[3] == capped:
+            break
+        level, capped = (r[0] - (r[1] or 0)) / r[2], r[3]
+    return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("w")).alias("target"))
 
 
 def _offset(seed: str) -> Column:
@@ -67,16 +77,17 @@ def _offset(seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def copies(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row of ``docs``."""
-    sized = staged(docs.select("doc_id", "source", word_count().alias("size"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h")), "sizes")
-    targets = staged(source_targets(sized, max_repeat), "targets")
-    order = [F.col("source").isNull(), F.col("source"), "size", "h", "doc_id"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+def _taken(rows: DataFrame, seed: str, max_repeat: int) -> DataFrame:
+    """(source, size, h, doc_id, ...) rows with source_size, target and copies."""
+    targets = staged(source_targets(rows.select("source", "size"), max_repeat), "targets")
+    # what is alike in all columns is interchangeable, so any last order splits it
+    tie = [F.xxhash64(F.col(c)) for c, kind in rows.dtypes if c not in ("source", "size", "h", "doc_id") and "map<" not in kind] + [F.monotonically_increasing_id()]
+    order = [F.col("source").isNull(), F.col("source").cast("binary"), "size", "h", "doc_id", *tie]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     ranged = staged(ranged.withColumn("part", F.shiftright("at", 33)), "ranged")
     ranges = ranged.groupBy("source", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     ranges = ranges.join(targets, ranges["source"].eqNullSafe(targets["source"])).select(
         ranges["source"].alias("src"), F.col("part").alias("prt"), "first", "before", "source_size", "target"
@@ -88,27 +99,30 @@ def copies(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> D
     ranges = staged(ranges, "ranges")
     small = ranges.count() <= MAX_RANGES
     out = ranged.join(F.broadcast(ranges) if small else ranges, (ranged["part"] == F.col("prt")) & ranged["source"].eqNullSafe(F.col("src")))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(max_repeat)).cast("long").alias("copies"))
+    return out.withColumn("copies", F.least(crossed, F.lit(max_repeat)).cast("long"))
+
+
+def _hash() -> Column:
+    return F.md5(F.col("doc_id").cast("string").cast("binary"))
+
+
+def copies(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for every row of ``docs``."""
+    sized = staged(docs.select("doc_id", "source", word_count().alias("size"), _hash().alias("h")), "sizes")
+    return _taken(sized, seed, max_repeat).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as it is taken, with a column ``copy``.
 
-    Joined by doc_id; rows that repeat a doc_id each get that id's copies of one of its rows in
-    turn, so the total stays exact.
+    Rows go along with their sizes, so no key joins them; rows that repeat a doc_id stand in the order
+    of their other columns.
     """
-    number, k, n, i, source, size, words = (free_name(docs.columns, c) for c in ("copy", "nf_k", "nf_n", "nf_id", "nf_src", "nf_size", "nf_words"))
-    taken = copies(docs, seed, max_repeat)
-    each = taken.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias(n))
-    each = each.select(F.col("doc_id").alias(i), F.col("source").alias(source), F.col("size").alias(size), n)
-    rows = docs.withColumn(words, word_count())
-    on = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
-    rows = rows.join(each, on)
-    # equal (doc_id, source, size) rows: the j-th takes the j-th number of the sorted list
-    single, many = rows.filter(F.size(n) == 1).withColumn(k, F.lit(1)), rows.filter(F.size(n) > 1)
-    many = many.withColumn(k, F.row_number().over(W.partitionBy(i, source, size).orderBy("text")))
-    out = single.unionByName(many).withColumn(number, F.explode(F.expr(f"filter(sequence(0, cast(element_at(`{n}`, `{k}`) as int)), x -> x > 0)")))
-    return out.select(*docs.columns, number)
+    number = free_name(docs.columns, "copy")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    sized = docs.select("doc_id", "source", word_count().alias("size"), _hash().alias("h"), row)
+    taken = _taken(sized, seed, max_repeat).select("row", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int"))).alias("nf_copy")).filter("nf_copy > 0")
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("nf_copy").alias(number))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold, free_name
+from .common import documents, fold, free_name, small_batches
 
 MAX_TRAIN = 20_000
 BINS, PAIR_BINS = 32, 12
@@ -185,7 +185,7 @@ def with_texts(docs: DataFrame, columns: list[str], added: list[T.StructField],
 
     text = [T.StructField(body, T.BinaryType())] if "text" in columns else []
     schema = T.StructType([*(docs.schema[c] for c in kept), *text, *added])
-    out = docs.select(*kept, F.col("text").cast("binary").alias(body)).mapInArrow(parts, schema)
+    out = small_batches(docs).select(*kept, F.col("text").cast("binary").alias(body)).mapInArrow(parts, schema)
     return out.select(*[F.col(body).cast("string").alias("text") if c == "text" else F.col(c) for c in columns], *(f.name for f in added))
 
 

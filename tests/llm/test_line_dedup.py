@@ -77,3 +77,28 @@ def test_empty_table_and_clashing_columns(spark):
     docs = table(spark, [(1, "a\nb")]).withColumnsRenamed({"lang": "n_lines", "source": "nf_text"})
     out = LineDedup(spark).insert(docs).apply(docs)
     assert out.columns == [*docs.columns, "_n_lines", "n_dropped"] and out.first()["_n_lines"] == 2
+
+
+def test_state_is_opened_again(spark, tmp_path):
+    """Two sessions on one folder, and shards that grow more than once."""
+    path = f"file://{tmp_path}/state"
+    batches = [table(spark, [(1000 * b + i, f"line {b} {i % 7}\nshared\nown {b} {i}") for i in range(70)]) for b in range(3)]
+    sessions = [spark, spark.newSession(), spark.newSession()]
+    shards = []
+    for s, docs in zip(sessions, batches, strict=True):
+        d = LineDedup(s, path, keys_per_shard=2)
+        d.insert(docs)
+        shards.append(d.shards)
+    assert shards == sorted(set(shards)) and shards[0] > 1
+    again, both = LineDedup(spark, path, keys_per_shard=2), batches[0].unionByName(batches[1]).unionByName(batches[2])
+    once = LineDedup(spark).insert(both)
+    assert again.version == 3 and again.frequent == once.frequent
+    assert rows_of(again.apply(both)) == rows_of(once.apply(both))
+    again.delete(batches[2])
+    assert rows_of(LineDedup(spark.newSession(), path).refcounts()) == rows_of(LineDedup(spark).insert(batches[0].unionByName(batches[1])).refcounts())
+
+
+def test_shuffled_path_with_null_and_repeated_ids(spark):
+    docs = table(spark, [(None, f"common\nown {i}") for i in range(15)] + [(7, f"common\nother {i % 2}") for i in range(12)])
+    near, far = LineDedup(spark).insert(docs), LineDedup(spark, broadcast_keys=0, keys_per_shard=1).insert(docs)
+    assert rows_of(near.apply(docs)) == rows_of(far.apply(docs))
