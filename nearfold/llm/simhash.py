@@ -183,35 +183,47 @@ def _compare(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b), np.maximum(a, b)
 
 
-LINK = "a long, b long, block int, blocks int"
+LINK = "a long, b long, block int"
 
 
 def _linker(run: int):
-    """Over rows sorted by key: links (a, b), or rows of large keys as (key, fp, block, blocks)."""
+    """Over rows sorted by key: links (a, b), or rows of large keys as (key, fp, block).
+
+    Of a key that goes on, blocks are passed on while it is read, so a key may have any number of rows.
+    """
+
+    def rows(a: np.ndarray, b: np.ndarray, block: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32()) if block is None else pa.array(block.astype(np.int32))], ["a", "b", "block"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, fp, gone = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # blocks that the first key held has given
 
-        def done(upto: int) -> Iterator[pa.RecordBatch]:
-            k, f = key[:upto], fp[:upto]
+        def done(k: np.ndarray, f: np.ndarray, gone: int) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
             sizes = np.diff(np.r_[starts, len(k)])
-            large = np.repeat(sizes > run, sizes)
+            long = sizes > run
+            if len(sizes) and gone:
+                long[0] = True
+            large = np.repeat(long, sizes)
             if large.any():
-                place = np.arange(len(k)) - np.repeat(starts, sizes)
-                blocks = np.repeat(-(-sizes // run), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(k[large]), pa.array(f[large]), pa.array((place[large] // run).astype(np.int32)), pa.array(blocks[large].astype(np.int32))], ["a", "b", "block", "blocks"])
-            a, b = _forest(*_compare(k[~large], f[~large]))
-            nulls = pa.nulls(len(a), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), nulls, nulls], ["a", "b", "block", "blocks"])
+                block = (np.arange(len(k)) - np.repeat(starts, sizes)) // run
+                block[: sizes[0]] += gone
+                yield rows(k[large], f[large], block[large])
+            yield rows(*_forest(*_compare(k[~large], f[~large])), None)
 
         for batch in batches:
             key, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
-            if len(key) >= 200_000 and key[-1] != key[0]:
-                upto = int(np.searchsorted(key, key[-1]))
-                yield from done(upto)
-                key, fp = key[upto:], fp[upto:]
-        yield from done(len(key))
+            if len(key) < 65_536:
+                continue
+            upto = int(np.searchsorted(key, key[-1]))
+            if upto:
+                yield from done(key[:upto], fp[:upto], gone)
+                key, fp, gone = key[upto:], fp[upto:], 0
+            whole = (len(key) - 1) // run * run  # at least one row stays, for the key may end here
+            if whole:
+                yield rows(key[:whole], fp[:whole], gone + np.arange(whole) // run)
+                key, fp, gone = key[whole:], fp[whole:], gone + whole // run
+        yield from done(key, fp, gone)
 
     return link
 
@@ -235,8 +247,9 @@ def links(distinct: DataFrame, run: int = RUN) -> DataFrame:
 
     keyed = distinct.select("fp").mapInArrow(expand, "key long, fp long")
     out = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(run), LINK), "links")
-    direct = out.filter(F.col("blocks").isNull()).select("a", "b")
-    large = out.filter(F.col("blocks").isNotNull())
+    direct = out.filter(F.col("block").isNull()).select("a", "b")
+    large = out.filter(F.col("block").isNotNull())
+    large = large.join(large.groupBy("a").agg((F.max("block") + 1).alias("blocks")), "a")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = large.select(F.col("a").alias("key"), F.col("b").alias("fp"), "block", other)
     tiles = tiles.select("key", "fp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))

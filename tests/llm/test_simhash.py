@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from nearfold.llm import simhash
@@ -74,3 +75,17 @@ def test_empty_and_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001)], "a long, b long")
     roots = {r.node: r.root for r in simhash.components(chain).collect()}
     assert all(roots[i] == 0 for i in range(1, 301)) and roots[1001] == 1000
+
+
+def test_large_keys_are_cut_while_they_are_read():
+    """A key of any number of rows is passed on in blocks; other keys are compared in place."""
+    rng = np.random.default_rng(2)
+    key = np.r_[np.zeros(40), np.full(150_001, 5), np.full(30, 6), np.full(70_000, 7), [8, 9]].astype(np.int64)
+    fp = rng.integers(-(2**62), 2**62, len(key))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[at : at + 9_973]), pa.array(fp[at : at + 9_973])], ["key", "fp"]) for at in range(0, len(key), 9_973)]
+    out = pa.Table.from_batches(list(simhash._linker(1_000)(iter(batches)))).to_pandas()
+    large = out[out.block.notna()]
+    assert sorted(large.a.unique()) == [5, 7]
+    for k in (5, 7):
+        own = large[large.a == k]
+        assert sorted(own.b) == sorted(fp[key == k]) and own.groupby("block").size().max() <= 1_000 and own.block.nunique() == own.block.max() + 1
