@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,8 +100,6 @@ def rescaled(v: Column, low: Column, high: Column, to_low: float = 0.0, to_high:
     return F.zip_with(z, span, lambda x, s: F.when(s == 0, F.lit(to_low)).otherwise(x / s * (to_high - to_low) + to_low))
 
 
-def box_distance(q: Column, low: Column, high: Column) -> Column:
-    """Least Euclidean distance of a point to an axis-aligned box."""
-    below = F.zip_with(low, q, lambda m, x: F.greatest(m - x, F.lit(0.0)))
-    above = F.zip_with(q, high, lambda x, m: F.greatest(x - m, F.lit(0.0)))
-    return F.sqrt(total(F.zip_with(below, above, lambda x, y: F.greatest(x, y) * F.greatest(x, y))))
+def chebyshev_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Greatest difference by component between the rows of two matrices: a metric as a callable."""
+    return np.abs(a[:, None, :] - b[None, :, :]).max(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,11 +16,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    """Direct distances between the rows of two matrices, in slices of bounded size."""
+def distances(a: np.ndarray, b: np.ndarray, metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "euclidean") -> np.ndarray:
+    """Direct distances between the rows of two matrices, in slices of bounded size.
+
+    A callable metric takes some rows of ``a`` and all of ``b`` and returns a matrix.
+    """
     out = np.empty((len(a), len(b)))
     step = max(1, 4_000_000 // max(1, b.size))
     for at in range(0, len(a), step):
+        if callable(metric):
+            out[at : at + step] = metric(a[at : at + step], b)
+            continue
         d = a[at : at + step, None, :] - b[None, :, :]
         out[at : at + step] = np.abs(d).sum(2) if metric == "manhattan" else (d * d).sum(2)
     return np.sqrt(out) if metric == "euclidean" else out

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +57,10 @@ def assign(rows: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 class Birch:
-    """BIRCH as mergeable sums: every task absorbs its rows into cluster features whose radius (or
-    diameter) stays below the threshold, and the features of tasks are absorbed into each other.  What
-    is passed on is features, never rows.
+    """BIRCH as mergeable sums: every task absorbs its rows into a tree of cluster features whose radius
+    (or diameter) stays below the threshold, and the features of tasks are absorbed into each other, in a
+    tree again.  What is passed on is features, never rows.  ``start`` continues earlier batches, and
+    ``global_clusters`` puts the features together into a given number of clusters.
 
     Large tables are cut into cells around up to ``MAX_CELLS`` rows (those of least hash, one for each
     ``CELL_ROWS`` rows); features merge within a cell only, so the second step runs in as many tasks as
@@ -67,8 +70,8 @@ class Birch:
     one row is below the threshold and that the features add up to the data.
     """
 
-    def __init__(self, threshold: float, distance: str = "d0", size: str = "r") -> None:
-        self.threshold, self.distance, self.size = threshold, distance, size
+    def __init__(self, threshold: float, distance: str = "d0", size: str = "r", branching: int = 50) -> None:
+        self.threshold, self.distance, self.size, self.branching = threshold, distance, size, branching
 
     def fit(self, rows: DataFrame, start: DataFrame | None = None) -> DataFrame:
         """(cluster_id, n, ls, ss); ``start`` holds the features of earlier batches."""
@@ -84,10 +87,10 @@ class Birch:
 
     def _absorb(self, middles: np.ndarray | None):
         """Features absorbed by cell: that of the nearest middle, or the one they come with."""
-        threshold, distance, size = self.threshold, self.distance, self.size
+        threshold, distance, size, branching = self.threshold, self.distance, self.size, self.branching
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, _Features] = {}
+            held: dict[int, CfTree] = {}
             for batch in batches:
                 x, n = matrix(batch.column(2)), batch.column(1).to_numpy()
                 cell = batch.column(0).to_numpy()
@@ -95,11 +98,11 @@ class Birch:
                     cell = distances(x / n[:, None], middles).argmin(1)
                 for c, k, ls, ss in zip(cell.tolist(), n.tolist(), x, batch.column(3).to_pylist(), strict=True):
                     if c not in held:
-                        held[c] = _Features(len(ls))
-                    held[c].add(k, ls, ss, threshold, distance, size)
-            for c, f in held.items():
-                ls = pa.array(list(f.ls[: f.k]), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(f.k, c, np.int32)), pa.array(f.n[: f.k].astype(np.int64)), ls, pa.array(f.ss[: f.k])], ["cell", "n", "ls", "ss"])
+                        held[c] = CfTree(len(ls), threshold, distance, size, branching)
+                    held[c].add(k, ls, ss)
+            for c, tree in held.items():
+                n, ls, ss = tree.leaves()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(n.astype(np.int64)), pa.array(list(ls), pa.list_(pa.float64())), pa.array(ss)], ["cell", "n", "ls", "ss"])
 
         return run
 
@@ -108,46 +111,116 @@ class Birch:
         """(cluster_id, vec): centroids."""
         return features.select("cluster_id", F.transform("ls", lambda x: x / F.col("n")).alias("vec"))
 
+    @staticmethod
+    def global_clusters(features: DataFrame, number: int, seed: int = 7) -> DataFrame:
+        """(cluster_id, global_id): features put together into at most ``number`` clusters, by k-means over
+        centroids weighted by their rows."""
+        points = Birch.centres(features).join(features.select("cluster_id", F.col("n").cast("double").alias("weight")), "cluster_id")
+        points = points.select("cluster_id", "weight", array_to_vector("vec").alias("features"))
+        if points.isEmpty():
+            return points.select("cluster_id", F.lit(0).alias("global_id"))
+        return KMeans(k=number, seed=seed, weightCol="weight", predictionCol="global_id").fit(points).transform(points).select("cluster_id", "global_id")
+
     def labels(self, rows: DataFrame, features: DataFrame) -> DataFrame:
         """(id, cluster_id, dist): every row with its nearest centroid."""
         return assign(rows, self.centres(features))
 
 
-class _Features:
-    """Growing arrays of cluster features."""
-
-    def __init__(self, d: int) -> None:
-        self.k, self.n, self.ls, self.ss = 0, np.zeros(16), np.zeros((16, d)), np.zeros(16)
-
-    def add(self, n: int, ls: np.ndarray, ss: float, threshold: float, distance: str, size: str) -> None:
-        k = self.k
-        if k:
-            ns, lss, sss = self.n[:k], self.ls[:k], self.ss[:k]
-            c, mine = lss / ns[:, None], ls / n
-            merged_n, merged = ns + n, lss + ls
-            within = np.maximum((sss + ss) / merged_n - (merged * merged).sum(1) / merged_n**2, 0)
-            if distance == "d1":
-                d = np.abs(c - mine).sum(1)
-            elif distance == "d2":
-                d = sss / ns + ss / n - 2 * (c @ mine)
-            elif distance == "d3":
-                d = within
-            elif distance == "d4":
-                d = ((c - mine) ** 2).sum(1) * ns * n / merged_n
+class _Node:
+    """Up to ``branching`` cluster features, and for an inner node the child below each."""
+
+    def __init__(self, d: int, branching: int, inner: bool) -> None:
+        self.k, self.n, self.ls, self.ss = 0, np.zeros(branching + 1), np.zeros((branching + 1, d)), np.zeros(branching + 1)
+        self.children: list[_Node] | None = [] if inner else None
+
+    def put(self, n: float, ls: np.ndarray, ss: float, child: _Node | None = None, at: int | None = None) -> None:
+        """A feature at place ``at``, or at the end."""
+        if at is None:
+            at, self.k = self.k, self.k + 1
+            if child is not None:
+                self.children.append(child)
+        elif child is not None:
+            self.children[at] = child
+        self.n[at], self.ls[at], self.ss[at] = n, ls, ss
+
+    def total(self) -> tuple[float, np.ndarray, float]:
+        return self.n[: self.k].sum(), self.ls[: self.k].sum(0), self.ss[: self.k].sum()
+
+
+class CfTree:
+    """A height-balanced tree of cluster features: a feature goes down along the nearest entries, is absorbed
+    by the nearest one of a leaf if that stays below the threshold, and full nodes split around their two
+    entries that are farthest apart."""
+
+    def __init__(self, d: int, threshold: float, distance: str, size: str, branching: int) -> None:
+        self.d, self.threshold, self.distance, self.branching = d, threshold, distance, branching
+        self.scale = np.sqrt(2) if size == "d" else 1.0
+        self.root = _Node(d, branching, False)
+
+    def add(self, n: float, ls: np.ndarray, ss: float) -> None:
+        parts = self._add(self.root, n, ls, ss)
+        if parts:
+            self.root = _Node(self.d, self.branching, True)
+            for p in parts:
+                self.root.put(*p.total(), p)
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n, ls, ss) of the features at the leaves."""
+        found, todo = [], [self.root]
+        while todo:
+            node = todo.pop()
+            if node.children is None:
+                found.append((node.n[: node.k], node.ls[: node.k], node.ss[: node.k]))
             else:
-                d = ((c - mine) ** 2).sum(1)
-            at = int(d.argmin())
-            radius = np.sqrt(within[at]) * (np.sqrt(2) if size == "d" else 1.0)
-            if radius < threshold:
-                self.n[at] += n
-                self.ls[at] += ls
-                self.ss[at] += ss
-                return
-        if k == len(self.n):
-            self.n, self.ss = np.r_[self.n, np.zeros(k)], np.r_[self.ss, np.zeros(k)]
-            self.ls = np.r_[self.ls, np.zeros_like(self.ls)]
-        self.n[k], self.ls[k], self.ss[k] = n, ls, ss
-        self.k += 1
+                todo += node.children
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def _far(self, node: _Node, n: float, ls: np.ndarray, ss: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of a feature to each entry, and the squared radius of both together."""
+        ns, lss, sss = node.n[: node.k], node.ls[: node.k], node.ss[: node.k]
+        c, mine, merged_n = lss / ns[:, None], ls / n, ns + n
+        merged = lss + ls
+        within = np.maximum((sss + ss) / merged_n - (merged * merged).sum(1) / merged_n**2, 0)
+        if self.distance == "d1":
+            return np.abs(c - mine).sum(1), within
+        if self.distance == "d2":
+            return sss / ns + ss / n - 2 * (c @ mine), within
+        if self.distance == "d3":
+            return within, within
+        apart = ((c - mine) ** 2).sum(1)
+        return (apart * ns * n / merged_n if self.distance == "d4" else apart), within
+
+    def _add(self, node: _Node, n: float, ls: np.ndarray, ss: float) -> tuple[_Node, _Node] | None:
+        """The two halves of the node, if it had to split."""
+        if not node.k:
+            node.put(n, ls, ss)
+            return None
+        far, within = self._far(node, n, ls, ss)
+        at = int(far.argmin())
+        if node.children is not None:
+            parts = self._add(node.children[at], n, ls, ss)
+            if parts is None:
+                node.put(node.n[at] + n, node.ls[at] + ls, node.ss[at] + ss, at=at)
+                return None
+            node.put(*parts[0].total(), parts[0], at)
+            node.put(*parts[1].total(), parts[1])
+        elif np.sqrt(within[at]) * self.scale < self.threshold:
+            node.put(node.n[at] + n, node.ls[at] + ls, node.ss[at] + ss, at=at)
+            return None
+        else:
+            node.put(n, ls, ss)
+        return self._split(node) if node.k > self.branching else None
+
+    def _split(self, node: _Node) -> tuple[_Node, _Node]:
+        c = node.ls[: node.k] / node.n[: node.k, None]
+        apart = distances(c, c, "sq_euclidean")
+        i, j = np.unravel_index(int(apart.argmax()), apart.shape)
+        near = apart[:, i] <= apart[:, j]
+        near[i], near[j] = True, False
+        out = _Node(self.d, self.branching, node.children is not None), _Node(self.d, self.branching, node.children is not None)
+        for e in range(node.k):
+            out[0 if near[e] else 1].put(node.n[e], node.ls[e].copy(), node.ss[e], node.children[e] if node.children is not None else None)
+        return out
 
 
 def summary(members: DataFrame) -> DataFrame:

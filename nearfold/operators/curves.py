@@ -159,16 +159,23 @@ def _normal(z: Column) -> Column:
 def order_features(rows: DataFrame, lags: int = LAGS) -> DataFrame:
     """(id, n, AndersonDarling, Autocor_length): a logistic of the normality statistic, and the first lag
     (in observations, up to ``lags``) whose autocorrelation is below 1/e; null where there is none."""
-    every, by_time = W.partitionBy("id"), W.partitionBy("id").orderBy("t", "mag")
-    x = observations(rows).select("id", "t", "mag").withColumns({"n": F.count(F.lit(1)).over(every), "m": F.avg("mag").over(every), "sd": F.stddev_pop("mag").over(every), "up": F.row_number().over(W.partitionBy("id").orderBy("mag", "t"))})
+    every, own = W.partitionBy("id"), observations(rows).select("id", "t", "mag")
+    x = own.withColumns({"n": F.count(F.lit(1)).over(every), "m": F.avg("mag").over(every), "sd": F.stddev_pop("mag").over(every), "up": F.row_number().over(W.partitionBy("id").orderBy("mag", "t"))})
     y = F.col("mag") - F.col("m")
     x = x.filter("sd > 0").withColumn("y", y).withColumn("p", F.greatest(F.least(_normal(F.col("y") / F.col("sd")), F.lit(1 - 1e-9)), F.lit(1e-9)))
-    x = x.withColumns({f"y{k}": F.lead("y", k).over(by_time) for k in range(1, lags + 1)})
     rank = 2 * F.col("up") - 1
     a2 = -F.max("n") - F.sum(rank * F.log("p") + (2 * F.col("n") - rank) * F.log(1 - F.col("p"))) / F.max("n")
-    g = x.groupBy("id").agg(F.max("n").alias("n"), a2.alias("a2"), F.array(*[F.sum(F.col("y") * F.col(f"y{k}")) / F.sum(F.col("y") * F.col("y")) for k in range(1, lags + 1)]).alias("ac"))
-    first = F.array_position(F.transform("ac", lambda v: F.coalesce(v < F.exp(F.lit(-1.0)), F.lit(False))), F.lit(True))
-    return g.select("id", "n", (1 / (1 + F.exp(-10 * (F.col("a2") - 0.3)))).alias("AndersonDarling"), F.when(first > 0, first).alias("Autocor_length"))
+    g = x.groupBy("id").agg(F.max("n").alias("n"), a2.alias("a2"))
+
+    def length(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(["t", "mag"])["mag"].to_numpy(float)
+        y = y - y.mean()
+        square = (y * y).sum()
+        first = next((k for k in range(1, min(lags, len(y) - 1) + 1) if square > 0 and (y[:-k] * y[k:]).sum() / square < np.exp(-1)), None)
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "lag": pd.Series([first], dtype="Int64")})
+
+    lag = own.groupBy("id").applyInPandas(length, f"id {dict(rows.dtypes)['id']}, lag long")
+    return g.join(lag, "id", "left").select("id", "n", (1 / (1 + F.exp(-10 * (F.col("a2") - 0.3)))).alias("AndersonDarling"), F.col("lag").alias("Autocor_length"))
 
 
 def harmonics(rows: DataFrame, low: float, high: float, steps: int, frequencies: int = 3, orders: int = 4) -> DataFrame:
@@ -271,6 +278,134 @@ def folded_features(rows: DataFrame) -> DataFrame:
     return x.filter("sd > 0").groupBy("id").agg((F.max("walk") - F.min("walk")).alias("Psi_CS"), eta.alias("Psi_eta"))
 
 
+SLOT, SLOTS = 1.0, 20
+TAUS, SIGMAS, ROUNDS = 16, 12, 4
+
+
+def slotted_autocorrelation(t: np.ndarray, y: np.ndarray, slot: float = SLOT, slots: int = SLOTS) -> np.ndarray:
+    """Autocorrelation of centred values at irregular times by slots of the lag; place 0 is 1.
+
+    Running sums over the later observations of a slot make it linear in observations times slots.
+    """
+    run = np.concatenate([[0], np.cumsum(y)])
+    out = np.full(slots, np.nan)
+    for k in range(slots):
+        lo = np.maximum(np.searchsorted(t, t + (k - 0.5) * slot), np.arange(len(t)))
+        hi = np.maximum(np.searchsorted(t, t + (k + 0.5) * slot), lo)
+        n = (hi - lo).sum()
+        out[k] = (y * (run[hi] - run[lo])).sum() / n if n else np.nan
+    return out / out[0] if out[0] else out * np.nan
+
+
+def autoregressive(t: np.ndarray, mag: np.ndarray, err: np.ndarray) -> tuple[float, float, float]:
+    """(mean, sigma, tau) of the continuous first-order autoregressive process of greatest likelihood.
+
+    The likelihood comes from the usual prediction and correction over the observations, for a grid of
+    (tau, sigma) at once; the grid closes in on its best place ``ROUNDS`` times.
+    """
+    span, spread = max(float(t[-1] - t[0]), 1e-3), max(float(mag.std()), 1e-9)
+    low, high = np.log([1e-2, spread * 1e-2]), np.log([10 * span, spread * 1e2])
+    x, noise, dt = mag - mag.mean(), err**2, np.diff(t)
+    best = (-np.inf, 0.0, 0.0)
+    for _ in range(ROUNDS):
+        tau, sigma = (g.ravel() for g in np.meshgrid(np.exp(np.linspace(low[0], high[0], TAUS)), np.exp(np.linspace(low[1], high[1], SIGMAS)), indexing="ij"))
+        still = tau * sigma**2 / 2
+        guess, omega = np.zeros(len(tau)), still.copy()
+        total = -0.5 * (np.log(2 * np.pi * (omega + noise[0])) + x[0] ** 2 / (omega + noise[0]))
+        for i in range(1, len(x)):
+            a = np.exp(-dt[i - 1] / tau)
+            gain = omega / (omega + noise[i - 1])
+            guess = a * (guess + gain * (x[i - 1] - guess))
+            omega = still * (1 - a * a) + a * a * omega * (1 - gain)
+            total += -0.5 * (np.log(2 * np.pi * (omega + noise[i])) + (guess - x[i]) ** 2 / (omega + noise[i]))
+        at = int(np.argmax(total))
+        if total[at] > best[0]:
+            best = float(total[at]), float(tau[at]), float(sigma[at])
+        step = (high - low) / [TAUS - 1, SIGMAS - 1]
+        middle = np.log([best[1], best[2]])
+        low, high = middle - step, middle + step
+    return float(mag.mean()) / best[1], best[2], best[1]
+
+
+def irregular_features(rows: DataFrame) -> DataFrame:
+    """(id, CAR_mean, CAR_sigma, CAR_tau, SlottedA_length, StetsonK_AC): those that go through a curve in order.
+
+    The first lag (in days) whose slotted autocorrelation is below 1/e, Stetson's K of that function, and the
+    autoregressive fit.  Curves of fewer than three observations, or constant ones, have nulls.
+    """
+    kind = dict(rows.dtypes)["id"]
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["t", "mag"])
+        t, mag, err = (own[c].to_numpy(float) for c in ("t", "mag", "err"))
+        out: list[float | None] = [None] * 5
+        if len(t) > 2 and mag.std() > 0 and t[-1] > t[0]:
+            ac = slotted_autocorrelation(t, mag - mag.mean())
+            below = np.flatnonzero(ac < np.exp(-1))
+            seen = ac[np.isfinite(ac)]
+            n, sd = len(seen), seen.std()
+            z = np.sqrt(n / (n - 1)) * (seen - seen.mean()) / sd if n > 1 and sd > 0 else np.zeros(0)
+            k = float(np.abs(z).sum() / (np.sqrt(n) * np.sqrt((z * z).sum()))) if len(z) else None
+            out = [*autoregressive(t, mag, err), float(below[0] * SLOT) if len(below) else None, k]
+        names = ["CAR_mean", "CAR_sigma", "CAR_tau", "SlottedA_length", "StetsonK_AC"]
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], **{c: pd.Series([v], dtype="float64") for c, v in zip(names, out, strict=True)}})
+
+    own = observations(rows).select("id", "t", "mag", "err")
+    return own.groupBy("id").applyInPandas(lambda pdf: of(pdf), f"id {kind}, CAR_mean double, CAR_sigma double, CAR_tau double, SlottedA_length double, StetsonK_AC double")
+
+
+def period_features(rows: DataFrame, low: float, high: float, steps: int) -> DataFrame:
+    """(id, PeriodLS, Period_fit): the strongest period and the chance of such a power among ``steps`` frequencies of noise."""
+    found = periods(rows, low, high, steps)
+    return found.select("id", F.col("period").alias("PeriodLS"), (1 - F.pow(1 - F.exp(-F.col("power")), F.lit(float(steps)))).alias("Period_fit"))
+
+
+GRID = (0.05, 1.0, 96)
+_ORDER = ("AndersonDarling", "Autocor_length")
+_COLOUR = ("Color", "Q31_color", "Eta_color", "StetsonJ", "StetsonL")
+_IRREGULAR = ("CAR_mean", "CAR_sigma", "CAR_tau", "SlottedA_length", "StetsonK_AC")
+_PERIOD = ("PeriodLS", "Period_fit")
+_FOLDED = ("Psi_CS", "Psi_eta")
+
+
+def selected_features(rows: DataFrame, names: list[str], first: str | None = None, second: str | None = None, within: float = 2.0, grid: tuple[float, float, int] = GRID) -> DataFrame:
+    """(id, names...): the features chosen by name, of band ``first`` (of all observations if none is given).
+
+    Only the groups of features that hold a chosen one are computed; those of two bands need both.
+    """
+    one = staged(observations(rows if first is None else rows.filter(F.col("band") == first)), "band") if first else observations(rows)
+    wanted, parts = set(names), []
+    if wanted & set(_ORDER):
+        parts.append(order_features(one).drop("n").withColumn("Autocor_length", F.col("Autocor_length").cast("double")))
+    if wanted & set(_COLOUR):
+        if first is None or second is None:
+            raise ValueError("features of two bands need both bands")
+        parts.append(colour_features(rows, first, second, within).drop("n"))
+    if wanted & set(_IRREGULAR):
+        parts.append(irregular_features(one))
+    if wanted & {*_PERIOD, *_FOLDED}:
+        own = staged(period_features(one, *grid), "period")
+        parts.append(own)
+        if wanted & set(_FOLDED):
+            folded = one.join(own.select("id", F.col("PeriodLS").alias("p")), "id").withColumn("phase", phase(F.col("t"), F.col("p")))
+            parts.append(folded_features(folded.drop("p")))
+    if any(n.startswith("Freq") for n in wanted):
+        parts.append(harmonics(one, *grid))
+    known = {c for p in parts for c in p.columns}
+    out = features(one).drop("n") if wanted - known else one.select("id").distinct()
+    if missing := wanted - known - set(out.columns):
+        raise ValueError(f"no such features: {sorted(missing)}")
+    for p in parts:
+        out = out.join(p, "id", "left")
+    return out.select("id", *names)
+
+
+def tile_features(rows: DataFrame, names: list[str], first: str, second: str, within: float = 2.0) -> DataFrame:
+    """(id, names...): all features of the curves of a tile (id, band, t, mag, err), both bands paired."""
+    paired = pair_bands(observations(rows), first, second).filter("present = 0").select("id")
+    return selected_features(rows.join(paired, "id", "left_semi"), names, first, second, within)
+
+
 # --- documents ------------------------------------------------------------------------------
 
 

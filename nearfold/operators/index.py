@@ -1,14 +1,14 @@
-"""Pruned k nearest neighbours: cluster rings, vantage points, axis-aligned cells.
+"""Pruned k nearest neighbours: cluster rings, vantage points and trees, axis-aligned cells.
 
 Each takes queries (qid, vec) and returns the neighbours with the work they took.  ``exact`` bounds
-hold for every k; the other rules prune harder and may lose neighbours.  Queries meet centres and
-pivots in blocks of bounded size; members are joined on cluster or cell ids, which AQE splits where
-one holds much.
+hold for every k; the other rules prune harder and may lose neighbours.  Tasks plan the visits of
+their queries from a broadcast summary of the index (a row per cluster, leaf or cell; its size is
+checked), and queries meet rows by cell (``meet``), so neither goes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,65 +16,124 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import box_distance, doubles, euclidean
+from ..functions.curves import fixed_hash
+from ..functions.vectors import doubles
 from ..shared import staged
 from .blocks import distances, matrix
 from .clusters import summary
-from .knn import ROW_SLICE, Best, cross_distances, query_blocks, ranked
+from .knn import ROW_SLICE, Best, query_blocks, ranked
+from .meet import meet
+from .quantiles import quantiles
 
 SLACK = 1e-9
 MAX_LEAVES = 4_096
+MAX_CLUSTERS = 1_000_000
+PLANNED = 4_000_000  # distances held at once while visits are planned
+
+
+def _planned(queries: DataFrame, added: str, plan: Callable[[np.ndarray], tuple[np.ndarray, list[np.ndarray]]], width: int) -> DataFrame:
+    """``queries`` (qid, qvec), each as often as ``plan`` says, with the columns that it adds.
+
+    ``plan`` takes a matrix of queries and returns the place of each visit's query and the added columns;
+    it sees so few queries at a time that ``width`` numbers for each stay small.
+    """
+    q = queries.select("qid", doubles("vec").alias("qvec"))
+    schema = T.StructType([*q.schema.fields, *T._parse_datatype_string(added).fields])
+    step = max(1, PLANNED // max(1, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                place, columns = plan(matrix(part.column(1)))
+                own = part.take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, columns)], schema.names)
+
+    return q.mapInArrow(run, schema)
+
+
+def _tightened(visits: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``visits`` (..., seed, tau) with ``tau`` lowered to the k-th distance that the seed visits find."""
+    seen = meet(visits.filter("seed"), rows, k).filter("id IS NOT NULL")
+    kth = ranked(seen, k).groupBy("qid").agg(F.max("dist").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("qid", "kth")
+    return visits.join(kth, "qid", "left").withColumn("tau", F.least("tau", F.coalesce("kth", "tau"))).drop("kth")
 
 
 class ClusterIndex:
-    """Members (cluster_id, id, vec, dist) and centres (cluster_id, vec); cluster_id joins both."""
+    """Members (cluster_id, id, vec, dist) and centres (cluster_id, vec); cluster_id joins both.
+
+    About as many centres as the root of the number of rows keep both steps short; the summary of
+    up to ``MAX_CLUSTERS`` clusters goes to the tasks.
+    """
 
     def __init__(self, members: DataFrame, centres: DataFrame) -> None:
-        self.members = members.select("cluster_id", "id", doubles("vec").alias("vec"), "dist")
+        self.members = members.select(F.col("cluster_id").alias("cell"), "id", doubles("vec").alias("vec"), F.col("dist").alias("far"))
         self.clusters = staged(summary(members).join(centres.select("cluster_id", doubles("vec").alias("centre")), "cluster_id"), "clusters")
 
-    def steps(self, queries: DataFrame, k: int, rule: str = "exact") -> tuple[DataFrame, DataFrame]:
-        """(visited (qid, cluster_id, d, tau, size), candidates (qid, id, dist)).
+    def visits(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
+        """(qid, qvec, cell, d, tau, size, radius, nearest, seed, low, high): the clusters that each query visits.
 
         rule ``exact``: tau is the k-th least d(q, c) + d(x, c) over members of the closest clusters that
         hold k; kept are members with |d(x, c) - d(q, c)| <= tau.  ``disk``: tau is d(q, c) of the
         last of these clusters.  ``memory``: going outwards, tau becomes d(q, c) + least d(x, c) where
         d(q, c) > tau.  Both keep members with d(x, c) > d(q, c) - tau.
         """
-        q = queries.select("qid", doubles("vec").alias("qvec"))
-        centres = self.clusters.select(F.col("cluster_id").alias("id"), F.col("centre").alias("vec"))
-        far = cross_distances(queries, centres).select("qid", F.col("id").alias("cluster_id"), F.col("dist").alias("d"))
-        pairs = far.join(self.clusters.select("cluster_id", "size", "radius", "nearest"), "cluster_id")
-        outwards = W.partitionBy("qid").orderBy("d", "cluster_id")
-        before = F.coalesce(F.sum("size").over(outwards.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        pairs = pairs.withColumn("seed", before < k)
-        seeds = pairs.filter("seed")
-        if rule == "exact":
-            upper = seeds.join(self.members.select("cluster_id", "id", "dist"), "cluster_id").select("qid", "id", (F.col("d") + F.col("dist")).alias("u"))
-            rank = F.row_number().over(W.partitionBy("qid").orderBy("u", "id"))
-            tau = upper.withColumn("r", rank).filter(F.col("r") <= k).groupBy("qid").agg(F.max("u").alias("tau"))
-        elif rule == "disk":
-            tau = seeds.groupBy("qid").agg(F.max("d").alias("tau"))
-        else:
-            steps = F.array_sort(F.collect_list(F.struct("d", "cluster_id", "nearest")))
-            tau = seeds.groupBy("qid").agg(F.aggregate(steps, F.lit(0.0), lambda t, x: F.when(x["d"] > t, x["d"] + x["nearest"]).otherwise(t)).alias("tau"))
-        gap = F.col("radius") + F.col("tau") - F.col("d")
-        visited = pairs.join(tau, "qid").filter(F.col("seed") | (gap >= -SLACK if rule == "exact" else gap > 0))
-        ring = F.abs(F.col("dist") - F.col("d")) <= F.col("tau") + SLACK if rule == "exact" else F.col("dist") > F.col("d") - F.col("tau")
-        found = visited.join(self.members, "cluster_id").filter(ring).join(q, "qid")
-        found = found.select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist"))
-        return visited.select("qid", "cluster_id", "d", "tau", "size"), found
+        order = F.row_number().over(W.partitionBy("cell").orderBy("far", "id"))
+        near = self.members.withColumn("r", order).filter(F.col("r") <= k).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
+        rows = self.clusters.join(near, self.clusters["cluster_id"] == near["cell"]).orderBy("cluster_id")
+        held = rows.limit(MAX_CLUSTERS + 1).select("cluster_id", "size", "radius", "nearest", "centre", "near").toArrow().combine_chunks()
+        if held.num_rows > MAX_CLUSTERS:
+            raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+        ids, size, radius, nearest = (held[c].to_numpy() for c in ("cluster_id", "size", "radius", "nearest"))
+        least = np.full((len(ids), k), np.inf)
+        for i, x in enumerate(held["near"].to_pylist()):
+            least[i, : len(x)] = x
+        index = queries.sparkSession.sparkContext.broadcast((ids, size, radius, nearest, matrix(held["centre"].combine_chunks()), least))
+
+        def plan(q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            ids, size, radius, nearest, centre, least = index.value
+            d = distances(q, centre).round(9)
+            order = np.argsort(d, axis=1, kind="stable")  # clusters stand by id
+            before = np.cumsum(size[order], 1) - size[order]
+            seed = np.zeros(d.shape, bool)
+            np.put_along_axis(seed, order, before < k, 1)
+            if rule == "exact":
+                bound = np.sort(np.where(seed[:, :, None], d[:, :, None] + least[None], np.inf).reshape(len(q), -1), 1)[:, :k]
+                tau = np.where(np.isfinite(bound), bound, -np.inf).max(1)
+            elif rule == "disk":
+                tau = np.where(seed, d, -np.inf).max(1)
+            else:
+                tau = np.zeros(len(q))
+                for c in order.T[: int(seed.sum(1).max())]:
+                    own = np.take_along_axis(d, c[:, None], 1)[:, 0]
+                    on = np.take_along_axis(seed, c[:, None], 1)[:, 0] & (own > tau)
+                    tau = np.where(on, own + nearest[c], tau)
+            gap = radius[None] + tau[:, None] - d
+            i, c = np.nonzero(seed | (gap >= -SLACK if rule == "exact" else gap > 0))
+            own, t = d[i, c], tau[i]
+            low, high = (own - t - SLACK, own + t + SLACK) if rule == "exact" else (own - t, np.full(len(i), np.inf))
+            return i, [ids[c], own, t, size[c], radius[c], nearest[c], seed[i, c], low, high]
+
+        kind = dict(self.members.dtypes)["cell"]
+        added = f"cell {kind}, d double, tau double, size long, radius double, nearest double, seed boolean, low double, high double"
+        return _planned(queries, added, plan, len(ids) * k)
 
     def knn(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
-        return ranked(self.steps(queries, k, rule)[1], k)
+        visits = self.visits(queries, k, rule)
+        if rule == "exact":
+            visits = staged(visits, "visits")
+            tight = _tightened(visits, self.members, k).filter((F.col("d") - F.col("tau") <= F.col("radius") + SLACK) & (F.col("d") + F.col("tau") >= F.col("nearest") - SLACK))
+            visits = staged(tight.withColumns({"low": F.col("d") - F.col("tau") - SLACK, "high": F.col("d") + F.col("tau") + SLACK}), "tight")
+        return ranked(meet(visits, self.members, k, rule != "exact").filter("id IS NOT NULL").drop("work"), k)
 
     def metrics(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
         """(qid, step1, step2, n_clusters): distances to centres, distances to members, clusters read."""
-        visited, found = self.steps(queries, k, rule)
+        visits = staged(self.visits(queries, k, rule), "visits")
         step1 = self.clusters.count()
-        step2 = found.groupBy("qid").agg(F.count(F.lit(1)).alias("step2"))
-        read = visited.groupBy("qid").agg(F.count(F.lit(1)).alias("n_clusters"))
+        step2 = meet(visits, self.members, k, rule != "exact").groupBy("qid").agg(F.sum("work").alias("step2"))
+        read = visits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_clusters"))
         return read.join(step2, "qid", "left").select("qid", F.lit(step1).cast("long").alias("step1"), F.coalesce("step2", F.lit(0)).alias("step2"), "n_clusters")
 
 
@@ -155,23 +214,35 @@ class CellIndex:
 
     def __init__(self, rows: DataFrame, tree: dict) -> None:
         self.tree = tree
-        self.rows = rows.select("id", doubles("vec").alias("vec")).withColumn("cell_id", cell_of(tree, F.col("vec")))
+        self.rows = rows.select("id", doubles("vec").alias("vec"), F.lit(0.0).alias("far")).withColumn("cell", cell_of(tree, F.col("vec")))
 
     def knn(self, queries: DataFrame, k: int, dimensions: int) -> DataFrame:
         """Exact: tau is the k-th distance within the query's cell (or to all, if it holds fewer);
         every cell whose box is within tau of the query is searched."""
-        spark, cells = self.rows.sparkSession, leaves(self.tree, dimensions)
+        cells = leaves(self.tree, dimensions)
         if len(cells) > MAX_LEAVES:
             raise ValueError(f"a tree of {len(cells)} leaves; {MAX_LEAVES} at most")
-        cells = spark.createDataFrame(cells, "cell_id string, low array<double>, high array<double>, density double")
-        q = queries.select("qid", doubles("vec").alias("qvec"))
-        home = q.withColumn("cell_id", cell_of(self.tree, F.col("qvec")))
-        first = ranked(home.join(self.rows, "cell_id").select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")), k)
-        tau = first.groupBy("qid").agg(F.max("dist").alias("tau"), F.count(F.lit(1)).alias("n")).select("qid", F.when(F.col("n") == k, F.col("tau")).otherwise(float("inf")).alias("tau"))
-        reach = q.join(tau, "qid", "left").join(F.broadcast(cells), F.lit(True))  # MAX_LEAVES rows at most
-        reach = reach.filter(box_distance(F.col("qvec"), F.col("low"), F.col("high")) <= F.coalesce("tau", F.lit(float("inf"))) + SLACK)
-        found = reach.select("qid", "qvec", "cell_id").join(self.rows, "cell_id")
-        return ranked(found.select("qid", "id", F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")), k)
+        names, low, high = np.array([c[0] for c in cells], object), np.array([c[1] for c in cells]), np.array([c[2] for c in cells])
+        home = {n: i for i, n in enumerate(names)}
+        tree = self.tree
+
+        def path(v: np.ndarray) -> str:
+            node, out = tree, ""
+            while "axis" in node:
+                side = bool(v[node["axis"]] > node["value"])
+                node, out = node["right" if side else "left"], out + "01"[side]
+            return out
+
+        def plan(q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            gap = np.sqrt(sum(np.maximum(np.maximum(low[None, :, j] - q[:, [j]], q[:, [j]] - high[None, :, j]), 0) ** 2 for j in range(q.shape[1])))
+            seed = np.zeros(gap.shape, bool)
+            seed[np.arange(len(q)), [home[path(v)] for v in q]] = True
+            i, c = np.repeat(np.arange(len(q)), len(names)), np.tile(np.arange(len(names)), len(q))
+            return i, [names[c].tolist(), gap[i, c], np.full(len(i), np.inf), seed[i, c], np.zeros(len(i)), np.zeros(len(i))]
+
+        visits = staged(_planned(queries, "cell string, d double, tau double, seed boolean, low double, high double", plan, len(names)), "visits")
+        visits = _tightened(visits, self.rows, k).filter(F.col("d") <= F.col("tau") + SLACK)
+        return ranked(meet(staged(visits, "tight"), self.rows, k).filter("id IS NOT NULL").drop("work"), k)
 
 
 def cell_of(tree: dict, vec: Column) -> Column:
@@ -199,43 +270,104 @@ def leaves(tree: dict, dimensions: int) -> list[tuple[str, list[float], list[flo
 
 
 def median_tree(rows: DataFrame, dimensions: int, depth: int) -> dict:
-    """A kd tree of exact medians: one aggregate a level, over all nodes of the level."""
+    """A kd tree of exact medians, all nodes of a level at once."""
     root: dict = {}
     for level in range(depth):
         axis = level % dimensions
-        cuts = rows.withColumn("cell", cell_of(root, doubles("vec"))).groupBy("cell").agg(F.percentile(doubles("vec")[axis], 0.5).alias("m")).collect()  # a row per node
+        cuts = quantiles(rows, cell_of(root, doubles("vec")), doubles("vec")[axis], [0.5]).collect()  # a row per node
         for r in cuts:
             node = root
-            for side in r.cell:
+            for side in r.grp:
                 node = node["right" if side == "1" else "left"]
-            node |= {"axis": axis, "value": float(r.m), "left": {}, "right": {}}
+            node |= {"axis": axis, "value": float(r.q[0]), "left": {}, "right": {}}
     return root
 
 
-class ShellIndex:
-    """Shells of equal counts around one vantage point, each with its least and greatest distance."""
-
-    def __init__(self, rows: DataFrame, point: list[float], shells: int) -> None:
-        far = F.round(euclidean(doubles("vec"), F.array(*[F.lit(float(x)) for x in point])), 9)
-        self.point = point
-        own = staged(rows.select("id", doubles("vec").alias("vec"), far.alias("far")), "shells")
-        cuts = own.agg(F.percentile_approx("far", [i / shells for i in range(1, shells)], 100_000).alias("c")).first()[0] or []
-        shell = reduce(lambda a, c: a + F.when(F.col("far") > c, 1).otherwise(0), cuts, F.lit(0))
-        self.rows = own.withColumn("shell", shell)
-        self.shells = self.rows.groupBy("shell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))  # `shells` rows
+class VantageTree:
+    """A tree of vantage points: each node cuts its rows into ``branching`` shells of equal counts around
+    one of them (that of the least hash, or ``point`` at the root), each shell again, ``levels`` deep.
+
+    Every leaf knows the least and greatest distance to each vantage point above it.
+    """
+
+    def __init__(self, rows: DataFrame, branching: int, levels: int = 1, point: list[float] | None = None) -> None:
+        if branching**levels > MAX_LEAVES:
+            raise ValueError(f"{branching**levels} leaves; {MAX_LEAVES} at most")
+        self.branching, self.levels = branching, levels
+        self.pivots: dict[str, np.ndarray] = {}
+        self.bounds: list[tuple[str, list[tuple[str, float, float]]]] = []
+        kind = dict(rows.dtypes)["id"]
+        own = rows.select("id", doubles("vec").alias("vec"), F.lit("").alias("cell"), F.lit(0.0).alias("far"))
+        held: dict[str, list[tuple[str, float, float]]] = {"": []}
+        for level in range(levels):
+            if level == 0 and point is not None:
+                found = {"": np.array(point, float)}
+            else:
+                picked = own.groupBy("cell").agg(F.min_by("vec", F.struct(fixed_hash(F.col("id")), "id")).alias("vec")).collect()  # a row per node
+                found = {r.cell: np.array(r.vec) for r in picked}
+            self.pivots |= found
+            own = staged(own.mapInArrow(_to_pivots(found), f"id {kind}, vec array<double>, cell string, far double"), "level")
+            cuts = own.groupBy("cell").agg(F.percentile_approx("far", [i / branching for i in range(1, branching)], 10_000).alias("c")).collect()
+            own = own.mapInArrow(_to_shells({r.cell: np.array(r.c) for r in cuts}), f"id {kind}, vec array<double>, cell string, far double")
+            own = staged(own, "shells")
+            below = own.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high")).collect()
+            held = {r.cell: [*held[_above(r.cell)], (_above(r.cell), r.low, r.high)] for r in below}
+        self.rows, self.bounds = own, sorted(held.items())
 
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
-        """Exact: tau is the k-th distance within the nearest shells that hold k rows; every shell that
-        comes within tau of the query's own distance is searched."""
-        q = queries.select("qid", doubles("vec").alias("qvec"))
-        q = q.withColumn("qfar", F.round(euclidean(F.col("qvec"), F.array(*[F.lit(float(x)) for x in self.point])), 9))
-        gap = F.greatest(F.col("low") - F.col("qfar"), F.col("qfar") - F.col("high"), F.lit(0.0))
-        pairs = q.join(F.broadcast(self.shells), F.lit(True)).withColumn("gap", gap)  # `shells` rows
-        outwards = W.partitionBy("qid").orderBy("gap", "shell").rowsBetween(W.unboundedPreceding, -1)
-        pairs = pairs.withColumn("seed", F.coalesce(F.sum("n").over(outwards), F.lit(0)) < k)
-        dist = F.round(euclidean(F.col("qvec"), F.col("vec")), 9).alias("dist")
-        seen = pairs.filter("seed").select("qid", "qvec", "shell").join(self.rows, "shell").select("qid", "id", dist)
-        tau = ranked(seen, k).groupBy("qid").agg(F.max("dist").alias("tau"))
-        reach = pairs.join(tau, "qid").filter(F.col("gap") <= F.col("tau") + SLACK)
-        near = F.abs(F.col("far") - F.col("qfar")) <= F.col("tau") + SLACK
-        return ranked(reach.select("qid", "qvec", "qfar", "tau", "shell").join(self.rows, "shell").filter(near).select("qid", "id", dist), k)
+        """Exact: tau is the k-th distance within the nearest leaves that hold k rows; every leaf is searched whose
+        shells all come within tau of the query's own distances to their vantage points."""
+        count = {r.cell: r.n for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        names = np.array([n for n, _ in self.bounds], object)
+        size = np.array([count[n] for n in names], np.int64)
+        paths, at = list(self.pivots), {p: i for i, p in enumerate(self.pivots)}
+        pivots = np.array([self.pivots[p] for p in paths])
+        above = [np.array([at[b[level][0]] for _, b in self.bounds], int) for level in range(self.levels)]
+        low = [np.array([b[level][1] for _, b in self.bounds]) for level in range(self.levels)]
+        high = [np.array([b[level][2] for _, b in self.bounds]) for level in range(self.levels)]
+
+        def plan(q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            d = distances(q, pivots).round(9)
+            gap = np.zeros((len(q), len(names)))
+            for up, lo, hi in zip(above, low, high, strict=True):
+                gap = np.maximum(gap, np.maximum(lo - d[:, up], d[:, up] - hi))
+            order = np.argsort(gap, axis=1, kind="stable")
+            before = np.cumsum(size[order], 1) - size[order]
+            seed = np.zeros(gap.shape, bool)
+            np.put_along_axis(seed, order, before < k, 1)
+            i, c = np.repeat(np.arange(len(q)), len(names)), np.tile(np.arange(len(names)), len(q))
+            inf = np.full(len(i), np.inf)
+            return i, [names[c].tolist(), d[:, above[-1]][i, c], gap[i, c], inf, seed[i, c], -inf, inf]
+
+        visits = staged(_planned(queries, "cell string, d double, gap double, tau double, seed boolean, low double, high double", plan, max(len(names), pivots.size)), "visits")
+        visits = _tightened(visits, self.rows, k).filter(F.col("gap") <= F.col("tau") + SLACK)
+        visits = visits.withColumns({"low": F.col("d") - F.col("tau") - SLACK, "high": F.col("d") + F.col("tau") + SLACK})
+        return ranked(meet(staged(visits, "tight"), self.rows, k).filter("id IS NOT NULL").drop("work"), k)
+
+
+def _above(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
+def _to_pivots(pivots: dict[str, np.ndarray]):
+    """Rows (id, vec, cell, far) with ``far`` the distance to their node's vantage point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = np.array([pivots[c] for c in batch.column(2).to_pylist()])
+                far = np.sqrt(((matrix(batch.column(1)) - own) ** 2).sum(1)).round(9)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far)], ["id", "vec", "cell", "far"])
+
+    return run
+
+
+def _to_shells(cuts: dict[str, np.ndarray]):
+    """Rows (id, vec, cell, far) one level down: the shell's number after the cell's path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [f"{c}/{int(np.searchsorted(cuts[c], f))}" for c, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.string()), batch.column(3)], ["id", "vec", "cell", "far"])
+
+    return run

@@ -15,23 +15,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import staged
 from .blocks import distances, matrix
 
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 8_192
 ROW_SLICE = 1_024
 
 
 def query_blocks(queries: DataFrame, query_block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of at most ``query_block`` queries (qid, vec), one block after the other."""
-    ids, held = [], []
-    for row in queries.select("qid", F.col("vec").cast("array<double>")).toLocalIterator():
-        ids.append(row[0])
-        held.append(row[1])
-        if len(ids) == query_block:
-            yield np.array(ids), np.array(held, dtype=np.float64)
-            ids, held = [], []
-    if ids:
-        yield np.array(ids), np.array(held, dtype=np.float64)
+    """(ids, vectors) of at most ``query_block`` queries (qid, vec), one block after the other, as Arrow tables.
+
+    Queries are cut by the hash of their id into parts of which each is well below the bound of memory.
+    """
+    rows = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"))
+    n = rows.count()
+    parts = -(-n // query_block)
+    rows = staged(rows, "asked") if parts > 1 else rows
+    for part in range(parts):
+        own = (rows.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part) if parts > 1 else rows).toArrow().combine_chunks()
+        for at in range(0, own.num_rows, query_block):
+            some = own.slice(at, query_block).combine_chunks()
+            yield some["qid"].to_numpy(), matrix(some["vec"].combine_chunks())
 
 
 class Best:
@@ -81,30 +85,11 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int, metric: str = "euclide
                     best.add(d, own)
             yield best.rows(qids, ["qid", "id", "dist"])
 
-        parts.append(rows.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double"))
+        found = ranked(rows.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double"), k)
+        if len(held[0]) == query_block:  # more may follow: this block is done and its broadcast goes
+            found = staged(found, "near")
+            block.destroy()
+        parts.append(found)
     if not parts:
         return spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, dist double, rank int")
-    return ranked(reduce(DataFrame.union, parts), k)
-
-
-def cross_distances(queries: DataFrame, rows: DataFrame, metric: str = "euclidean", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, id, dist): a stated query set against every row, as between queries and cluster centres."""
-    spark, parts = rows.sparkSession, []
-    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
-    right = rows.select("id", F.col("vec").cast("array<double>"))
-    for held in query_blocks(queries, query_block):
-        block = spark.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            qids, q = block.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_SLICE):
-                    part = batch.slice(at, ROW_SLICE)
-                    own, x = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
-                    d = distances(q, x, metric).round(9)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, len(own))), pa.array(np.tile(own, len(qids))), pa.array(d.ravel())], ["qid", "id", "dist"])
-
-        parts.append(right.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double"))
-    if not parts:
-        return spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, dist double")
     return reduce(DataFrame.union, parts)

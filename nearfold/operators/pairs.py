@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import METRICS, doubles
 from ..shared import staged
 from .blocks import distances
+from .sums import column_sums
 
 TILE = 1_024
 
@@ -82,6 +83,24 @@ def _grid(left: pd.DataFrame, right: pd.DataFrame, same: bool, metric: str) -> t
     return np.minimum(a, b), np.maximum(a, b), d.round(9)
 
 
+def _outer(rows: DataFrame, metric: str, widest: Callable[[DataFrame], float | None]) -> DataFrame:
+    """The rows that can be in the farthest pair: no pair is farther apart than both are from the mean, together.
+
+    The farthest pair among the ``TILE`` rows that are farthest from the mean is a bound from below.
+    """
+    own, plain = rows.select("id", doubles("vec").alias("vec")), "euclidean" if metric == "sq_euclidean" else metric
+    mean = [r.m for r in column_sums(own).orderBy("pos").select((F.col("s") / F.col("n")).alias("m")).collect()]
+    if not mean:
+        return own
+    far = METRICS[plain](F.col("vec"), F.array(*[F.lit(float(x)) for x in mean]))
+    own = staged(own.withColumn("far", far), "from_mean")
+    bound, most = widest(own.orderBy(F.desc("far"), "id").limit(TILE)), own.agg(F.max("far")).first()[0]
+    if bound is None:
+        return own.select("id", "vec")
+    bound = bound**0.5 if metric == "sq_euclidean" else bound
+    return own.filter(F.col("far") >= bound - most - 1e-6).select("id", "vec")
+
+
 def extreme_pair(rows: DataFrame, closest: bool = True, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
     """(a, b, dist) of the closest (or farthest) pair; ties by ids."""
 
@@ -94,6 +113,8 @@ def extreme_pair(rows: DataFrame, closest: bool = True, metric: str = "euclidean
 
     schema = "a long, b long, dist double"
     order = F.col("dist") if closest else F.desc("dist")
+    if not closest:
+        rows = _outer(rows, metric, lambda some: tiles(some, work, schema, tile).agg(F.max("dist")).first()[0])
     if not closest or metric == "sq_euclidean":
         return tiles(rows, work, schema, tile).orderBy(order, "a", "b").limit(1)
     blocks = max(1, -(-rows.count() // tile))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.curves import fixed_hash
 from ..functions.vectors import doubles, rescaled, standardised
-from .sums import covariance, gram, vector_stats
+from .sums import covariance, gram, merge_gram, vector_stats
 
 
 def standardise(rows: DataFrame) -> DataFrame:
@@ -66,6 +66,21 @@ class Pca:
         d, k = self.weights.shape
         return spark.createDataFrame([(i, j, float(self.weights[i, j]), float(self.mean[i]), float(self.std[i])) for i in range(d) for j in range(k)], "feature int, component int, weight double, mean double, std double")
 
+    def save(self, spark, path: str) -> None:
+        """The model's table as Parquet."""
+        self.table(spark).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Pca:
+        """A saved model."""
+        rows = spark.read.parquet(path).toPandas()  # a row per feature and component
+        model = cls.__new__(cls)
+        d, k = int(rows["feature"].max()) + 1, int(rows["component"].max()) + 1
+        model.weights, model.mean, model.std = np.zeros((d, k)), np.zeros(d), np.zeros(d)
+        model.weights[rows["feature"], rows["component"]] = rows["weight"]
+        model.mean[rows["feature"]], model.std[rows["feature"]] = rows["mean"], rows["std"]
+        return model
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """``vec`` projected on the components."""
         scale = np.where(self.std > 0, self.std, np.inf)
@@ -74,3 +89,25 @@ class Pca:
         columns = [F.array(*[F.lit(float(x)) for x in w[:, j]]) for j in range(w.shape[1])]
         dot = lambda c: F.aggregate(F.zip_with(doubles("vec"), c, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         return rows.withColumn("vec", F.array(*[dot(c) - F.lit(float(s)) for c, s in zip(columns, shift, strict=True)]))
+
+
+class IncrementalPca:
+    """Principal components of batches that come one after the other: their Gram tables are added up."""
+
+    def __init__(self, grams: DataFrame | None = None) -> None:
+        self.grams = grams
+
+    def add(self, rows: DataFrame) -> IncrementalPca:
+        """The model with one more batch (id, vec)."""
+        own = gram(rows)
+        return IncrementalPca(own if self.grams is None else merge_gram(self.grams.unionByName(own)))
+
+    def pca(self, components: int) -> Pca:
+        return Pca(self.grams, components)
+
+    def save(self, spark, path: str) -> None:
+        self.grams.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> IncrementalPca:
+        return cls(spark.read.parquet(path))

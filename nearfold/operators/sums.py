@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .blocks import matrix
 
+HELD = 8_000_000  # numbers that a task holds before it passes on what it has summed
+
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
     g, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
@@ -22,6 +24,10 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
 def column_sums(rows: DataFrame, group: str | None = None) -> DataFrame:
     """(grp, pos, n, s, ss, low, high) of ``vec`` by group and component, added up per task first."""
 
+    def done(held: dict) -> Iterator[pa.RecordBatch]:
+        for g, (n, s, ss, low, high) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g, np.int64)), pa.array(np.arange(len(n), dtype=np.int64)), pa.array(n.astype(np.int64)), *map(pa.array, (s, ss, low, high))], ["grp", "pos", "n", "s", "ss", "low", "high"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
@@ -29,8 +35,10 @@ def column_sums(rows: DataFrame, group: str | None = None) -> DataFrame:
                 new = [np.full(x.shape[1], len(x)), x.sum(0), (x * x).sum(0), x.min(0), x.max(0)]
                 old = held.get(g)
                 held[g] = new if old is None else [*(a + b for a, b in zip(old[:3], new[:3], strict=True)), np.minimum(old[3], new[3]), np.maximum(old[4], new[4])]
-        for g, (n, s, ss, low, high) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g, np.int64)), pa.array(np.arange(len(n), dtype=np.int64)), pa.array(n.astype(np.int64)), *map(pa.array, (s, ss, low, high))], ["grp", "pos", "n", "s", "ss", "low", "high"])
+            if len(held) > HELD // 5 // max(1, len(next(iter(held.values()))[0])):
+                yield from done(held)
+                held = {}
+        yield from done(held)
 
     base = rows.select((F.col(group) if group else F.lit(0)).cast("long"), F.col("vec").cast("array<double>"))
     parts = base.mapInArrow(run, "grp long, pos long, n long, s double, ss double, low double, high double")
@@ -41,16 +49,22 @@ def column_sums(rows: DataFrame, group: str | None = None) -> DataFrame:
 def gram(rows: DataFrame, group: str | None = None) -> DataFrame:
     """(grp, i, j, n, si, sj, sij): the mergeable statistics of covariance, by group."""
 
+    def done(held: dict) -> Iterator[pa.RecordBatch]:
+        for g, (n, s, xx) in held.items():
+            d = len(s)
+            i, j = (a.ravel().astype(np.int64) for a in np.indices((d, d)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, g, np.int64)), pa.array(i), pa.array(j), pa.array(np.full(d * d, n, np.int64)), pa.array(s[i]), pa.array(s[j]), pa.array(xx.ravel())], ["grp", "i", "j", "n", "si", "sj", "sij"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             for g, x in _groups(batch):
                 n, s, xx = held.get(g, (0, 0.0, 0.0))
                 held[g] = n + len(x), s + x.sum(0), xx + x.T @ x
-        for g, (n, s, xx) in held.items():
-            d = len(s)
-            i, j = (a.ravel().astype(np.int64) for a in np.indices((d, d)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, g, np.int64)), pa.array(i), pa.array(j), pa.array(np.full(d * d, n, np.int64)), pa.array(s[i]), pa.array(s[j]), pa.array(xx.ravel())], ["grp", "i", "j", "n", "si", "sj", "sij"])
+            if len(held) > HELD // max(1, next(iter(held.values()))[2].size):
+                yield from done(held)
+                held = {}
+        yield from done(held)
 
     base = rows.select((F.col(group) if group else F.lit(0)).cast("long"), F.col("vec").cast("array<double>"))
     parts = base.mapInArrow(run, "grp long, i long, j long, n long, si double, sj double, sij double")

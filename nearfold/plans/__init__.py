@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curves, search, vectors
+from . import curves, search, storage, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = vectors.QUERIES | search.QUERIES | curves.QUERIES
-ORACLE_SQL: dict[str, str] = vectors.ORACLE_SQL | search.ORACLE_SQL | curves.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = vectors.QUERIES | search.QUERIES | curves.QUERIES | storage.QUERIES
+ORACLE_SQL: dict[str, str] = vectors.ORACLE_SQL | search.ORACLE_SQL | curves.ORACLE_SQL | storage.ORACLE_SQL

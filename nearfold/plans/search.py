@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import CF_DISTANCES, cf_diameter, cf_merge, cf_radius
 from ..operators.clusters import Birch, assign, summary
-from ..operators.index import CellIndex, ClusterIndex, ShellIndex, VantageIndex, cell_of, cost, median_tree, ranked
+from ..operators.index import CellIndex, ClusterIndex, VantageIndex, VantageTree, cell_of, cost, median_tree, ranked
+from ..operators.scaling import sample
 from ..operators.sums import cluster_features, merge_cluster_features
 from ..shared import new_path, staged
 from ..sources.features import read_clusters, write_clusters
@@ -17,7 +20,10 @@ from .vectors import K, _knn_sql
 
 POINTS, NEAREST = 10, 3
 DEPTH, SHELLS, WIDTH = 4, 8, 64
+BRANCHING, LEVELS = 5, 3
 THRESHOLD = 0.9
+GLOBAL = 50
+SWEEP = (4, 12, 20)
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -93,22 +99,39 @@ def cluster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.filter("cluster_id = 3").join(clusters, "cluster_id").select("id", F.col("cluster_id").cast("long").alias("cluster_id"), "size", F.round("dist", 6).alias("dist"))
 
 
+def _birch(rows: DataFrame) -> DataFrame:
+    """Features of the rows of even ids, continued with those of odd ids as a second batch."""
+    birch, even = Birch(THRESHOLD), F.col("id") % 2 == 0
+    return staged(birch.fit(rows.filter(~even), start=staged(birch.fit(rows.filter(even)), "first")), "features")
+
+
 def birch_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of BIRCH over the table, continued over the same rows as a second batch."""
-    rows, birch = vectors(spark, sf_dir), Birch(THRESHOLD)
-    features = staged(birch.fit(rows, start=staged(birch.fit(rows), "first")), "features")
+    """Clusters of BIRCH over the table, in two batches."""
     cf = F.struct("n", "ls", "ss")
-    return features.select("cluster_id", "n", F.round(cf_radius(cf), 6).alias("radius"))
+    return _birch(vectors(spark, sf_dir)).select("cluster_id", "n", F.round(cf_radius(cf), 6).alias("radius"))
+
+
+def birch_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of BIRCH whatever the order: features add up to the data and stay below the threshold, and
+    every row and every feature has one cluster."""
+    rows = vectors(spark, sf_dir)
+    features, cf = _birch(rows), F.struct("n", "ls", "ss")
+    total = F.aggregate("ls", F.lit(0.0), lambda a, x: a + x)
+    sums = features.agg(F.sum("n").alias("n"), F.round(F.sum(total), 4).alias("ls"), F.round(F.sum("ss"), 4).alias("ss"), F.coalesce(F.bool_and((cf_radius(cf) < THRESHOLD) | (F.col("n") == 1)), F.lit(True)).alias("below"))
+    labels = Birch(THRESHOLD).labels(rows, features).join(features.select("cluster_id"), "cluster_id").agg(F.count_distinct("id").alias("labelled"), F.count(F.lit(1)).alias("labels"))
+    merged = Birch.global_clusters(features, GLOBAL).agg((F.count_distinct("global_id") <= GLOBAL).alias("few"), (F.count(F.lit(1)) == F.count_distinct("cluster_id")).alias("once"))
+    return sums.crossJoin(labels).crossJoin(merged)  # one row each
 
 
 def birch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, birch = vectors(spark, sf_dir), Birch(THRESHOLD)
-    out = birch.labels(rows, staged(birch.fit(rows), "features"))
+    rows = vectors(spark, sf_dir)
+    out = Birch(THRESHOLD).labels(rows, _birch(rows))
     return out.select("id", "cluster_id", F.round("dist", 6).alias("dist"))
 
 
-def _index(rows: DataFrame) -> ClusterIndex:
-    centres = _centres(rows)
+def _index(rows: DataFrame, clusters: int | None = None) -> ClusterIndex:
+    """Around as many rows, those of the least hash; the root of the number of rows unless given."""
+    centres = sample(rows, clusters or int(sqrt(rows.count())), "c1").select(F.col("id").alias("cluster_id"), "vec")
     members = staged(assign(rows, centres).join(rows.select("id", "vec"), "id"), "members")
     return ClusterIndex(members, centres)
 
@@ -144,6 +167,16 @@ def search_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("rule", *[F.round(c, 6).alias(c) for c in ("avg_step1", "avg_step2", "avg_disk", "cost")])
 
 
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean work of the same queries by number of clusters."""
+    rows = vectors(spark, sf_dir)
+    queries, parts = staged(_lifted(rows), "queries"), []
+    for n in SWEEP:
+        parts.append(_index(rows, n).metrics(queries, K, "exact").withColumn("clusters", F.lit(n).cast("long")))
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.groupBy("clusters").agg(*[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("step1", "step2", "n_clusters")])
+
+
 def _points(rows: DataFrame) -> list:
     return [(r.id, list(r.vec)) for r in rows.orderBy("id").limit(POINTS).collect()]
 
@@ -173,12 +206,20 @@ def cell_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shell_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return _result(ShellIndex(rows, _points(rows)[0][1], SHELLS).knn(_lifted(rows), K)) if _points(rows) else _result(spark.createDataFrame([], "qid long, id long, dist double, rank int"))
+    """Shells around the row of the lowest id."""
+    first = rows.orderBy("id").limit(1).collect()
+    return _result(VantageTree(rows, SHELLS, point=first[0].vec if first else None).knn(_lifted(rows), K))
+
+
+def vp_tree_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vantage-point tree of ``LEVELS`` levels."""
+    rows = vectors(spark, sf_dir)
+    return _result(VantageTree(rows, BRANCHING, LEVELS).knn(_lifted(rows), K))
 
 
 QUERIES = {f.__name__: f for f in (
     cf_by_label, cf_radius_diameter, cf_distances, cf_merged, cf_incremental, stream_cluster_features, cluster_assign, cluster_summary, cluster_files,
-    birch_clusters, birch_labels, search_metrics, search_cost, vantage_filter, vantage_knn, kd_cells, cell_knn, shell_knn,
+    birch_clusters, birch_labels, birch_sums, cluster_sweep, search_metrics, search_cost, vantage_filter, vantage_knn, kd_cells, cell_knn, shell_knn, vp_tree_knn,
 )} | {f"cluster_knn_{rule}": _cluster_knn(rule) for rule in ("exact", "memory", "disk")}
 
 _LIFTED = Q.replace("SELECT id AS qid, vec FROM v", "SELECT id AS qid, list_transform(vec, lambda e: e + 0.01) AS vec FROM v")
@@ -191,12 +232,15 @@ _AB = _CF + """, ab AS (SELECT a.k, a.n AS n1, b.n AS n2, a.ss AS s1, b.ss AS s2
   list_distance(list_transform(a.ls, lambda e: e / a.n), list_transform(b.ls, lambda e: e / b.n)) AS far,
   list_sum(list_transform(list_zip(a.ls, b.ls), lambda p: abs(p[1] / a.n - p[2] / b.n))) AS man FROM cf a JOIN cf b ON b.k = a.k + 1),
 mm AS (SELECT *, n1 + n2 AS n, s1 + s2 AS ss, a2 + b2 + 2 * ab AS l2 FROM ab)"""
-_ASSIGN = CENTRES + """, ad AS (SELECT v.id, v.vec, cluster_id, round(list_distance(v.vec, centre), 9) AS dist FROM v, ctr),
+_MEMBERS = """, ad AS (SELECT v.id, v.vec, cluster_id, round(list_distance(v.vec, centre), 9) AS dist FROM v, ctr),
 mem AS (SELECT id, any_value(vec) AS vec, arg_min(cluster_id, (dist, cluster_id)) AS cluster_id, min(dist) AS dist FROM ad GROUP BY id),
 cl AS (SELECT cluster_id, count(*) AS size, max(dist) AS radius, min(dist) AS nearest FROM mem GROUP BY cluster_id)"""
+_ASSIGN = CENTRES + _MEMBERS
+_ROOTS = V + ", ctr AS (SELECT id AS cluster_id, vec AS centre FROM v ORDER BY md5(id || 'c1'), id LIMIT (SELECT {limit} FROM v))" + _MEMBERS
+_ROOT_OF_N = "CAST(floor(sqrt(count(*))) AS BIGINT)"
 
 
-def _steps_sql(rule: str) -> str:
+def _steps_sql(rule: str, limit: str = _ROOT_OF_N) -> str:
     """CTEs up to ``vis`` (visited clusters) and ``cand`` (candidates) of a rule."""
     tau = {
         "exact": f"tau AS (SELECT qid, max(u) AS tau FROM (SELECT qid, d + dist AS u, row_number() OVER (PARTITION BY qid ORDER BY d + dist, id) AS r FROM seeds JOIN mem USING (cluster_id)) WHERE r <= {K} GROUP BY qid)",
@@ -207,7 +251,7 @@ def _steps_sql(rule: str) -> str:
     ring = "abs(m.dist - d) <= tau + 1e-9" if rule == "exact" else "m.dist > d - tau"
     lifted = _LIFTED.split(", q AS ", 1)[1]
     return f"""
-WITH {_ASSIGN}, q AS {lifted},
+WITH {_ROOTS.replace('{limit}', limit)}, q AS {lifted},
 pr AS (SELECT qid, q.vec AS qvec, cl.*, round(list_distance(q.vec, centre), 9) AS d FROM q, cl JOIN ctr USING (cluster_id)),
 sd AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY qid ORDER BY d, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {K} AS seed FROM pr),
 seeds AS (SELECT * FROM sd WHERE seed), {tau},
@@ -254,10 +298,13 @@ ORACLE_SQL = {
     "cluster_knn_memory": _steps_sql("memory") + _RANKED,
     "cluster_knn_disk": _steps_sql("disk") + _RANKED,
     "search_metrics": _steps_sql("exact") + _WORK + " SELECT * FROM work",
+    "cluster_sweep": " UNION ALL ".join(f"SELECT * FROM ({_steps_sql('exact', f'any_value({n})')}{_WORK} SELECT CAST({n} AS BIGINT) AS clusters, round(avg(step1), 6) AS avg_step1, round(avg(step2), 6) AS avg_step2, round(avg(n_clusters), 6) AS avg_n_clusters FROM work)" for n in SWEEP),
+    "birch_sums": f"WITH {V} SELECT CAST(count(*) AS BIGINT) AS n, round(sum(list_sum(vec)), 4) AS ls, round(sum(list_dot_product(vec, vec)), 4) AS ss, true AS below, count(DISTINCT id) AS labelled, count(*) AS labels, true AS few, true AS once FROM v",
     "search_cost": " UNION ALL ".join(_cost_sql(r) for r in ("exact", "memory", "disk")),
     "vantage_filter": _VANTAGE,
     "vantage_knn": _BRUTE,
     "cell_knn": _BRUTE,
     "shell_knn": _BRUTE,
+    "vp_tree_knn": _BRUTE,
     "kd_cells": _tree_sql(),
 }

@@ -12,9 +12,10 @@ from ..operators.clusters import grid_cells
 from ..operators.curves import upsert
 from ..operators.knn import knn
 from ..operators.ml import accuracy_by_width, importance
+from ..operators.quantiles import quantiles
 from ..operators.scaling import Pca, min_max, sample, split, standardise
 from ..operators.sums import column_sums, correlation, covariance, gram, merge_gram
-from ..shared import new_path
+from ..shared import new_path, staged
 from ..sources.features import first_columns, reorder, write_partitioned
 from ..sources.synthetic import blobs, uniform
 from ..sources.text import bezier_points
@@ -210,7 +211,9 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxplot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 box heights), moments and outliers of the norms by label."""
     v = vectors(spark, sf_dir).select("label", F.round(F.sqrt(dot(F.col("vec"), F.col("vec"))), 9).alias("x"))
-    box = v.groupBy("label").agg(*[F.percentile("x", p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.var_pop("x").alias("moment2"))
+    v = staged(v, "norms")
+    box = quantiles(v, "label", "x", [0.25, 0.5, 0.75]).select(F.col("grp").alias("label"), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    box = box.join(v.groupBy("label").agg(F.var_pop("x").alias("moment2")), "label")
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.when(F.col("x").between(low, high), F.col("x"))
     out = v.join(box, "label").groupBy("label", "q1", "median", "q3", "moment2").agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), (F.count(F.lit(1)) - F.count(inside)).alias("outliers"))
@@ -218,18 +221,20 @@ def boxplot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rf_importance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance(vectors(spark, sf_dir), trees=20, depth=5)
+    return importance(vectors(spark, sf_dir))
 
 
 def importance_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors cut to their ``WIDTH`` most important components."""
     rows = vectors(spark, sf_dir)
-    order = [r.pos for r in importance(rows, trees=20, depth=5).orderBy("rank").limit(WIDTH).collect()]
+    order = [r.pos for r in importance(rows).orderBy("rank").limit(WIDTH).collect()]
     return long_form(reorder(rows, order).select("id", "vec"))
 
 
 def cv_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracy_by_width(vectors(spark, sf_dir), [5, 64], folds=3)
+    rows = vectors(spark, sf_dir)
+    width = rows.select(F.size("vec")).first()
+    return accuracy_by_width(rows, [w for w in (1, 2, 4, 8, 16, 32, 64) if width and w <= width[0]])
 
 
 QUERIES = {f.__name__: f for f in (

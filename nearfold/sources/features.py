@@ -32,6 +32,30 @@ def read_tiles(spark: SparkSession, folder: str, field: str | int = "*", tile: s
     return rows.withColumn("field", part(1)).withColumn("tile", part(2))
 
 
+def read_tile_folders(spark: SparkSession, path: str, field: str | int | None = None, tile: str | int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """(id, columns..., field, tile) of tiles as ``write_tiles`` lays them out; other folders are never listed."""
+    names = list(columns or FEATURES)
+    schema = ", ".join(["id string", *(f"`{c}` double" for c in names), "field int", "tile int"])
+    rows = spark.read.schema(schema).option("header", "true").csv(path)
+    for c, value in (("field", field), ("tile", tile)):
+        rows = rows if value is None else rows.filter(F.col(c) == int(value))
+    return rows
+
+
+def write_targets(queries: DataFrame, path: str) -> None:
+    """Targets (qid, vec) as CSV: the id, then a column per component."""
+    width = queries.select(F.max(F.size("vec"))).first()[0] or 0
+    queries.select("qid", *[F.col("vec")[i].alias(str(i)) for i in range(width)]).write.mode("overwrite").csv(path, header=True)
+
+
+def read_targets(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
+    """(qid, vec) of CSV files with a header, the id first."""
+    names = spark.read.option("header", "true").csv(path).columns
+    schema = ", ".join([f"qid {id_type}", *(f"`{c}` double" for c in names[1:])])
+    rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").csv(path)
+    return as_vectors(rows, names[1:], "qid").withColumnRenamed("id", "qid")
+
+
 def as_vectors(rows: DataFrame, columns: list[str], identifier: str = "id") -> DataFrame:
     """(id, vec): the columns as one array of doubles."""
     return rows.select(F.col(identifier).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"))

@@ -10,7 +10,6 @@ from ..functions.curves import bezier
 
 #: A line of a density tree: axis, side, value and, at a leaf, the density.
 TREE_LINE = r"Var\.\s*([0-9]+)\s*(<=|>)\s*([-+0-9.eE]+)\s*:?\s*(?:f\(x\)=\s*([-+0-9.eE]+))?"
-MAX_TREE_LINES = 100_000
 
 
 def read_tree(spark: SparkSession, path: str) -> dict:
@@ -23,8 +22,6 @@ def parse_tree(lines: list[str]) -> dict:
     """``{"axis", "value", "left", "right"}`` down to leaves ``{"density"}``; left is ``<=``."""
     import re
 
-    if len(lines) > MAX_TREE_LINES:
-        raise ValueError(f"a tree of {len(lines)} lines; {MAX_TREE_LINES} at most")
     rows = [m.groups() for m in map(re.compile(TREE_LINE).search, lines) if m]
     root: dict = {}
     open_splits: list[dict] = []  # splits that still wait for their other side
@@ -43,11 +40,21 @@ def parse_tree(lines: list[str]) -> dict:
     return root
 
 
+def grow(tree: dict, path: str, axis: int, value: float) -> dict:
+    """The tree with its leaf at ``path`` ('0' left, '1' right) split by a rule; both halves keep the leaf's density."""
+    if not path:
+        if "axis" in tree:
+            raise ValueError("no leaf at this path")
+        return {"axis": axis, "value": float(value), "left": dict(tree), "right": dict(tree)}
+    side = "right" if path[0] == "1" else "left"
+    return tree | {side: grow(tree[side], path[1:], axis, value)}
+
+
 def path_points(path: Column | str) -> Column:
     """array<struct<cmd, nums array<double>>> of a path of M and Q commands."""
     p = F.col(path) if isinstance(path, str) else path
     parts = F.regexp_extract_all(p, F.lit(r"([A-Za-z][^A-Za-z]*)"))
-    numbers = lambda s: F.transform(F.filter(F.split(F.trim(F.substring(s, 2, 10_000)), r"[\s,]+"), lambda x: x != ""), lambda x: x.cast("double"))
+    numbers = lambda s: F.transform(F.filter(F.split(F.trim(F.substring(s, F.lit(2), F.length(s))), r"[\s,]+"), lambda x: x != ""), lambda x: x.cast("double"))
     return F.transform(parts, lambda s: F.struct(F.substring(s, 1, 1).alias("cmd"), numbers(s).alias("nums")))
 
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.vectors import cf_d2, cf_merge
 from nearfold.operators import curves, pairs
-from nearfold.operators.clusters import Birch, assign, summary
-from nearfold.operators.index import CellIndex, ClusterIndex, ShellIndex, VantageIndex, median_tree, ranked
+from nearfold.operators.clusters import Birch, CfTree, assign, summary
+from nearfold.operators.index import CellIndex, ClusterIndex, VantageIndex, VantageTree, median_tree, ranked
 from nearfold.operators.knn import knn
+from nearfold.operators.meet import meet
+from nearfold.operators.quantiles import quantiles
 from nearfold.operators.scaling import Pca, min_max, standardise
 from nearfold.operators.sums import cluster_features
-from nearfold.sources.text import parse_tree
+from nearfold.sources.text import grow, parse_tree, path_points
 
 #: Small point sets with answers by hand.
 SIX = [(9.0, 6.0), (4.0, 7.0), (5.0, 4.0), (7.0, 2.0), (8.0, 1.0), (2.0, 3.0)]
@@ -67,14 +69,15 @@ def test_every_exact_index_agrees_with_brute_force(spark, k):
     pivots = [(i, points[i].tolist()) for i in (0, 7, 100)]
     assert found(ranked(VantageIndex(rows, pivots).candidates(queries, k, 3), k)) == want
     assert found(CellIndex(rows, median_tree(rows, 4, 3)).knn(queries, k, 4)) == want
-    assert found(ShellIndex(rows, points[0].tolist(), 6).knn(queries, k)) == want
+    assert found(VantageTree(rows, 6, point=points[0].tolist()).knn(queries, k)) == want
+    assert found(VantageTree(rows, 3, 3).knn(queries, k)) == want
 
 
 def test_more_neighbours_than_rows(spark):
     rows, q = table(spark, SIX), spark.createDataFrame([(-1, [0.0, 0.0])], "qid long, vec array<double>")
     assert knn(q, rows, 50).count() == 6
     assert CellIndex(rows, median_tree(rows, 2, 1)).knn(q, 50, 2).count() == 6
-    assert ShellIndex(rows, [0.0, 0.0], 2).knn(q, 50).count() == 6
+    assert VantageTree(rows, 2, point=[0.0, 0.0]).knn(q, 50).count() == 6
     assert ranked(VantageIndex(rows, [(0, [9.0, 6.0])]).candidates(q, 50, 1), 50).count() == 6
 
 
@@ -214,3 +217,99 @@ def test_alignment_takes_the_last_before(spark):
     rows = curve(spark, [(1, "B", 1.0, 1.0, 0), (1, "R", 1.0, 2.0, 1), (1, "R", 5.0, 3.0, 2), (1, "B", 9.0, 4.0, 3), (2, "B", 1.0, 1.0, 4)])
     assert [(r.t, r.t2) for r in curves.align(rows, "B", "R", 2.0).collect()] == [(1.0, 1.0)]
     assert {r.id: r.present for r in curves.pair_bands(rows, "B", "R").collect()} == {1: 0, 2: 1}
+
+
+# --- quantiles, pruning, trees --------------------------------------------------------------
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_quantiles_are_exact(spark, accuracy):
+    """Also where the brackets are wide, with ties, one value, and a null group."""
+    rng = np.random.default_rng(accuracy)
+    groups = {"a": rng.normal(size=997), "b": np.round(rng.random(400), 1), "c": [3.0], "d": [1.0, 2.0], None: rng.random(50)}
+    rows = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None)], "g string, x double")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r.grp: (r.n, r.q) for r in quantiles(rows, "g", "x", ps, accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g][0] == len(xs) and np.allclose(got[g][1], np.quantile(xs, ps))
+
+
+def test_rings_prune_clustered_rows(spark):
+    """Around the root of N rows less than half of the rows are candidates, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    points = (rng.normal(size=(30, 1, 6)) * 8 + rng.normal(size=(30, 60, 6))).reshape(-1, 6)
+    rows = table(spark, points).cache()
+    queries = table(spark, points[::45] + 0.05, "qid").withColumn("qid", -F.col("qid") - 1)
+    centres = table(spark, points[:: len(points) // 42], "cluster_id")
+    index = ClusterIndex(assign(rows, centres).join(rows, "id"), centres)
+    assert found(index.knn(queries, 5)) == found(knn(queries, rows, 5))
+    work = index.metrics(queries, 5).collect()
+    assert np.mean([r.step2 for r in work]) < len(points) / 2 and np.mean([r.n_clusters for r in work]) < 21
+
+
+def test_cells_and_visits_in_parts(spark):
+    """Hot cells and many visits are cut; the nearest are the same."""
+    rng = np.random.default_rng(6)
+    rows = table(spark, rng.random((200, 3))).select(F.lit(1).alias("cell"), "id", "vec", F.lit(0.0).alias("far"))
+    visits = table(spark, rng.random((50, 3)), "qid").select("qid", F.col("vec").alias("qvec"), F.lit(1).alias("cell"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+    whole, parts = meet(visits, rows, 4).collect(), meet(visits, rows, 4, rows_part=30, visits_part=7)
+    assert sum(r.work for r in whole) == parts.agg(F.sum("work")).first()[0] == 200 * 50
+    best = lambda df: {(r.qid, r["rank"]): (r.id, r.dist) for r in ranked(df.filter("id IS NOT NULL"), 4).collect()}
+    assert best(parts) == best(meet(visits, rows, 4))
+    assert meet(visits, rows.limit(0), 4).count() == meet(visits.limit(0), rows, 4).count() == 0
+
+
+def test_feature_tree_splits_and_keeps_sums():
+    rng = np.random.default_rng(7)
+    points = rng.random((3_000, 2)) * 30
+    tree = CfTree(2, 1.0, "d0", "r", branching=5)
+    for p in points:
+        tree.add(1, p, float(p @ p))
+    n, ls, ss = tree.leaves()
+    assert n.sum() == 3_000 and np.allclose(ls.sum(0), points.sum(0)) and np.isclose(ss.sum(), (points**2).sum())
+    assert (np.sqrt(np.maximum(ss / n - (ls**2).sum(1) / n**2, 0)) < 1.0).all() and 100 < len(n) < 1_500
+
+    def depth(node):
+        assert node.k <= 5
+        return 1 if node.children is None else 1 + max(map(depth, node.children[: node.k]))
+
+    assert depth(tree.root) > 3
+
+
+def test_global_clusters(spark):
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(m, 0.5, (40, 2)) for m in (0, 20, 40)])
+    features = spark.createDataFrame(Birch(0.4).fit(table(spark, points)).collect())
+    merged = {r.cluster_id: r.global_id for r in Birch.global_clusters(features, 3).collect()}
+    sides = {(merged[r.cluster_id], round(r.ls[0] / r.n / 20)) for r in features.collect()}
+    assert len(sides) == 3 and Birch.global_clusters(features.limit(0), 3).count() == 0
+
+
+def test_tree_grown_by_rules():
+    tree = grow(grow({"density": 1.0}, "", 0, 0.5), "1", 1, 2)
+    assert tree == {"axis": 0, "value": 0.5, "left": {"density": 1.0}, "right": {"axis": 1, "value": 2.0, "left": {"density": 1.0}, "right": {"density": 1.0}}}
+
+
+def test_slotted_autocorrelation_and_autoregression():
+    rng = np.random.default_rng(11)
+    t = np.sort(rng.random(80) * 40)
+    y = rng.normal(size=80)
+    y -= y.mean()
+    i, j = np.triu_indices(80)
+    slot = np.floor(t[j] - t[i] + 0.5)
+    want = np.array([(y[i] * y[j])[slot == k].mean() for k in range(curves.SLOTS)])
+    assert np.allclose(curves.slotted_autocorrelation(t, y), want / want[0])
+    x, walk = 0.0, []
+    for d in np.diff(np.r_[t[0] - 1, t]):
+        a = np.exp(-d / 5.0)
+        x = x * a + rng.normal() * np.sqrt(5.0 * 0.6**2 / 2 * (1 - a * a))
+        walk.append(x)
+    mean, sigma, tau = curves.autoregressive(t, np.array(walk) + 10, np.full(80, 0.01))
+    assert 0.3 < sigma < 1.2 and 1 < tau < 25 and abs(mean * tau - np.mean(walk) - 10) < 1e-9
+
+
+def test_paths_of_any_length(spark):
+    path = "M 0 0 Q " + " ".join(f"{i} {i % 7} {i + 1} 0" for i in range(4_000))
+    found_ = spark.createDataFrame([(1, path)], "id long, path string").select(path_points("path").alias("p")).first().p
+    assert len(found_[1].nums) == 16_000
