@@ -56,7 +56,17 @@ def test_edges(spark, tmp_path):
     folder = save(table(spark, edge_rows()), tmp_path)
     for name in ("labels", "benchmark"):
         save(spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0), tmp_path, name)
-    assert corpus_pipeline.run(spark, folder).count() > 0
+    # no label: all score 0.5 and stay; no line is in ten documents; of copies and empty texts one stays
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plain = {r.doc_id: r.text for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    left = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    assert set(left) == {1, 4, 5, 7, 8, 9, None} and docs.count() == 7
+    assert all(left[i] == (plain[i] or "", len(plain[i] or "")) for i in left)
+    taken = {r.doc_id: r["copies"] for r in mixing.copies(docs).collect()}
+    mixed = [(r.doc_id, r["copy"]) for r in corpus_pipeline.run(spark, folder).collect()]
+    assert sorted(mixed, key=str) == sorted(((i, c) for i, n in taken.items() for c in range(1, n + 1)), key=str)
     empty = save(table(spark, []), tmp_path / "empty")
     for name in ("labels", "benchmark"):
         save(spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0), tmp_path / "empty", name)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from nearfold.llm import quality
 from nearfold.llm.common import fold
@@ -52,3 +55,25 @@ def test_edges(spark, tmp_path):
     out = quality.score(clash, none)
     assert out.columns[-1] == "_score" and {r["_score"] for r in out.collect()} == {0.5}
     assert quality.score(table(spark, []), none).count() == 0
+
+
+def test_query_equals_a_plain_fit(spark):
+    """The scores of the query are those of a model fitted here, on rows chosen in plain Python."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    y = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    own = [i for i in docs if i in y and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert 20 < len(own) < quality.MAX_TRAIN
+    x, t = np.array([quality.features(docs[i]) for i in own]), np.array([y[i] for i in own])
+    order = np.lexsort([*x.T, t])
+    model = quality.AdditiveModel(x[order], t[order])
+    want = dict(zip(docs, model.score(np.array([quality.features(v) for v in docs.values()])), strict=True))
+    got = quality.op9_quality(spark, folder).collect()
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-9 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def test_the_bound_holds_where_ids_repeat(spark):
+    docs = table(spark, [(i % 5, f"text {i} of many") for i in range(500)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    assert quality.examples(docs, labels, "quality", F.lit(True), 2).count() == 2
+    assert quality.examples(docs, labels, "quality", F.lit(True), 50).count() == 5
