@@ -10,9 +10,11 @@ nothing about the label count little, but none is left out.  Terms that no examp
 and are no part of a vector.
 
 The index keeps postings by term over the examples, ordered so that like examples stand together,
-cut into blocks of ``BLOCK``; for each term and block it keeps the largest weight.  A query takes
-the upper bound of every block (the sum over its terms), scores blocks from the largest bound down
-and stops once the bound is below the ``K``-th best cosine so far, so the K nearest are exact; ties
+cut into blocks of ``BLOCK``.  The commonest terms, up to ``DENSE``, are columns of a matrix with the
+largest weight of each block beside it; the short postings of the others are summed.  A query takes
+the upper bound of every block, and blocks are scored from the largest bound down, for those queries
+whose bound reaches their ``K``-th best cosine so far.  Single precision only chooses candidates, which
+are scored again in double precision within its rounding, so the K nearest are exact; ties
 go to the lower doc_id.  Neighbours vote with weight 1 / (``SOFT`` + distance), the prior counts as
 one neighbour, and a logistic curve fitted on the examples, each without itself, makes votes scores;
 those votes are taken in tasks.  Documents without any term of the examples have no neighbours: they
@@ -30,10 +32,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +51,8 @@ from .quality import examples, with_texts
 EXAMPLES = 12_000
 STEM = 5
 FLOOR, HALF = 0.02, 18.0
-K, BLOCK, LEAD, SOFT = 15, 64, 8, 0.05
+K, BLOCK, TOGETHER, SOFT = 15, 64, 64, 0.05
+DENSE, DENSE_SHARE = 512, 0.01
 CACHE = 20_000
 
 
@@ -55,113 +61,138 @@ def term(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
-def word_terms(word: bytes) -> list[int]:
-    """The word and its stem, which ends in ``*``, as hashes."""
-    return [term(word), term(word[:STEM] + b"*")] if len(word) > STEM else [term(word)]
+class Words(dict):
+    """Hashes of a word and its stem, which ends in ``*`` (0 if the word is no longer than that), remembered."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        own = self[word] = term(word), term(word[:STEM] + b"*") if len(word) > STEM else 0
+        return own
 
 
 class TermCounter:
     """Counts of terms in texts, by their place in a table of terms if given, else by their hash."""
 
     def __init__(self, table: np.ndarray | None = None) -> None:
-        self.table, self.known = table, {}
-
-    def _of(self, word: bytes) -> tuple[int, ...]:
-        own = word_terms(word)
-        if self.table is None:
-            return tuple(own)
-        at = np.minimum(np.searchsorted(self.table, own), len(self.table) - 1) if len(self.table) else []
-        return tuple(int(i) for i, t in zip(at, own, strict=False) if self.table[i] == t)
-
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Terms ascending, and their counts."""
-        known = self.known
-        if len(known) > CACHE * 5:
-            known.clear()
-        ids, counts = [], []
-        for w, n in Counter(tokens(text)).items():
-            own = known.get(w)
-            if own is None:
-                own = known[w] = self._of(w)
-            ids += own
-            counts += [n] * len(own)
-        t, which = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return t, np.bincount(which, counts, len(t)).astype(np.int64)
-
-
-def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
-    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+        self.table, self.known = table, Words()
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms ascending, and their counts, of each text; terms are looked up for all texts at once."""
+        if len(self.known) > CACHE * 5:
+            self.known.clear()
+        held = [Counter(tokens(t)) for t in texts]
+        total = sum(map(len, held))
+        hashes = np.fromiter(chain.from_iterable(map(self.known.__getitem__, chain.from_iterable(held))), np.int64, 2 * total)
+        counts = np.repeat(np.fromiter(chain.from_iterable(c.values() for c in held), np.int64, total), 2)
+        owner = np.repeat(np.arange(len(texts)), [2 * len(c) for c in held])
+        on = hashes != 0
+        hashes, counts, owner = hashes[on], counts[on], owner[on]
+        names, which = np.unique(hashes, return_inverse=True)
+        if self.table is not None:
+            at = np.minimum(np.searchsorted(self.table, names), max(0, len(self.table) - 1))
+            place = np.where(self.table[at] == names, at, -1) if len(self.table) else np.full(len(names), -1)
+            on = place[which] >= 0
+            owner, which, counts = owner[on], which[on], counts[on]
+            names = place
+        size = max(1, len(names))
+        cells, back = np.unique(owner * size + which, return_inverse=True)  # a stem adds up the words that share it
+        terms, total = names[cells % size], np.bincount(back, counts, len(cells)).astype(np.int64)
+        cuts = np.searchsorted(cells, np.arange(len(texts) + 1) * size)
+        return [(terms[a:z], total[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors of examples."""
+    """Exact top-k cosine over sparse unit vectors of examples, for many queries at once."""
 
     def __init__(self, start: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> None:
         """Vector e: ``terms`` (below ``size``) and ``weights`` from start[e] to start[e + 1]; in order of the examples' ids."""
-        n = len(start) - 1
-        owner = np.repeat(np.arange(n), np.diff(start))
-        by = np.lexsort([terms, -weights.round(3), owner])
-        lead = np.full((n, 8), size, np.int64)  # the heaviest terms of each
-        rank = np.arange(len(by)) - start[owner[by]]
-        few = by[rank < 8]
-        lead[owner[few], rank[rank < 8]] = terms[few]
-        self.order = np.lexsort([np.arange(n), *lead.T[::-1]])  # place -> example
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        self.blocks = max(1, -(-n // BLOCK))
-        at = place[owner]
-        by = np.lexsort([at, terms])  # postings by term, then place
-        t, at, w = terms[by], at[by], weights[by].astype(np.float32)
-        block = at // BLOCK
-        cell = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (block[1:] != block[:-1])]) if len(t) else np.zeros(0, np.int64)
-        self.cell_term = np.searchsorted(t[cell], np.arange(size + 1)).astype(np.int32)
-        self.cell_block, self.cell_start = block[cell].astype(np.int32), np.r_[cell, len(t)].astype(np.int32)
-        self.cell_max = np.maximum.reduceat(w, cell) if len(cell) else w  # block-max
-        self.place, self.weight = (at % BLOCK).astype(np.uint8), w
-        self.example = np.append(self.order, np.full(self.blocks * BLOCK - n, -1)).reshape(-1, BLOCK)
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest with a common term, best first, ties by example.
-
-        Blocks are scored from the largest bound down, ``LEAD`` together, then twice as many each time.
-        """
-        begin = self.cell_term[terms]
-        count = self.cell_term[terms + 1] - begin
-        cells = _ranges(begin, count)
-        if not len(cells):
-            return []
-        own, block = np.repeat(weights, count), self.cell_block[cells]
-        bound = np.bincount(block, own * self.cell_max[cells], self.blocks) + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        bound = bound[order]
-        found, cosine, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, LEAD
-        slot = np.empty(self.blocks, np.int64)
-        while at < len(order) and bound[at] >= kth and bound[at] > 1e-9:
-            stop = min(at + step, int(np.searchsorted(-bound, -max(kth, 1.1e-9), side="right")))
-            blocks = order[at:stop]
-            slot[:] = -1
-            slot[blocks] = np.arange(len(blocks)) * BLOCK
-            here = np.flatnonzero(slot[block] >= 0)
-            first = self.cell_start[cells[here]]
-            many = self.cell_start[cells[here] + 1] - first
-            post = _ranges(first, many)
-            row = np.repeat(slot[block[here]], many) + self.place[post]
-            score = np.bincount(row, np.repeat(own[here], many) * self.weight[post], len(blocks) * BLOCK).round(12)
-            hit = np.flatnonzero((score > 0) & (score >= kth))
-            name = self.example[blocks].ravel()[hit]
-            hit, name = hit[name != without], name[name != without]
-            found, cosine = np.r_[found, name], np.r_[cosine, score[hit]]
-            if len(found) > k:
-                on = cosine >= np.partition(cosine, -k)[-k]
-                found, cosine = found[on], cosine[on]
-                on = np.lexsort([found, -cosine])[:k]
-                found, cosine = found[on], cosine[on]
-            if len(found) == k:
-                kth = cosine.min()
-            at, step = stop, step * 2
-        best = np.lexsort([found, -cosine])
-        return [(int(found[x]), float(cosine[x])) for x in best]
+        self.n = len(start) - 1
+        lead = np.full((self.n, 8), size, np.int64)  # the heaviest terms of each
+        for e, (a, z) in enumerate(zip(start[:-1].tolist(), start[1:].tolist(), strict=True)):
+            first = np.lexsort([terms[a:z], -weights[a:z].round(3)])[:8]
+            lead[e, : len(first)] = terms[a:z][first]
+        self.example = np.lexsort([np.arange(self.n), *lead.T[::-1]])  # by place: like examples stand together
+        self.place_of = np.empty(self.n, np.int32)
+        self.place_of[self.example] = np.arange(self.n)
+        at = np.repeat(self.place_of, np.diff(start))
+        by = np.argsort(terms.astype(np.int64) << 32 | at)  # postings by term, then place
+        self.places, self.weights = at[by].astype(np.int32), weights[by].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=size))]).astype(np.int32)
+        self.matrix: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"matrix": None}  # made in each process
+
+    def _prepare(self) -> None:
+        """The commonest terms as columns of a matrix, and the largest weight of each in every block."""
+        df = np.diff(self.starts)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        common = common[df[common] >= DENSE_SHARE * self.n]
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.blocks = max(1, -(-self.n // BLOCK))
+        self.matrix = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        for c, t in enumerate(common):
+            s = slice(self.starts[t], self.starts[t + 1])
+            self.matrix[self.places[s], c] = self.weights[s]
+        self.highest = self.matrix.reshape(self.blocks, BLOCK, -1).max(1)
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """(example, cosine) of the k nearest with a common term for each query (terms, weights), best first, ties
+        by example; ``without`` leaves one example out for each."""
+        if self.matrix is None:
+            self._prepare()
+        out = []
+        for at in range(0, len(queries), TOGETHER):
+            out += self._top(queries[at : at + TOGETHER], k, without[at : at + TOGETHER] if without else None)
+        return out
+
+    def _top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> list[list[tuple[int, float]]]:
+        m, width = len(queries), self.blocks * BLOCK
+        own = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+        column = self.column[terms]
+        dense = column >= 0
+        exact = np.zeros((m, self.matrix.shape[1]))
+        exact[own[dense], column[dense]] = weights[dense]
+        wanted = exact.astype(np.float32)
+        # postings of the other terms are short: they are summed
+        own, terms, weights = own[~dense], terms[~dense], weights[~dense]
+        begin = self.starts[terms].astype(np.int64)
+        many = self.starts[terms + 1] - begin
+        post = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
+        key = np.repeat(own * width, many) + self.places[post]
+        sums = np.bincount(key, np.repeat(weights, many) * self.weights[post], m * width).reshape(m, width)
+        if without is not None:
+            sums[np.arange(m), self.place_of[without]] = -10.0
+        eps = (exact.shape[1] + 4) * 2.0**-23 * (exact @ self.highest.max(0, initial=0)) + 1e-9  # rounding of a single-precision product
+        bound = sums.reshape(m, self.blocks, BLOCK).max(2) + (wanted @ self.highest.T) + eps[:, None]
+        best, limit = np.zeros((m, k)), np.zeros(m)
+        found, scores = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+        for b in np.argsort(-bound.max(0), kind="stable"):
+            live = np.flatnonzero(bound[:, b] >= np.maximum(limit, 1e-12))
+            if not len(live):
+                continue
+            s = slice(b * BLOCK, (b + 1) * BLOCK)
+            score = wanted[live] @ self.matrix[s].T + sums[live, s]
+            hit = (score > 0) & (score >= limit[live, None])
+            q, at = np.nonzero(hit)
+            if not len(q):
+                continue
+            found.append(np.stack([live[q], s.start + at]))
+            scores.append(score[q, at])
+            some = np.flatnonzero(hit.any(1))
+            both = np.concatenate([best[live[some]], np.where(hit[some], score[some], 0)], 1)
+            both.partition(both.shape[1] - k, axis=1)
+            best[live[some]] = both[:, -k:]
+            limit[live[some]] = np.maximum(both[:, -k] - 2 * eps[live[some]], 0)
+        (q, at), score = np.concatenate(found, 1), np.concatenate(scores)
+        on = np.flatnonzero(score >= limit[q])
+        q, at = q[on], at[on]
+        cosine = (sums[q, at] + np.einsum("ih,ih->i", self.matrix[at].astype(np.float64), exact[q])).round(12)
+        name = self.example[np.minimum(at, self.n - 1)]
+        by = np.lexsort([name, -cosine, q])
+        cuts = np.searchsorted(q[by], np.arange(m + 1))
+        return [[(int(name[x]), float(cosine[x])) for x in by[a:z] if cosine[x] > 0][:k] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def association(terms: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
@@ -185,38 +216,38 @@ class ToxicityModel:
     def __init__(self, table: np.ndarray, df: np.ndarray, n: int, ids: list, y: np.ndarray, start: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
         """table: all terms, ascending; df: documents with each, of n; terms: places in the table."""
         self.table, self.ids, self.y = table, ids, y
-        owner = np.repeat(np.arange(len(y)), np.diff(start))
+        owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
         self.factor = (np.log((n + 1) / (df + 1)) + 1e-6) * association(terms, owner, y, len(table))
-        w = (1 + np.log(counts)) * self.factor[terms]
-        w /= np.sqrt(np.maximum(np.bincount(owner, w**2, len(y)), 1e-300))[owner]
+        w = 1 + np.log(counts)
+        w *= self.factor[terms]
+        w /= np.sqrt(np.maximum(np.bincount(owner, w * w, len(y)), 1e-300))[owner]
+        del owner
         self.index = BlockMaxIndex(start, terms, w, len(table))
         bare = np.diff(start) == 0
         self.prior = (y.sum() + 1) / (len(y) + 2)
         self.bare = (y[bare].sum() + 1) / (bare.sum() + 2)
-        self.curve = 1.0, 0.0
         self.cache: dict[bytes, tuple[float, list]] = {}
 
-    def near(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> list[tuple[int, float]]:
-        w = (1 + np.log(counts)) * self.factor[terms]
-        return self.index.top(terms, w / np.sqrt((w**2).sum()), K, without)
+    def near(self, counted: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """The nearest examples of texts with terms, given as (terms, counts)."""
+        vectors = [(t, (1 + np.log(c)) * self.factor[t]) for t, c in counted]
+        return self.index.top([(t, w / np.sqrt((w**2).sum())) for t, w in vectors], K, without)
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         w = [1 / (SOFT + max(0.0, 1 - c)) for _, c in near]
         return (sum(x * self.y[e] for x, (e, _) in zip(w, near, strict=True)) + self.prior) / (sum(w) + 1)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        """(score, [(doc_id, label, cosine) of the three nearest])."""
-        if not len(terms):
-            return float(self.bare), []
-        key = xxhash.xxh3_128_digest(terms.tobytes() + counts.tobytes())
-        if key not in self.cache:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            near = self.near(terms, counts)
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]], curve: tuple[float, float]) -> list[tuple[float, list]]:
+        """(score by this logistic curve of the vote, [(doc_id, label, cosine) of the three nearest]) of each text."""
+        a, b = curve
+        keys = [xxhash.xxh3_128_digest(t.tobytes() + c.tobytes()) if len(t) else b"" for t, c in counted]
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        new = {key: i for i, key in enumerate(keys) if key and key not in self.cache}
+        for key, near in zip(new, self.near([counted[i] for i in new.values()]), strict=True):
             v = self.vote(near)
-            a, b = self.curve
             self.cache[key] = float(1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b)))), [(self.ids[e], int(self.y[e]), c) for e, c in near[:3]]
-        return self.cache[key]
+        return [self.cache[key] if key else (float(self.bare), []) for key in keys]
 
 
 def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -240,8 +271,7 @@ def _examples(docs: DataFrame, labels: DataFrame, column: str, learn: Column) ->
     names = ["sign", "terms", "counts"]
 
     def run(texts: list[bytes]) -> list[pa.Array]:
-        count = TermCounter()
-        held = [count(t) for t in texts]
+        held = TermCounter()(texts)
         sign = [xxhash.xxh3_128_digest(b" ".join(tokens(t))) for t in texts]
         return [pa.array(sign, pa.binary()), *(pa.array([h[i].tobytes() for h in held], pa.binary()) for i in (0, 1))]
 
@@ -257,8 +287,9 @@ def _frequencies(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, df, n = TermCounter(held.value), np.zeros(len(held.value), np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                df[count(text.as_py())[0]] += 1
+            for at in range(0, batch.num_rows, 512):
+                for t, _ in count(batch.column(0).slice(at, 512).to_pylist()):
+                    df[t] += 1
             n += batch.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], ["place", "n"])
@@ -269,39 +300,38 @@ def _frequencies(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> ToxicityModel:
-    """The model of ``labels.column`` from documents that may be learnt from."""
+def fit(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> tuple[Broadcast, tuple[float, float]]:
+    """The model of ``labels.column`` from documents that may be learnt from, and the curve of its votes."""
+    spark = docs.sparkSession
     table = _examples(docs, labels, column, learn)
     rows = table.orderBy("doc_id").toArrow()  # at most EXAMPLES
-    y = rows["y"].to_numpy().astype(np.int64)
-    parts = [np.frombuffer(t, np.int64) for t in rows["terms"].to_pylist()]
-    start = np.cumsum([0, *map(len, parts)])
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.int64)
-    known, terms = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_inverse=True)
+    y, ids = rows["y"].to_numpy().astype(np.int64), rows["doc_id"].to_pylist()
+    flat, counts = (np.frombuffer(b"".join(rows[c].to_pylist()), np.int64) for c in ("terms", "counts"))
+    start = np.concatenate([[0], np.cumsum(pc.binary_length(rows["terms"]).to_numpy() // 8)]).astype(np.int64)
+    counts = counts.astype(np.int32)
+    del rows
+    known, terms = np.unique(flat, return_inverse=True)
+    terms = terms.astype(np.int32)
+    del flat
     df, n = _frequencies(docs, known)
-    model = ToxicityModel(known, df, n, rows["doc_id"].to_pylist(), y, start, terms, counts)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(ToxicityModel(known, df, n, ids, y, start, terms, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {i: e for e, i in enumerate(held.value.ids)}
         for batch in batches:
-            votes, own = [], []
-            for i, label, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if t:
-                    at = np.searchsorted(held.value.table, np.frombuffer(t, np.int64))
-                    votes.append(held.value.vote(held.value.near(at, np.frombuffer(c, np.int64), place[i])))
-                    own.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(own, pa.int32())], ["v", "y"])
-
-    dealt = table.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+            rows = [r for r in zip(*(x.to_pylist() for x in batch.columns), strict=True) if r[2]]
+            counted = [(np.searchsorted(held.value.table, np.frombuffer(t, np.int64)), np.frombuffer(c, np.int64)) for _, _, t, c in rows]
+            votes = [held.value.vote(x) for x in held.value.near(counted, [place[r[0]] for r in rows])]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array([r[1] for r in rows], pa.int32())], ["v", "y"])
+
+    dealt = table.repartition(4 * spark.sparkContext.defaultParallelism)
     votes = dealt.mapInArrow(run, "v double, y int").toPandas().sort_values(["v", "y"])
-    model.curve = _logistic(votes["v"].to_numpy(), votes["y"].to_numpy(float))
-    return model
+    return held, _logistic(votes["v"].to_numpy(), votes["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, column: str, learn: Column, keep_text: bool = True) -> DataFrame:
     """``docs`` (without ``text`` unless kept) with ``score`` and ``evidence``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column, learn))
+    model, curve = fit(docs, labels, column, learn)
     id_type = docs.schema["doc_id"].dataType
     near = T.StructType([T.StructField("doc_id", id_type), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
     arrow = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("toxic", pa.int32()), ("cosine", pa.float64())]))
@@ -311,7 +341,7 @@ def score(docs: DataFrame, labels: DataFrame, column: str, learn: Column, keep_t
     def run(texts: list[bytes]) -> list[pa.Array]:
         if not counters:
             counters.append(TermCounter(model.value.table))
-        rows = [model.value.score(*counters[0](t)) for t in texts]
+        rows = model.value.scores(counters[0](texts), curve)
         why = [[{"doc_id": d, "toxic": y, "cosine": s} for d, y, s in r] for _, r in rows]
         return [pa.array([s for s, _ in rows], pa.float64()), pa.array(why, arrow)]
 
