@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from . import decontaminate, line_dedup, lm_score, mixing, pii, quality, search, secrets_scan, simhash, toxicity
+    from . import centroids, decontaminate, line_dedup, lm_score, mixing, periodic_runs, pii, quality, search, secrets_scan, sharding, simhash, toxicity
 
-    return [mixing, line_dedup, pii, secrets_scan, simhash, decontaminate, quality, toxicity, lm_score, search]
+    return [mixing, line_dedup, pii, secrets_scan, simhash, decontaminate, quality, toxicity, lm_score, search, periodic_runs, sharding, centroids]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten ``op<N>_<name>`` queries."""
+    """The ``op<N>_<name>`` queries."""
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for m in _modules():
         out |= m.QUERIES
@@ -26,7 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for those of the ten queries that SQL can state."""
+    """DuckDB SQL for those of the queries that SQL can state."""
     out: dict[str, str] = {}
     for m in _modules():
         out |= m.ORACLE_SQL
