@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learnt from a bounded sample: up to ``EXAMPLES`` labelled rows (least hash of doc_id), of which those
+Learnt from a bounded sample: up to ``EXAMPLES`` labelled rows (least hash of doc_id) with ``POSTINGS`` terms
+together, of which those
 with the same words in the same order and the same label count once, are the examples.  Terms are
 words and, of words longer than ``STEM`` bytes, their first ``STEM`` bytes, so inflected forms share
 a term.  All terms of the examples are indexed.  Document frequencies are counted over all documents.
@@ -9,12 +10,17 @@ with the label (log-likelihood ratio among the examples) and is never below ``FL
 nothing about the label count little, but none is left out.  Terms that no example has can't match
 and are no part of a vector.
 
-The index keeps postings by term over the examples, ordered so that like examples stand together,
-cut into blocks of ``BLOCK``.  The commonest terms, up to ``DENSE``, are columns of a matrix with the
-largest weight of each block beside it; the short postings of the others are summed.  A query takes
-the upper bound of every block, and blocks are scored from the largest bound down, for those queries
-whose bound reaches their ``K``-th best cosine so far.  Single precision only chooses candidates, which
-are scored again in double precision within its rounding, so the K nearest are exact; ties
+The index is an inverted one: postings by term over the examples, ordered so that like examples stand
+together.  Tasks weigh the vectors, deal the postings by term and sort them; the driver gets the lists
+ready made.  Terms that more than ``SHARES`` of the examples hold fall into groups, the commonest last,
+and have the largest weight of every block of ``BLOCK`` examples beside them.  A query sums the lists of its
+rarer terms.  What the groups that are left can still give an example is bounded by their block maxima
+and, by Cauchy and Schwarz, by the norms of query and example within each group, whichever is less.
+The ``LEAD`` examples of the highest bounds are scored in full, which gives a limit that no example below
+it can pass; only those whose bound reaches it stay.  The next group's lists are summed only for queries with more
+than ``FEW`` examples left, then bounds and limit are drawn again; the few that stay are scored in full.
+So most postings of common terms are never looked at (``test_most_postings_are_skipped``).  Bounds allow for
+their rounding and scores are summed in double precision, so the K nearest are exact; ties
 go to the lower doc_id.  Neighbours vote with weight 1 / (``SOFT`` + distance), the prior counts as
 one neighbour, and a logistic curve fitted on the examples, each without itself, makes votes scores;
 those votes are taken in tasks.  Documents without any term of the examples have no neighbours: they
@@ -49,10 +55,13 @@ from .decontaminate import tokens
 from .quality import examples, with_texts
 
 EXAMPLES = 12_000
+POSTINGS = 8_000_000  # terms of all examples together: of longer texts fewer examples are taken
 STEM = 5
 FLOOR, HALF = 0.02, 18.0
-K, BLOCK, TOGETHER, SOFT = 15, 64, 64, 0.05
-DENSE, DENSE_SHARE = 512, 0.01
+K, BLOCK, TOGETHER, SOFT = 15, 64, 4, 0.05
+#: Groups of common terms, by the share of the examples that hold them more often than this.
+SHARES = (0.06, 0.1, 0.15, 0.22, 0.35, 0.52)
+LEAD, FEW, PARTS = 60, 512, 16
 CACHE = 20_000
 
 
@@ -103,38 +112,48 @@ class TermCounter:
 class BlockMaxIndex:
     """Exact top-k cosine over sparse unit vectors of examples, for many queries at once."""
 
-    def __init__(self, start: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> None:
-        """Vector e: ``terms`` (below ``size``) and ``weights`` from start[e] to start[e + 1]; in order of the examples' ids."""
-        self.n = len(start) - 1
-        lead = np.full((self.n, 8), size, np.int64)  # the heaviest terms of each
-        for e, (a, z) in enumerate(zip(start[:-1].tolist(), start[1:].tolist(), strict=True)):
-            first = np.lexsort([terms[a:z], -weights[a:z].round(3)])[:8]
-            lead[e, : len(first)] = terms[a:z][first]
-        self.example = np.lexsort([np.arange(self.n), *lead.T[::-1]])  # by place: like examples stand together
-        self.place_of = np.empty(self.n, np.int32)
-        self.place_of[self.example] = np.arange(self.n)
-        at = np.repeat(self.place_of, np.diff(start))
-        by = np.argsort(terms.astype(np.int64) << 32 | at)  # postings by term, then place
-        self.places, self.weights = at[by].astype(np.int32), weights[by].astype(np.float32)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=size))]).astype(np.int32)
+    def __init__(self, starts: np.ndarray, places: np.ndarray, weights: np.ndarray, example: np.ndarray) -> None:
+        """Postings by term, then place, from starts[t] to starts[t + 1]; ``example``: which one stands at each place."""
+        self.starts, self.places, self.weights, self.example = starts, places, weights, example
+        self.n = len(example)
         self.matrix: np.ndarray | None = None
+        self.watch = False  # whether the postings looked at are counted
+        self.scored = self.whole = 0
+
+    @classmethod
+    def of_vectors(cls, start: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> BlockMaxIndex:
+        """Vector e: ``terms`` (below ``size``) and ``weights`` from start[e] to start[e + 1]."""
+        lead = np.stack([heaviest(terms[a:z], weights[a:z], size) for a, z in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)])
+        example = together(lead)
+        place = np.empty(len(example), np.int64)
+        place[example] = np.arange(len(example))
+        at = np.repeat(place, np.diff(start))
+        by = np.lexsort([at, terms])
+        return cls(np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=size))]).astype(np.int32), at[by].astype(np.int32), weights[by].astype(np.float32), example)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"matrix": None}  # made in each process
 
     def _prepare(self) -> None:
-        """The commonest terms as columns of a matrix, and the largest weight of each in every block."""
+        """Block maxima, norms and weights of the common terms."""
         df = np.diff(self.starts)
-        common = np.argsort(-df, kind="stable")[:DENSE]
-        common = common[df[common] >= DENSE_SHARE * self.n]
+        group = np.searchsorted(np.array(SHARES) * self.n, df, side="left")  # 0: a rare term
+        common = np.flatnonzero(group)
+        common = common[np.argsort(group[common], kind="stable")]
         self.column = np.full(len(df), -1, np.int32)
         self.column[common] = np.arange(len(common))
+        self.cuts = np.searchsorted(group[common], np.arange(1, len(SHARES) + 2))  # columns of each group
         self.blocks = max(1, -(-self.n // BLOCK))
-        self.matrix = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        matrix = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
         for c, t in enumerate(common):
             s = slice(self.starts[t], self.starts[t + 1])
-            self.matrix[self.places[s], c] = self.weights[s]
-        self.highest = self.matrix.reshape(self.blocks, BLOCK, -1).max(1)
+            matrix[self.places[s], c] = self.weights[s]
+        self.highest = matrix.reshape(self.blocks, BLOCK, -1).max(1)
+        parts = [slice(x, y) for x, y in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        self.norms = np.stack([np.sqrt(np.einsum("ij,ij->i", matrix[:, s], matrix[:, s], dtype=np.float64)) for s in parts], 1)
+        self.place_of = np.empty(self.n, np.int64)
+        self.place_of[self.example] = np.arange(self.n)
+        self.matrix = matrix
 
     def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
         """(example, cosine) of the k nearest with a common term for each query (terms, weights), best first, ties
@@ -146,60 +165,87 @@ class BlockMaxIndex:
             out += self._top(queries[at : at + TOGETHER], k, without[at : at + TOGETHER] if without else None)
         return out
 
+    def _sums(self, own: np.ndarray, terms: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
+        """What these terms give each place, for each of m queries."""
+        width = self.blocks * BLOCK
+        begin = self.starts[terms].astype(np.int64)
+        many = self.starts[terms + 1] - begin
+        self.scored += int(many.sum())
+        post = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
+        return np.bincount(self.places[post] + np.repeat(own * width, many), np.repeat(weights, many) * self.weights[post], m * width).reshape(m, width)
+
     def _top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> list[list[tuple[int, float]]]:
-        m, width = len(queries), self.blocks * BLOCK
+        m = len(queries)
         own = np.repeat(np.arange(m), [len(t) for t, _ in queries])
         terms, weights = np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+        if self.watch:
+            self.whole += int((self.starts[terms + 1] - self.starts[terms]).sum())
         column = self.column[terms]
-        dense = column >= 0
-        exact = np.zeros((m, self.matrix.shape[1]))
-        exact[own[dense], column[dense]] = weights[dense]
-        wanted = exact.astype(np.float32)
-        # postings of the other terms are short: they are summed
-        own, terms, weights = own[~dense], terms[~dense], weights[~dense]
-        begin = self.starts[terms].astype(np.int64)
-        many = self.starts[terms + 1] - begin
-        post = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
-        key = np.repeat(own * width, many) + self.places[post]
-        sums = np.bincount(key, np.repeat(weights, many) * self.weights[post], m * width).reshape(m, width)
+        common = column >= 0
+        wanted = np.zeros((m, self.matrix.shape[1]))
+        wanted[own[common], column[common]] = weights[common]
+        sums = self._sums(own[~common], terms[~common], weights[~common], m)
         if without is not None:
             sums[np.arange(m), self.place_of[without]] = -10.0
-        eps = (exact.shape[1] + 4) * 2.0**-23 * (exact @ self.highest.max(0, initial=0)) + 1e-9  # rounding of a single-precision product
-        bound = sums.reshape(m, self.blocks, BLOCK).max(2) + (wanted @ self.highest.T) + eps[:, None]
-        best, limit = np.zeros((m, k)), np.zeros(m)
-        found, scores = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
-        for b in np.argsort(-bound.max(0), kind="stable"):
-            live = np.flatnonzero(bound[:, b] >= np.maximum(limit, 1e-12))
-            if not len(live):
-                continue
-            s = slice(b * BLOCK, (b + 1) * BLOCK)
-            score = wanted[live] @ self.matrix[s].T + sums[live, s]
-            hit = (score > 0) & (score >= limit[live, None])
-            q, at = np.nonzero(hit)
-            if not len(q):
-                continue
-            found.append(np.stack([live[q], s.start + at]))
-            scores.append(score[q, at])
-            some = np.flatnonzero(hit.any(1))
-            both = np.concatenate([best[live[some]], np.where(hit[some], score[some], 0)], 1)
-            both.partition(both.shape[1] - k, axis=1)
-            best[live[some]] = both[:, -k:]
-            limit[live[some]] = np.maximum(both[:, -k] - 2 * eps[live[some]], 0)
-        (q, at), score = np.concatenate(found, 1), np.concatenate(scores)
-        on = np.flatnonzero(score >= limit[q])
-        q, at = q[on], at[on]
-        cosine = (sums[q, at] + np.einsum("ih,ih->i", self.matrix[at].astype(np.float64), exact[q])).round(12)
+        groups = len(self.cuts) - 1
+        norm = np.sqrt(np.diff(np.concatenate([np.zeros((m, 1)), np.cumsum(wanted**2, 1)], 1)[:, self.cuts], axis=1).clip(0)) + 1e-9
+        single = wanted.astype(np.float32)
+        by_block = np.stack([single[:, x:y] @ self.highest[:, x:y].T for x, y in zip(self.cuts[:-1], self.cuts[1:], strict=True)], 1).astype(np.float64)
+        by_block = np.cumsum(by_block[:, ::-1], 1)[:, ::-1]  # what this group and those after it can give a block at most
+        eps = (wanted.shape[1] + 4) * 2.0**-23 * (wanted @ self.highest.max(0, initial=0)) + 1e-9  # rounding of a single-precision product
+        by_block += eps[:, None, None]
+        bound = sums + np.minimum(norm @ self.norms.T + 1e-9, np.repeat(by_block[:, 0], BLOCK, axis=1))
+        late = [(terms[x][np.argsort(column[x])], weights[x][np.argsort(column[x])], np.sort(column[x])) for x in (np.flatnonzero(common & (own == q)) for q in range(m))]
+        return [self._finish(sums[q], bound[q], wanted[q], norm[q], by_block[q], late[q], groups, k) for q in range(m)]
+
+    def _whole(self, at: np.ndarray, sums: np.ndarray, wanted: np.ndarray, group: int) -> np.ndarray:
+        """The cosines of places with sums so far, with what ``group`` and those after it give."""
+        on = self.cuts[group] + np.flatnonzero(wanted[self.cuts[group] :])
+        rows = self.matrix[at[:, None], on]
+        if self.watch:
+            self.scored += int(np.count_nonzero(rows))
+        return sums + rows.astype(np.float64) @ wanted[on]
+
+    def _finish(self, sums: np.ndarray, bound: np.ndarray, wanted: np.ndarray, norm: np.ndarray, by_block: np.ndarray, late: tuple, groups: int, k: int) -> list[tuple[int, float]]:
+        """The k nearest of one query whose rare terms are summed, from the bounds of all places."""
+        terms, weights, column = late
+        limit, at, g = 1e-12, np.flatnonzero(bound > 0), 0
+        sums, bound = sums[at], bound[at]
+        while True:
+            lead = np.argpartition(-bound, LEAD)[:LEAD] if len(at) > LEAD else np.arange(len(at))
+            if len(lead) >= k:
+                limit = max(limit, np.partition(self._whole(at[lead], sums[lead], wanted, g), len(lead) - k)[len(lead) - k] - 2e-12)
+            on = bound >= limit
+            at, sums = at[on], sums[on]
+            if len(at) <= FEW or g == groups:
+                break
+            s = slice(*np.searchsorted(column, self.cuts[g : g + 2]))
+            sums = sums + self._sums(np.zeros(s.stop - s.start, np.int64), terms[s], weights[s], 1)[0, at]
+            g += 1
+            bound = sums
+            if g < groups:
+                bound = sums + np.minimum(self.norms[at, g:] @ norm[g:] + 1e-9, by_block[g, at // BLOCK])
+        cosine = self._whole(at, sums, wanted, g).round(12)
         name = self.example[np.minimum(at, self.n - 1)]
-        by = np.lexsort([name, -cosine, q])
-        cuts = np.searchsorted(q[by], np.arange(m + 1))
-        return [[(int(name[x]), float(cosine[x])) for x in by[a:z] if cosine[x] > 0][:k] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        best = np.lexsort([name, -cosine])[:k]
+        return [(int(name[x]), float(cosine[x])) for x in best if cosine[x] > 0]
+
+
+def heaviest(terms: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """The 8 heaviest terms of a vector, filled up with ``size``."""
+    out = np.full(8, size, np.int64)
+    first = np.lexsort([terms, -weights.round(3)])[:8]
+    out[: len(first)] = terms[first]
+    return out
+
+
+def together(lead: np.ndarray) -> np.ndarray:
+    """An order of vectors in which those with the same heaviest terms are neighbours."""
+    return np.lexsort([np.arange(len(lead)), *lead.T[::-1]])
 
 
-def association(terms: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """a(term): from ``FLOOR`` to 1 by the log-likelihood ratio of term and label over the examples."""
-    ones, zeros = float(y.sum()), float(len(y) - y.sum())
-    a = np.bincount(terms, y[owner], size)
-    c = np.bincount(terms, minlength=size) - a
+def association(a: np.ndarray, c: np.ndarray, ones: float, zeros: float) -> np.ndarray:
+    """a(term): from ``FLOOR`` to 1 by the log-likelihood ratio of term and label; a and c of ones and zeros have the term."""
     n = max(1.0, ones + zeros)
 
     def part(x: np.ndarray, row: np.ndarray, column: float) -> np.ndarray:
@@ -211,19 +257,11 @@ def association(terms: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int)
 
 
 class ToxicityModel:
-    """Examples in order of their ids: their labels, and term counts as one run after another."""
-
-    def __init__(self, table: np.ndarray, df: np.ndarray, n: int, ids: list, y: np.ndarray, start: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
-        """table: all terms, ascending; df: documents with each, of n; terms: places in the table."""
-        self.table, self.ids, self.y = table, ids, y
-        owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
-        self.factor = (np.log((n + 1) / (df + 1)) + 1e-6) * association(terms, owner, y, len(table))
-        w = 1 + np.log(counts)
-        w *= self.factor[terms]
-        w /= np.sqrt(np.maximum(np.bincount(owner, w * w, len(y)), 1e-300))[owner]
-        del owner
-        self.index = BlockMaxIndex(start, terms, w, len(table))
-        bare = np.diff(start) == 0
+    """Examples in order of their ids, with their labels and an index of their vectors."""
+
+    def __init__(self, table: np.ndarray, factor: np.ndarray, ids: list, y: np.ndarray, bare: np.ndarray, index: BlockMaxIndex) -> None:
+        """table: all terms, ascending, with the factors of their weights; bare: examples without a term."""
+        self.table, self.factor, self.ids, self.y, self.index = table, factor, ids, y, index
         self.prior = (y.sum() + 1) / (len(y) + 2)
         self.bare = (y[bare].sum() + 1) / (bare.sum() + 2)
         self.cache: dict[bytes, tuple[float, list]] = {}
@@ -277,7 +315,81 @@ def _examples(docs: DataFrame, labels: DataFrame, column: str, learn: Column) ->
 
     signed = with_texts(rows, ["doc_id", "y"], [T.StructField(c, T.BinaryType()) for c in names], run)
     first = F.min(F.struct("doc_id", "terms", "counts")).alias("r")
-    return staged(signed.groupBy("sign", "y").agg(first).select("r.doc_id", "y", "r.terms", "r.counts"), "examples")
+    table = staged(signed.groupBy("sign", "y").agg(first).select("r.doc_id", "y", "r.terms", "r.counts"), "examples")
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    size = table.select(h.alias("h"), (F.octet_length("terms") / 8).cast("long").alias("n")).orderBy("h").toPandas()  # at most EXAMPLES
+    if size["n"].sum() <= POSTINGS:
+        return table
+    return table.filter(h < F.lit(int(size["h"][(size["n"].cumsum() > POSTINGS).to_numpy().argmax()])))
+
+
+def _term_table(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All terms of the examples, ascending, and how many of label 1 and 0 have each; counted in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).to_numpy() // 8
+            terms, which = np.unique(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64), return_inverse=True)
+            y = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), *(pa.array(np.bincount(which, y == v, len(terms)).astype(np.int64)) for v in (1, 0))], ["term", "a", "c"])
+
+    rows = examples.select("y", "terms").mapInArrow(run, "term long, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    found = rows.orderBy("term").toArrow()  # a row per term of the sample
+    return tuple(found[c].to_numpy() for c in ("term", "a", "c"))
+
+
+def _index(examples: DataFrame, ids: list, table: np.ndarray, factor: np.ndarray) -> BlockMaxIndex:
+    """The index over the examples, whose postings are weighted, dealt by term and sorted in tasks."""
+    spark, size = examples.sparkSession, len(table)
+    held = spark.sparkContext.broadcast((table, factor))
+
+    def vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        known, factors = held.value
+        for i, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            terms = np.searchsorted(known, np.frombuffer(t, np.int64))
+            w = (1 + np.log(np.frombuffer(c, np.int64))) * factors[terms]
+            yield i, terms, w / np.sqrt(max((w**2).sum(), 1e-300))
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, heaviest(t, w, size)) for i, t, w in vectors(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], batch.schema.types[0]), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "lead"])
+
+    rows = examples.select("doc_id", "terms", "counts")
+    lead = rows.mapInArrow(leads, T.StructType([rows.schema["doc_id"], T.StructField("lead", T.ArrayType(T.LongType()))])).toArrow()  # at most EXAMPLES
+    number = {i: e for e, i in enumerate(ids)}
+    first = np.full((len(ids), 8), size, np.int64)
+    for i, x in zip(lead["doc_id"].to_pylist(), lead["lead"].to_pylist(), strict=True):
+        first[number[i]] = x
+    example = together(first)
+    place = spark.sparkContext.broadcast({ids[e]: p for p, e in enumerate(example.tolist())})
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, terms, w in vectors(batch):
+                part = terms * PARTS // max(1, size)
+                at = np.full(len(terms), place.value[i], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(terms.astype(np.int32)), pa.array(at), pa.array(w.astype(np.float32))], ["part", "term", "place", "w"])
+
+    def lists(key: tuple, own: pa.Table) -> pa.Table:
+        own = own.sort_by([("term", "ascending"), ("place", "ascending")])
+        low, high = (-(-(key[0].as_py() + x) * size // PARTS) for x in (0, 1))
+        df = np.bincount(own["term"].to_numpy() - low, minlength=high - low).astype(np.int32)
+        cells = [df.tobytes(), own["place"].to_numpy().tobytes(), own["w"].to_numpy().tobytes()]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["part", "df", "places", "weights"])
+
+    dealt = rows.mapInArrow(postings, "part int, term int, place int, w float").groupBy("part")
+    found = dealt.applyInArrow(lists, "part int, df binary, places binary, weights binary").orderBy("part").toArrow()  # PARTS rows
+    df, places, weights = (np.frombuffer(b"".join(found[c].to_pylist()), kind) for c, kind in (("df", np.int32), ("places", np.int32), ("weights", np.float32)))
+    have = set(found["part"].to_pylist())
+    if len(have) < PARTS:  # parts without a term
+        full, at = np.zeros(size, np.int32), 0
+        for p in sorted(have):
+            low, high = (-(-(p + x) * size // PARTS) for x in (0, 1))
+            full[low:high] = df[at : at + high - low]
+            at += high - low
+        df = full
+    return BlockMaxIndex(np.concatenate([[0], np.cumsum(df)]).astype(np.int32), places, weights, example)
 
 
 def _frequencies(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
@@ -304,17 +416,12 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> tuple
     """The model of ``labels.column`` from documents that may be learnt from, and the curve of its votes."""
     spark = docs.sparkSession
     table = _examples(docs, labels, column, learn)
-    rows = table.orderBy("doc_id").toArrow()  # at most EXAMPLES
-    y, ids = rows["y"].to_numpy().astype(np.int64), rows["doc_id"].to_pylist()
-    flat, counts = (np.frombuffer(b"".join(rows[c].to_pylist()), np.int64) for c in ("terms", "counts"))
-    start = np.concatenate([[0], np.cumsum(pc.binary_length(rows["terms"]).to_numpy() // 8)]).astype(np.int64)
-    counts = counts.astype(np.int32)
-    del rows
-    known, terms = np.unique(flat, return_inverse=True)
-    terms = terms.astype(np.int32)
-    del flat
+    rows = table.select("doc_id", "y", (F.octet_length("terms") == 0).alias("bare")).orderBy("doc_id").toArrow()  # at most EXAMPLES
+    y, ids, bare = rows["y"].to_numpy().astype(np.int64), rows["doc_id"].to_pylist(), np.array(rows["bare"].to_pylist(), bool)
+    known, a, c = _term_table(table)
     df, n = _frequencies(docs, known)
-    held = spark.sparkContext.broadcast(ToxicityModel(known, df, n, ids, y, start, terms, counts))
+    factor = (np.log((n + 1) / (df + 1)) + 1e-6) * association(a, c, float(y.sum()), float(len(y) - y.sum()))
+    held = spark.sparkContext.broadcast(ToxicityModel(known, factor, ids, y, bare, _index(table, ids, known, factor)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {i: e for e, i in enumerate(held.value.ids)}

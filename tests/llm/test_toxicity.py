@@ -23,7 +23,7 @@ def test_block_search_equals_brute_force():
         start.append(start[-1] + len(t))
         terms.append(t)
         weights.append(w)
-    index = toxicity.BlockMaxIndex(np.array(start), np.concatenate(terms), np.concatenate(weights), 60)
+    index = toxicity.BlockMaxIndex.of_vectors(np.array(start), np.concatenate(terms), np.concatenate(weights), 60)
     held = full.astype(np.float32).astype(float)  # what the index holds
     asked = list(range(0, 700, 3))
     for q, got in zip(asked, index.top([(terms[q], weights[q]) for q in asked], 15, asked), strict=True):
@@ -34,8 +34,49 @@ def test_block_search_equals_brute_force():
         assert np.allclose([c for _, c in got], cosine[order])
 
 
+def many_vectors(n=3_000, size=4_000, seed=2):
+    """Vectors whose common terms weigh little, as common words do; some are near copies of others."""
+    rng = np.random.default_rng(seed)
+    share = np.r_[np.linspace(0.7, 0.05, 60), np.full(size - 60, 0.004)]
+    weight = -np.log(share)
+    start, terms, weights = [0], [], []
+    for e in range(n):
+        t = terms[-5][rng.random(len(terms[-5])) < 0.9] if e > 9 and e % 5 == 0 else np.flatnonzero(rng.random(size) < share)
+        w = weight[t] * rng.integers(1, 3, len(t))
+        start.append(start[-1] + len(t))
+        terms.append(t)
+        weights.append(w / np.sqrt((w**2).sum()) if len(t) else w)
+    return np.array(start), terms, weights, size
+
+
+def test_most_postings_are_skipped(monkeypatch):
+    """Under half of what summing all lists takes, and not one neighbour lost."""
+    start, terms, weights, size = many_vectors()
+    index = toxicity.BlockMaxIndex.of_vectors(start, np.concatenate(terms), np.concatenate(weights), size)
+    index.watch = True
+    monkeypatch.setattr(toxicity, "FEW", 100)
+    asked = list(range(0, 3_000, 30))
+    full = np.zeros((3_000, size))
+    for e, (t, w) in enumerate(zip(terms, weights, strict=True)):
+        full[e, t] = w.astype(np.float32)
+    for q, got in zip(asked, index.top([(terms[q], weights[q]) for q in asked], 15), strict=True):
+        cosine = (full[:, terms[q]] @ weights[q]).round(12)
+        order = [i for i in np.lexsort([np.arange(3_000), -cosine]) if cosine[i] > 0][:15]
+        assert [e for e, _ in got] == order
+    assert index.scored < 0.5 * index.whole
+
+
+def test_fewer_examples_of_longer_texts(spark, monkeypatch):
+    docs = table(spark, [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(200)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    some = toxicity._examples(docs, labels, "toxic", F.lit(True))
+    assert some.count() == 200
+    monkeypatch.setattr(toxicity, "POSTINGS", 2_000)
+    assert 15 <= toxicity._examples(docs, labels, "toxic", F.lit(True)).count() < 60
+
+
 def test_query_equals_brute_force(spark):
-    """The nearest of every document, from vectors over all terms made here in plain Python."""
+    """The nearest of every document, the votes and the scores, from vectors over all terms made here in plain Python."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = toxicity.fit(docs, labels, "toxic", ~fold(5, 0))[0].value
@@ -66,12 +107,25 @@ def test_query_equals_brute_force(spark):
         return {t: x / norm for t, x in v.items()}
 
     vectors = {i: vector(held[i]) for i in model.ids}
-    got = {r.doc_id: [(e.doc_id, e.cosine) for e in r.evidence] for r in toxicity.score(docs, labels, "toxic", ~fold(5, 0)).collect()}
+    rows = {r.doc_id: r for r in toxicity.score(docs, labels, "toxic", ~fold(5, 0)).collect()}
+    prior = (ones + 1) / (len(y) + 2)
+
+    def nearest(q, without=None):
+        cosine = sorted(((sum(x * v.get(t, 0) for t, x in q.items()), -e) for e, v in vectors.items() if e != without), reverse=True)
+        return [(c, -e) for c, e in cosine[: toxicity.K] if c > 0]
+
+    def vote(near):
+        w = [1 / (toxicity.SOFT + max(0.0, 1 - c)) for c, _ in near]
+        return (sum(x * y[e] for x, (_, e) in zip(w, near, strict=True)) + prior) / (sum(w) + 1)
+
+    learnt = sorted((vote(nearest(vectors[e], e)), y[e]) for e in vectors if held[e])
+    slope, offset = toxicity._logistic(np.array([v for v, _ in learnt]), np.array([float(b) for _, b in learnt]))
     for i, h in held.items():
-        q = vector(h)
-        cosine = sorted(((sum(x * v.get(t, 0) for t, x in q.items()), -e) for e, v in vectors.items()), reverse=True)
-        want = [c for c, _ in cosine[:3] if c > 0]
-        assert np.allclose([c for _, c in got[i]], want, atol=1e-6), i
+        near = nearest(vector(h))
+        assert np.allclose([e.cosine for e in rows[i].evidence], [c for c, _ in near[:3]], atol=1e-6), i
+        if near:
+            v = vote(near)
+            assert abs(rows[i].score - 1 / (1 + np.exp(-(slope * np.log(v / (1 - v)) + offset)))) < 1e-3, i
 
 
 def test_held_out_accuracy(spark):
