@@ -14,11 +14,12 @@ softmax, and within a cluster a softmax over its subwords, from the same context
 Subwords that never occur share one place evenly.  So probabilities sum to one over subword
 sequences, ended by one end token.  Untrained, the model is the unigram of the counts.
 
-Training.  Every training document gives every ``EVERY``-th of its runs of ``RUN`` words, from a place by
-its hash, and at least one, as a window.  In each of ``ROUNDS`` rounds tasks run Adam over their windows of that round, each
-from the same model, and the models are averaged by windows seen (chunk by chunk, in a shuffle).  So
-a large corpus is gone through once, in parallel; small ones are gone through several times, until
-``LEAST_WINDOWS`` are seen.
+Training.  Every training document is cut whole into windows of ``SPAN`` positions, so each of its subwords
+is learnt from once.  Windows alike are counted in a shuffle and fall, by their hash and number, into ``ROUNDS``
+rounds and, within a round, into parts of about ``TASK_WINDOWS``.  In each round a task runs Adam over each part,
+from the same model, and the models are averaged by windows seen (chunk by chunk, in a shuffle).  So a
+corpus of any size is gone through once, in parallel.  Rounds, parts, their order and the order of
+the sums follow from the windows alone, so neither partitions nor retries change the model.
 
 Scoring.  A document is cut into windows that overlap by ``CONTEXT`` positions: each token is scored
 once, in the window where it stands behind that context, and windows of many documents go through
@@ -34,10 +35,13 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from copy import deepcopy
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +56,8 @@ HEAVY = 200_000
 HEAD, TAILS = 83, 28  # with the end 112 classes: a multiple of the processor's vector width
 WIDTH, CONTEXT, STRIDE = 16, 8, 24
 SPAN = CONTEXT + STRIDE
-EVERY, ROUNDS = 8, 4
-LEAST_WINDOWS, TASK_WINDOWS, CHUNK_WINDOWS = 48_000, 8_000, 100_000
-RUN, BATCH, RATE = 12, 128, 0.01
+ROUNDS, TASK_WINDOWS = 4, 16_000
+BATCH, RATE = 128, 0.01
 PAD = 65_535
 
 
@@ -216,7 +219,7 @@ class Attention:
                 out[some] = picked - np.log(inner.sum(1))
         return out
 
-    def fit(self, windows: np.ndarray, passes: int = 1, batch: int = BATCH, rate: float = RATE, seed: int = 5) -> Attention:
+    def fit(self, windows: np.ndarray, passes: int = 1, batch: int = BATCH, rate: float = RATE, seed: int | tuple[int, ...] = 5) -> Attention:
         """Adam over windows of ``SPAN`` + 1 items each (``PAD`` behind the end)."""
         rng, p = np.random.default_rng(seed), self.p
         first = {k: np.zeros_like(v) for k, v in p.items()}
@@ -349,28 +352,17 @@ class LanguageModel:
             settle()
         return total / np.log(10)
 
-    def windows(self, text: bytes, every: int = EVERY) -> tuple[np.ndarray, np.ndarray]:
-        """(round, items) of the windows of a text to train on: every ``every``-th run of ``RUN`` words, and at least one.
+    def windows(self, text: bytes) -> np.ndarray:
+        """The whole text as rows of ``SPAN`` + 1 items: what stands before each position, and the last target.
 
-        A window goes on to ``SPAN`` + 1 items; only its own words are encoded.
+        The end stands before the text and behind it; ``PAD`` fills the last row.
         """
-        words, h = text.lower().split(), xxhash.xxh3_64_intdigest(text)
-        count = max(1, -(-len(words) // RUN))
-        which = range(h % every, count, every) or [h % count]
-        out = np.full((len(which), SPAN + 1), PAD, np.uint16)
-        for row, r in enumerate(which):
-            at = r * RUN
-            held = [self.word(words[at - 1])[0][-2:] if at and words else self.net.end.to_bytes(2, "little")]
-            size = 1
-            while size <= SPAN and at < len(words):
-                held.append(self.word(words[at])[0])
-                size += len(held[-1]) // 2
-                at += 1
-            if size <= SPAN:
-                held.append(self.net.end.to_bytes(2, "little"))
-            flow = np.frombuffer(b"".join(held), np.uint16)[: SPAN + 1]
-            out[row, : len(flow)] = flow
-        return (np.array(which, np.int64) // every + (h >> 32)) % ROUNDS, out
+        end = self.net.end.to_bytes(2, "little")
+        flow = np.frombuffer(end + self.read(text.lower().split())[0] + end, np.uint16)
+        count = -(-(len(flow) - 1) // SPAN)
+        full = np.full(count * SPAN + 1, PAD, np.uint16)
+        full[: len(flow)] = flow
+        return np.lib.stride_tricks.sliding_window_view(full, SPAN + 1)[::SPAN]
 
 
 # --- counts ---------------------------------------------------------------------------------
@@ -433,61 +425,58 @@ def heavy_words(counts: DataFrame, most: int = HEAVY) -> dict[bytes, int]:
 
 
 def training_windows(learn: DataFrame, model: LanguageModel) -> DataFrame:
-    """(round, w): the windows of the training documents, as binary items."""
+    """(w, n): the windows of the training documents, as binary items, and how often each stands there."""
     held = learn.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                parts = [held.value.windows(t) for t in batch.column(0).slice(at, 512).to_pylist()]
-                rounds, flat = np.concatenate([r for r, _ in parts]), [w.tobytes() for _, own in parts for w in own]
-                yield pa.RecordBatch.from_arrays([pa.array(rounds.astype(np.int32)), pa.array(flat, pa.binary())], ["round", "w"])
+                flat = [w.tobytes() for t in batch.column(0).slice(at, 512).to_pylist() for w in held.value.windows(t)]
+                yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], ["w"])
 
-    return staged(learn.select("t").mapInArrow(run, "round int, w binary"), "windows")
+    return staged(learn.select("t").mapInArrow(run, "w binary").groupBy("w").agg(F.count(F.lit(1)).alias("n")), "windows")
 
 
 def _averaged(models: DataFrame) -> np.ndarray:
-    """The mean by ``n`` of arrays dealt in chunks: rows (chunk, task, n, w)."""
+    """The mean by ``n`` of arrays dealt in chunks: rows (chunk, part, n, w).  Sums go in order of the parts."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
         total = sum(np.frombuffer(w, np.float64) for w in pdf["w"])
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "task": [0], "n": [pdf["n"].sum()], "w": [total.tobytes()]})
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [pdf["n"].sum()], "w": [total.tobytes()]})
 
-    kind = "chunk int, task long, n double, w binary"
-    some = models.groupBy("chunk", F.pmod("task", F.lit(64))).applyInPandas(lambda pdf: add(pdf), kind)
+    kind = "chunk int, part long, n double, w binary"
+    some = models.groupBy("chunk", F.pmod("part", F.lit(64))).applyInPandas(lambda pdf: add(pdf), kind)
     rows = some.groupBy("chunk").applyInPandas(lambda pdf: add(pdf), kind).toPandas().sort_values("chunk")  # one model
     return np.concatenate([np.frombuffer(w, np.float64) / n for w, n in zip(rows["w"], rows["n"], strict=True)]) if len(rows) else np.zeros(0)
 
 
+def _trainer(held: Broadcast, r: int):
+    """What trains a part of a round: its windows, sorted and dealt into batches by round and part."""
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        rows = np.sort(own["w"].to_numpy(zero_copy_only=False).astype(f"S{2 * SPAN + 2}"))
+        rows = rows.view(np.uint16).reshape(-1, SPAN + 1)
+        part, n = key[0].as_py(), len(rows)
+        flat = deepcopy(held.value).fit(rows, rate=RATE * (1 - r / (ROUNDS + 1)), seed=(r, part)).flat().astype(np.float64) * n
+        parts = [flat[at : at + 8_192].tobytes() for at in range(0, len(flat), 8_192)]
+        return pa.Table.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int64()), pa.array([float(n)] * len(parts)), pa.array(parts, pa.binary())], ["chunk", "part", "n", "w"])
+
+    return run
+
+
 def train(windows: DataFrame, model: LanguageModel) -> None:
-    """Rounds of Adam in tasks, the models of a round averaged."""
-    context, total = windows.sparkSession.sparkContext, windows.count()
-    passes = max(1, -(-LEAST_WINDOWS // max(1, total)))
+    """Rounds of Adam in tasks over rows (w, n), the models of a round averaged."""
+    context = windows.sparkSession.sparkContext
+    total = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // (ROUNDS * TASK_WINDOWS)))
+    copies = windows.select("w", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))  # a window that many texts hold is dealt like any others
+    h = F.xxhash64("w", "i")
+    dealt = copies.select("w", F.pmod(h, F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright(h, 8), F.lit(parts)).alias("part"))
     for r in range(ROUNDS):
-        held, rate = context.broadcast(model.net), RATE * (1 - r / (ROUNDS + 1))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, rate=rate) -> Iterator[pa.RecordBatch]:
-            from copy import deepcopy
-
-            from pyspark import TaskContext
-
-            net, rows, n, many = deepcopy(held.value), [], 0, 0
-            for batch in batches:
-                rows += batch.column(0).to_pylist()
-                if len(rows) >= CHUNK_WINDOWS:
-                    net.fit(np.frombuffer(b"".join(rows), np.uint16).reshape(-1, SPAN + 1), passes, rate=rate)
-                    n, rows = n + len(rows), []
-            if rows:
-                net.fit(np.frombuffer(b"".join(rows), np.uint16).reshape(-1, SPAN + 1), passes, rate=rate)
-                n += len(rows)
-            if n:
-                flat, task = net.flat().astype(np.float64) * n, TaskContext.get().partitionId()
-                parts = [flat[at : at + 8_192].tobytes() for at in range(0, len(flat), 8_192)]
-                many = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(range(many), pa.int32()), pa.array([task] * many, pa.int64()), pa.array([float(n)] * many), pa.array(parts, pa.binary())], ["chunk", "task", "n", "w"])
-
-        part = windows.filter(F.col("round") == r).select("w").coalesce(max(1, total // ROUNDS // TASK_WINDOWS))
-        mean = _averaged(part.mapInArrow(run, "chunk int, task long, n double, w binary"))
+        held = context.broadcast(model.net)
+        run = _trainer(held, r)
+        mean = _averaged(dealt.filter(F.col("round") == r).groupBy("part").applyInArrow(run, "chunk int, part long, n double, w binary"))
         if len(mean):
             model.net.take(mean)
         held.destroy()

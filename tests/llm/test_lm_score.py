@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from nearfold.llm import lm_score
 from nearfold.llm.common import fold
@@ -35,7 +36,6 @@ def key(r):
 
 
 def test_counts_and_base_score(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "LEAST_WINDOWS", 1)
     rows = [(r[0], r[1]) for r in edge_rows()] + [(i, f"some words {i} and the rest {i % 3}") for i in range(20, 60)]
     for most in (lm_score.HEAVY, 3):  # the second leaves most words to the join
         monkeypatch.setattr(lm_score, "heavy_words", lambda counts, m=most: HEAVY_WORDS(counts, m))
@@ -47,8 +47,7 @@ def test_counts_and_base_score(spark, monkeypatch):
 HEAVY_WORDS = lm_score.heavy_words
 
 
-def test_no_training_documents_and_empty_table(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "LEAST_WINDOWS", 1)
+def test_no_training_documents_and_empty_table(spark):
     only = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     got = lm_score.score(table(spark, [(i, "a b") for i in only]), fold(7, 2)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in got)
@@ -92,20 +91,31 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(m.net.plain(ids, goal)[:, -1]).sum() - 1) < 1e-6
 
 
-def test_windows_are_spread_over_the_whole_text():
+def test_windows_hold_the_whole_text():
     m = model(2)
-    words = [f"word{i}" for i in range(200)]
-    of = lambda w: np.frombuffer(m.word(w.encode())[0], np.uint16).tolist()
-    _, w = m.windows(" ".join(words).encode(), every=1)
-    assert len(w) == -(-200 // lm_score.RUN)
-    for i, row in enumerate(w):
-        at = i * lm_score.RUN
-        flow = [m.end if not at else of(words[at - 1])[-1], *(x for v in words[at:] for x in of(v)), m.end]
-        assert row.tolist() == (flow + [lm_score.PAD] * 40)[: lm_score.SPAN + 1]
-    some = m.windows(" ".join(words).encode())[1]
-    assert len(some) in (len(w) // lm_score.EVERY, len(w) // lm_score.EVERY + 1) and all(x.tolist() in w.tolist() for x in some)
-    assert len(m.windows(b"")[1]) == 1 and m.windows(b"")[1][0][:3].tolist() == [m.end, m.end, lm_score.PAD]
-    assert len(m.windows(b"one two")[1]) == 1
+    of = lambda w: np.frombuffer(m.word(w)[0], np.uint16).tolist()
+    for text in (b"", b"one two", " ".join(f"word{i}" for i in range(200)).encode()):
+        flow = [m.end, *(x for v in text.split() for x in of(v)), m.end]
+        rows = m.windows(text)
+        assert [r[0] for r in rows[1:]] == [r[-1] for r in rows[:-1]]  # the last target stands before the next
+        learnt = [x for r in rows.tolist() for x in r[1:] if x != lm_score.PAD]
+        assert learnt == flow[1:] and rows[0][0] == m.end and len(rows) == -(-len(learnt) // lm_score.SPAN)
+
+
+def test_partitions_change_no_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    two, five = ({r.doc_id: r.score for r in lm_score.score(docs.repartition(n), fold(7, 2)).collect()} for n in (2, 5))
+    assert max(abs(two[i] / five[i] - 1) for i in two) < 1e-6
+
+
+def test_repeated_texts_fall_into_several_parts(spark, monkeypatch):
+    """A text that most rows repeat is dealt over parts like any other."""
+    seen = []
+    monkeypatch.setattr(lm_score, "TASK_WINDOWS", 50)
+    monkeypatch.setattr(lm_score, "_averaged", lambda models: seen.append([r.n for r in models.filter("chunk = 0").select("n").collect()]) or np.zeros(0))
+    docs = table(spark, [(i, "the same words again and again " * 12) for i in range(300)])
+    lm_score.score(docs, F.lit(False)).count()
+    assert len(seen) == lm_score.ROUNDS and all(len(n) > 2 and max(n) < 150 for n in seen)
 
 
 def test_training_lowers_the_loss():
