@@ -38,7 +38,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ from .common import documents, fold, free_name, staged, text_bytes
 from .decontaminate import tokens
 from .quality import examples, with_texts
 
-EXAMPLES = 12_000
+EXAMPLES = 12_000  # fewer than 65,536, so that places take two bytes
 POSTINGS = 8_000_000  # terms of all examples together: of longer texts fewer examples are taken
 STEM = 5
 FLOOR, HALF = 0.02, 18.0
@@ -129,7 +129,7 @@ class BlockMaxIndex:
         place[example] = np.arange(len(example))
         at = np.repeat(place, np.diff(start))
         by = np.lexsort([at, terms])
-        return cls(np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=size))]).astype(np.int32), at[by].astype(np.int32), weights[by].astype(np.float32), example)
+        return cls(np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=size))]).astype(np.int32), at[by].astype(np.uint16), weights[by].astype(np.float32), example)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"matrix": None}  # made in each process
@@ -172,7 +172,7 @@ class BlockMaxIndex:
         many = self.starts[terms + 1] - begin
         self.scored += int(many.sum())
         post = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
-        return np.bincount(self.places[post] + np.repeat(own * width, many), np.repeat(weights, many) * self.weights[post], m * width).reshape(m, width)
+        return np.bincount(np.repeat(own * width, many) + self.places[post], np.repeat(weights, many) * self.weights[post], m * width).reshape(m, width)
 
     def _top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> list[list[tuple[int, float]]]:
         m = len(queries)
@@ -304,23 +304,23 @@ def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _examples(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> DataFrame:
-    """(doc_id, y, terms, counts): the examples; terms and counts as binary longs."""
+    """(doc_id, y, terms, counts): the examples; terms as binary longs and counts as binary ints."""
     rows = examples(docs, labels, column, learn, EXAMPLES)
-    names = ["sign", "terms", "counts"]
+    added = [T.StructField("sign", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())]
 
     def run(texts: list[bytes]) -> list[pa.Array]:
         held = TermCounter()(texts)
         sign = [xxhash.xxh3_128_digest(b" ".join(tokens(t))) for t in texts]
-        return [pa.array(sign, pa.binary()), *(pa.array([h[i].tobytes() for h in held], pa.binary()) for i in (0, 1))]
+        cells = ([t.tobytes() for t, _ in held], [c.astype(np.int32).tobytes() for _, c in held])
+        return [pa.array(sign, pa.binary()), pa.array([len(t) for t, _ in held], pa.int64()), *(pa.array(c, pa.binary()) for c in cells)]
 
-    signed = with_texts(rows, ["doc_id", "y"], [T.StructField(c, T.BinaryType()) for c in names], run)
-    first = F.min(F.struct("doc_id", "terms", "counts")).alias("r")
-    table = staged(signed.groupBy("sign", "y").agg(first).select("r.doc_id", "y", "r.terms", "r.counts"), "examples")
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    size = table.select(h.alias("h"), (F.octet_length("terms") / 8).cast("long").alias("n")).orderBy("h").toPandas()  # at most EXAMPLES
-    if size["n"].sum() <= POSTINGS:
-        return table
-    return table.filter(h < F.lit(int(size["h"][(size["n"].cumsum() > POSTINGS).to_numpy().argmax()])))
+    signed = staged(with_texts(rows, ["doc_id", "y"], added, run), "examples")
+    first = signed.groupBy("sign", "y").agg(F.min(F.struct("doc_id", "n")).alias("r"))
+    first = staged(first.select("r.doc_id", "r.n", F.xxhash64(F.col("r.doc_id").cast("string")).alias("h")), "chosen")
+    size = first.select("h", "n").toPandas().sort_values("h")  # at most EXAMPLES
+    if size["n"].sum() > POSTINGS:
+        first = first.filter(F.col("h") < int(size["h"].to_numpy()[(size["n"].cumsum() > POSTINGS).to_numpy().argmax()]))
+    return signed.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi").select("doc_id", "y", "terms", "counts")
 
 
 def _term_table(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,7 +334,7 @@ def _term_table(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(terms), *(pa.array(np.bincount(which, y == v, len(terms)).astype(np.int64)) for v in (1, 0))], ["term", "a", "c"])
 
     rows = examples.select("y", "terms").mapInArrow(run, "term long, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
-    found = rows.orderBy("term").toArrow()  # a row per term of the sample
+    found = rows.toArrow().sort_by("term")  # a row per term of the sample
     return tuple(found[c].to_numpy() for c in ("term", "a", "c"))
 
 
@@ -347,7 +347,7 @@ def _index(examples: DataFrame, ids: list, table: np.ndarray, factor: np.ndarray
         known, factors = held.value
         for i, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             terms = np.searchsorted(known, np.frombuffer(t, np.int64))
-            w = (1 + np.log(np.frombuffer(c, np.int64))) * factors[terms]
+            w = (1 + np.log(np.frombuffer(c, np.int32))) * factors[terms]
             yield i, terms, w / np.sqrt(max((w**2).sum(), 1e-300))
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,30 +364,37 @@ def _index(examples: DataFrame, ids: list, table: np.ndarray, factor: np.ndarray
     example = together(first)
     place = spark.sparkContext.broadcast({ids[e]: p for p, e in enumerate(example.tolist())})
 
+    low = [-(-x * size // PARTS) for x in range(PARTS + 1)]  # the terms of each part
+
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for i, terms, w in vectors(batch):
-                part = terms * PARTS // max(1, size)
-                at = np.full(len(terms), place.value[i], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(terms.astype(np.int32)), pa.array(at), pa.array(w.astype(np.float32))], ["part", "term", "place", "w"])
+                for part, (x, y) in enumerate(pairwise(np.searchsorted(terms, low).tolist())):
+                    if x < y:
+                        out.append((part, place.value[i], terms[x:y].astype(np.int32).tobytes(), w[x:y].astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "place", "terms", "w"])
 
     def lists(key: tuple, own: pa.Table) -> pa.Table:
-        own = own.sort_by([("term", "ascending"), ("place", "ascending")])
-        low, high = (-(-(key[0].as_py() + x) * size // PARTS) for x in (0, 1))
-        df = np.bincount(own["term"].to_numpy() - low, minlength=high - low).astype(np.int32)
-        cells = [df.tobytes(), own["place"].to_numpy().tobytes(), own["w"].to_numpy().tobytes()]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["part", "df", "places", "weights"])
-
-    dealt = rows.mapInArrow(postings, "part int, term int, place int, w float").groupBy("part")
-    found = dealt.applyInArrow(lists, "part int, df binary, places binary, weights binary").orderBy("part").toArrow()  # PARTS rows
-    df, places, weights = (np.frombuffer(b"".join(found[c].to_pylist()), kind) for c, kind in (("df", np.int32), ("places", np.int32), ("weights", np.float32)))
+        part = key[0].as_py()
+        terms, w = (np.frombuffer(b"".join(own[c].to_pylist()), kind) for c, kind in (("terms", np.int32), ("w", np.float32)))
+        at = np.repeat(own["place"].to_numpy(), pc.binary_length(own["w"]).to_numpy() // 4)
+        by = np.lexsort([at, terms])
+        df = np.bincount(terms - low[part], minlength=low[part + 1] - low[part]).astype(np.int32)
+        cells = [df.tobytes(), at[by].astype(np.uint16).tobytes(), w[by].tobytes()]
+        return pa.Table.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["part", "df", "places", "weights"])
+
+    dealt = rows.mapInArrow(postings, "part int, place int, terms binary, w binary").groupBy("part")
+    found = dealt.applyInArrow(lists, "part int, df binary, places binary, weights binary").toArrow().sort_by("part")  # PARTS rows
+    df, places, weights = (np.frombuffer(b"".join(found[c].to_pylist()), kind) for c, kind in (("df", np.int32), ("places", np.uint16), ("weights", np.float32)))
+    held.destroy()
+    place.destroy()
     have = set(found["part"].to_pylist())
     if len(have) < PARTS:  # parts without a term
         full, at = np.zeros(size, np.int32), 0
         for p in sorted(have):
-            low, high = (-(-(p + x) * size // PARTS) for x in (0, 1))
-            full[low:high] = df[at : at + high - low]
-            at += high - low
+            full[low[p] : low[p + 1]] = df[at : at + low[p + 1] - low[p]]
+            at += low[p + 1] - low[p]
         df = full
     return BlockMaxIndex(np.concatenate([[0], np.cumsum(df)]).astype(np.int32), places, weights, example)
 
@@ -407,6 +414,7 @@ def _frequencies(docs: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], ["place", "n"])
 
     rows = docs.select(text_bytes().alias("t")).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # a row per term of the sample
+    held.destroy()
     out = np.zeros(len(table) + 1, np.int64)
     out[rows["place"].to_numpy()] = rows["n"].to_numpy()  # place -1: the number of documents
     return out[:-1], int(out[-1])
@@ -427,7 +435,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> tuple
         place = {i: e for e, i in enumerate(held.value.ids)}
         for batch in batches:
             rows = [r for r in zip(*(x.to_pylist() for x in batch.columns), strict=True) if r[2]]
-            counted = [(np.searchsorted(held.value.table, np.frombuffer(t, np.int64)), np.frombuffer(c, np.int64)) for _, _, t, c in rows]
+            counted = [(np.searchsorted(held.value.table, np.frombuffer(t, np.int64)), np.frombuffer(c, np.int32)) for _, _, t, c in rows]
             votes = [held.value.vote(x) for x in held.value.near(counted, [place[r[0]] for r in rows])]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array([r[1] for r in rows], pa.int32())], ["v", "y"])
 
