@@ -1,4 +1,4 @@
-"""Arrow batches of vectors as matrices, for operators that work on blocks."""
+"""Arrow batches of vectors as matrices, distances in slices, and the k least of them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
+#: ``euclidean``, ``manhattan``, ``sq_euclidean``, or a function of two matrices.
+Metric = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as an (n, d) matrix of doubles."""
@@ -16,7 +19,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "euclidean") -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray, metric: Metric = "euclidean") -> np.ndarray:
     """Direct distances between the rows of two matrices, in slices of bounded size.
 
     A callable metric takes some rows of ``a`` and all of ``b`` and returns a matrix.
@@ -30,3 +33,48 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str | Callable[[np.ndarray,
         d = a[at : at + step, None, :] - b[None, :, :]
         out[at : at + step] = np.abs(d).sum(2) if metric == "manhattan" else (d * d).sum(2)
     return np.sqrt(out) if metric == "euclidean" else out
+
+
+def paired(a: np.ndarray, b: np.ndarray, metric: Metric = "euclidean") -> np.ndarray:
+    """Distances between the i-th rows of two matrices; a callable metric is asked row by row."""
+    if callable(metric):
+        return np.array([metric(x[None], y[None])[0, 0] for x, y in zip(a, b, strict=True)], np.float64)
+    d = np.empty(len(a))
+    step = max(1, 4_000_000 // max(1, a.shape[1]))
+    for at in range(0, len(a), step):
+        x = a[at : at + step] - b[at : at + step]
+        d[at : at + step] = np.abs(x).sum(1) if metric == "manhattan" else (x * x).sum(1)
+    return np.sqrt(d) if metric == "euclidean" else d
+
+
+def names(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Ids as an array that can be sorted."""
+    out = column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+    return out.astype(str) if out.dtype == object else out
+
+
+class Best:
+    """The k least (distance, id) of each query so far; ``limit`` is the k-th distance, infinite before there are k."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.limit = k, np.full(queries, np.inf)
+        self.row, self.d, self.i = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, d: np.ndarray, ids: np.ndarray) -> None:
+        """Distances of every query to the rows ``ids``; infinite ones are none."""
+        limit = self.limit
+        if d.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        row, at = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        self.put(row, d[row, at], ids[at])
+
+    def put(self, row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Single distances of the queries ``row``."""
+        row, d, ids = np.concatenate([self.row, row]), np.concatenate([self.d, d]), ids if self.i is None else np.concatenate([self.i, ids])
+        order = np.lexsort([ids, d, row])
+        row, d, ids = row[order], d[order], ids[order]
+        first = np.searchsorted(row, row)
+        rank = np.arange(len(row)) - first
+        self.row, self.d, self.i = (x[rank < self.k] for x in (row, d, ids))
+        full = rank == self.k - 1
+        self.limit[row[full]] = d[full]

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
-from .blocks import distances, matrix
+from .blocks import Metric, distances, matrix
 
 CENTRE_BLOCK = 20_000
 CELL_ROWS, MAX_CELLS = 20_000, 1_024
 
 
-def assign(rows: DataFrame, centres: DataFrame) -> DataFrame:
+def assign(rows: DataFrame, centres: DataFrame, metric: Metric = "euclidean") -> DataFrame:
     """(id, cluster_id, dist) of the nearest centre (cluster_id, vec); ties by cluster id.
 
     Centres are read in blocks of ``CENTRE_BLOCK``, each a broadcast; a block's best goes on to the next.
@@ -36,7 +36,7 @@ def assign(rows: DataFrame, centres: DataFrame) -> DataFrame:
                 if not len(x):
                     yield batch
                     continue
-                d = distances(x, c).round(9)
+                d = distances(x, c, metric).round(9)
                 at = d.argmin(1)
                 best, old = d[np.arange(len(x)), at], batch.column(3).to_numpy()
                 better = best < old

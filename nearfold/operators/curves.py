@@ -417,8 +417,3 @@ def nest(rows: DataFrame) -> DataFrame:
 
 def unnest(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.inline("observations"))
-
-
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``base`` with the rows of ``changes`` in place of those of the same key, and the new ones."""
-    return base.join(changes.select(key), key, "left_anti").unionByName(changes)

@@ -2,18 +2,22 @@
 
 Each takes queries (qid, vec) and returns the neighbours with the work they took.  ``exact`` bounds
 hold for every k; the other rules prune harder and may lose neighbours.  Tasks plan the visits of
-their queries from a broadcast summary of the index (a row per cluster, leaf or cell; its size is
-checked), and queries meet rows by cell (``meet``), so neither goes through the driver.
+their queries from a broadcast index (a row per cluster, or the nodes of a tree), in two rounds: the
+first sends a query where its neighbours are likely to be, which gives the k-th distance found there;
+the second, with that distance as the bound, descends to all that may hold nearer ones, so visits that can't
+help are never made.  Queries meet rows by cell (``meet``), and neither side goes through the driver.
+
+Rings, vantage points and vantage trees take any metric that satisfies the triangle inequality: by
+name, or as a function of two matrices.  Boxes take ``euclidean`` and ``manhattan``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,25 +25,27 @@ from pyspark.sql import types as T
 from ..functions.curves import fixed_hash
 from ..functions.vectors import doubles
 from ..shared import staged
-from .blocks import distances, matrix
+from .blocks import Best, Metric, distances, matrix, names, paired
 from .clusters import summary
-from .knn import ROW_SLICE, Best, query_blocks, ranked
+from .knn import QUERY_SLICE, ROW_SLICE, best_rows, grid, ranked
 from .meet import meet
 from .quantiles import quantiles
+from .trees import SLACK, HalfTree, ShellTree, located
 
-SLACK = 1e-9
-MAX_LEAVES = 4_096
 MAX_CLUSTERS = 1_000_000
 PLANNED = 4_000_000  # distances held at once while visits are planned
+GATHERED = 65_536  # pairs measured at once
+
+#: Takes queries and their bounds; returns the place of each visit's query and the added columns.
+Plan = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list]]
 
 
-def _planned(queries: DataFrame, added: str, plan: Callable[[np.ndarray], tuple[np.ndarray, list[np.ndarray]]], width: int) -> DataFrame:
-    """``queries`` (qid, qvec), each as often as ``plan`` says, with the columns that it adds.
+def _planned(queries: DataFrame, added: str, plan: Plan, width: int) -> DataFrame:
+    """``queries`` (qid, qvec, tau), each as often as ``plan`` says, with the columns that it adds.
 
-    ``plan`` takes a matrix of queries and returns the place of each visit's query and the added columns;
-    it sees so few queries at a time that ``width`` numbers for each stay small.
+    ``plan`` sees so few queries at a time that ``width`` numbers for each stay small.
     """
-    q = queries.select("qid", doubles("vec").alias("qvec"))
+    q = queries.select("qid", "qvec", "tau")
     schema = T.StructType([*q.schema.fields, *T._parse_datatype_string(added).fields])
     step = max(1, PLANNED // max(1, width))
 
@@ -47,18 +53,35 @@ def _planned(queries: DataFrame, added: str, plan: Callable[[np.ndarray], tuple[
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                place, columns = plan(matrix(part.column(1)))
-                own = part.take(pa.array(place))
-                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, columns)], schema.names)
+                place, columns = plan(matrix(part.column(1)), part.column(2).to_numpy())
+                own = part.take(pa.array(place, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, columns)], schema=_arrow(part, columns, schema.names))
 
     return q.mapInArrow(run, schema)
 
 
-def _tightened(visits: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """``visits`` (..., seed, tau) with ``tau`` lowered to the k-th distance that the seed visits find."""
-    seen = meet(visits.filter("seed"), rows, k).filter("id IS NOT NULL")
+def _arrow(part: pa.RecordBatch, columns: list, all_names: list[str]) -> pa.Schema:
+    return pa.schema([*(pa.field(n, t) for n, t in zip(all_names, [*part.schema.types, *(pa.array(c).type for c in columns)], strict=True))])
+
+
+def _unbounded(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", doubles("vec").alias("qvec"), F.lit(float("inf")).alias("tau"))
+
+
+def _bounded(asked: DataFrame, visits: DataFrame, rows: DataFrame, k: int, metric: Metric) -> DataFrame:
+    """``asked`` (qid, qvec, tau) with ``tau`` lowered to the k-th distance that the visits find."""
+    seen = meet(visits, rows, k, metric=metric).filter("id IS NOT NULL")
     kth = ranked(seen, k).groupBy("qid").agg(F.max("dist").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("qid", "kth")
-    return visits.join(kth, "qid", "left").withColumn("tau", F.least("tau", F.coalesce("kth", "tau"))).drop("kth")
+    return asked.join(kth, "qid", "left").withColumn("tau", F.least("tau", F.coalesce("kth", "tau"))).drop("kth")
+
+
+def _nearest(visits: DataFrame, rows: DataFrame, k: int, metric: Metric) -> DataFrame:
+    return ranked(meet(visits, rows, k, metric=metric).filter("id IS NOT NULL").drop("work"), k)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], kinds: list) -> list[np.ndarray]:
+    """Columns of the parts put together."""
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(kinds)]
 
 
 class ClusterIndex:
@@ -68,17 +91,23 @@ class ClusterIndex:
     up to ``MAX_CLUSTERS`` clusters goes to the tasks.
     """
 
-    def __init__(self, members: DataFrame, centres: DataFrame) -> None:
+    def __init__(self, members: DataFrame, centres: DataFrame, metric: Metric = "euclidean") -> None:
+        self.metric = metric
         self.members = members.select(F.col("cluster_id").alias("cell"), "id", doubles("vec").alias("vec"), F.col("dist").alias("far"))
         self.clusters = staged(summary(members).join(centres.select("cluster_id", doubles("vec").alias("centre")), "cluster_id"), "clusters")
 
     def visits(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
-        """(qid, qvec, cell, d, tau, size, radius, nearest, seed, low, high): the clusters that each query visits.
+        """What ``_visits`` plans for queries (qid, vec)."""
+        return self._visits(_unbounded(queries), k, rule)
+
+    def _visits(self, asked: DataFrame, k: int, rule: str, seeds: bool = False) -> DataFrame:
+        """(qid, qvec, tau, cell, d, size, radius, nearest, seed, low, high): the clusters that each query visits.
 
         rule ``exact``: tau is the k-th least d(q, c) + d(x, c) over members of the closest clusters that
         hold k; kept are members with |d(x, c) - d(q, c)| <= tau.  ``disk``: tau is d(q, c) of the
         last of these clusters.  ``memory``: going outwards, tau becomes d(q, c) + least d(x, c) where
-        d(q, c) > tau.  Both keep members with d(x, c) > d(q, c) - tau.
+        d(q, c) > tau.  Both keep members with d(x, c) > d(q, c) - tau.  ``exact`` takes the ``tau`` of
+        ``asked`` (qid, qvec, tau) where that is less; ``seeds``: the closest clusters only.
         """
         order = F.row_number().over(W.partitionBy("cell").orderBy("far", "id"))
         near = self.members.withColumn("r", order).filter(F.col("r") <= k).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
@@ -90,18 +119,20 @@ class ClusterIndex:
         least = np.full((len(ids), k), np.inf)
         for i, x in enumerate(held["near"].to_pylist()):
             least[i, : len(x)] = x
-        index = queries.sparkSession.sparkContext.broadcast((ids, size, radius, nearest, matrix(held["centre"].combine_chunks()), least))
+        index = asked.sparkSession.sparkContext.broadcast((ids, size, radius, nearest, matrix(held["centre"].combine_chunks()), least))
 
-        def plan(q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        metric = self.metric
+
+        def plan(q: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
             ids, size, radius, nearest, centre, least = index.value
-            d = distances(q, centre).round(9)
+            d = distances(q, centre, metric).round(9)
             order = np.argsort(d, axis=1, kind="stable")  # clusters stand by id
             before = np.cumsum(size[order], 1) - size[order]
             seed = np.zeros(d.shape, bool)
             np.put_along_axis(seed, order, before < k, 1)
             if rule == "exact":
                 bound = np.sort(np.where(seed[:, :, None], d[:, :, None] + least[None], np.inf).reshape(len(q), -1), 1)[:, :k]
-                tau = np.where(np.isfinite(bound), bound, -np.inf).max(1)
+                tau = np.minimum(np.where(np.isfinite(bound), bound, -np.inf).max(1), known)
             elif rule == "disk":
                 tau = np.where(seed, d, -np.inf).max(1)
             else:
@@ -111,28 +142,30 @@ class ClusterIndex:
                     on = np.take_along_axis(seed, c[:, None], 1)[:, 0] & (own > tau)
                     tau = np.where(on, own + nearest[c], tau)
             gap = radius[None] + tau[:, None] - d
-            i, c = np.nonzero(seed | (gap >= -SLACK if rule == "exact" else gap > 0))
+            reach = gap >= -SLACK if rule == "exact" else gap > 0
+            if rule == "exact":  # known bounds may leave out what is farther in than tau
+                reach &= (d + tau[:, None] >= nearest[None] - SLACK) | seed
+            i, c = np.nonzero(seed if seeds else seed | reach)
             own, t = d[i, c], tau[i]
             low, high = (own - t - SLACK, own + t + SLACK) if rule == "exact" else (own - t, np.full(len(i), np.inf))
-            return i, [ids[c], own, t, size[c], radius[c], nearest[c], seed[i, c], low, high]
+            return i, [ids[c], own, size[c], radius[c], nearest[c], seed[i, c], low, high]
 
         kind = dict(self.members.dtypes)["cell"]
-        added = f"cell {kind}, d double, tau double, size long, radius double, nearest double, seed boolean, low double, high double"
-        return _planned(queries, added, plan, len(ids) * k)
+        added = f"cell {kind}, d double, size long, radius double, nearest double, seed boolean, low double, high double"
+        return _planned(asked, added, plan, len(ids) * k)
 
     def knn(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
-        visits = self.visits(queries, k, rule)
-        if rule == "exact":
-            visits = staged(visits, "visits")
-            tight = _tightened(visits, self.members, k).filter((F.col("d") - F.col("tau") <= F.col("radius") + SLACK) & (F.col("d") + F.col("tau") >= F.col("nearest") - SLACK))
-            visits = staged(tight.withColumns({"low": F.col("d") - F.col("tau") - SLACK, "high": F.col("d") + F.col("tau") + SLACK}), "tight")
-        return ranked(meet(visits, self.members, k, rule != "exact").filter("id IS NOT NULL").drop("work"), k)
+        if rule != "exact":
+            return ranked(meet(self.visits(queries, k, rule), self.members, k, True, metric=self.metric).filter("id IS NOT NULL").drop("work"), k)
+        asked = _unbounded(queries)
+        seeds = staged(self._visits(asked, k, rule, seeds=True), "seeds")
+        return _nearest(staged(self._visits(_bounded(asked, seeds, self.members, k, self.metric), k, rule), "visits"), self.members, k, self.metric)
 
     def metrics(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
         """(qid, step1, step2, n_clusters): distances to centres, distances to members, clusters read."""
         visits = staged(self.visits(queries, k, rule), "visits")
         step1 = self.clusters.count()
-        step2 = meet(visits, self.members, k, rule != "exact").groupBy("qid").agg(F.sum("work").alias("step2"))
+        step2 = meet(visits, self.members, k, rule != "exact", metric=self.metric).groupBy("qid").agg(F.sum("work").alias("step2"))
         read = visits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_clusters"))
         return read.join(step2, "qid", "left").select("qid", F.lit(step1).cast("long").alias("step1"), F.coalesce("step2", F.lit(0)).alias("step2"), "n_clusters")
 
@@ -144,129 +177,128 @@ def cost(metrics: DataFrame, dimensions: int, seek: float = 0.005, transfer: flo
 
 
 class VantageIndex:
-    """Distances of every row to a few vantage points (id, vector), kept in one array column."""
+    """Distances of every row to a few vantage points (id, vector), kept in one array column.
 
-    def __init__(self, rows: DataFrame, points: list[tuple[int, list[float]]]) -> None:
-        self.pivots = np.array([v for _, v in points], np.float64)
-        pivots = rows.sparkSession.sparkContext.broadcast(self.pivots)
+    Queries and rows meet in blocks, as without an index; in a block only pairs that the vantage points do
+    not rule out are measured, a bounded number at a time, and only the k best of each query leave the task.
+    """
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                far = distances(matrix(batch.column(1)), pivots.value).round(9) if batch.num_rows else np.zeros((0, len(pivots.value)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(far), pa.list_(pa.float64()))], ["id", "vec", "far"])
-
-        self.id_type = dict(rows.dtypes)["id"]
-        schema = f"id {self.id_type}, vec array<double>, far array<double>"
-        self.rows = staged(rows.select("id", doubles("vec").alias("vec")).mapInArrow(run, schema), "vantage")
-
-    def candidates(self, queries: DataFrame, k: int, nearest: int, exact: bool = True) -> DataFrame:
-        """(qid, id, dist).  Not exact: kept where d(v, x) < 2 d(q, v) for the ``nearest`` points v.
-        Exact: where max |d(v, x) - d(q, v)| is at most the k-th least min (d(v, x) + d(q, v))."""
-        spark, parts = self.rows.sparkSession, []
-        qid_type = dict(queries.dtypes)["qid"]
-        schema = f"qid {qid_type}, id {self.id_type}, dist double"
-        for qids, q in query_blocks(queries):
-            qfar = distances(q, self.pivots).round(9)
-            tau = np.full(len(q), np.inf)
-            if exact:
-                bounds = spark.sparkContext.broadcast((qids, qfar))
-
-                def upper(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
-                    ids, qf = bounds.value
-                    best = Best(len(ids), k)
-                    for own, _, far in _slices(batches):
-                        best.add(np.min([qf[:, [j]] + far[None, :, j] for j in range(far.shape[1])], axis=0), own)
-                    yield best.rows(ids, ["qid", "id", "u"])
-
-                found = ranked(self.rows.mapInArrow(upper, f"qid {qid_type}, id {self.id_type}, u double"), k, "u")
-                at = {v: i for i, v in enumerate(qids.tolist())}
-                for r in found.groupBy("qid").agg(F.max("u").alias("tau"), F.count(F.lit(1)).alias("n")).collect():  # a row per query of the block
-                    tau[at[r.qid]] = r.tau if r.n == k else np.inf
-            cut = np.sort(qfar, 1)[:, min(nearest, qfar.shape[1]) - 1]
-            block = spark.sparkContext.broadcast((qids, q, qfar, tau, cut))
-
-            def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-                ids, qv, qf, t, c = block.value
-                for own, x, far in _slices(batches):
-                    on = np.ones((len(ids), len(own)), bool)
-                    for j in range(far.shape[1]):
-                        if exact:
-                            on &= np.abs(far[None, :, j] - qf[:, [j]]) <= t[:, None] + SLACK
-                        else:
-                            on &= (qf[:, [j]] > c[:, None]) | (far[None, :, j] < 2 * qf[:, [j]])
-                    a, b = np.nonzero(on)
-                    d = np.sqrt(((qv[a] - x[b]) ** 2).sum(1)).round(9)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b]), pa.array(d)], ["qid", "id", "dist"])
-
-            parts.append(self.rows.mapInArrow(keep, schema))
-        return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROW_SLICE):
-            part = batch.slice(at, ROW_SLICE)
-            yield part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1)), matrix(part.column(2))
+    def __init__(self, rows: DataFrame, points: list[tuple[int, list[float]]], metric: Metric = "euclidean") -> None:
+        self.pivots, self.metric = np.array([v for _, v in points], np.float64), metric
+        self.rows = staged(self._far(rows, "id"), "vantage")
 
+    def _far(self, rows: DataFrame, name: str) -> DataFrame:
+        """(name, vec, far) with the distances to the vantage points."""
+        pivots, metric = rows.sparkSession.sparkContext.broadcast(self.pivots), self.metric
 
-class CellIndex:
-    """Axis-aligned cells (cell_id, low, high, density) of a density or kd tree of up to ``MAX_LEAVES`` leaves."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                far = distances(matrix(batch.column(1)), pivots.value, metric).round(9) if batch.num_rows else np.zeros((0, len(pivots.value)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(far), pa.list_(pa.float64()))], [name, "vec", "far"])
 
-    def __init__(self, rows: DataFrame, tree: dict) -> None:
-        self.tree = tree
-        self.rows = rows.select("id", doubles("vec").alias("vec"), F.lit(0.0).alias("far")).withColumn("cell", cell_of(tree, F.col("vec")))
+        schema = f"{name} {dict(rows.dtypes)[name]}, vec array<double>, far array<double>"
+        return rows.select(name, doubles("vec").alias("vec")).mapInArrow(run, schema)
 
-    def knn(self, queries: DataFrame, k: int, dimensions: int) -> DataFrame:
-        """Exact: tau is the k-th distance within the query's cell (or to all, if it holds fewer);
-        every cell whose box is within tau of the query is searched."""
-        cells = leaves(self.tree, dimensions)
-        if len(cells) > MAX_LEAVES:
-            raise ValueError(f"a tree of {len(cells)} leaves; {MAX_LEAVES} at most")
-        names, low, high = np.array([c[0] for c in cells], object), np.array([c[1] for c in cells]), np.array([c[2] for c in cells])
-        home = {n: i for i, n in enumerate(names)}
-        tree = self.tree
+    def _blocks(self, queries: DataFrame, run: Callable, schema: str) -> DataFrame:
+        """``run`` over every block of queries with every block of rows."""
+        left, right = grid(self._far(queries, "qid"), self.rows)
+        return left.groupBy("part", "qpart").cogroup(right.groupBy("part", "qpart")).applyInArrow(run, schema)
 
-        def path(v: np.ndarray) -> str:
-            node, out = tree, ""
-            while "axis" in node:
-                side = bool(v[node["axis"]] > node["value"])
-                node, out = node["right" if side else "left"], out + "01"[side]
-            return out
+    def candidates(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, id, dist): of each block of rows the k nearest to each query, exactly.
 
-        def plan(q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-            gap = np.sqrt(sum(np.maximum(np.maximum(low[None, :, j] - q[:, [j]], q[:, [j]] - high[None, :, j]), 0) ** 2 for j in range(q.shape[1])))
-            seed = np.zeros(gap.shape, bool)
-            seed[np.arange(len(q)), [home[path(v)] for v in q]] = True
-            i, c = np.repeat(np.arange(len(q)), len(names)), np.tile(np.arange(len(names)), len(q))
-            return i, [names[c].tolist(), gap[i, c], np.full(len(i), np.inf), seed[i, c], np.zeros(len(i)), np.zeros(len(i))]
+        Left out are rows with max |d(v, x) - d(q, v)| above the k-th least d(v, x) + d(q, v) of the block, or above
+        the k-th distance measured so far.
+        """
+        metric = self.metric
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            qids, id_type, parts = left["qid"].combine_chunks(), right.schema.field("id").type, []
+            if left.num_rows and right.num_rows:
+                own, q, x = names(right["id"]), *(matrix(t["vec"].combine_chunks()) for t in (left, right))
+                qfar, far = (matrix(t["far"].combine_chunks()) for t in (left, right))
+                for a in range(0, len(q), QUERY_SLICE):
+                    qf, upper = qfar[a : a + QUERY_SLICE], Best(len(qfar[a : a + QUERY_SLICE]), k)
+                    for b in range(0, len(x), ROW_SLICE):
+                        near = np.min([qf[:, [j]] + far[None, b : b + ROW_SLICE, j] for j in range(far.shape[1])], axis=0)
+                        upper.add(near, own[b : b + ROW_SLICE])
+                    best = Best(len(qf), k)
+                    for b in range(0, len(x), ROW_SLICE):
+                        limit = np.minimum(upper.limit, best.limit)[:, None] + SLACK
+                        gap = np.max([np.abs(qf[:, [j]] - far[None, b : b + ROW_SLICE, j]) for j in range(far.shape[1])], axis=0)
+                        i, j = np.nonzero(gap <= limit)
+                        for at in range(0, len(i), GATHERED):
+                            u, v = i[at : at + GATHERED], j[at : at + GATHERED] + b
+                            best.put(u, paired(q[a + u], x[v], metric).round(9), own[v])
+                    parts.append(best_rows(best, qids.slice(a, QUERY_SLICE), id_type))
+            return pa.concat_tables(parts or [best_rows(Best(0, k), qids.slice(0, 0), id_type)])
+
+        kinds = dict(queries.dtypes)["qid"], dict(self.rows.dtypes)["id"]
+        return self._blocks(queries, run, f"qid {kinds[0]}, id {kinds[1]}, dist double")
 
-        visits = staged(_planned(queries, "cell string, d double, tau double, seed boolean, low double, high double", plan, len(names)), "visits")
-        visits = _tightened(visits, self.rows, k).filter(F.col("d") <= F.col("tau") + SLACK)
-        return ranked(meet(staged(visits, "tight"), self.rows, k).filter("id IS NOT NULL").drop("work"), k)
+    def knn(self, queries: DataFrame, k: int) -> DataFrame:
+        return ranked(self.candidates(queries, k), k)
+
+    def filtered(self, queries: DataFrame, nearest: int) -> DataFrame:
+        """(qid, candidates, least): how many rows have d(v, x) < 2 d(q, v) for the ``nearest`` points v to the
+        query, and the least of their distances; queries without any are left out."""
+        metric = self.metric
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            n, least = np.zeros(left.num_rows, np.int64), np.full(left.num_rows, np.inf)
+            if left.num_rows and right.num_rows:
+                q, x = (matrix(t["vec"].combine_chunks()) for t in (left, right))
+                qfar, far = (matrix(t["far"].combine_chunks()) for t in (left, right))
+                cut = np.sort(qfar, 1)[:, min(nearest, qfar.shape[1]) - 1]
+                for a in range(0, len(q), QUERY_SLICE):
+                    for b in range(0, len(x), ROW_SLICE):
+                        qf, f = qfar[a : a + QUERY_SLICE], far[b : b + ROW_SLICE]
+                        on = np.all([(qf[:, [j]] > cut[a : a + QUERY_SLICE, None]) | (f[None, :, j] < 2 * qf[:, [j]]) for j in range(f.shape[1])], axis=0)
+                        i, j = np.nonzero(on)
+                        for at in range(0, len(i), GATHERED):
+                            u, v = i[at : at + GATHERED] + a, j[at : at + GATHERED] + b
+                            np.minimum.at(least, u, paired(q[u], x[v], metric).round(9))
+                            n += np.bincount(u, minlength=len(n))
+            return pa.table([left["qid"].combine_chunks(), pa.array(n), pa.array(least)], ["qid", "candidates", "least"])
+
+        found = self._blocks(queries, run, f"qid {dict(queries.dtypes)['qid']}, candidates long, least double").filter("candidates > 0")
+        return found.groupBy("qid").agg(F.sum("candidates").alias("candidates"), F.min("least").alias("least"))
 
 
-def cell_of(tree: dict, vec: Column) -> Column:
-    """The path ('0' left, at most the value; '1' right) of a vector through a tree, as nested CASE."""
+class CellIndex:
+    """Axis-aligned cells of a density or kd tree."""
 
-    def walk(node: dict, path: str) -> Column:
-        if "axis" not in node:
-            return F.lit(path)
-        return F.when(vec[node["axis"]] <= node["value"], walk(node["left"], path + "0")).otherwise(walk(node["right"], path + "1"))
+    def __init__(self, rows: DataFrame, tree: dict, metric: str = "euclidean") -> None:
+        if metric not in ("euclidean", "manhattan"):
+            raise ValueError("boxes take euclidean and manhattan distances")
+        self.tree, self.metric = tree, metric
+        self.rows = staged(located(rows, tree).withColumn("far", F.lit(0.0)), "cells")
 
-    return walk(tree, "")
+    def knn(self, queries: DataFrame, k: int, dimensions: int | None = None) -> DataFrame:
+        """Exact: the first round searches the least part of the tree around the query that holds k rows, the
+        second every cell whose box is within the k-th distance found."""
+        return _nearest(self.visits(queries, k), self.rows, k, self.metric)
 
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, qvec, tau, cell, d, low, high) of the second round."""
+        size = {r.cell: r["n"] for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per leaf
+        held, metric = queries.sparkSession.sparkContext.broadcast((HalfTree(self.tree), size)), self.metric
 
-def leaves(tree: dict, dimensions: int) -> list[tuple[str, list[float], list[float], float | None]]:
-    """(path, low, high, density) of every leaf; unbounded sides are infinite."""
-    inf = float("inf")
+        def first(q: np.ndarray, _) -> tuple[np.ndarray, list]:
+            tree, count = held.value
+            parts = [(np.tile(rows, len(leaves)), np.repeat(tree.path[leaves], len(rows))) for leaves, rows in tree.home(q, k, count)]
+            i, cell = _joined(parts, [np.int64, object])
+            return i, [cell.astype(str), *np.zeros((3, len(i)))]
 
-    def walk(node: dict, path: str, low: list[float], high: list[float]):
-        if "axis" not in node:
-            return [(path, low, high, node.get("density"))]
-        a, v = node["axis"], node["value"]
-        return walk(node["left"], path + "0", low, [min(x, v) if i == a else x for i, x in enumerate(high)]) + walk(node["right"], path + "1", [max(x, v) if i == a else x for i, x in enumerate(low)], high)
+        def second(q: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, list]:
+            tree, count = held.value
+            parts = [(rows, np.full(len(rows), tree.path[leaf], object), gap) for leaf, rows, gap in tree.within(q, tau, metric) if count.get(tree.path[leaf])]
+            i, cell, gap = _joined(parts, [np.int64, object, float])
+            return i, [cell.astype(str), gap, *np.zeros((2, len(i)))]
 
-    return walk(tree, "", [-inf] * dimensions, [inf] * dimensions)
+        added, asked = "cell string, d double, low double, high double", _unbounded(queries)
+        seeds = staged(_planned(asked, added, first, 256), "seeds")
+        return staged(_planned(_bounded(asked, seeds, self.rows, k, metric), added, second, 256), "visits")
 
 
 def median_tree(rows: DataFrame, dimensions: int, depth: int) -> dict:
@@ -274,7 +306,8 @@ def median_tree(rows: DataFrame, dimensions: int, depth: int) -> dict:
     root: dict = {}
     for level in range(depth):
         axis = level % dimensions
-        cuts = quantiles(rows, cell_of(root, doubles("vec")), doubles("vec")[axis], [0.5]).collect()  # a row per node
+        own = located(rows, root).select("cell", doubles("vec")[axis].alias("x"))
+        cuts = quantiles(own, F.col("cell"), F.col("x"), [0.5]).collect()  # a row per node
         for r in cuts:
             node = root
             for side in r.grp:
@@ -287,13 +320,12 @@ class VantageTree:
     """A tree of vantage points: each node cuts its rows into ``branching`` shells of equal counts around
     one of them (that of the least hash, or ``point`` at the root), each shell again, ``levels`` deep.
 
-    Every leaf knows the least and greatest distance to each vantage point above it.
+    Every leaf knows the least and greatest distance to each vantage point above it.  The driver holds a
+    vantage point for every inner node.
     """
 
-    def __init__(self, rows: DataFrame, branching: int, levels: int = 1, point: list[float] | None = None) -> None:
-        if branching**levels > MAX_LEAVES:
-            raise ValueError(f"{branching**levels} leaves; {MAX_LEAVES} at most")
-        self.branching, self.levels = branching, levels
+    def __init__(self, rows: DataFrame, branching: int, levels: int = 1, point: list[float] | None = None, metric: Metric = "euclidean") -> None:
+        self.branching, self.levels, self.metric = branching, levels, metric
         self.pivots: dict[str, np.ndarray] = {}
         self.bounds: list[tuple[str, list[tuple[str, float, float]]]] = []
         kind = dict(rows.dtypes)["id"]
@@ -306,7 +338,7 @@ class VantageTree:
                 picked = own.groupBy("cell").agg(F.min_by("vec", F.struct(fixed_hash(F.col("id")), "id")).alias("vec")).collect()  # a row per node
                 found = {r.cell: np.array(r.vec) for r in picked}
             self.pivots |= found
-            own = staged(own.mapInArrow(_to_pivots(found), f"id {kind}, vec array<double>, cell string, far double"), "level")
+            own = staged(own.mapInArrow(_to_pivots(found, metric), f"id {kind}, vec array<double>, cell string, far double"), "level")
             cuts = own.groupBy("cell").agg(F.percentile_approx("far", [i / branching for i in range(1, branching)], 10_000).alias("c")).collect()
             own = own.mapInArrow(_to_shells({r.cell: np.array(r.c) for r in cuts}), f"id {kind}, vec array<double>, cell string, far double")
             own = staged(own, "shells")
@@ -315,48 +347,50 @@ class VantageTree:
         self.rows, self.bounds = own, sorted(held.items())
 
     def knn(self, queries: DataFrame, k: int) -> DataFrame:
-        """Exact: tau is the k-th distance within the nearest leaves that hold k rows; every leaf is searched whose
-        shells all come within tau of the query's own distances to their vantage points."""
-        count = {r.cell: r.n for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        names = np.array([n for n, _ in self.bounds], object)
-        size = np.array([count[n] for n in names], np.int64)
-        paths, at = list(self.pivots), {p: i for i, p in enumerate(self.pivots)}
-        pivots = np.array([self.pivots[p] for p in paths])
-        above = [np.array([at[b[level][0]] for _, b in self.bounds], int) for level in range(self.levels)]
-        low = [np.array([b[level][1] for _, b in self.bounds]) for level in range(self.levels)]
-        high = [np.array([b[level][2] for _, b in self.bounds]) for level in range(self.levels)]
-
-        def plan(q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-            d = distances(q, pivots).round(9)
-            gap = np.zeros((len(q), len(names)))
-            for up, lo, hi in zip(above, low, high, strict=True):
-                gap = np.maximum(gap, np.maximum(lo - d[:, up], d[:, up] - hi))
-            order = np.argsort(gap, axis=1, kind="stable")
-            before = np.cumsum(size[order], 1) - size[order]
-            seed = np.zeros(gap.shape, bool)
-            np.put_along_axis(seed, order, before < k, 1)
-            i, c = np.repeat(np.arange(len(q)), len(names)), np.tile(np.arange(len(names)), len(q))
-            inf = np.full(len(i), np.inf)
-            return i, [names[c].tolist(), d[:, above[-1]][i, c], gap[i, c], inf, seed[i, c], -inf, inf]
+        """Exact: the first round searches the least part of the tree around the query that holds k rows, the
+        second every leaf whose shells all come within the k-th distance found of the query's own distances."""
+        return _nearest(self.visits(queries, k), self.rows, k, self.metric)
+
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, qvec, tau, cell, d, low, high) of the second round."""
+        size = {r.cell: r["n"] for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per leaf
+        held = queries.sparkSession.sparkContext.broadcast(ShellTree(self.pivots, self.bounds, size, self.metric))
+
+        def columns(parts: list, tau: np.ndarray) -> tuple[np.ndarray, list]:
+            i, cell, d = _joined(parts, [np.int64, object, float])
+            return i, [cell.astype(str), d, d - tau[i] - SLACK, d + tau[i] + SLACK]
+
+        def first(q: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, list]:
+            tree, parts = held.value, []
+            for node, rows in tree.home(q, k):
+                found = tree.within(q, tau, node, rows) if node in tree.children else [(node, rows, tree.leaf_distance(q[rows], node))] if node else []
+                parts += [(r, np.full(len(r), leaf, object), d) for leaf, r, d in found]
+            return columns(parts, tau)
+
+        def second(q: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, list]:
+            tree = held.value
+            return columns([(r, np.full(len(r), leaf, object), d) for leaf, r, d in tree.within(q, tau)] if tree.children else [], tau)
 
-        visits = staged(_planned(queries, "cell string, d double, gap double, tau double, seed boolean, low double, high double", plan, max(len(names), pivots.size)), "visits")
-        visits = _tightened(visits, self.rows, k).filter(F.col("gap") <= F.col("tau") + SLACK)
-        visits = visits.withColumns({"low": F.col("d") - F.col("tau") - SLACK, "high": F.col("d") + F.col("tau") + SLACK})
-        return ranked(meet(staged(visits, "tight"), self.rows, k).filter("id IS NOT NULL").drop("work"), k)
+        added, asked = "cell string, d double, low double, high double", _unbounded(queries)
+        seeds = staged(_planned(asked, added, first, 256), "seeds")
+        return staged(_planned(_bounded(asked, seeds, self.rows, k, self.metric), added, second, 256), "visits")
 
 
 def _above(path: str) -> str:
     return path.rpartition("/")[0]
 
 
-def _to_pivots(pivots: dict[str, np.ndarray]):
+def _to_pivots(pivots: dict[str, np.ndarray], metric: Metric):
     """Rows (id, vec, cell, far) with ``far`` the distance to their node's vantage point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = np.array([pivots[c] for c in batch.column(2).to_pylist()])
-                far = np.sqrt(((matrix(batch.column(1)) - own) ** 2).sum(1)).round(9)
+                cell, x = np.array(batch.column(2).to_pylist(), object), matrix(batch.column(1))
+                far = np.zeros(len(x))
+                for c in set(cell.tolist()):
+                    on = cell == c
+                    far[on] = distances(x[on], pivots[c][None], metric)[:, 0].round(9)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far)], ["id", "vec", "cell", "far"])
 
     return run

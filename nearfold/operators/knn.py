@@ -1,59 +1,43 @@
-"""Exact k nearest neighbours without an index: the measure for every index.
+"""Exact k nearest neighbours without an index: a block join, and the measure for every index.
 
-Queries come in blocks of bounded size, each a broadcast; the catalogue is read once a block, each
-task keeps its k best for every query, and only those are shuffled.
+Queries and rows are cut into blocks by the hash of their ids, and every two blocks meet in a task, which
+keeps the k best of its queries; only those go on.  Neither side passes through the driver, and the
+blocks bound what a task holds, whatever the sizes of both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shared import staged
-from .blocks import distances, matrix
+from ..functions.vectors import doubles
+from .blocks import Best, Metric, distances, matrix, names
 
-QUERY_BLOCK = 8_192
-ROW_SLICE = 1_024
+ROWS_BLOCK, QUERIES_BLOCK = 32_768, 16_384
+ROW_SLICE, QUERY_SLICE = 1_024, 512
 
 
-def query_blocks(queries: DataFrame, query_block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of at most ``query_block`` queries (qid, vec), one block after the other, as Arrow tables.
+def grid(queries: DataFrame, rows: DataFrame, rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``queries`` (qid, ...) and ``rows`` (id, ...) with ``part`` and ``qpart``, every block of one beside every block of the other.
 
-    Queries are cut by the hash of their id into parts of which each is well below the bound of memory.
+    Small tables are cut finer, so that all cores have work.
     """
-    rows = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"))
-    n = rows.count()
-    parts = -(-n // query_block)
-    rows = staged(rows, "asked") if parts > 1 else rows
-    for part in range(parts):
-        own = (rows.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part) if parts > 1 else rows).toArrow().combine_chunks()
-        for at in range(0, own.num_rows, query_block):
-            some = own.slice(at, query_block).combine_chunks()
-            yield some["qid"].to_numpy(), matrix(some["vec"].combine_chunks())
-
-
-class Best:
-    """The k least (distance, id) of each query so far."""
-
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.d = np.full((queries, 0), np.inf)
-        self.i = np.zeros((queries, 0), np.int64)
+    n, m = rows.count(), queries.count()
+    parts = max(1, -(-n // rows_block), min(rows.sparkSession.sparkContext.defaultParallelism, n // ROW_SLICE))
+    qparts = max(1, -(-m // queries_block))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = queries.withColumn("qpart", F.pmod(F.xxhash64("qid"), F.lit(qparts)).cast("int")).withColumn("part", every(parts))
+    right = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("qpart", every(qparts))
+    return left, right
 
-    def add(self, d: np.ndarray, ids: np.ndarray) -> None:
-        both_d, both_i = np.concatenate([self.d, d], 1), np.concatenate([self.i, np.broadcast_to(ids, d.shape)], 1)
-        order = np.lexsort([both_i, both_d], axis=1)[:, : self.k]
-        self.d, self.i = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
 
-    def rows(self, qids: np.ndarray, names: list[str]) -> pa.RecordBatch:
-        real = np.isfinite(self.d)
-        return pa.RecordBatch.from_arrays([pa.array(qids[np.nonzero(real)[0]]), pa.array(self.i[real]), pa.array(self.d[real])], names)
+def best_rows(best: Best, qids: pa.Array, id_type: pa.DataType, columns: tuple[str, str, str] = ("qid", "id", "dist")) -> pa.Table:
+    """What ``best`` holds, as rows."""
+    ids = np.zeros(0, np.int64) if best.i is None else best.i
+    return pa.table([qids.take(pa.array(best.row)), pa.array(ids.tolist(), id_type), pa.array(best.d)], columns)
 
 
 def ranked(found: DataFrame, k: int, dist: str = "dist") -> DataFrame:
@@ -62,34 +46,28 @@ def ranked(found: DataFrame, k: int, dist: str = "dist") -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, catalogue: DataFrame, k: int, metric: str = "euclidean", query_block: int = QUERY_BLOCK) -> DataFrame:
+def knn(queries: DataFrame, catalogue: DataFrame, k: int, metric: Metric = "euclidean", rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK) -> DataFrame:
     """(qid, id, dist, rank) for queries (qid, vec) and catalogue (id, vec); a row is no neighbour of its own id.
 
     Equal distances (to nine decimals) are ranked by id.
     """
-    spark, parts = catalogue.sparkSession, []
     kinds = dict(queries.dtypes)["qid"], dict(catalogue.dtypes)["id"]
-    rows = catalogue.select("id", F.col("vec").cast("array<double>"))
-    for held in query_blocks(queries, query_block):
-        block = spark.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            qids, q = block.value
-            best = Best(len(q), k)
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_SLICE):
-                    part = batch.slice(at, ROW_SLICE)
-                    own, x = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
-                    d = distances(q, x, metric).round(9)
-                    d[qids[:, None] == own[None, :]] = np.inf
-                    best.add(d, own)
-            yield best.rows(qids, ["qid", "id", "dist"])
-
-        found = ranked(rows.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double"), k)
-        if len(held[0]) == query_block:  # more may follow: this block is done and its broadcast goes
-            found = staged(found, "near")
-            block.destroy()
-        parts.append(found)
-    if not parts:
-        return spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, dist double, rank int")
-    return reduce(DataFrame.union, parts)
+    left, right = grid(queries.select("qid", doubles("vec").alias("vec")), catalogue.select("id", doubles("vec").alias("vec")), rows_block, queries_block)
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        qids, id_type = left["qid"].combine_chunks(), right.schema.field("id").type
+        asked, own, parts = names(qids), names(right["id"]), []
+        if left.num_rows and right.num_rows:
+            q, x = matrix(left["vec"].combine_chunks()), matrix(right["vec"].combine_chunks())
+            for a in range(0, len(q), QUERY_SLICE):
+                best = Best(len(q[a : a + QUERY_SLICE]), k)
+                for b in range(0, len(x), ROW_SLICE):
+                    d = distances(q[a : a + QUERY_SLICE], x[b : b + ROW_SLICE], metric).round(9)
+                    if asked.dtype.kind == own.dtype.kind:
+                        d[asked[a : a + QUERY_SLICE, None] == own[None, b : b + ROW_SLICE]] = np.inf
+                    best.add(d, own[b : b + ROW_SLICE])
+                parts.append(best_rows(best, qids.slice(a, QUERY_SLICE), id_type))
+        return pa.concat_tables(parts or [best_rows(Best(0, k), qids.slice(0, 0), id_type)])
+
+    keys = ["part", "qpart"]
+    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, f"qid {kinds[0]}, id {kinds[1]}, dist double"), k)

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import matrix
+from .blocks import Metric, distances, matrix
 
 ROWS, VISITS = 16_384, 4_096
 
 
-def meet(visits: DataFrame, rows: DataFrame, k: int, open_low: bool = False, rows_part: int = ROWS, visits_part: int = VISITS) -> DataFrame:
+def meet(visits: DataFrame, rows: DataFrame, k: int, open_low: bool = False, rows_part: int = ROWS, visits_part: int = VISITS, metric: Metric = "euclidean") -> DataFrame:
     """(qid, id, dist, work): the k nearest rows of each visit, and a row without id that says how many it looked at.
 
     ``visits`` has (qid, qvec, cell, low, high), ``rows`` (cell, id, vec, far); looked at are the rows of the
@@ -47,7 +47,7 @@ def meet(visits: DataFrame, rows: DataFrame, k: int, open_low: bool = False, row
             for i, (a, z) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
                 if z <= a:
                     continue
-                d = np.sqrt(((x[a:z] - q[i]) ** 2).sum(1)).round(9)
+                d = distances(q[i : i + 1], x[a:z], metric)[0].round(9)
                 at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
                 at = at[np.lexsort([ids[a:z][at], d[at]])][:k]
                 columns[0] += [qids[i]] * (len(at) + 1)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import CF_DISTANCES, cf_diameter, cf_merge, cf_radius
 from ..operators.clusters import Birch, assign, summary
-from ..operators.index import CellIndex, ClusterIndex, VantageIndex, VantageTree, cell_of, cost, median_tree, ranked
+from ..operators.index import CellIndex, ClusterIndex, VantageIndex, VantageTree, cost, median_tree
 from ..operators.scaling import sample
 from ..operators.sums import cluster_features, merge_cluster_features
+from ..operators.trees import located
 from ..shared import new_path, staged
 from ..sources.features import read_clusters, write_clusters
 from ..streaming.merge import feed_cluster_features, merged_cluster_features
@@ -184,24 +185,24 @@ def _points(rows: DataFrame) -> list:
 def vantage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that the filter leaves each query, by the ``NEAREST`` of the ``POINTS`` lowest ids."""
     rows = vectors(spark, sf_dir)
-    found = VantageIndex(rows, _points(rows)).candidates(_lifted(rows), K, NEAREST, exact=False)
-    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("candidates"), F.round(F.min("dist"), 6).alias("nearest"))
+    found = VantageIndex(rows, _points(rows)).filtered(_lifted(rows), NEAREST)
+    return found.select("qid", "candidates", F.round("least", 6).alias("nearest"))
 
 
 def vantage_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return _result(ranked(VantageIndex(rows, _points(rows)).candidates(_lifted(rows), K, NEAREST), K))
+    return _result(VantageIndex(rows, _points(rows)).knn(_lifted(rows), K))
 
 
 def kd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by cell of a tree of medians."""
     rows = vectors(spark, sf_dir)
-    return rows.groupBy(cell_of(median_tree(rows, WIDTH, DEPTH), F.col("vec")).alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    return located(rows, median_tree(rows, WIDTH, DEPTH)).groupBy(F.col("cell").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cell_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return _result(CellIndex(rows, median_tree(rows, WIDTH, DEPTH)).knn(_lifted(rows), K, WIDTH))
+    return _result(CellIndex(rows, median_tree(rows, WIDTH, DEPTH)).knn(_lifted(rows), K))
 
 
 def shell_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

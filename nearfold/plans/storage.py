@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.curves import object_id
 from ..functions.vectors import METRICS, chebyshev_block, dot
 from ..operators.curves import features
-from ..operators.index import CellIndex, cell_of
+from ..operators.index import CellIndex
 from ..operators.knn import knn
+from ..operators.trees import located
 from ..operators.scaling import IncrementalPca, Pca, standardise
 from ..operators.sums import column_sums
 from ..shared import new_path, staged
@@ -114,12 +115,12 @@ def _read_tree(spark: SparkSession) -> dict:
 def density_tree_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by cell of a density tree read from its text file."""
     rows = vectors(spark, sf_dir)
-    return rows.groupBy(cell_of(_read_tree(spark), F.col("vec")).alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    return located(rows, _read_tree(spark)).groupBy(F.col("cell").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def density_tree_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return _result(CellIndex(rows, _read_tree(spark)).knn(_lifted(rows), K, len(FEATURES)))
+    return _result(CellIndex(rows, _read_tree(spark)).knn(_lifted(rows), K))
 
 
 def knn_callable(spark: SparkSession, sf_dir: str) -> DataFrame:

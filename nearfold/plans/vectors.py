@@ -9,7 +9,6 @@ from ..functions.curves import bezier, fixed_hash, id_part, object_id
 from ..functions.vectors import METRICS, dot, total
 from ..operators import pairs
 from ..operators.clusters import grid_cells
-from ..operators.curves import upsert
 from ..operators.knn import knn
 from ..operators.ml import accuracy_by_width, importance
 from ..operators.quantiles import quantiles
@@ -19,14 +18,13 @@ from ..shared import new_path, staged
 from ..sources.features import first_columns, reorder, write_partitioned
 from ..sources.synthetic import blobs, uniform
 from ..sources.text import bezier_points
+from ..sources.versioned import VersionedTable
 from .common import CENTRES, Q, V, X, long_form, targets, vectors
 
 K = 5
 HEAD = 1_000
 SAMPLE = 100
 WIDTH = 5
-PATHS = {1: "M 0 0 Q 1 2 3 0 Q 4 -2 6 1", 2: "M 10.5 -3 Q 11 0 12.25 4 Q 13 8 9 9 Q 5 5 0 0", 3: "M 5 5"}
-BLOBS = [[10.0, 10.0], [20.0, 20.0], [30.0, 30.0], [40.0, 40.0], [50.0, 50.0]]
 
 
 def scan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,17 +165,24 @@ def grid_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form(uniform(spark, 1_000, WIDTH, 1))
+    """As many random vectors as the table has, by its ids."""
+    return long_form(uniform(vectors(spark, sf_dir), WIDTH, 1))
 
 
 def synthetic_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blobs(spark, 100, BLOBS, 1.5, 1)
-    return rows.select("id", "label", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
+    """For each row a random point around the mean of its label's first two components."""
+    rows = vectors(spark, sf_dir)
+    means = rows.groupBy("label").agg(F.array(*[F.avg(F.col("vec")[j]) for j in range(2)]).alias("mean"))
+    out = blobs(rows, means, 2, 1.5, 1)
+    return out.select("id", "label", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
 
 
 def path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(PATHS.items()), "id long, path string")
-    out = bezier_points(rows, 11)
+    """Each curve's observations as a path, every second one a control point, and points along it."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"), "ts", "event_id", F.floor(F.col("value") * 100).alias("y"))
+    rows = events.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "y"))), lambda r: r["y"]).alias("y"))
+    steps = F.transform(F.when(F.size("y") > 2, F.sequence(F.lit(1), F.size("y") - 2, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.lit("Q"), i, F.get("y", i), i + 1, F.get("y", i + 1)))
+    out = bezier_points(rows.select("id", F.concat_ws(" ", F.lit("M 0"), F.get("y", F.lit(0)), F.concat_ws(" ", steps)).alias("path")), 11)
     return out.select("id", F.col("seg").cast("long").alias("seg"), F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -190,9 +195,14 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written, changed by key, and read again."""
     v = vectors(spark, sf_dir).select("id", F.col("label").cast("long").alias("label"))
     changes = v.filter(F.col("label").isin(2, 3)).withColumn("label", F.col("label") + 10).unionByName(v.agg((F.max("id") + 1).alias("id"), F.lit(99).cast("long").alias("label")))
-    return upsert(v, changes, "id")
+    table = VersionedTable(spark, new_path(spark, "versioned"), ["id"], 8)
+    table.upsert(v)
+    table.upsert(changes)
+    table.vacuum()
+    return table.read()
 
 
 def symmetric_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,13 +301,15 @@ ORACLE_SQL = {
     "closest_pair": _PAIRS + " SELECT a, b, round(dist, 6) AS dist FROM (SELECT * FROM d ORDER BY d.dist, a, b LIMIT 1)",
     "farthest_pair": _PAIRS + " SELECT a, b, round(dist, 6) AS dist FROM (SELECT * FROM d ORDER BY d.dist DESC, a, b LIMIT 1)",
     "grid_cell_counts": f"WITH {V} SELECT array_to_string(list_transform(vec[1:{WIDTH}], lambda e: CAST(CAST(floor(e / 0.2) AS BIGINT) AS VARCHAR)), ',') AS cell, count(*) AS n FROM v GROUP BY 1",
-    "synthetic_uniform": f"SELECT i AS id, CAST(j AS BIGINT) AS pos, round({_U.format("i || ':' || j || ':1'")}, 6) AS value FROM range(1000) a(i), range({WIDTH}) b(j)",
-    "synthetic_blobs": "WITH b AS (SELECT i AS id, CAST(i % 5 AS INTEGER) AS label FROM range(500) a(i)) SELECT id, label, "
+    "synthetic_uniform": f"SELECT i AS id, CAST(j AS BIGINT) AS pos, round({_U.format("i || ':' || j || ':1'")}, 6) AS value FROM (SELECT vec_id AS i FROM embeddings), range({WIDTH}) b(j)",
+    "synthetic_blobs": f"WITH {V}, m AS (SELECT label, avg(vec[1]) AS m0, avg(vec[2]) AS m1 FROM v GROUP BY label) SELECT id, label, "
     + ", ".join(
-        f"round((label + 1) * 10 + 1.5 * sqrt(-2 * ln(1 - {_U.format(f"id || ':{j}:r:1'")})) * cos(2 * pi() * {_U.format(f"id || ':{j}:a:1'")}), 6) AS {n}" for j, n in enumerate("xy")
+        f"round(m{j} + 1.5 * sqrt(-2 * ln(1 - {_U.format(f"id || ':{j}:r:1'")})) * cos(2 * pi() * {_U.format(f"id || ':{j}:a:1'")}), 6) AS {n}" for j, n in enumerate("xy")
     )
-    + " FROM b",
-    "path_points": "WITH s(id, seg, x0, y0, x1, y1, x2, y2) AS (VALUES (1, 1, 0, 0, 1, 2, 3, 0), (1, 2, 3, 0, 4, -2, 6, 1), (2, 1, 10.5, -3, 11, 0, 12.25, 4), (2, 2, 12.25, 4, 13, 8, 9, 9), (2, 3, 9, 9, 5, 5, 0, 0)), p AS (SELECT *, i / 10.0 AS t FROM s, range(11) r(i)) "
+    + " FROM v JOIN m USING (label)",
+    "path_points": "WITH e AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS x, floor(value * 100) AS y FROM events), "
+    "s AS (SELECT a.id, a.x // 2 + 1 AS seg, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM e a JOIN e b ON b.id = a.id AND b.x = a.x + 1 JOIN e c ON c.id = a.id AND c.x = a.x + 2 WHERE a.x % 2 = 0), "
+    "p AS (SELECT *, i / 10.0 AS t FROM s, range(11) r(i)) "
     "SELECT CAST(id AS BIGINT) AS id, CAST(seg AS BIGINT) AS seg, i, "
     + ", ".join(f"round(CAST((1 - t) * (1 - t) * {a}0 + 2 * (1 - t) * t * {a}1 + t * t * {a}2 AS DOUBLE), 6) AS {a}" for a in "xy")
     + " FROM p",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,12 @@ def hashed_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def uniform(spark: SparkSession, n: int, dimensions: int, seed: int = 0) -> DataFrame:
-    """(id, vec) with ``n`` vectors on the unit cube."""
-    return spark.range(n).select("id", F.array(*[hashed_uniform("id", F.lit(j), F.lit(seed)) for j in range(dimensions)]).alias("vec"))
+def uniform(ids: DataFrame, dimensions: int, seed: int = 0) -> DataFrame:
+    """(id, vec): for each id a vector on the unit cube."""
+    return ids.select("id", F.array(*[hashed_uniform("id", F.lit(j), F.lit(seed)) for j in range(dimensions)]).alias("vec"))
 
 
-def blobs(spark: SparkSession, n: int, means: list[list[float]], spread: float, seed: int = 0) -> DataFrame:
-    """(id, label, vec): ``n`` normal vectors around each mean, by the Box-Muller rule."""
-    base = spark.range(n * len(means)).withColumn("label", (F.col("id") % len(means)).cast("int"))
-    centre = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in means])
+def blobs(rows: DataFrame, means: DataFrame, dimensions: int, spread: float, seed: int = 0) -> DataFrame:
+    """(id, label, vec): for each row (id, label) a normal vector around the mean (label, mean) of its label, by the Box-Muller rule."""
     normal = lambda j: F.sqrt(-2 * F.log(1 - hashed_uniform("id", F.lit(j), F.lit("r"), F.lit(seed)))) * F.cos(2 * F.pi() * hashed_uniform("id", F.lit(j), F.lit("a"), F.lit(seed)))
-    return base.select("id", "label", F.array(*[F.get(F.get(centre, F.col("label")), F.lit(j)) + spread * normal(j) for j in range(len(means[0]))]).alias("vec"))
+    return rows.join(means, "label").select("id", "label", F.array(*[F.col("mean")[j] + spread * normal(j) for j in range(dimensions)]).alias("vec"))

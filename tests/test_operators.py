@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from nearfold.functions.vectors import cf_d2, cf_merge
 from nearfold.operators import curves, pairs
 from nearfold.operators.clusters import Birch, CfTree, assign, summary
-from nearfold.operators.index import CellIndex, ClusterIndex, VantageIndex, VantageTree, median_tree, ranked
-from nearfold.operators.knn import knn
+from nearfold.operators.index import CellIndex, ClusterIndex, VantageIndex, VantageTree, median_tree
+from nearfold.operators.knn import knn, ranked
 from nearfold.operators.meet import meet
 from nearfold.operators.quantiles import quantiles
 from nearfold.operators.scaling import Pca, min_max, standardise
@@ -20,9 +20,9 @@ from nearfold.operators.sums import cluster_features
 from nearfold.sources.text import grow, parse_tree, path_points
 
 #: Small point sets with answers by hand.
-SIX = [(9.0, 6.0), (4.0, 7.0), (5.0, 4.0), (7.0, 2.0), (8.0, 1.0), (2.0, 3.0)]
-TOY = [(2.0, 2.0), (2.0, 6.0), (5.0, 5.0), (7.0, 5.0), (6.0, 4.3), (6.0, 3.2)]
-TOY_TREE = ["Var. 1 > 4.2: ", "Var. 0 > 4: f(x)=5.06477e-32", "Var. 0 <= 4 : f(x)=5.95207e-31", "Var. 1 <= 4.2 f(x)=2.29734e-35"]
+SIX = [(8.0, 9.0), (9.0, 5.0), (6.0, 6.0), (3.0, 8.0), (4.0, 1.0), (1.0, 2.0)]
+TOY = [(1.0, 1.5), (3.0, 9.0), (5.5, 7.0), (9.0, 8.0), (7.0, 3.1), (7.0, 1.6)]
+TOY_TREE = ["Var. 1 > 3: ", "Var. 0 > 5: f(x)=0.0425", "Var. 0 <= 5 : f(x)=0.25", "Var. 1 <= 3 f(x)=1.5e-06"]
 
 
 def table(spark, points, name="id"):
@@ -37,48 +37,108 @@ def test_six_points(spark):
     q = spark.createDataFrame([(-1, [10.0, 10.0])], "qid long, vec array<double>")
     out = knn(q, table(spark, SIX), 5).orderBy("rank").collect()
     assert [r.id for r in out] == [0, 1, 2, 3, 4]
-    assert [round(r.dist**2) for r in out] == [17, 45, 61, 73, 85]
+    assert [round(r.dist**2) for r in out] == [5, 26, 32, 53, 117]
 
 
 def test_neighbour_across_a_split(spark):
-    q = spark.createDataFrame([(-1, [6.0, 4.0])], "qid long, vec array<double>")
-    out = CellIndex(table(spark, TOY), parse_tree(TOY_TREE)).knn(q, 1, 2).collect()
+    q = spark.createDataFrame([(-1, [7.0, 2.8])], "qid long, vec array<double>")
+    out = CellIndex(table(spark, TOY), parse_tree(TOY_TREE)).knn(q, 1).collect()
     assert [(r.id, r.dist) for r in out] == [(4, 0.3)]
 
 
 def test_tree_text():
     assert parse_tree(TOY_TREE) == {
-        "axis": 1, "value": 4.2, "left": {"density": 2.29734e-35},
-        "right": {"axis": 0, "value": 4.0, "left": {"density": 5.95207e-31}, "right": {"density": 5.06477e-32}},
+        "axis": 1, "value": 3.0, "left": {"density": 1.5e-06},
+        "right": {"axis": 0, "value": 5.0, "left": {"density": 0.25}, "right": {"density": 0.0425}},
     }
     deep = ["Var. 0 > -6: f(x)=1", "Var. 0 <= -6", "|\tVar. 1 > 7", "|\t|\tVar. 0 > -10: f(x)=2", "|\t|\tVar. 0 <= -10: f(x)=3", "|\tVar. 1 <= 7: f(x)=4"]
     assert parse_tree(deep)["left"]["right"] == {"axis": 0, "value": -10.0, "left": {"density": 3.0}, "right": {"density": 2.0}}
     assert parse_tree([]) == {}
 
 
+def chebyshev(a, b):
+    return np.abs(a[:, None, :] - b[None, :, :]).max(2)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", chebyshev])
 @pytest.mark.parametrize("k", [1, 5, 20])
-def test_every_exact_index_agrees_with_brute_force(spark, k):
+def test_every_exact_index_agrees_with_brute_force(spark, k, metric):
     rng = np.random.default_rng(k)
     points = np.round(rng.random((300, 4)), 2)  # rounded: ties
     rows, queries = table(spark, points).cache(), table(spark, rng.random((15, 4)), "qid")
-    want = found(knn(queries.withColumn("qid", -F.col("qid") - 1), rows, k))
+    want = found(knn(queries.withColumn("qid", -F.col("qid") - 1), rows, k, metric))
     queries = queries.withColumn("qid", -F.col("qid") - 1)
     centres = table(spark, points[::30], "cluster_id")
-    members = assign(rows, centres).join(rows, "id")
-    assert found(ClusterIndex(members, centres).knn(queries, k)) == want
+    members = assign(rows, centres, metric).join(rows, "id")
+    assert found(ClusterIndex(members, centres, metric).knn(queries, k)) == want
     pivots = [(i, points[i].tolist()) for i in (0, 7, 100)]
-    assert found(ranked(VantageIndex(rows, pivots).candidates(queries, k, 3), k)) == want
-    assert found(CellIndex(rows, median_tree(rows, 4, 3)).knn(queries, k, 4)) == want
-    assert found(VantageTree(rows, 6, point=points[0].tolist()).knn(queries, k)) == want
-    assert found(VantageTree(rows, 3, 3).knn(queries, k)) == want
+    assert found(VantageIndex(rows, pivots, metric).knn(queries, k)) == want
+    if not callable(metric):
+        assert found(CellIndex(rows, median_tree(rows, 4, 3), metric).knn(queries, k)) == want
+    assert found(VantageTree(rows, 6, point=points[0].tolist(), metric=metric).knn(queries, k)) == want
+    assert found(VantageTree(rows, 3, 3, metric=metric).knn(queries, k)) == want
+
+
+def test_boxes_take_no_other_metric(spark):
+    with pytest.raises(ValueError, match="boxes"):
+        CellIndex(table(spark, SIX), {}, chebyshev)
+
+
+def clustered(rng, n=40, each=50, d=3):
+    return (rng.random((n, 1, d)) * 100 + rng.normal(size=(n, each, d))).reshape(-1, d)
+
+
+def test_second_round_plans_few_visits(spark):
+    """Only leaves that may hold a nearer row are staged, out of many; nothing is lost."""
+    rng = np.random.default_rng(12)
+    points = clustered(rng)
+    rows = table(spark, points).cache()
+    queries = table(spark, points[::25] + 0.1, "qid").withColumn("qid", -F.col("qid") - 1).cache()
+    want = found(knn(queries, rows, 4))
+    far = np.sort(np.sqrt(((points[::25, None] + 0.1 - points[None]) ** 2).sum(2)), 1)[:, 3]
+    for index, leaves in ((CellIndex(rows, median_tree(rows, 3, 6)), 64), (VantageTree(rows, 4, 3), 64)):
+        assert found(index.knn(queries, 4)) == want
+        visits = index.visits(queries, 4)
+        assert visits.count() < 0.2 * queries.count() * leaves
+        if isinstance(index, CellIndex):  # those that no plan could leave out
+            assert visits.count() < 2 * visits.join(spark.createDataFrame([(-i - 1, float(t)) for i, t in enumerate(far)], "qid long, kth double"), "qid").filter("d <= kth").count()
+
+
+@pytest.mark.parametrize("rows_block", [40, 100_000])
+def test_block_join_and_vantage_blocks(spark, monkeypatch, rows_block):
+    """Both sides cut into blocks; a task returns k rows a query at most, whatever its rows."""
+    monkeypatch.setattr("nearfold.operators.index.grid", lambda q, r: __import__("nearfold.operators.knn", fromlist=["grid"]).grid(q, r, rows_block, 7))
+    rng = np.random.default_rng(13)
+    points = np.round(rng.random((500, 3)), 2)
+    rows, queries = table(spark, points).cache(), table(spark, rng.random((30, 3)), "qid").withColumn("qid", F.col("qid") + 1_000).cache()
+    d = np.sqrt(((np.array([r.vec for r in queries.orderBy("qid").collect()])[:, None] - points[None]) ** 2).sum(2)).round(9)
+    want = [(1_000 + i, j) for i in range(30) for j in np.lexsort([np.arange(500), d[i]])[:5]]
+    assert found(knn(queries, rows, 5, rows_block=rows_block, queries_block=7)) == want
+    index = VantageIndex(rows, [(i, points[i].tolist()) for i in (0, 3)])
+    sent = index.candidates(queries, 5)
+    assert found(ranked(sent, 5)) == want
+    parts = max(-(-500 // rows_block), 1)
+    assert sent.count() <= 30 * 5 * parts
+    kept = {r.qid: (r.candidates, r.least) for r in index.filtered(queries, 2).collect()}
+    q, far = np.array([r.vec for r in queries.orderBy("qid").collect()]), lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)).round(9)
+    on = (far(points, points[[0, 3]])[None] < 2 * far(q, points[[0, 3]])[:, None]).all(2)
+    assert kept == {1_000 + i: (int(on[i].sum()), d[i][on[i]].min()) for i in range(30) if on[i].any()}
+
+
+def test_ids_of_text(spark):
+    rows = table(spark, SIX).select(F.concat(F.lit("r"), "id").alias("id"), "vec")
+    q = spark.createDataFrame([("r0", [9.0, 6.0])], "qid string, vec array<double>")
+    assert found(knn(q, rows, 2)) == [("r0", "r1"), ("r0", "r2")]
+    assert found(VantageTree(rows, 2, point=[0.0, 0.0]).knn(q, 1)) == [("r0", "r1")]
 
 
 def test_more_neighbours_than_rows(spark):
     rows, q = table(spark, SIX), spark.createDataFrame([(-1, [0.0, 0.0])], "qid long, vec array<double>")
     assert knn(q, rows, 50).count() == 6
-    assert CellIndex(rows, median_tree(rows, 2, 1)).knn(q, 50, 2).count() == 6
+    assert CellIndex(rows, median_tree(rows, 2, 1)).knn(q, 50).count() == 6
+    assert CellIndex(rows, {}).knn(q, 3).count() == 3
     assert VantageTree(rows, 2, point=[0.0, 0.0]).knn(q, 50).count() == 6
-    assert ranked(VantageIndex(rows, [(0, [9.0, 6.0])]).candidates(q, 50, 1), 50).count() == 6
+    assert VantageIndex(rows, [(0, [9.0, 6.0])]).knn(q, 50).count() == 6
 
 
 def test_empty_tables(spark):
