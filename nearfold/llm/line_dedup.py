@@ -1,14 +1,16 @@
 """Line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-State is two tables in a folder: ``refcounts`` (h1, h2, n), the exact number of documents that
-hold each line key, named by its 128-bit hash; and ``filters`` (shard, keys, table), one cuckoo
-filter per shard over the keys that reached ``min_docs``.  ``insert`` and ``delete`` add or
-subtract the counts of a batch of documents, and put into or take out of the filters just the
-keys that crossed the limit, so inserting and deleting the same documents restores the state.
-A third table, ``manifest``, gets a row for every version when its tables are complete; a folder is
-opened at the last one, with its limits and number of shards, in any session.  When shards hold more
-than ``keys_per_shard`` keys on average, their number is doubled as often as it takes and the filters
-are made anew from the exact counts.
+State is two tables in a folder: ``refcounts`` (kind, h1, h2, n), the exact number of documents that
+hold each line key, named by its 128-bit hash, and of those that have each whole text; and ``filters``
+(shard, keys, table), one cuckoo filter per shard over the lines that reached ``min_docs``.  ``insert`` and
+``delete`` add or subtract the counts of a batch of documents, and put into or take out of the filters
+just the keys that crossed the limit, so inserting and deleting the same documents restores the state.
+Both tables lie in folders of one shard each, and a change writes only the shards that its documents'
+lines touch, then a manifest that names the folders (``sources.versioned``): of two sessions that change
+one state at once the slower begins again from the other's version, and folders of versions before the
+last two are taken away.  A ``delete`` of documents whose text was not inserted as often raises an error and changes
+nothing.  When shards hold more than ``keys_per_shard`` frequent lines or ``rows_per_shard`` counts on
+average, their number is doubled as often as it takes and everything is dealt anew.
 
 Counting emits each key once per document and sums within the batch before the shuffle, so a line
 that stands in every document costs one row per batch.  ``apply`` tests all lines against the
@@ -24,27 +26,31 @@ may be null or repeated; an empty table gives an empty result; other columns sta
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.versioned import RETRIES, Conflict, Manifest
 from .common import WHITE, documents, free_name, new_path, small_batches, staged, text_bytes
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 BROADCAST_KEYS = 1_000_000
 KEYS_PER_SHARD = 500_000
+ROWS_PER_SHARD = 4_000_000
 PART_KEYS = 1_000_000
+SPREAD = 8  # files of a shard, so that few shards keep many tasks at work
 SLOTS = 4
-MANIFEST = "version int, name string, shards int, frequent long, min_docs int, min_chars int"
+LINE, TEXT = 0, 1
+COUNTS = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("h1", "h2", "n"))])
+FILTERS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("keys", T.LongType()), T.StructField("table", T.BinaryType())])
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -124,48 +130,55 @@ class CuckooFilter:
 class LineDedup:
     """Incremental line dedup over a state folder that driver and executors share.
 
-    Every change writes a new version beside the last; a reader of the last one is not disturbed.
+    Every change writes what it touches beside the last version; a reader of the last one is not disturbed.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS, keys_per_shard: int = KEYS_PER_SHARD) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS, keys_per_shard: int = KEYS_PER_SHARD, rows_per_shard: int = ROWS_PER_SHARD) -> None:
         """A new folder takes the limits given here, one in use keeps its own ``min_docs`` and ``min_chars``."""
-        self.spark, self.path = spark, (path or new_path(spark, "lines")).rstrip("/")
+        self.spark, self.manifest = spark, Manifest(spark, path or new_path(spark, "lines"))
         self.min_docs, self.min_chars = min_docs, min_chars
-        self.broadcast_keys, self.keys_per_shard = broadcast_keys, keys_per_shard
-        self.version, self.name, self.shards, self.frequent = 0, "", 1, 0
-        if path is not None and (last := self._last()) is not None:
-            self.version, self.name, self.shards, self.frequent, self.min_docs, self.min_chars = last
-
-    def _last(self) -> tuple | None:
-        """The manifest's last row."""
-        try:
-            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        last = rows.orderBy(F.desc("version")).first()
-        return tuple(last) if last else None
+        self.broadcast_keys, self.keys_per_shard, self.rows_per_shard = broadcast_keys, keys_per_shard, rows_per_shard
+        self._take(*self.manifest.last())
+
+    @property
+    def path(self) -> str:
+        return self.manifest.path
+
+    def _take(self, version: int, content: dict) -> None:
+        """This version is the one at hand."""
+        self.version, self.content = version, content
+        self.shards, self.frequent = content.get("shards", 1), content.get("frequent", 0)
+        self.min_docs, self.min_chars = content.get("min_docs", self.min_docs), content.get("min_chars", self.min_chars)
 
     def _counts(self, docs: DataFrame) -> DataFrame:
+        """(kind, h1, h2, n): documents that hold each line, and that have each text."""
         least = self.min_chars
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                seen: Counter[bytes] = Counter()
+                lines: Counter[bytes] = Counter()
+                texts: Counter[bytes] = Counter()
                 for text in batch.column(0).to_pylist():
-                    seen.update({xxhash.xxh3_128_digest(k) for k in set(line_keys(text)) if _long_enough(k, least)})
-                h = np.frombuffer(b"".join(seen), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["h1", "h2", "n"])
+                    texts[xxhash.xxh3_128_digest(text)] += 1
+                    lines.update({xxhash.xxh3_128_digest(k) for k in set(line_keys(text)) if _long_enough(k, least)})
+                h = np.frombuffer(b"".join(chain(lines, texts)), "<i8").reshape(-1, 2)
+                n = np.fromiter(chain(lines.values(), texts.values()), np.int64, len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([LINE, TEXT], [len(lines), len(texts)]).astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n)], COUNTS.names)
+
+        rows = small_batches(docs).select(text_bytes().alias("t")).mapInArrow(count, COUNTS)
+        return rows.groupBy("kind", "h1", "h2").agg(F.sum("n").alias("n"))
 
-        rows = small_batches(docs).select(text_bytes().alias("t")).mapInArrow(count, "h1 long, h2 long, n long")
-        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _read(self, table: str, shards: list[str] | None = None) -> DataFrame:
+        folders = self.content.get(table, {})
+        return self.manifest.read([f for s, f in folders.items() if shards is None or s in shards], COUNTS if table == "counts" else FILTERS)
 
-    def refcounts(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/refcounts-{self.name}") if self.version else None
+    def refcounts(self) -> DataFrame:
+        """(h1, h2, n) of the lines."""
+        return self._read("counts").filter(F.col("kind") == LINE).select("h1", "h2", "n")
 
     def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/filters-{self.name}")
+        """(shard, keys, table)."""
+        return self._read("filters")
 
     def insert(self, docs: DataFrame) -> LineDedup:
         return self._change(docs, 1)
@@ -175,31 +188,55 @@ class LineDedup:
         return self._change(docs, -1)
 
     def _change(self, docs: DataFrame, sign: int) -> LineDedup:
-        old, name = self.refcounts(), uuid.uuid4().hex
-        delta = self._counts(docs).select("h1", "h2", (F.col("n") * sign).alias("n"))
-        if old is None:
-            both = delta.select("h1", "h2", F.lit(0).cast("long").alias("was"), "n")
-        else:
-            both = old.select("h1", "h2", F.col("n").alias("was"), "n").unionByName(delta.withColumn("was", F.lit(0).cast("long")))
-            both = both.groupBy("h1", "h2").agg(F.sum("was").alias("was"), F.sum("n").alias("n"))
-        path = f"{self.path}/changed-{name}"
-        both.write.parquet(path)
-        changed = self.spark.read.parquet(path)
-        now, was = F.col("n") >= self.min_docs, F.col("was") >= self.min_docs
-        self.frequent, shards = changed.filter(now).count(), self.shards
-        while self.frequent > shards * self.keys_per_shard:
+        delta = staged(self._counts(docs).select("kind", "h1", "h2", (F.col("n") * sign).alias("n")), "delta")
+        for _ in range(RETRIES):
+            self._take(*self.manifest.last())
+            content = self._changed(delta)
+            try:
+                self.manifest.commit(self.version + 1, content)
+            except Conflict:
+                continue
+            self._take(self.version + 1, content)
+            self.manifest.vacuum(2, lambda c: [*c["counts"].values(), *c["filters"].values()])
+            return self
+        raise Conflict(f"{RETRIES} other sessions were faster")
+
+    def _changed(self, delta: DataFrame) -> dict:
+        """The content of the version after this one."""
+        of = lambda n: F.pmod("h1", F.lit(n)).cast("int")
+        touched = [str(r[0]) for r in delta.select(of(self.shards)).distinct().collect()]  # a row per shard at most
+        changed = self._merged(delta, touched)
+        if changed.filter("n < 0").limit(1).count():
+            raise ValueError("documents that were not inserted can't be deleted")
+        now, was, line = F.col("n") >= self.min_docs, F.col("was") >= self.min_docs, F.col("kind") == LINE
+        more = changed.agg(F.sum(F.when(line, now.cast("int") - was.cast("int"))), F.sum((F.col("n") > 0).cast("int") - (F.col("was") > 0).cast("int"))).first()
+        frequent, rows = self.frequent + (more[0] or 0), self.content.get("rows", 0) + (more[1] or 0)
+        shards = self.shards
+        while frequent > shards * self.keys_per_shard or rows > shards * self.rows_per_shard:
             shards *= 2
-        changed.filter(F.col("n") > 0).select("h1", "h2", "n").write.parquet(f"{self.path}/refcounts-{name}")
-        shard, step = F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), now.cast("int") - was.cast("int")
-        if self.version and shards == self.shards:
-            kept, keys = self.filters(), changed.filter(now | was).select(shard, "h2", step.alias("step"))
-        else:  # all filters anew
-            kept, keys = self.spark.createDataFrame([], "shard int, keys long, table binary"), changed.filter(now).select(shard, "h2", F.lit(1).alias("step"))
-        kept.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(_update_filter, "shard int, keys long, table binary").write.parquet(f"{self.path}/filters-{name}")
-        self.version, self.name, self.shards = self.version + 1, name, shards
-        row = (self.version, name, shards, self.frequent, self.min_docs, self.min_chars)
-        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        return self
+        counts, filters = self.content.get("counts", {}), self.content.get("filters", {})
+        if shards != self.shards:  # all shards anew
+            changed = self._merged(delta, list(counts) + touched)
+            touched, counts, filters = [str(s) for s in range(shards)], {}, {}
+        kept = lambda folders: {s: f for s, f in folders.items() if s not in touched}
+        written = self.manifest.write(changed.filter("n > 0").select(*COUNTS.names, of(shards).alias("nf_shard")), "nf_shard", F.pmod("h2", F.lit(SPREAD)))
+        step = F.lit(1) if shards != self.shards else now.cast("int") - was.cast("int")
+        keys = changed.filter(line & (now if shards != self.shards else now | was)).select(of(shards).alias("shard"), "h2", step.alias("step"))
+        old = self._read("filters", touched if filters else [])
+        made = old.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(_update_filter, FILTERS)
+        made = self.manifest.write(made.withColumn("nf_shard", F.col("shard")), "nf_shard")
+        return {
+            "shards": shards, "frequent": frequent, "rows": rows, "min_docs": self.min_docs, "min_chars": self.min_chars,
+            "counts": kept(counts) | written, "filters": kept(filters) | made,
+        }
+
+    def _merged(self, delta: DataFrame, shards: list[str]) -> DataFrame:
+        """(kind, h1, h2, was, n) of these shards."""
+        zero = F.lit(0).cast("long")
+        if not self.content:
+            return delta.select("kind", "h1", "h2", zero.alias("was"), "n")
+        both = self._read("counts", shards).withColumn("was", F.col("n")).unionByName(delta.withColumn("was", zero))
+        return staged(both.groupBy("kind", "h1", "h2").agg(F.sum("was").alias("was"), F.sum("n").alias("n")), "changed")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the frequent lines gone from ``text``, and n_lines, n_dropped (long) added."""
@@ -257,7 +294,7 @@ class LineDedup:
         passed = dealt.groupBy("shard", "part").cogroup(tables.groupBy("shard", "part")).applyInArrow(_passed, "row long, h1 long, h2 long")
         frequent = self.refcounts().filter(F.col("n") >= self.min_docs).select("h1", "h2")
         found = passed.join(frequent, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias(drop))  # keys of one text
-        with_keys = docs.join(found, docs[rid] == found["row"], "left").drop("row", rid)
+        with_keys = docs.join(found.withColumnRenamed("row", rid), rid, "left").drop(rid)
 
         def dropped(batch: pa.RecordBatch, digests: np.ndarray, owner: np.ndarray) -> np.ndarray:
             out = np.zeros(len(digests), bool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from nearfold.llm import line_dedup
 from nearfold.llm.line_dedup import CuckooFilter, LineDedup
@@ -102,3 +103,55 @@ def test_shuffled_path_with_null_and_repeated_ids(spark):
     docs = table(spark, [(None, f"common\nown {i}") for i in range(15)] + [(7, f"common\nother {i % 2}") for i in range(12)])
     near, far = LineDedup(spark).insert(docs), LineDedup(spark, broadcast_keys=0, keys_per_shard=1).insert(docs)
     assert rows_of(near.apply(docs)) == rows_of(far.apply(docs))
+
+
+def test_shuffled_path_keeps_every_column(spark):
+    names = {"lang": "row", "source": "h1", "n_chars": "my col"}
+    docs = table(spark, lines()).withColumnsRenamed(names)
+    near, far = LineDedup(spark).insert(docs), LineDedup(spark, broadcast_keys=0, keys_per_shard=1).insert(docs)
+    assert far.apply(docs).columns == near.apply(docs).columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert rows_of(near.apply(docs)) == rows_of(far.apply(docs))
+
+
+def test_only_touched_shards_are_written(spark):
+    docs = table(spark, [(i, f"own line {i}\nshared {i % 40}") for i in range(600)])
+    d = LineDedup(spark, keys_per_shard=3).insert(docs)
+    assert d.shards >= 8
+    before = d.content
+    d.insert(table(spark, [(9_000, "own line 5")]))
+    changed = [s for s in d.content["counts"] if d.content["counts"][s] != before["counts"].get(s)]
+    assert 1 <= len(changed) <= 2 and d.shards == int(before["shards"])  # that of the line, and that of the text
+    assert d.manifest.versions() == [1, 2]
+    d.insert(table(spark, [(9_001, "own line 6")]))
+    assert d.manifest.versions() == [2, 3]  # what only older versions name is gone
+    assert LineDedup(spark, d.path).refcounts().count() == 640
+
+
+def test_foreign_documents_cannot_be_deleted(spark):
+    docs = table(spark, [(i, f"a\nb\nown {i % 20}") for i in range(40)])
+    d = LineDedup(spark).insert(docs)
+    before = state(d)
+    for foreign in (table(spark, [(1, "a\nb")]), table(spark, [(1, "a\nb\nown 3")] * 3)):  # lines known, text not, or not as often
+        with pytest.raises(ValueError, match="not inserted"):
+            d.delete(foreign)
+    assert state(d) == before == state(LineDedup(spark, d.path)) and d.version == 1
+
+
+def test_sessions_that_change_one_state_at_once(spark, tmp_path, monkeypatch):
+    """The slower session begins again from the other's version: both batches count."""
+    path = f"file://{tmp_path}/state"
+    one, two = LineDedup(spark, path), LineDedup(spark.newSession(), path)
+    first, second = (table(spark, [(100 * b + i, f"shared\nown {b} {i}") for i in range(8)]) for b in range(2))
+    plain, calls = LineDedup._changed, []
+
+    def slow(self, delta):
+        out = plain(self, delta)
+        if self is two and not calls:
+            calls.append(1)
+            one.insert(first)
+        return out
+
+    monkeypatch.setattr(LineDedup, "_changed", slow)
+    two.insert(second)
+    once = LineDedup(spark).insert(first.unionByName(second))
+    assert two.version == 2 and state(two) == state(once) and two.frequent == 1
