@@ -165,14 +165,21 @@ class BlockMaxIndex:
             out += self._top(queries[at : at + TOGETHER], k, without[at : at + TOGETHER] if without else None)
         return out
 
-    def _sums(self, own: np.ndarray, terms: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
-        """What these terms give each place, for each of m queries."""
-        width = self.blocks * BLOCK
-        begin = self.starts[terms].astype(np.int64)
+    def _sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What these terms of a query give each place."""
+        begin = self.starts[terms]
         many = self.starts[terms + 1] - begin
-        self.scored += int(many.sum())
-        post = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
-        return np.bincount(np.repeat(own * width, many) + self.places[post], np.repeat(weights, many) * self.weights[post], m * width).reshape(m, width)
+        total = int(many.sum())
+        self.scored += total
+        if not total:
+            return np.zeros(self.blocks * BLOCK)
+        step = np.ones(total, np.int32)  # places in the lists: on by one, and on to the next list at its end
+        lists = np.flatnonzero(many)
+        begin, many, weights = begin[lists], many[lists], weights[lists]
+        first = np.cumsum(many) - many
+        step[0], step[first[1:]] = begin[0], begin[1:] - (begin[:-1] + many[:-1] - 1)
+        post = np.cumsum(step, dtype=np.int32)
+        return np.bincount(self.places.take(post), np.repeat(weights, many) * self.weights.take(post), self.blocks * BLOCK)
 
     def _top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> list[list[tuple[int, float]]]:
         m = len(queries)
@@ -184,7 +191,9 @@ class BlockMaxIndex:
         common = column >= 0
         wanted = np.zeros((m, self.matrix.shape[1]))
         wanted[own[common], column[common]] = weights[common]
-        sums = self._sums(own[~common], terms[~common], weights[~common], m)
+        rare = np.flatnonzero(~common)
+        cuts = np.searchsorted(own[rare], np.arange(m + 1))
+        sums = np.stack([self._sums(terms[rare[x:y]], weights[rare[x:y]]) for x, y in pairwise(cuts.tolist())])
         if without is not None:
             sums[np.arange(m), self.place_of[without]] = -10.0
         groups = len(self.cuts) - 1
@@ -196,36 +205,40 @@ class BlockMaxIndex:
         by_block += eps[:, None, None]
         bound = sums + np.minimum(norm @ self.norms.T + 1e-9, np.repeat(by_block[:, 0], BLOCK, axis=1))
         late = [(terms[x][np.argsort(column[x])], weights[x][np.argsort(column[x])], np.sort(column[x])) for x in (np.flatnonzero(common & (own == q)) for q in range(m))]
-        return [self._finish(sums[q], bound[q], wanted[q], norm[q], by_block[q], late[q], groups, k) for q in range(m)]
+        return [self._finish(sums[q], bound[q], wanted[q], single[q], norm[q], by_block[q], eps[q], late[q], groups, k) for q in range(m)]
 
-    def _whole(self, at: np.ndarray, sums: np.ndarray, wanted: np.ndarray, group: int) -> np.ndarray:
-        """The cosines of places with sums so far, with what ``group`` and those after it give."""
-        on = self.cuts[group] + np.flatnonzero(wanted[self.cuts[group] :])
-        rows = self.matrix[at[:, None], on]
+    def _rest(self, at: np.ndarray, single: np.ndarray, group: int) -> np.ndarray:
+        """What ``group`` and those after it give these places, in single precision."""
+        rows = self.matrix[at]
         if self.watch:
-            self.scored += int(np.count_nonzero(rows))
-        return sums + rows.astype(np.float64) @ wanted[on]
+            self.scored += int(np.count_nonzero(rows[:, np.flatnonzero(single)][:, np.count_nonzero(single[: self.cuts[group]]) :]))
+        return rows[:, self.cuts[group] :] @ single[self.cuts[group] :]
 
-    def _finish(self, sums: np.ndarray, bound: np.ndarray, wanted: np.ndarray, norm: np.ndarray, by_block: np.ndarray, late: tuple, groups: int, k: int) -> list[tuple[int, float]]:
+    def _finish(self, sums: np.ndarray, bound: np.ndarray, wanted: np.ndarray, single: np.ndarray, norm: np.ndarray, by_block: np.ndarray, eps: float, late: tuple, groups: int, k: int) -> list[tuple[int, float]]:
         """The k nearest of one query whose rare terms are summed, from the bounds of all places."""
         terms, weights, column = late
         limit, at, g = 1e-12, np.flatnonzero(bound > 0), 0
         sums, bound = sums[at], bound[at]
         while True:
-            lead = np.argpartition(-bound, LEAD)[:LEAD] if len(at) > LEAD else np.arange(len(at))
+            lead = np.argpartition(bound, len(at) - LEAD)[-LEAD:] if len(at) > LEAD else np.arange(len(at))
             if len(lead) >= k:
-                limit = max(limit, np.partition(self._whole(at[lead], sums[lead], wanted, g), len(lead) - k)[len(lead) - k] - 2e-12)
+                scored = sums[lead] + self._rest(at[lead], single, g)
+                limit = max(limit, np.partition(scored, len(lead) - k)[len(lead) - k] - eps)
             on = bound >= limit
             at, sums = at[on], sums[on]
             if len(at) <= FEW or g == groups:
                 break
             s = slice(*np.searchsorted(column, self.cuts[g : g + 2]))
-            sums = sums + self._sums(np.zeros(s.stop - s.start, np.int64), terms[s], weights[s], 1)[0, at]
+            sums = sums + self._sums(terms[s], weights[s])[at]
             g += 1
             bound = sums
             if g < groups:
                 bound = sums + np.minimum(self.norms[at, g:] @ norm[g:] + 1e-9, by_block[g, at // BLOCK])
-        cosine = self._whole(at, sums, wanted, g).round(12)
+        rough = sums + self._rest(at, single, g)
+        if len(at) > k:  # those that single precision can't tell from the k-th are scored in double precision
+            on = rough >= np.partition(rough, len(at) - k)[len(at) - k] - 2 * eps
+            at, sums = at[on], sums[on]
+        cosine = (sums + self.matrix[at, self.cuts[g] :].astype(np.float64) @ wanted[self.cuts[g] :]).round(12)
         name = self.example[np.minimum(at, self.n - 1)]
         best = np.lexsort([name, -cosine])[:k]
         return [(int(name[x]), float(cosine[x])) for x in best if cosine[x] > 0]
