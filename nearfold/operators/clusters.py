@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
+from ..shared import staged
 from .blocks import Metric, distances, matrix
+from .trees import located, sampled_tree
 
 CENTRE_BLOCK = 20_000
-CELL_ROWS, MAX_CELLS = 20_000, 1_024
+CELL_FEATURES, CUTS = 20_000, (0.5, 0.3, 0.7)
+FEATURE = "n long, ls array<double>, ss double"
 
 
 def assign(rows: DataFrame, centres: DataFrame, metric: Metric = "euclidean") -> DataFrame:
@@ -57,14 +60,16 @@ def assign(rows: DataFrame, centres: DataFrame, metric: Metric = "euclidean") ->
 
 
 class Birch:
-    """BIRCH as mergeable sums: every task absorbs its rows into a tree of cluster features whose radius
-    (or diameter) stays below the threshold, and the features of tasks are absorbed into each other, in a
-    tree again.  What is passed on is features, never rows.  ``start`` continues earlier batches, and
-    ``global_clusters`` puts the features together into a given number of clusters.
+    """BIRCH as mergeable sums: every task absorbs its rows into cluster features whose radius (or
+    diameter) stays below the threshold, and the features of tasks are absorbed into each other.  What is
+    passed on is features, never rows.  ``start`` continues earlier batches, and ``global_clusters`` puts the
+    features together into a given number of clusters.
 
-    Large tables are cut into cells around up to ``MAX_CELLS`` rows (those of least hash, one for each
-    ``CELL_ROWS`` rows); features merge within a cell only, so the second step runs in as many tasks as
-    there are cells and no task holds all features.
+    A task takes rows by the block: each goes to its nearest feature in a tree, and all that stay with one
+    feature are absorbed at once as far as its sums allow; the others go through the tree one by one, which splits
+    as it grows.  Between tasks features fall into cells of about ``CELL_FEATURES`` by a tree that halves a sample of them,
+    and merge within a cell; then into other cells, by trees that cut elsewhere (``CUTS``), so what a border kept
+    apart meets in the next pass.  So tasks stay bounded, however many features there are.
 
     The result depends on the order, as BIRCH does; it always holds that every feature of more than
     one row is below the threshold and that the features add up to the data.
@@ -76,33 +81,47 @@ class Birch:
     def fit(self, rows: DataFrame, start: DataFrame | None = None) -> DataFrame:
         """(cluster_id, n, ls, ss); ``start`` holds the features of earlier batches."""
         one = F.aggregate(doubles("vec"), F.lit(0.0), lambda a, x: a + x * x)
-        features = rows.select(F.lit(0).alias("cell"), F.lit(1).cast("long").alias("n"), doubles("vec").alias("ls"), one.alias("ss"))
-        cells = min(MAX_CELLS, rows.count() // CELL_ROWS)
-        middles = [r.ls for r in features.orderBy(F.xxhash64("ls"), "ls").limit(cells).select("ls").collect()] if cells > 1 else []
+        features = rows.select(F.lit(1).cast("long").alias("n"), doubles("vec").alias("ls"), one.alias("ss"))
         if start is not None:
-            features = features.unionByName(start.select(F.lit(0).alias("cell"), "n", "ls", "ss"))
-        schema = "cell int, n long, ls array<double>, ss double"
-        features = features.mapInArrow(self._absorb(np.array(middles)), schema).repartition("cell").mapInArrow(self._absorb(None), schema)
+            features = features.unionByName(start.select("n", "ls", "ss"))
+        features = staged(features.mapInArrow(self._absorb(), FEATURE), "features")
+        for cut in CUTS:
+            depth = (features.count() // CELL_FEATURES).bit_length()
+            centres = features.select(F.monotonically_increasing_id().alias("id"), F.transform("ls", lambda x: x / F.col("n")).alias("vec"), F.struct("n", "ls", "ss").alias("cf"))
+            tree = sampled_tree(centres, depth, cut) if depth else {}
+            cells = located(centres, tree, ["cf"]).select("cell", "cf.*") if tree else features.withColumn("cell", F.lit(""))
+            merged = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(self._absorb(by_cell=True), FEATURE)
+            features = staged(merged, "merged")
+            if not tree:
+                break
         return features.select(F.monotonically_increasing_id().alias("cluster_id"), "n", "ls", "ss")
 
-    def _absorb(self, middles: np.ndarray | None):
-        """Features absorbed by cell: that of the nearest middle, or the one they come with."""
+    def _absorb(self, by_cell: bool = False):
+        """Features (n, ls, ss) absorbed into each other; ``by_cell``: rows stand by a column ``cell``, and cells stay apart."""
         threshold, distance, size, branching = self.threshold, self.distance, self.size, self.branching
 
+        def done(tree: CfTree) -> pa.RecordBatch:
+            n, ls, ss = tree.leaves()
+            return pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(list(ls), pa.list_(pa.float64())), pa.array(ss)], ["n", "ls", "ss"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, CfTree] = {}
+            tree, last = None, ""
             for batch in batches:
-                x, n = matrix(batch.column(2)), batch.column(1).to_numpy()
-                cell = batch.column(0).to_numpy()
-                if middles is not None and len(middles) and len(x):
-                    cell = distances(x / n[:, None], middles).argmin(1)
-                for c, k, ls, ss in zip(cell.tolist(), n.tolist(), x, batch.column(3).to_pylist(), strict=True):
-                    if c not in held:
-                        held[c] = CfTree(len(ls), threshold, distance, size, branching)
-                    held[c].add(k, ls, ss)
-            for c, tree in held.items():
-                n, ls, ss = tree.leaves()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(n.astype(np.int64)), pa.array(list(ls), pa.list_(pa.float64())), pa.array(ss)], ["cell", "n", "ls", "ss"])
+                names = batch.schema.names
+                n, ss = (batch.column(names.index(c)).to_numpy() for c in ("n", "ss"))
+                ls = matrix(batch.column(names.index("ls")))
+                cell = np.array(batch.column(names.index("cell")).to_pylist(), str) if by_cell else np.zeros(len(n), "U1")
+                cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+                for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(n)], strict=True):
+                    if a == z:
+                        continue
+                    if tree is not None and cell[a] != last:
+                        yield done(tree)
+                        tree = None
+                    last, tree = cell[a], tree or CfTree(ls.shape[1], threshold, distance, size, branching)
+                    tree.add_block(n[a:z], ls[a:z], ss[a:z])
+            if tree is not None:
+                yield done(tree)
 
         return run
 
@@ -164,6 +183,37 @@ class CfTree:
             for p in parts:
                 self.root.put(*p.total(), p)
 
+    def add_block(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray, rows: int = 512) -> None:
+        """Many features at once: those whose nearest leaf entry can take them all are added to it in one step."""
+        for at in range(0, len(n), rows):
+            own = slice(at, at + rows)
+            left = self._take(n[own], ls[own], ss[own]) if self.root.k else np.arange(len(n[own]))
+            for i in left.tolist():
+                self.add(n[own][i], ls[own][i], ss[own][i])
+
+    def _take(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> np.ndarray:
+        """Adds what leaf entries can take without splits; the places of what is left."""
+        left, todo = [], [(self.root, np.arange(len(n)), [])]
+        while todo:
+            node, rows, above = todo.pop()
+            centre = node.ls[: node.k] / node.n[: node.k, None]
+            near = distances(ls[rows] / n[rows, None], centre, "manhattan" if self.distance == "d1" else "sq_euclidean").argmin(1)
+            for e in np.unique(near).tolist():
+                own = rows[near == e]
+                if node.children is not None:
+                    todo.append((node.children[e], own, [*above, (node, e)]))
+                    continue
+                many, total, square = node.n[e] + np.cumsum(n[own]), node.ls[e] + np.cumsum(ls[own], 0), node.ss[e] + np.cumsum(ss[own])
+                within = np.sqrt(np.maximum(square / many - (total * total).sum(1) / many**2, 0)) * self.scale < self.threshold
+                good = np.flatnonzero(within)
+                if len(good):  # the longest run of rows after which the entry is below the threshold
+                    m = good[-1] + 1
+                    for up, x in [*above, (node, e)]:
+                        up.put(up.n[x] + n[own[:m]].sum(), up.ls[x] + ls[own[:m]].sum(0), up.ss[x] + ss[own[:m]].sum(), at=x)
+                    own = own[m:]
+                left += own.tolist()
+        return np.array(sorted(left), np.int64)
+
     def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(n, ls, ss) of the features at the leaves."""
         found, todo = [], [self.root]

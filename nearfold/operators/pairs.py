@@ -9,19 +9,23 @@ blocks first; what is found there is the largest distance for the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS, doubles
 from ..shared import staged
-from .blocks import distances
+from .blocks import distances, matrix
 from .sums import column_sums
+from .trees import located, sampled_tree
 
 TILE = 1_024
+BLOCK_ROWS, LEAF_ROWS = 4_096, 32
 
 
 def tiles(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, tile: int = TILE) -> DataFrame:
@@ -138,12 +142,126 @@ def pairs_within(rows: DataFrame, radius: float, metric: str = "euclidean", tile
     return band_tiles(rows, work, "a long, b long, dist double", radius, metric, tile)
 
 
+# --- histogram by boxes ---------------------------------------------------------------------
+
+
 def pair_histogram(rows: DataFrame, width: float, metric: str = "euclidean") -> DataFrame:
-    """(bin, n): how many pairs have a distance in each bin of this width."""
+    """(bin, n): pairs of rows by floor(distance / width)."""
+    return pair_bins(rows, width, metric).filter("bin >= 0").groupBy("bin").agg(F.sum("n").alias("n"))
 
-    def work(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        _, _, d = _grid(left, right, same, metric)
-        bins, n = np.unique(np.floor(d / width).astype(np.int64), return_counts=True)
-        return pd.DataFrame({"bin": bins, "n": n})
 
-    return tiles(rows, work, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+def pair_bins(rows: DataFrame, width: float, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(bin, n) in parts, and under bin -1 how many pairs were measured.
+
+    Rows fall into blocks by a tree that halves a sample.  Two blocks whose boxes' least and greatest
+    distance are in one bin are counted whole, without their rows; the others meet, and there each is
+    halved on, and halves are counted whole, until leaves of ``LEAF_ROWS`` are left to be measured.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    own = located(rows, sampled_tree(rows, max(0, (n // block_rows).bit_length())))
+    parts = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).alias("parts"))
+    own = own.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).select("id", "vec", F.xxhash64("cell", "part").alias("block"))
+    own = staged(own, "blocks")
+    found = column_sums(own, "block").toPandas().sort_values(["grp", "pos"])  # a row per block and component
+    names = found["grp"].unique()
+    if not len(names):
+        return spark.createDataFrame([], "bin long, n long")
+    low, high = (found[c].to_numpy().reshape(len(names), -1) for c in ("low", "high"))
+    held = spark.sparkContext.broadcast((names, found["n"].to_numpy().reshape(len(names), -1)[:, 0], low, high))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, size, low, high = held.value
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                y = np.arange(x + 1, len(ids))
+                first, last = _span(low[[x]], high[[x]], low[y], high[y], width, metric)
+                one = first == last
+                bins, which = np.unique(first[one], return_inverse=True)
+                count = np.bincount(which, (size[x] * size[y[one]]).astype(np.float64), len(bins)).astype(np.int64)
+                meet = np.r_[x, y[~one]]
+                none = [None] * len(meet)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([*bins.tolist(), *none], pa.int64()), pa.array([*count.tolist(), *none], pa.int64()),
+                    pa.array([None] * len(bins) + [int(ids[x])] * len(meet), pa.int64()), pa.array([None] * len(bins) + ids[meet].tolist(), pa.int64()),
+                ], ["bin", "n", "x", "y"])
+
+    planned = spark.range(len(names)).repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(plan, "bin long, n long, x long, y long")
+    planned = staged(planned, "planned")
+    pairs = planned.filter("x IS NOT NULL").select("x", "y")
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+
+    def measure(key: tuple, both: pa.Table) -> pa.Table:
+        x, y = (k.as_py() for k in key)
+        block, v = both["block"].to_numpy(), matrix(both["vec"].combine_chunks())
+        bins = _dual(_Boxes(v[block == x]), None if x == y else _Boxes(v[block == y]), width, metric)
+        return pa.table([pa.array(list(bins), pa.int64()), pa.array(list(bins.values()), pa.int64())], ["bin", "n"])
+
+    measured = sides.join(own.select("block", "vec"), "block").groupBy("x", "y").applyInArrow(measure, "bin long, n long")
+    return planned.filter("bin IS NOT NULL").select("bin", "n").unionByName(measured)
+
+
+def _span(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray, width: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the least and the greatest distance of boxes, with room for rounding."""
+    gap = np.maximum(np.maximum(low2 - high, low - high2), 0)
+    reach = np.maximum(high2 - low, high - low2)
+    size = lambda x: x.sum(1) if metric == "manhattan" else (x * x).sum(1) if metric == "sq_euclidean" else np.sqrt((x * x).sum(1))
+    a, b = size(gap), size(reach)
+    return (np.floor(np.maximum(a - 1e-8 * (1 + a), 0) / width)).astype(np.int64), (np.floor((b + 1e-8 * (1 + b)) / width)).astype(np.int64)
+
+
+class _Boxes:
+    """Rows in an order in which every node of a tree of halves is a stretch, and the nodes' boxes."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        order, todo = np.arange(len(x)), [(0, len(x), -1, 0)]
+        begin, end, child, low, high = [], [], [], [], []
+        while todo:
+            a, z, parent, side = todo.pop()
+            at = len(begin)
+            if parent >= 0:
+                child[parent][side] = at
+            own = x[order[a:z]]
+            begin.append(a)
+            end.append(z)
+            child.append([-1, -1])
+            low.append(own.min(0))
+            high.append(own.max(0))
+            axis = int((high[-1] - low[-1]).argmax())
+            if z - a > LEAF_ROWS and high[-1][axis] > low[-1][axis]:
+                half = (z - a) // 2
+                order[a:z] = order[a:z][np.argpartition(own[:, axis], half)]
+                todo += [(a + half, z, at, 1), (a, a + half, at, 0)]
+        self.x, self.begin, self.end = x[order], np.array(begin), np.array(end)
+        self.child, self.low, self.high = np.array(child), np.array(low), np.array(high)
+
+
+def _dual(a: _Boxes, b: _Boxes | None, width: float, metric: str) -> Counter:
+    """Pairs by bin between two sets of rows, or within one; -1: pairs that were measured."""
+    out: Counter = Counter()
+    one, b = b is None, b or a
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(i):
+        first, last = _span(a.low[i], a.high[i], b.low[j], b.high[j], width, metric)
+        n, m = a.end[i] - a.begin[i], b.end[j] - b.begin[j]
+        count = np.where(i == j, n * (n - 1) // 2, n * m) if one else n * m
+        same = first == last
+        for k, c in zip(first[same].tolist(), count[same].tolist(), strict=True):
+            out[k] += c
+        i, j, n, m = (v[~same] for v in (i, j, n, m))
+        leaf = (a.child[i, 0] < 0) & (b.child[j, 0] < 0)
+        for u, v in zip(i[leaf].tolist(), j[leaf].tolist(), strict=True):
+            d = distances(a.x[a.begin[u] : a.end[u]], b.x[b.begin[v] : b.end[v]], metric)
+            d = d[np.triu_indices(len(d), 1)] if one and u == v else d.ravel()
+            bins, many = np.unique(np.floor(d.round(9) / width).astype(np.int64), return_counts=True)
+            for k, c in zip(bins.tolist(), many.tolist(), strict=True):
+                out[k] += c
+            out[-1] += len(d)
+        i, j, n, m = (v[~leaf] for v in (i, j, n, m))
+        self_pair = (i == j) if one else np.zeros(len(i), bool)
+        s = i[self_pair]
+        by_a = ~self_pair & (a.child[i, 0] >= 0) & ((n >= m) | (b.child[j, 0] < 0))
+        by_b = ~self_pair & ~by_a
+        left = [a.child[s, 0], a.child[s, 1], a.child[s, 0], a.child[i[by_a], 0], a.child[i[by_a], 1], i[by_b], i[by_b]]
+        right = [a.child[s, 0], a.child[s, 1], a.child[s, 1], j[by_a], j[by_a], b.child[j[by_b], 0], b.child[j[by_b], 1]]
+        i, j = np.concatenate(left), np.concatenate(right)
+    return out

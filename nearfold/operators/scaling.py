@@ -45,16 +45,17 @@ class Pca:
 
     def __init__(self, grams: DataFrame, components: int) -> None:
         rows = covariance(grams, 0).join(grams, ["grp", "i", "j"]).select("i", "j", "n", "si", "cov").toPandas()
-        d = int(rows["i"].max()) + 1
+        d = int(rows["i"].max()) + 1 if len(rows) else 0  # without rows a model of no features
         cov, mean = np.zeros((d, d)), np.zeros(d)
         cov[rows["i"], rows["j"]] = rows["cov"]
         mean[rows["i"]] = rows["si"] / rows["n"]
-        self.n, self.mean, self.std = int(rows["n"].iloc[0]), mean, np.sqrt(np.maximum(np.diag(cov), 0))
+        self.n, self.mean, self.std = int(rows["n"].iloc[0]) if len(rows) else 0, mean, np.sqrt(np.maximum(np.diag(cov), 0))
         scale = np.where(self.std > 0, self.std, np.inf)
         values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
         order = np.argsort(-values, kind="stable")[:components]
         self.values, w = values[order], vectors[:, order]
-        w = w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])
+        if d:
+            w = w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])
         self.weights = w  # (d, components)
 
     @classmethod
@@ -75,7 +76,7 @@ class Pca:
         """A saved model."""
         rows = spark.read.parquet(path).toPandas()  # a row per feature and component
         model = cls.__new__(cls)
-        d, k = int(rows["feature"].max()) + 1, int(rows["component"].max()) + 1
+        d, k = (int(rows[c].max()) + 1 if len(rows) else 0 for c in ("feature", "component"))
         model.weights, model.mean, model.std = np.zeros((d, k)), np.zeros(d), np.zeros(d)
         model.weights[rows["feature"], rows["component"]] = rows["weight"]
         model.mean[rows["feature"]], model.std[rows["feature"]] = rows["mean"], rows["std"]
@@ -88,7 +89,7 @@ class Pca:
         shift = self.mean @ w
         columns = [F.array(*[F.lit(float(x)) for x in w[:, j]]) for j in range(w.shape[1])]
         dot = lambda c: F.aggregate(F.zip_with(doubles("vec"), c, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        return rows.withColumn("vec", F.array(*[dot(c) - F.lit(float(s)) for c, s in zip(columns, shift, strict=True)]))
+        return rows.withColumn("vec", F.array(*[dot(c) - F.lit(float(s)) for c, s in zip(columns, shift, strict=True)]).cast("array<double>"))
 
 
 class IncrementalPca:

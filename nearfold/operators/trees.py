@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import doubles
 from .blocks import Metric, distances, matrix
 
 SLACK = 1e-9
+SAMPLE_ROWS = 16_384
 
 
 class HalfTree:
@@ -83,19 +85,34 @@ class HalfTree:
                     todo.append((child, rows[on], own[on], {a: o[on] for a, o in off.items()} | {axis: now[on]}))
 
 
-def located(rows: DataFrame, tree: dict) -> DataFrame:
-    """``rows`` (id, vec) with ``cell``, the path of their leaf ('0' left, '1' right), found in tasks."""
+def located(rows: DataFrame, tree: dict, kept: list[str] | None = None) -> DataFrame:
+    """``rows`` (id, vec, and columns ``kept``) with ``cell``, the path of their leaf ('0' left, '1' right), found in tasks."""
     held = rows.sparkSession.sparkContext.broadcast(HalfTree(tree))
-    rows = rows.select("id", doubles("vec").alias("vec"))
+    rows = rows.select("id", doubles("vec").alias("vec"), *(kept or []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = held.value.path[held.value.leaf(matrix(batch.column(1)))].tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.string())], ["id", "vec", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.string())], [*batch.schema.names, "cell"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.StringType())]))
 
 
+def sampled_tree(rows: DataFrame, depth: int, cut: float = 0.5, most: int = SAMPLE_ROWS) -> dict:
+    """A tree that cuts a sample of up to ``most`` rows (id, vec) at this quantile of its widest side, ``depth`` times."""
+    some = rows.select("id", doubles("vec").alias("vec")).orderBy(F.xxhash64("id"), "id").limit(most).toArrow() if depth else None
+
+    def grow(x: np.ndarray, depth: int) -> dict:
+        if not depth or len(x) < 2:
+            return {}
+        axis = int(np.ptp(x, axis=0).argmax())
+        value = float(np.quantile(x[:, axis], cut, method="lower"))
+        left = x[:, axis] <= value
+        return {} if left.all() else {"axis": axis, "value": value, "left": grow(x[left], depth - 1), "right": grow(x[~left], depth - 1)}
+
+    return grow(matrix(some["vec"].combine_chunks()), depth) if depth and some.num_rows else {}
+
+
 class ShellTree:
     """Nodes of shells within shells: each inner node has a vantage point, and each child the least and greatest
     distance of its rows to it."""

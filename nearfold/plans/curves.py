@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import curves as ops
-from ..shared import staged
-from ..sources.curves import pack_tiles, unpack_tiles
+from ..shared import new_path, staged
 from ..sources.features import FEATURES as ALL_FEATURES
+from ..sources.tiles import read_tar_tiles, write_tar_tiles
 from .common import C, curves
 
 PERIOD = 7.0
@@ -68,7 +68,9 @@ def lc_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lc_tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 64 features of the curves of a tile, packed as text in a tar, read back, both bands paired."""
     rows = curves(spark, sf_dir).withColumn("err", F.lit(1.0)).withColumn("tile", F.col("id") % 8)
-    back = staged(unpack_tiles(pack_tiles(rows)), "tile").filter("problem IS NULL").withColumn("id", F.col("id").cast("long"))
+    path = new_path(spark, "tiles")
+    write_tar_tiles(rows, path)
+    back = staged(read_tar_tiles(spark, path), "tile").filter("problem IS NULL").withColumn("id", F.col("id").cast("long"))
     return _rounded(ops.tile_features(back, ALL_FEATURES, FIRST, SECOND, WITHIN), ALL_FEATURES, "id", digits=4)
 
 

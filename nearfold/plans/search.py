@@ -25,6 +25,7 @@ BRANCHING, LEVELS = 5, 3
 THRESHOLD = 0.9
 GLOBAL = 50
 SWEEP = (4, 12, 20)
+RADII = (0.8, 0.9, 1.0)
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -178,6 +179,19 @@ def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("clusters").agg(*[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("step1", "step2", "n_clusters")])
 
 
+def radius_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries around the clusters of BIRCH by its radius: the neighbours are the same, whatever the clusters."""
+    rows = vectors(spark, sf_dir)
+    queries, n, parts = staged(_lifted(rows), "queries"), rows.count(), []
+    for radius in RADII:
+        features = staged(Birch(radius).fit(rows), "features")
+        index = ClusterIndex(staged(assign(rows, Birch.centres(features)).join(rows.select("id", "vec"), "id"), "members"), Birch.centres(features))
+        near = index.knn(queries, K).agg(F.count_distinct("qid").alias("queries"), F.round(F.sum("dist"), 4).alias("dist"))
+        work = index.metrics(queries, K).agg(((F.max("step2") <= n) & (F.max("n_clusters") <= F.max("step1"))).alias("bounded"))
+        parts.append(near.crossJoin(work).withColumn("radius", F.lit(radius)))  # one row each
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _points(rows: DataFrame) -> list:
     return [(r.id, list(r.vec)) for r in rows.orderBy("id").limit(POINTS).collect()]
 
@@ -220,7 +234,7 @@ def vp_tree_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cf_by_label, cf_radius_diameter, cf_distances, cf_merged, cf_incremental, stream_cluster_features, cluster_assign, cluster_summary, cluster_files,
-    birch_clusters, birch_labels, birch_sums, cluster_sweep, search_metrics, search_cost, vantage_filter, vantage_knn, kd_cells, cell_knn, shell_knn, vp_tree_knn,
+    birch_clusters, birch_labels, birch_sums, cluster_sweep, radius_sweep, search_metrics, search_cost, vantage_filter, vantage_knn, kd_cells, cell_knn, shell_knn, vp_tree_knn,
 )} | {f"cluster_knn_{rule}": _cluster_knn(rule) for rule in ("exact", "memory", "disk")}
 
 _LIFTED = Q.replace("SELECT id AS qid, vec FROM v", "SELECT id AS qid, list_transform(vec, lambda e: e + 0.01) AS vec FROM v")
@@ -285,6 +299,7 @@ def _tree_sql() -> str:
 
 
 ORACLE_SQL = {
+    "radius_sweep": f"SELECT radius::DOUBLE AS radius, n AS queries, dist, true AS bounded FROM (VALUES {', '.join(f'({r})' for r in RADII)}) AS r(radius), (SELECT count(DISTINCT qid) AS n, round(sum(dist), 4) AS dist FROM ({_BRUTE.replace('round(dist, 6) AS dist', 'dist')}))",
     "cf_by_label": f"WITH {_CF} SELECT s.k AS cluster_id, cf.n, round(cf.ss, 5) AS ss, pos, round(s.ls, 5) AS ls FROM s JOIN cf USING (k)",
     "cf_incremental": f"WITH {_CF} SELECT k AS cluster_id, n, round(ss, 5) AS ss FROM cf",
     "stream_cluster_features": f"WITH {_CF} SELECT k AS cluster_id, n, round(ss, 5) AS ss FROM cf",

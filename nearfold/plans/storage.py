@@ -10,20 +10,21 @@ from ..functions.vectors import METRICS, chebyshev_block, dot
 from ..operators.curves import features
 from ..operators.index import CellIndex
 from ..operators.knn import knn
-from ..operators.trees import located
 from ..operators.scaling import IncrementalPca, Pca, standardise
 from ..operators.sums import column_sums
+from ..operators.trees import located
 from ..shared import new_path, staged
-from ..sources.curves import pack_tiles, unpack_tiles
-from ..sources.features import FEATURES, as_vectors, first_columns, padded, read_targets, read_tile_folders, write_targets, write_tiles
+from ..sources.features import FEATURES, as_vectors, first_columns, first_tiles, padded, read_targets, read_tile_folders, write_targets, write_tiles
 from ..sources.text import read_tree
+from ..sources.tiles import read_curve as tile_curve
+from ..sources.tiles import read_tar_tiles, write_tar_tiles
 from .common import C, Q, V, X, curves, targets, vectors
 from .curves import _FEATURES as _LC
 from .curves import NUDGE, _nudged
 from .search import _BRUTE, K, _lifted, _result
 
 TREE = ["Var. 0 > 0.05", "|\tVar. 3 > -0.02: f(x)=1.5", "|\tVar. 3 <= -0.02: f(x)=0.25", "Var. 0 <= 0.05", "|\tVar. 7 > 0: f(x)=2e-1", "|\tVar. 7 <= 0: f(x)=3"]
-TILES, WIDTH = 3, 5
+TILES, WIDTH, CAP = 3, 5, 7
 ZERO = ("Color", "Q31_color", "StetsonJ", "StetsonL")  # what one band lacks
 BAD = ("1.1.bad", "R")
 
@@ -51,6 +52,14 @@ def tile_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(dot(F.col("vec"), F.col("vec")), 6).alias("square"))
 
 
+def capped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tiles only, with the columns in another order; the cap is the feature."""
+    path = new_path(spark, "tiles")
+    write_tiles(_tiles(vectors(spark, sf_dir)), path)
+    rows = as_vectors(first_tiles(read_tile_folders(spark, path), CAP), FEATURES[::-1])
+    return rows.select("id", F.round(F.col("vec")[0], 6).alias("first"))
+
+
 def pca_tile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors projected on all components, written as CSV tiles and read back: squares are those of the scaled vectors."""
     rows, path = vectors(spark, sf_dir), new_path(spark, "pca_tiles")
@@ -90,22 +99,39 @@ def target_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "id", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
+def _written(rows: DataFrame) -> str:
+    """The path of curves written as tar tiles."""
+    path = new_path(rows.sparkSession, "tiles")
+    write_tar_tiles(rows, path)
+    return path
+
+
+def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves(spark, sf_dir).select(F.format_string("1.%d.%d", F.col("id") % TILES, "id").alias("id"), "band", (F.col("id") % TILES).alias("tile"), "t", "mag", F.lit(0.5).alias("err"))
+
+
 def curve_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curves packed as tiles of text files in tar form and unpacked again: counts and sums by curve and band."""
-    rows = curves(spark, sf_dir).select(F.format_string("1.%d.%d", F.col("id") % TILES, "id").alias("id"), "band", (F.col("id") % TILES).alias("tile"), "t", "mag", F.lit(0.5).alias("err"))
-    back = unpack_tiles(staged(pack_tiles(rows), "tars"))
+    """Curves written as tiles of text files in tar form and read again by ranges: counts and sums by curve and band."""
+    back = read_tar_tiles(spark, _written(_tiled(spark, sf_dir)))
     return back.groupBy("id", "band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mag"), 4).alias("mag"), F.round(F.min("t"), 6).alias("t"), F.round(F.sum("err"), 4).alias("err"))
 
 
 def curve_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A curve that can't be read gives a row that says so, and stops no other."""
-    rows = curves(spark, sf_dir).filter("id < 20").select(F.format_string("1.1.%d", "id").alias("id"), "band", F.lit(1).alias("tile"), "t", "mag", F.lit(0.5).alias("err"))
-    bad = spark.createDataFrame([(*BAD, 1, 0.0, float("nan"), 1.0)], "id string, band string, tile int, t double, mag double, err double")
-    tars = pack_tiles(rows.unionByName(bad.withColumn("mag", F.lit(None).cast("double"))))
-    back = unpack_tiles(staged(tars, "tars"))
+    bad = spark.createDataFrame([(BAD[0], BAD[1], 1, 0.0, None, 1.0)], "id string, band string, tile long, t double, mag double, err double")
+    back = read_tar_tiles(spark, _written(_tiled(spark, sf_dir).unionByName(bad)))
     return back.groupBy(F.col("problem").isNotNull().alias("bad")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("curves"))
 
 
+def read_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One curve's observations in one band, looked up in the tiles by its headers: the longest curve's, in its first band."""
+    rows = staged(_tiled(spark, sf_dir), "curves")
+    path = _written(rows)
+    first = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("band")).orderBy(F.desc("n"), "id").first()
+    out = tile_curve(spark, path, *((first["id"], first["band"]) if first else ("", "")))
+    return out.select("id", "band", F.round("t", 6).alias("t"), F.round("mag", 6).alias("mag"))
+
+
 def _read_tree(spark: SparkSession) -> dict:
     path = new_path(spark, "tree")
     spark.createDataFrame([(i, x) for i, x in enumerate(TREE)], "i int, value string").coalesce(1).orderBy("i").select("value").write.text(path)
@@ -161,7 +187,7 @@ def standardized_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    tile_files, tile_vectors, pca_tile_files, pca_model, pca_incremental, target_files, curve_tiles, curve_problems, density_tree_cells, density_tree_knn,
+    tile_files, tile_vectors, capped_tiles, pca_tile_files, pca_model, pca_incremental, target_files, curve_tiles, curve_problems, read_curve, density_tree_cells, density_tree_knn,
     knn_callable, knn_curves, label_count, array_fill, padded_features, standardized_means,
 )}
 
@@ -174,12 +200,14 @@ _NEAR = "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id)
 ORACLE_SQL = {
     "tile_files": f"WITH {V} SELECT {_NAME}, label AS field, CAST(id % {TILES} AS INTEGER) AS tile, round(vec[1], 6) AS {FEATURES[0]}, round(vec[31], 6) AS {FEATURES[30]}, round(vec[64], 6) AS {FEATURES[63]} FROM v WHERE label = 3",
     "tile_vectors": f"WITH {V} SELECT {_NAME}, round(list_dot_product(vec, vec), 6) AS square FROM v",
+    "capped_tiles": f"WITH {V}, t AS (SELECT label, id % {TILES} AS tile FROM v GROUP BY 1, 2 ORDER BY 1, 2 LIMIT {CAP}) SELECT {_NAME.replace('label', 'v.label', 1)}, round(vec[64], 6) AS first FROM v JOIN t ON t.label = v.label AND t.tile = v.id % {TILES}",
     "pca_tile_files": f"WITH {_SCALED} SELECT label || '.' || (z.id % {TILES}) || '.' || z.id AS id, round(list_dot_product(z, z), 4) AS square FROM z JOIN v ON v.id = z.id",
     "pca_model": _STEPS,
     "pca_incremental": _STEPS,
     "target_files": f"WITH {Q}, d AS (SELECT qid, v.id, round(list_distance(q.vec[1:{WIDTH}], v.vec[1:{WIDTH}]), 9) AS dist FROM q JOIN v ON v.id <> q.qid), {_NEAR} SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE rank <= {K}",
     "curve_tiles": f"WITH {C} SELECT {_CURVE}, band, count(*) AS n, round(sum(mag), 4) AS mag, round(min(t), 6) AS t, round(count(*) * 0.5, 4)::DOUBLE AS err FROM c GROUP BY c.id, band",
-    "curve_problems": f"WITH {C} SELECT false AS bad, count(*) AS n, count(DISTINCT id) AS curves FROM c WHERE id < 20 UNION ALL SELECT true, 1, 1",
+    "curve_problems": f"WITH {C} SELECT false AS bad, count(*) AS n, count(DISTINCT id) AS curves FROM c UNION ALL SELECT true, 1, 1",
+    "read_curve": f"WITH {C}, k AS (SELECT {_CURVE}, band, t, mag FROM c), o AS (SELECT id, min(band) AS band FROM k GROUP BY id ORDER BY count(*) DESC, id LIMIT 1) SELECT id, band, round(t, 6) AS t, round(mag, 6) AS mag FROM k SEMI JOIN o USING (id, band)",
     "density_tree_cells": f"WITH {V} SELECT CASE WHEN vec[1] <= 0.05 THEN CASE WHEN vec[8] <= 0 THEN '00' ELSE '01' END ELSE CASE WHEN vec[4] <= -0.02 THEN '10' ELSE '11' END END AS cell_id, count(*) AS n FROM v GROUP BY 1",
     "density_tree_knn": _BRUTE,
     "knn_callable": f"WITH {Q}, d AS (SELECT qid, v.id, round(list_max(list_transform(list_zip(q.vec, v.vec), lambda p: abs(p[1] - p[2]))), 9) AS dist FROM q JOIN v ON v.id <> q.qid), {_NEAR} SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE rank <= {K}",

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +30,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/nearfold/{uuid.uuid4().hex}/{name}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those staged with ``keep``, which belong to the scope around.
+
+    What is returned from inside must not read the others any more.
+    """
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = paths = []
+    try:
+        yield
+    finally:
+        _scopes.paths = outer
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, and lets several readers use
-    one computation.
+    one computation.  Inside ``scratch`` they go when it ends.
     """
     path = new_path(df.sparkSession, name)
+    if not keep and getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,17 +1,10 @@
-"""Light-curve files: text curves in tar tiles, and folders of such files by class."""
+"""Text curves, and folders of such files by class; tar tiles of them are in ``tiles``."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OBSERVATION = "id string, band string, t double, mag double, err double, problem string"
-
 
 def parse_curve(text: str) -> tuple[list[tuple[float, float, float]], str | None]:
     """Observations (time, magnitude, error) after two lines of preamble and a header, and what went wrong."""
@@ -27,67 +20,6 @@ def parse_curve(text: str) -> tuple[list[tuple[float, float, float]], str | None
     return out, None
 
 
-def _rows(name: str, text: str) -> Iterator[tuple]:
-    """``lc_<field>.<tile>.<seq>.<band>.mjd`` gives id and band."""
-    stem = name.rsplit("/", 1)[-1].removeprefix("lc_").removesuffix(".mjd")
-    identifier, _, band = stem.rpartition(".")
-    seen, problem = parse_curve(text)
-    if problem:
-        yield identifier, band, None, None, None, problem
-    for row in seen:
-        yield identifier, band, *row, None
-
-
-def unpack_tiles(tars: DataFrame) -> DataFrame:
-    """(id, band, t, mag, err, problem) of every ``.mjd`` member of the tar files in the column ``content``.
-
-    A task unpacks the tiles of its own partition, a curve at a time.  A curve that can't be read gives
-    one row with ``problem`` besides what was read of it; it stops nothing else.
-    """
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in OBSERVATION.split(", ")]
-        for pdf in batches:
-            for content in pdf["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for member in tar:
-                        if member.name.endswith(".mjd"):
-                            text = tar.extractfile(member).read().decode("utf-8", "replace")
-                            yield pd.DataFrame(list(_rows(member.name, text)), columns=names)
-
-    return tars.select("content").mapInPandas(unpack, OBSERVATION)
-
-
-def read_tar_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """``unpack_tiles`` of the tar files at ``path``."""
-    return unpack_tiles(spark.read.format("binaryFile").load(path))
-
-
-def read_curve(spark: SparkSession, path: str, identifier: str, band: str) -> DataFrame:
-    """The observations of one curve in one band, out of the tar files at ``path``."""
-    return read_tar_tiles(spark, path).filter((F.col("id") == identifier) & (F.col("band") == band))
-
-
-def pack_tiles(rows: DataFrame) -> DataFrame:
-    """(tile, content): the curves (id, band, tile, t, mag, err) of each tile as a tar file of text curves.
-
-    A tile is one file, so its curves stand in one task.
-    """
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for (identifier, band), own in pdf.groupby(["id", "band"]):
-                lines = [f"# {identifier}", f"# band {band}", "t mag err", *(f"{t!r} {m!r} {e!r}" for t, m, e in zip(own["t"].tolist(), own["mag"].tolist(), own["err"].tolist(), strict=True))]
-                text = "\n".join(lines).replace("nan", "?").encode()
-                member = tarfile.TarInfo(f"lc_{identifier}.{band}.mjd")
-                member.size = len(text)
-                tar.addfile(member, io.BytesIO(text))
-        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "content": [out.getvalue()]})
-
-    return rows.groupBy("tile").applyInPandas(lambda pdf: pack(pdf), f"tile {dict(rows.dtypes)['tile']}, content binary")
-
-
 def read_curve_folder(spark: SparkSession, root: str) -> DataFrame:
     """(id, band, class, t, mag, err) of all ``.mjd`` files below ``root``; class is the folder's name."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mjd").text(root).withColumn("file", F.input_file_name())

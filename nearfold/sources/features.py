@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,13 @@ def read_tile_folders(spark: SparkSession, path: str, field: str | int | None =
     return rows
 
 
+def first_tiles(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of the first ``n`` tiles, by field and tile; other files are not read."""
+    found = (re.search(r"field=(\d+)/tile=(\d+)/", f) for f in rows.inputFiles())
+    tiles = sorted({(int(m[1]), int(m[2])) for m in found if m})[:n]
+    return rows.filter(reduce(Column.__or__, [(F.col("field") == f) & (F.col("tile") == t) for f, t in tiles], F.lit(False)))
+
+
 def write_targets(queries: DataFrame, path: str) -> None:
     """Targets (qid, vec) as CSV: the id, then a column per component."""
     width = queries.select(F.max(F.size("vec"))).first()[0] or 0

@@ -144,7 +144,8 @@ def test_more_neighbours_than_rows(spark):
 def test_empty_tables(spark):
     none, q = table(spark, SIX).limit(0), spark.createDataFrame([(-1, [0.0, 0.0])], "qid long, vec array<double>")
     assert knn(q, none, 3).count() == knn(q.limit(0), table(spark, SIX), 3).count() == 0
-    assert pairs.extreme_pair(none).count() == standardise(none).count() == min_max(none).count() == 0
+    assert pairs.extreme_pair(none).count() == pairs.pair_histogram(none, 1.0).count() == standardise(none).count() == min_max(none).count() == 0
+    assert Pca.fit(none, 2).transform(none).count() == 0 and Pca.fit(none, 2).weights.shape == (0, 0)
     assert Birch(1.0).fit(none).count() == assign(none, table(spark, SIX, "cluster_id")).count() == 0
 
 
@@ -178,6 +179,29 @@ def test_pairs_within_equal_all_pairs(spark, metric):
     assert (near.a, near.b) == (i, j)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "sq_euclidean"])
+@pytest.mark.parametrize("width", [0.5, 25.0])
+def test_pair_histogram_equals_all_pairs(spark, metric, width):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([clustered(rng, 8, 60, 2), np.repeat(rng.random((1, 2)), 90, 0)])  # one point many times
+    d = pairs.distances(points, points, metric).round(9)[np.triu_indices(len(points), 1)]
+    bins, n = np.unique(np.floor(d / width).astype(int), return_counts=True)
+    rows = table(spark, points).cache()
+    assert {r.bin: r["n"] for r in pairs.pair_histogram(rows, width, metric).collect()} == dict(zip(bins.tolist(), n.tolist(), strict=True))
+    small = pairs.pair_bins(rows, width, metric, block_rows=50).filter("bin >= 0").groupBy("bin").agg(F.sum("n").alias("n"))
+    assert {r.bin: r["n"] for r in small.collect()} == dict(zip(bins.tolist(), n.tolist(), strict=True))
+
+
+def test_pair_histogram_measures_few_pairs(spark):
+    """On clustered rows boxes count most pairs whole."""
+    points = clustered(np.random.default_rng(4), 30, 100, 2)
+    rows = table(spark, points).cache()
+    for block_rows in (4_096, 300):
+        work = {r.bin: r["n"] for r in pairs.pair_bins(rows, 50.0, block_rows=block_rows).groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+        measured = work.pop(-1)
+        assert sum(work.values()) == 3_000 * 2_999 // 2 and measured < 0.2 * sum(work.values())
+
+
 def test_pca_keeps_distances(spark):
     rows = table(spark, [(-1, -1), (-2, -1), (-3, -2), (1, 1), (2, 1), (3, 2)])
     a = np.array([r.vec for r in standardise(rows).orderBy("id").collect()])
@@ -196,7 +220,7 @@ def test_blobs_are_found(spark):
 
 
 def test_birch_in_cells_keeps_its_contract(spark, monkeypatch):
-    monkeypatch.setattr("nearfold.operators.clusters.CELL_ROWS", 40)
+    monkeypatch.setattr("nearfold.operators.clusters.CELL_FEATURES", 12)
     points = np.random.default_rng(3).random((300, 3)) * 10
     birch = Birch(1.0)
     features = birch.fit(table(spark, points), start=birch.fit(table(spark, points[:50])))
@@ -206,6 +230,34 @@ def test_birch_in_cells_keeps_its_contract(spark, monkeypatch):
     assert max(radius) < 1.0 and len(got) < 250 and len({r.cluster_id for r in got}) == len(got)
 
 
+def test_blobs_across_borders_are_one_cluster(spark, monkeypatch):
+    """Blobs that the first tree's cells cut in two come together in the passes after it."""
+    monkeypatch.setattr("nearfold.operators.clusters.CELL_FEATURES", 4)
+    rng = np.random.default_rng(5)
+    middles = np.array([[0.0, 0.0], [50.0, 3.0], [100.0, -4.0], [150.0, 8.0], [200.0, 0.0]])  # the middle one holds the median
+    points = rng.permutation((middles[:, None] + rng.normal(size=(5, 80, 2)) * 0.5).reshape(-1, 2))
+    features = Birch(2.0).fit(table(spark, points).repartition(8)).collect()
+    assert sorted(r.n for r in features) == [80] * 5
+
+
+def test_feature_tree_takes_blocks():
+    """A block at once gives sums and radii as rows one by one do, in about as many features."""
+    rng = np.random.default_rng(8)
+    points = (rng.random((20, 1, 3)) * 50 + rng.normal(size=(20, 200, 3)) * 0.3).reshape(-1, 3)
+    one, many = (CfTree(3, 1.0, "d0", "r", branching=6) for _ in range(2))
+    for p in points:
+        one.add(1, p, float(p @ p))
+    many.add_block(np.ones(len(points)), points, (points**2).sum(1))
+    n, ls, ss = many.leaves()
+    assert n.sum() == 4_000 and np.allclose(ls.sum(0), points.sum(0)) and np.isclose(ss.sum(), (points**2).sum())
+    assert (np.sqrt(np.maximum(ss / n - (ls**2).sum(1) / n**2, 0)) < 1.0).all() and len(n) <= 2 * len(one.leaves()[0])
+    top = many.root
+    while top.children is not None:  # inner entries hold what is below them
+        for e in range(top.k):
+            assert np.allclose(top.children[e].total()[1], top.ls[e]) and top.children[e].total()[0] == top.n[e]
+        top = top.children[0]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.floats(-50, 50), st.floats(-50, 50)), min_size=3, max_size=30))
 def test_distance_of_merged_features(spark, points):

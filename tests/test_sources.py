@@ -8,9 +8,10 @@ import tarfile
 from pyspark.sql import functions as F
 
 from nearfold.operators.sums import gram
-from nearfold.sources.curves import read_curve_folder, read_tar_tiles
+from nearfold.sources.curves import read_curve_folder
 from nearfold.sources.features import as_vectors, padded, read_tiles, write_partitioned, write_tiles
 from nearfold.sources.text import bezier_points, read_tree
+from nearfold.sources.tiles import members, read_curve, read_tar_tiles, write_tar_tiles
 from nearfold.streaming.merge import feed_gram, merged_gram
 
 CURVE = "# object\n# survey\nmjd mag err\n1.0 17.5 0.1\n2.5 17.25 0.2\n"
@@ -44,6 +45,66 @@ def test_tar_tiles_survive_a_bad_curve(spark, tmp_path):
     assert [(r.id, r.band) for r in rows if r.problem] == [("1.2.3", "R")]
 
 
+def some_curves(spark, n=30):
+    rows = [(f"t{i % 3}", f"1.{i % 3}.{i}", b, float(j), 10.0 + i + j / 8, 0.5) for i in range(n) for b in "BR" for j in range(1 + i * 7 % 50)]
+    return spark.createDataFrame(rows, "tile string, id string, band string, t double, mag double, err double").repartition(5)
+
+
+def curve_rows(df):
+    return sorted((r.tile, r.id, r.band, r.t, r.mag, r.err) for r in df.collect())
+
+
+def test_tiles_are_written_by_many_tasks_and_read_by_ranges(spark, tmp_path):
+    """Every member comes once, whatever the ranges; a tile has a file from each task."""
+    rows, path = some_curves(spark), f"file://{tmp_path}/tiles"
+    write_tar_tiles(rows, path, 4)
+    files = sorted(p.name for p in (tmp_path / "tiles").iterdir())
+    assert len([f for f in files if f.startswith("t1.")]) > 1 and all(f.endswith(".tar") for f in files)
+    want = curve_rows(rows)
+    for split in (512, 3_000, 1 << 20):
+        back = read_tar_tiles(spark, path, split)
+        assert curve_rows(back) == want and back.filter("problem IS NOT NULL").count() == 0
+    assert read_tar_tiles(spark, path, 512).rdd.getNumPartitions() > 100
+    with tarfile.open(tmp_path / "tiles" / files[0]) as tar:
+        assert all(m.name.startswith("lc_1.") for m in tar)
+
+
+def test_one_curve_is_read_by_its_own_bytes(spark, tmp_path):
+    rows, path = some_curves(spark), f"file://{tmp_path}/tiles"
+    write_tar_tiles(rows, path, 2)
+    assert curve_rows(read_curve(spark, path, "1.2.17", "R", 2_000)) == curve_rows(rows.filter("id = '1.2.17' AND band = 'R'"))
+    assert read_curve(spark, path, "9.9.9", "B").count() == 0
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as out:
+        for i in range(40):
+            info = tarfile.TarInfo(f"lc_1.1.{i}.B.mjd")
+            info.size = 100_000
+            out.addfile(info, io.BytesIO(b"1 2 3\n" * 16_667))
+    file = Counting(tar.getvalue())
+    assert len(list(members(file, 0, len(tar.getvalue())))) == 40 and file.taken < 60 * 512  # headers only
+    whole = [m for a in range(0, len(tar.getvalue()), 70_000) for m in members(io.BytesIO(tar.getvalue()), a, min(a + 70_000, len(tar.getvalue())))]
+    assert [m[0] for m in whole] == [f"lc_1.1.{i}.B.mjd" for i in range(40)]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    bad = some_curves(spark).withColumn("mag", F.when(F.col("id") == "1.2.17", F.raise_error(F.lit("no"))).otherwise(F.col("mag")))
+    try:
+        write_tar_tiles(bad, f"file://{tmp_path}/tiles", 3)
+    except Exception:  # noqa: BLE001
+        pass
+    assert not list((tmp_path / "tiles").glob("*.tar")) if (tmp_path / "tiles").exists() else True
+    assert read_tar_tiles(spark, f"file://{tmp_path}/tiles").count() == 0
+
+
 def test_curve_folder_gives_the_class(spark, tmp_path):
     for name in ("QSO", "RRL"):
         (tmp_path / name).mkdir()
