@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import new_path, staged
+from ..shared import new_path, scratch, staged
 
-__all__ = ["WHITE", "WORD", "documents", "fold", "free_name", "new_path", "small_batches", "staged", "text_bytes"]
+__all__ = ["WHITE", "WORD", "documents", "fold", "free_name", "new_path", "scratch", "small_batches", "staged", "text_bytes"]
 
 #: Texts that go to Python at once; Spark's own bound, 64 MB, is held several times over by every task.
 BATCH_BYTES = 8 << 20

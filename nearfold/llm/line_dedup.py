@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.versioned import RETRIES, Conflict, Manifest
-from .common import WHITE, documents, free_name, new_path, small_batches, staged, text_bytes
+from .common import WHITE, documents, free_name, new_path, scratch, small_batches, staged, text_bytes
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -188,6 +188,10 @@ class LineDedup:
         return self._change(docs, -1)
 
     def _change(self, docs: DataFrame, sign: int) -> LineDedup:
+        with scratch(self.spark):
+            return self._commit(docs, sign)
+
+    def _commit(self, docs: DataFrame, sign: int) -> LineDedup:
         delta = staged(self._counts(docs).select("kind", "h1", "h2", (F.col("n") * sign).alias("n")), "delta")
         for _ in range(RETRIES):
             self._take(*self.manifest.last())
