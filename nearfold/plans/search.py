@@ -17,7 +17,7 @@ from ..shared import new_path, staged
 from ..sources.features import read_clusters, write_clusters
 from ..streaming.merge import feed_cluster_features, merged_cluster_features
 from .common import CENTRES, Q, V, X, targets, vectors
-from .vectors import K, _knn_sql
+from .vectors import K
 
 POINTS, NEAREST = 10, 3
 DEPTH, SHELLS, WIDTH = 4, 8, 64

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.curves import bezier, fixed_hash, id_part, object_id
+from ..functions.curves import id_part, object_id
 from ..functions.vectors import METRICS, dot, total
 from ..operators import pairs
 from ..operators.clusters import grid_cells
