@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import staged
+
 ACCURACY = 10_000
 
 
@@ -19,6 +21,7 @@ def quantiles(rows: DataFrame, group: Column | str, value: Column | str, ps: lis
     x = rows.select((F.col(group) if isinstance(group, str) else group).alias("grp"), (F.col(value) if isinstance(value, str) else value).alias("v")).filter("v IS NOT NULL")
     e = 2 / accuracy
     near = x.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [b for p in ps for b in (max(0.0, p - e), min(1.0, p + e))], accuracy).alias("b"))
+    near = staged(near, "brackets")  # approximate quantiles vary with the order of merging, and both passes must see the same
     both = x.alias("x").join(near.alias("near"), F.col("x.grp").eqNullSafe(F.col("near.grp"))).select("x.grp", "x.v", "near.n", "near.b")
     low, high = (lambda i: F.col("b")[2 * i]), (lambda i: F.col("b")[2 * i + 1])
     sums = [s for i in range(len(ps)) for s in (F.count(F.when(F.col("v") < low(i), 1)).alias(f"below{i}"), F.max(F.when(F.col("v") < low(i), F.col("v"))).alias(f"prev{i}"), F.min(F.when(F.col("v") > high(i), F.col("v"))).alias(f"next{i}"), F.count(F.when(F.col("v").between(low(i), high(i)), 1)).alias(f"inside{i}"))]

@@ -425,3 +425,17 @@ def test_paths_of_any_length(spark):
     path = "M 0 0 Q " + " ".join(f"{i} {i % 7} {i + 1} 0" for i in range(4_000))
     found_ = spark.createDataFrame([(1, path)], "id long, path string").select(path_points("path").alias("p")).first().p
     assert len(found_[1].nums) == 16_000
+
+
+def test_quantiles_use_one_bracket(spark, monkeypatch):
+    """Approximate quantiles may come out differently each time they are taken."""
+    from os import urandom
+
+    from nearfold.operators import quantiles as module
+
+    random = lambda: urandom(1)[0] * 4.0
+    plain, wider = F.percentile_approx, F.udf(lambda b: [x + (random() if i % 2 else -random()) for i, x in enumerate(b)], "array<double>").asNondeterministic()
+    monkeypatch.setattr(module.F, "percentile_approx", lambda *a: wider(plain(*a)))
+    rows = spark.range(101).select((F.col("id") % 2).alias("g"), (F.col("id") * F.col("id") / 7).alias("x"))
+    for r in module.quantiles(rows, "g", "x", [0.25, 0.5]).collect():
+        assert r.q == np.quantile([i * i / 7 for i in range(101) if i % 2 == r.grp], [0.25, 0.5]).tolist()
