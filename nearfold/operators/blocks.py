@@ -9,6 +9,7 @@ import pyarrow as pa
 
 #: ``euclidean``, ``manhattan``, ``sq_euclidean``, or a function of two matrices.
 Metric = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
+SLICE = 256, 1_024  # rows of both sides that are multiplied at once
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -47,6 +48,40 @@ def paired(a: np.ndarray, b: np.ndarray, metric: Metric = "euclidean") -> np.nda
     return np.sqrt(d) if metric == "euclidean" else d
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared Euclidean distances by one product of matrices, and the most by which rounding may set them off."""
+    x, y = (a * a).sum(1), (b * b).sum(1)
+    out = (a * -2.0) @ b.T
+    out += x[:, None]
+    out += y
+    return out, 4 * (a.shape[1] + 8) * np.finfo(float).eps * float(x.max(initial=0) + y.max(initial=0))
+
+
+def rounded(a: np.ndarray, b: np.ndarray, metric: Metric = "euclidean") -> np.ndarray:
+    """``distances`` to nine decimals.  Euclidean ones come from products of matrices; pairs that are so near, or so
+    near between two roundings, that these don't settle the last decimal are measured directly."""
+    if metric != "euclidean" or a.size < 1024:
+        return distances(a, b, metric).round(9)
+    out = np.empty((len(a), len(b)))
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        for i in range(0, len(a), SLICE[0]):
+            for j in range(0, len(b), SLICE[1]):
+                own, other, part = a[i : i + SLICE[0]], b[j : j + SLICE[1]], out[i : i + SLICE[0], j : j + SLICE[1]]
+                d, off = squares(own, other)
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
+                d *= 1e9
+                np.rint(d, out=part)
+                np.abs(d - part, out=d)
+                d += 1e18 * off / np.maximum(part, 1)
+                u, v = np.nonzero(~(d < 0.499))
+                part /= 1e9
+                if len(u) * 4 > part.size:
+                    part[:] = distances(own, other).round(9)
+                elif len(u):
+                    part[u, v] = paired(own[u], other[v]).round(9)
+    return out
+
+
 def names(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Ids as an array that can be sorted."""
     out = column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
 from ..shared import staged
-from .blocks import Metric, distances, matrix
+from .blocks import Metric, distances, matrix, rounded
+from .knn import ROWS_BLOCK, grid
 from .trees import located, sampled_tree
 
 CENTRE_BLOCK = 20_000
+ROWS_SLICE, CENTRES_SLICE = 512, 4_096
 CELL_FEATURES, CUTS = 20_000, (0.5, 0.3, 0.7)
 FEATURE = "n long, ls array<double>, ss double"
 
@@ -24,39 +26,55 @@ FEATURE = "n long, ls array<double>, ss double"
 def assign(rows: DataFrame, centres: DataFrame, metric: Metric = "euclidean") -> DataFrame:
     """(id, cluster_id, dist) of the nearest centre (cluster_id, vec); ties by cluster id.
 
-    Centres are read in blocks of ``CENTRE_BLOCK``, each a broadcast; a block's best goes on to the next.
+    Up to ``CENTRE_BLOCK`` centres are one broadcast.  More stay out of the driver: rows and centres meet in blocks,
+    and each block sends on the best of its centres for every row.
     """
-    spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
-    out = rows.select("id", doubles("vec").alias("vec"), F.lit(-1).cast("long").alias("cluster_id"), F.lit(float("inf")).alias("dist"))
-
-    def visit(out: DataFrame, ids: list, held: list) -> DataFrame:
-        block = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(held, np.float64)))
+    kind = dict(rows.dtypes)["id"]
+    rows = rows.select("id", doubles("vec").alias("vec"))
+    centres = centres.select(F.col("cluster_id").cast("long").alias("id"), doubles("vec").alias("vec")).orderBy("id")
+    few = centres.limit(CENTRE_BLOCK + 1).toArrow()
+    if few.num_rows <= CENTRE_BLOCK:
+        block = rows.sparkSession.sparkContext.broadcast((few["id"].to_numpy(), matrix(few["vec"].combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c_ids, c = block.value
+            ids, c = block.value
             for batch in batches:
-                x = matrix(batch.column(1))
-                if not len(x):
-                    yield batch
-                    continue
-                d = distances(x, c, metric).round(9)
-                at = d.argmin(1)
-                best, old = d[np.arange(len(x)), at], batch.column(3).to_numpy()
-                better = best < old
-                new = np.where(better, c_ids[at], batch.column(2).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new), pa.array(np.where(better, best, old))], ["id", "vec", "cluster_id", "dist"])
-
-        return out.mapInArrow(run, f"id {kind}, vec array<double>, cluster_id long, dist double")
-
-    ids, held = [], []
-    for r in centres.select(F.col("cluster_id").cast("long"), doubles("vec")).orderBy("cluster_id").toLocalIterator():
-        ids.append(r[0])
-        held.append(r[1])
-        if len(ids) == CENTRE_BLOCK:
-            out, ids, held = visit(out, ids, held), [], []
-    if ids:
-        out = visit(out, ids, held)
-    return out.select("id", "cluster_id", "dist")
+                if len(ids):
+                    at, d = _nearest(matrix(batch.column(1)), c, metric)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(d)], ["id", "cluster_id", "dist"])
+                else:
+                    none = pa.array(np.full(batch.num_rows, -1)), pa.array(np.full(batch.num_rows, np.inf))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *none], ["id", "cluster_id", "dist"])
+
+        return rows.mapInArrow(run, f"id {kind}, cluster_id long, dist double")
+    keyed = staged(rows.withColumn("qid", F.monotonically_increasing_id()), "keyed")  # ids may repeat
+    left, right = grid(keyed, staged(centres, "centres"), queries_block=ROWS_BLOCK)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, d = np.zeros(0, np.int64), np.zeros(0)
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            at, d = _nearest(matrix(left["vec"].combine_chunks()), matrix(right["vec"].combine_chunks()), metric)
+        left = left.select(["qid", "id"]).slice(0, len(at))
+        return left.append_column("cluster_id", right["id"].take(pa.array(at))).append_column("dist", pa.array(d))
+
+    found = left.groupBy("part", "qpart").cogroup(right.groupBy("part", "qpart")).applyInArrow(best, f"qid long, id {kind}, cluster_id long, dist double")
+    out = found.groupBy("qid").agg(F.min(F.struct("dist", "cluster_id", "id")).alias("m"))
+    return out.select("m.id", "m.cluster_id", "m.dist")
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the nearest centre of each row, the first of equal ones, and its distance to nine decimals."""
+    at, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for a in range(0, len(x), ROWS_SLICE):
+        for b in range(0, len(centre), CENTRES_SLICE):
+            own = slice(a, a + ROWS_SLICE)
+            d = rounded(x[own], centre[b : b + CENTRES_SLICE], metric)
+            j = d.argmin(1)
+            least = d[np.arange(len(d)), j]
+            better = least < best[own]
+            at[own], best[own] = np.where(better, j + b, at[own]), np.where(better, least, best[own])
+    return at, best
 
 
 class Birch:

@@ -9,28 +9,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
-from .blocks import Best, Metric, distances, matrix, names
+from .blocks import Best, Metric, matrix, names, rounded
 
-ROWS_BLOCK, QUERIES_BLOCK = 32_768, 16_384
+ROWS_BLOCK, QUERIES_BLOCK = 16_384, 4_096
 ROW_SLICE, QUERY_SLICE = 1_024, 512
 
 
-def grid(queries: DataFrame, rows: DataFrame, rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK) -> tuple[DataFrame, DataFrame]:
+def grid(queries: DataFrame, rows: DataFrame, rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK, dealt: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``queries`` (qid, ...) and ``rows`` (id, ...) with ``part`` and ``qpart``, every block of one beside every block of the other.
 
-    Small tables are cut finer, so that all cores have work.
+    Small tables are cut finer, so that all cores have work.  Rows of one ``dealt`` stay in one block, by default those of one id.
     """
     n, m = rows.count(), queries.count()
     parts = max(1, -(-n // rows_block), min(rows.sparkSession.sparkContext.defaultParallelism, n // ROW_SLICE))
     qparts = max(1, -(-m // queries_block))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = queries.withColumn("qpart", F.pmod(F.xxhash64("qid"), F.lit(qparts)).cast("int")).withColumn("part", every(parts))
-    right = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("qpart", every(qparts))
+    right = rows.withColumn("part", F.pmod(F.xxhash64("id") if dealt is None else dealt, F.lit(parts)).cast("int")).withColumn("qpart", every(qparts))
     return left, right
 
 
@@ -62,7 +62,7 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int, metric: Metric = "eucl
             for a in range(0, len(q), QUERY_SLICE):
                 best = Best(len(q[a : a + QUERY_SLICE]), k)
                 for b in range(0, len(x), ROW_SLICE):
-                    d = distances(q[a : a + QUERY_SLICE], x[b : b + ROW_SLICE], metric).round(9)
+                    d = rounded(q[a : a + QUERY_SLICE], x[b : b + ROW_SLICE], metric)
                     if asked.dtype.kind == own.dtype.kind:
                         d[asked[a : a + QUERY_SLICE, None] == own[None, b : b + ROW_SLICE]] = np.inf
                     best.add(d, own[b : b + ROW_SLICE])

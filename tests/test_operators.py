@@ -439,3 +439,42 @@ def test_quantiles_use_one_bracket(spark, monkeypatch):
     rows = spark.range(101).select((F.col("id") % 2).alias("g"), (F.col("id") * F.col("id") / 7).alias("x"))
     for r in module.quantiles(rows, "g", "x", [0.25, 0.5]).collect():
         assert r.q == np.quantile([i * i / 7 for i in range(101) if i % 2 == r.grp], [0.25, 0.5]).tolist()
+
+
+def test_rings_stage_no_visits(spark, monkeypatch):
+    """As many clusters as rows, and rings that rule out little: no table of queries times clusters."""
+    from nearfold.operators import index as module
+
+    rng, rows_of, plain = np.random.default_rng(11), [], module.staged
+    points = rng.normal(size=(120, 32))
+    rows, queries = table(spark, points), table(spark, points[:20] + 0.1, "qid")
+    centres = rows.withColumnRenamed("id", "cluster_id")
+    monkeypatch.setattr(module, "staged", lambda df, name: rows_of.append((out := plain(df, name)).count()) or out)
+    index = ClusterIndex(assign(rows, centres).join(rows, "id"), centres)
+    near = {(r.qid, r["rank"]): r.id for r in index.knn(queries, 3).collect()}
+    far = np.linalg.norm(points[:20, None] + 0.1 - points[None], axis=2)
+    assert near == {(q, r + 1): int(i) for q in range(20) for r, i in enumerate(far[q].argsort()[:3])}
+    assert max(rows_of) <= 120
+
+
+def test_products_round_as_direct_distances():
+    from nearfold.operators.blocks import distances, rounded
+
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(300, 64))
+    b = np.concatenate([a[:50], a[:50] + 1e-9, a[:50] + 1e-5, rng.normal(size=(1_000, 64))])
+    for scale, shift in ((1, 0), (1e3, 1e6), (1e-6, 0)):
+        assert (rounded(a * scale + shift, b * scale + shift) == distances(a * scale + shift, b * scale + shift).round(9)).all()
+
+
+def test_assignment_holds_few_distances():
+    import tracemalloc
+
+    from nearfold.operators import clusters
+
+    x, centre = np.random.default_rng(13).normal(size=(2, 20_000, 4))
+    tracemalloc.start()
+    at, d = clusters._nearest(x[:4_000], centre, "euclidean")  # 640 MB of distances
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert (clusters.distances(x[:5], centre).argmin(1) == at[:5]).all()
