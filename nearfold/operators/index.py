@@ -1,8 +1,9 @@
 """Pruned k nearest neighbours: cluster rings, vantage points and trees, axis-aligned cells.
 
 Each takes queries (qid, vec) and returns the neighbours with the work they took.  ``exact`` bounds
-hold for every k; the other rules prune harder and may lose neighbours.  Tasks plan the visits of
-their queries from a broadcast index (a row per cluster, or the nodes of a tree), in two rounds: the
+hold for every k; the other rules prune harder and may lose neighbours.  Rings and vantage points are
+tested where blocks of queries and rows meet.  Over trees and cells tasks plan the visits of
+their queries from a broadcast index (the nodes of a tree), in two rounds: the
 first sends a query where its neighbours are likely to be, which gives the k-th distance found there;
 the second, with that distance as the bound, descends to all that may hold nearer ones, so visits that can't
 help are never made.  Queries meet rows by cell (``meet``), and neither side goes through the driver.
@@ -25,14 +26,13 @@ from pyspark.sql import types as T
 from ..functions.curves import fixed_hash
 from ..functions.vectors import doubles
 from ..shared import staged
-from .blocks import Best, Metric, distances, matrix, names, paired
+from .blocks import Best, Metric, distances, matrix, names, paired, rounded
 from .clusters import summary
-from .knn import QUERY_SLICE, ROW_SLICE, best_rows, grid, ranked
+from .knn import QUERY_SLICE, ROW_SLICE, ROWS_BLOCK, best_rows, grid, ranked
 from .meet import meet
 from .quantiles import quantiles
 from .trees import SLACK, HalfTree, ShellTree, located
 
-MAX_CLUSTERS = 1_000_000
 PLANNED = 4_000_000  # distances held at once while visits are planned
 GATHERED = 65_536  # pairs measured at once
 
@@ -87,87 +87,155 @@ def _joined(parts: list[tuple[np.ndarray, ...]], kinds: list) -> list[np.ndarray
 class ClusterIndex:
     """Members (cluster_id, id, vec, dist) and centres (cluster_id, vec); cluster_id joins both.
 
-    About as many centres as the root of the number of rows keep both steps short; the summary of
-    up to ``MAX_CLUSTERS`` clusters goes to the tasks.
+    About as many centres as the root of the number of rows keep both steps short, but there may be any number:
+    queries meet centres and members in blocks, so neither goes through the driver and no visit is a row.
     """
 
     def __init__(self, members: DataFrame, centres: DataFrame, metric: Metric = "euclidean") -> None:
         self.metric = metric
-        self.members = members.select(F.col("cluster_id").alias("cell"), "id", doubles("vec").alias("vec"), F.col("dist").alias("far"))
         self.clusters = staged(summary(members).join(centres.select("cluster_id", doubles("vec").alias("centre")), "cluster_id"), "clusters")
+        members = members.select(F.col("cluster_id").alias("cell"), "id", doubles("vec").alias("vec"), F.col("dist").alias("far"))
+        self.members = members.join(self.clusters.select(F.col("cluster_id").alias("cell"), "centre", "size"), "cell")
 
-    def visits(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
-        """What ``_visits`` plans for queries (qid, vec)."""
-        return self._visits(_unbounded(queries), k, rule)
+    def bounds(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
+        """(qid, vec, tau, seeds): the bound of each query (qid, vec), and the closest clusters that hold k as (cluster_id, d).
 
-    def _visits(self, asked: DataFrame, k: int, rule: str, seeds: bool = False) -> DataFrame:
-        """(qid, qvec, tau, cell, d, size, radius, nearest, seed, low, high): the clusters that each query visits.
-
-        rule ``exact``: tau is the k-th least d(q, c) + d(x, c) over members of the closest clusters that
-        hold k; kept are members with |d(x, c) - d(q, c)| <= tau.  ``disk``: tau is d(q, c) of the
-        last of these clusters.  ``memory``: going outwards, tau becomes d(q, c) + least d(x, c) where
-        d(q, c) > tau.  Both keep members with d(x, c) > d(q, c) - tau.  ``exact`` takes the ``tau`` of
-        ``asked`` (qid, qvec, tau) where that is less; ``seeds``: the closest clusters only.
+        rule ``exact``: tau is the k-th least d(q, c) + d(x, c) over members of these clusters; kept are members
+        with |d(x, c) - d(q, c)| <= tau.  ``disk``: tau is d(q, c) of the last of them.  ``memory``: going
+        outwards, tau becomes d(q, c) + least d(x, c) where d(q, c) > tau.  Both keep members with d(x, c) > d(q, c) - tau.
         """
+        near = ranked(_near(queries, self.clusters.select(F.col("cluster_id").alias("id"), F.col("centre").alias("vec")), k, self.metric), k)
         order = F.row_number().over(W.partitionBy("cell").orderBy("far", "id"))
-        near = self.members.withColumn("r", order).filter(F.col("r") <= k).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
-        rows = self.clusters.join(near, self.clusters["cluster_id"] == near["cell"]).orderBy("cluster_id")
-        held = rows.limit(MAX_CLUSTERS + 1).select("cluster_id", "size", "radius", "nearest", "centre", "near").toArrow().combine_chunks()
-        if held.num_rows > MAX_CLUSTERS:
-            raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-        ids, size, radius, nearest = (held[c].to_numpy() for c in ("cluster_id", "size", "radius", "nearest"))
-        least = np.full((len(ids), k), np.inf)
-        for i, x in enumerate(held["near"].to_pylist()):
-            least[i, : len(x)] = x
-        index = asked.sparkSession.sparkContext.broadcast((ids, size, radius, nearest, matrix(held["centre"].combine_chunks()), least))
+        least = self.members.select("cell", "id", "far").withColumn("r", order).filter(F.col("r") <= k).groupBy("cell").agg(F.collect_list("far").alias("near"))
+        held = self.clusters.select("cluster_id", "size", "nearest").join(least, F.col("cluster_id") == F.col("cell"))
+        seeds = near.join(held, near["id"] == held["cluster_id"]).select("qid", "rank", F.col("dist").alias("d"), "cluster_id", "size", "nearest", "near")
+        seeds = seeds.withColumn("before", F.coalesce(F.sum("size").over(W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < k)
+        s = F.array_sort(F.collect_list(F.struct("rank", "d", "cluster_id", "nearest", "near")))
+        tau = {
+            "exact": lambda s: F.array_max(F.slice(F.array_sort(F.flatten(F.transform(s, lambda c: F.transform(c["near"], lambda x: c["d"] + x)))), 1, k)),
+            "disk": lambda s: F.array_max(F.transform(s, lambda c: c["d"])),
+            "memory": lambda s: F.aggregate(s, F.lit(0.0), lambda t, c: F.when(c["d"] > t, c["d"] + c["nearest"]).otherwise(t)),
+        }[rule]
+        seeds = seeds.groupBy("qid").agg(s.alias("s"))
+        seeds = seeds.select("qid", tau(F.col("s")).alias("tau"), F.transform("s", lambda c: F.struct(c["cluster_id"].alias("cluster_id"), c["d"].alias("d"))).alias("seeds"))
+        return staged(queries.select("qid", doubles("vec").alias("vec")).join(seeds, "qid"), "bounds")
+
+    def _met(self, bounds: DataFrame, run: Callable, schema: str) -> DataFrame:
+        """``run`` over every block of queries (qid, vec, tau) with every block of members; a cluster's stand together, if they are few."""
+        cut = F.when(F.col("size") > ROWS_BLOCK // 2, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (ROWS_BLOCK // 2)))).otherwise(F.lit(0))
+        left, right = grid(bounds.select("qid", "vec", "tau"), self.members, dealt=F.xxhash64("cell", cut))
+        return left.groupBy("part", "qpart").cogroup(right.groupBy("part", "qpart")).applyInArrow(run, schema)
 
+    def knn(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
+        """(qid, id, dist, rank): the ring of a query in a cluster is measured, and within a block only what its
+        k-th distance so far leaves of it (``exact``)."""
         metric = self.metric
 
-        def plan(q: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-            ids, size, radius, nearest, centre, least = index.value
-            d = distances(q, centre, metric).round(9)
-            order = np.argsort(d, axis=1, kind="stable")  # clusters stand by id
-            before = np.cumsum(size[order], 1) - size[order]
-            seed = np.zeros(d.shape, bool)
-            np.put_along_axis(seed, order, before < k, 1)
-            if rule == "exact":
-                bound = np.sort(np.where(seed[:, :, None], d[:, :, None] + least[None], np.inf).reshape(len(q), -1), 1)[:, :k]
-                tau = np.minimum(np.where(np.isfinite(bound), bound, -np.inf).max(1), known)
-            elif rule == "disk":
-                tau = np.where(seed, d, -np.inf).max(1)
-            else:
-                tau = np.zeros(len(q))
-                for c in order.T[: int(seed.sum(1).max())]:
-                    own = np.take_along_axis(d, c[:, None], 1)[:, 0]
-                    on = np.take_along_axis(seed, c[:, None], 1)[:, 0] & (own > tau)
-                    tau = np.where(on, own + nearest[c], tau)
-            gap = radius[None] + tau[:, None] - d
-            reach = gap >= -SLACK if rule == "exact" else gap > 0
-            if rule == "exact":  # known bounds may leave out what is farther in than tau
-                reach &= (d + tau[:, None] >= nearest[None] - SLACK) | seed
-            i, c = np.nonzero(seed if seeds else seed | reach)
-            own, t = d[i, c], tau[i]
-            low, high = (own - t - SLACK, own + t + SLACK) if rule == "exact" else (own - t, np.full(len(i), np.inf))
-            return i, [ids[c], own, size[c], radius[c], nearest[c], seed[i, c], low, high]
-
-        kind = dict(self.members.dtypes)["cell"]
-        added = f"cell {kind}, d double, size long, radius double, nearest double, seed boolean, low double, high double"
-        return _planned(asked, added, plan, len(ids) * k)
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            qids, id_type, parts = left["qid"].combine_chunks(), right.schema.field("id").type, []
+            if left.num_rows and right.num_rows:
+                q, tau, block = matrix(left["vec"].combine_chunks()), left["tau"].to_numpy(), _Members(right)
+                own = names(block.ids)
+                for a in range(0, len(q), QUERY_SLICE):
+                    best, some = Best(len(q[a : a + QUERY_SLICE]), k), slice(a, a + QUERY_SLICE)
+                    for b in range(0, len(block.x), ROW_SLICE):
+                        limit = np.minimum(tau[some], best.limit) if rule == "exact" else tau[some]
+                        _measure(best, q[some], block.x[b : b + ROW_SLICE], own[b : b + ROW_SLICE], block.ring(q[some], limit, b, rule, metric), metric)
+                    parts.append(best_rows(best, qids.slice(a, QUERY_SLICE), id_type))
+            return pa.concat_tables(parts or [best_rows(Best(0, k), qids.slice(0, 0), id_type)])
 
-    def knn(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
-        if rule != "exact":
-            return ranked(meet(self.visits(queries, k, rule), self.members, k, True, metric=self.metric).filter("id IS NOT NULL").drop("work"), k)
-        asked = _unbounded(queries)
-        seeds = staged(self._visits(asked, k, rule, seeds=True), "seeds")
-        return _nearest(staged(self._visits(_bounded(asked, seeds, self.members, k, self.metric), k, rule), "visits"), self.members, k, self.metric)
+        kinds = dict(queries.dtypes)["qid"], dict(self.members.dtypes)["id"]
+        return ranked(self._met(self.bounds(queries, k, rule), run, f"qid {kinds[0]}, id {kinds[1]}, dist double"), k)
 
     def metrics(self, queries: DataFrame, k: int, rule: str = "exact") -> DataFrame:
         """(qid, step1, step2, n_clusters): distances to centres, distances to members, clusters read."""
-        visits = staged(self.visits(queries, k, rule), "visits")
+        metric, kind, bounds = self.metric, dict(queries.dtypes)["qid"], self.bounds(queries, k, rule)
+
+        def looked(left: pa.Table, right: pa.Table) -> pa.Table:
+            n = np.zeros(left.num_rows, np.int64)
+            if left.num_rows and right.num_rows:
+                q, tau, block = matrix(left["vec"].combine_chunks()), left["tau"].to_numpy(), _Members(right)
+                for a in range(0, len(q), QUERY_SLICE):
+                    for b in range(0, len(block.x), ROW_SLICE):
+                        n[a : a + QUERY_SLICE] += np.count_nonzero(block.ring(q[a : a + QUERY_SLICE], tau[a : a + QUERY_SLICE], b, rule, metric), axis=1)
+            return pa.table([left["qid"].combine_chunks(), pa.array(n)], ["qid", "n"])
+
+        def reached(left: pa.Table, right: pa.Table) -> pa.Table:
+            n = np.zeros(left.num_rows, np.int64)
+            if left.num_rows and right.num_rows:
+                q, tau, c = matrix(left["vec"].combine_chunks()), left["tau"].to_numpy(), matrix(right["vec"].combine_chunks())
+                for a in range(0, len(q), QUERY_SLICE):
+                    for b in range(0, len(c), ROW_SLICE):
+                        gap = right["radius"].to_numpy()[None, b : b + ROW_SLICE] + tau[a : a + QUERY_SLICE, None] - rounded(q[a : a + QUERY_SLICE], c[b : b + ROW_SLICE], metric)
+                        n[a : a + QUERY_SLICE] += np.count_nonzero(gap >= -SLACK if rule == "exact" else gap > 0, axis=1)
+            return pa.table([left["qid"].combine_chunks(), pa.array(n)], ["qid", "n"])
+
         step1 = self.clusters.count()
-        step2 = meet(visits, self.members, k, rule != "exact", metric=self.metric).groupBy("qid").agg(F.sum("work").alias("step2"))
-        read = visits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_clusters"))
-        return read.join(step2, "qid", "left").select("qid", F.lit(step1).cast("long").alias("step1"), F.coalesce("step2", F.lit(0)).alias("step2"), "n_clusters")
+        step2 = self._met(bounds, looked, f"qid {kind}, n long").groupBy("qid").agg(F.sum("n").alias("step2"))
+        left, right = grid(bounds.select("qid", "vec", "tau"), self.clusters.select(F.col("cluster_id").alias("id"), F.col("centre").alias("vec"), "radius"))
+        read = left.groupBy("part", "qpart").cogroup(right.groupBy("part", "qpart")).applyInArrow(reached, f"qid {kind}, n long").groupBy("qid").agg(F.sum("n").alias("reached"))
+        # the closest clusters are read, reached or not
+        seeds = bounds.select("qid", "tau", F.inline("seeds")).join(self.clusters.select("cluster_id", "radius"), "cluster_id")
+        gap = F.col("radius") + F.col("tau") - F.col("d")
+        seeds = seeds.groupBy("qid").agg(F.count(F.when(~(gap >= -SLACK) if rule == "exact" else ~(gap > 0), 1)).alias("more"))
+        n = (F.coalesce("reached", F.lit(0)) + F.col("more")).alias("n_clusters")
+        return seeds.join(read, "qid", "left").join(step2, "qid", "left").select("qid", F.lit(step1).cast("long").alias("step1"), F.coalesce("step2", F.lit(0)).alias("step2"), n)
+
+
+class _Members:
+    """A block of members, sorted by cluster, with the centres of its clusters."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        cell = names(rows["cell"])
+        by = np.argsort(cell, kind="stable")
+        cell = cell[by]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        self.place = np.cumsum(np.r_[False, cell[1:] != cell[:-1]])
+        self.ids, self.far = rows["id"].combine_chunks().take(pa.array(by)), rows["far"].to_numpy()[by]
+        self.x = matrix(rows["vec"].combine_chunks())[by]
+        self.centre = matrix(rows["centre"].combine_chunks().take(pa.array(by[first])))
+
+    def ring(self, q: np.ndarray, tau: np.ndarray, at: int, rule: str, metric: Metric) -> np.ndarray:
+        """Which of ``ROW_SLICE`` members from ``at`` on each query looks at."""
+        place, far = self.place[at : at + ROW_SLICE], self.far[at : at + ROW_SLICE]
+        d = rounded(q, self.centre[place[0] : place[-1] + 1], metric)[:, place - place[0]]
+        if rule != "exact":
+            return far > d - tau[:, None]
+        d -= far
+        return np.abs(d, out=d) <= tau[:, None] + SLACK
+
+
+def _measure(best: Best, q: np.ndarray, x: np.ndarray, ids: np.ndarray, on: np.ndarray, metric: Metric) -> None:
+    """Adds to ``best`` the distances where ``on`` holds: one by one where these are few, else all at once."""
+    many = np.count_nonzero(on)
+    if many * 8 > on.size and not callable(metric):
+        d = rounded(q, x, metric)
+        d[~on] = np.inf
+        best.add(d, ids)
+    elif many:
+        i, j = np.nonzero(on)
+        for at in range(0, len(i), GATHERED):
+            u, v = i[at : at + GATHERED], j[at : at + GATHERED]
+            best.put(u, paired(q[u], x[v], metric).round(9), ids[v])
+
+
+def _near(queries: DataFrame, rows: DataFrame, k: int, metric: Metric) -> DataFrame:
+    """(qid, id, dist): of each block of ``rows`` (id, vec) the k nearest to each query (qid, vec)."""
+    left, right = grid(queries.select("qid", doubles("vec").alias("vec")), rows)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        qids, id_type, parts = left["qid"].combine_chunks(), right.schema.field("id").type, []
+        if left.num_rows and right.num_rows:
+            own, q, x = names(right["id"]), *(matrix(t["vec"].combine_chunks()) for t in (left, right))
+            for a in range(0, len(q), QUERY_SLICE):
+                best = Best(len(q[a : a + QUERY_SLICE]), k)
+                for b in range(0, len(x), ROW_SLICE):
+                    best.add(rounded(q[a : a + QUERY_SLICE], x[b : b + ROW_SLICE], metric), own[b : b + ROW_SLICE])
+                parts.append(best_rows(best, qids.slice(a, QUERY_SLICE), id_type))
+        return pa.concat_tables(parts or [best_rows(Best(0, k), qids.slice(0, 0), id_type)])
+
+    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
+    return left.groupBy("part", "qpart").cogroup(right.groupBy("part", "qpart")).applyInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, dist double")
 
 
 def cost(metrics: DataFrame, dimensions: int, seek: float = 0.005, transfer: float = 128e6) -> DataFrame:
