@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS, doubles
 from ..shared import staged
-from .blocks import distances, matrix
+from .blocks import distances, matrix, paired, squares
 from .sums import column_sums
 from .trees import located, sampled_tree
 
-TILE = 1_024
-BLOCK_ROWS, LEAF_ROWS = 4_096, 32
+TILE, SLICE, OUTER = 16_384, 512, 1_024
+BLOCK_ROWS, MOST_ROWS, LEAF_ROWS, SPANS = 4_096, 32_768, 32, 16_384
 
 
 def tiles(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, tile: int = TILE) -> DataFrame:
@@ -76,6 +76,45 @@ def band_tiles(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool
     return spread.groupBy("b1", "x", "b2", "y").applyInPandas(run, schema)
 
 
+def _extreme(left: pd.DataFrame, right: pd.DataFrame, same: bool, metric: str, closest: bool) -> tuple[int, int, float] | None:
+    """(a, b, dist) of the closest or farthest pair of two sets of rows sorted by id; ties by ids.
+
+    Products of matrices show which pairs of a slice can be better than the best so far; only those are measured.
+    """
+    if not len(left) or not len(right):
+        return None
+    best, i, j = None, left.id.to_numpy(), right.id.to_numpy()
+    order = lambda r: (np.isnan(r[2]), r[2] if closest else -r[2], r[0], r[1])
+    x, y = np.stack(left.vec), np.stack(right.vec)
+    for a in range(0, len(x), SLICE):
+        for b in range(0, len(y), SLICE):
+            if same and i[a] > j[min(b + SLICE, len(j)) - 1]:
+                continue
+            ids, others = i[a : a + SLICE], j[b : b + SLICE]
+            d, off = squares(x[a : a + SLICE], y[b : b + SLICE]) if metric != "manhattan" else (distances(x[a : a + SLICE], y[b : b + SLICE], metric), 0.0)
+            if same and ids[-1] >= others[0]:
+                d[ids[:, None] >= others[None, :]] = np.inf if closest else -np.inf
+            limit = d.min() if closest else d.max()
+            if best is not None:  # distances agree to nine decimals: what may round to the best so far
+                own = best[2] if metric == "manhattan" else best[2] ** 2 if metric == "euclidean" else best[2]
+                limit = min(limit, own) if closest else max(limit, own)
+            room = 2 * off + 1e-8 * (1 + abs(limit) ** 0.5) + 1e-18
+            if np.isfinite(off) and not np.isfinite(limit):
+                continue  # no pair
+            if not np.isfinite(off):  # components that are no numbers or too large: every pair is measured
+                u, v = np.nonzero(ids[:, None] < others[None, :] if same else np.ones(d.shape, bool))
+            else:
+                u, v = np.nonzero(d <= limit + room if closest else d >= limit - room)
+            for at in range(0, len(u), 65_536):
+                p, q = u[at : at + 65_536], v[at : at + 65_536]
+                far = paired(x[a + p], y[b + q], metric).round(9)
+                least, most = np.minimum(ids[p], others[q]), np.maximum(ids[p], others[q])
+                one = np.lexsort([most, least, far if closest else -far])[0]
+                found = (int(least[one]), int(most[one]), float(far[one]))
+                best = found if best is None else min(best, found, key=order)
+    return best
+
+
 def _grid(left: pd.DataFrame, right: pd.DataFrame, same: bool, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids of both sides and the distances of all pairs in order of ids, each once."""
     if not len(left) or not len(right):
@@ -90,7 +129,7 @@ def _grid(left: pd.DataFrame, right: pd.DataFrame, same: bool, metric: str) -> t
 def _outer(rows: DataFrame, metric: str, widest: Callable[[DataFrame], float | None]) -> DataFrame:
     """The rows that can be in the farthest pair: no pair is farther apart than both are from the mean, together.
 
-    The farthest pair among the ``TILE`` rows that are farthest from the mean is a bound from below.
+    The farthest pair among the ``OUTER`` rows that are farthest from the mean is a bound from below.
     """
     own, plain = rows.select("id", doubles("vec").alias("vec")), "euclidean" if metric == "sq_euclidean" else metric
     mean = [r.m for r in column_sums(own).orderBy("pos").select((F.col("s") / F.col("n")).alias("m")).collect()]
@@ -98,7 +137,7 @@ def _outer(rows: DataFrame, metric: str, widest: Callable[[DataFrame], float | N
         return own
     far = METRICS[plain](F.col("vec"), F.array(*[F.lit(float(x)) for x in mean]))
     own = staged(own.withColumn("far", far), "from_mean")
-    bound, most = widest(own.orderBy(F.desc("far"), "id").limit(TILE)), own.agg(F.max("far")).first()[0]
+    bound, most = widest(own.orderBy(F.desc("far"), "id").limit(OUTER)), own.agg(F.max("far")).first()[0]
     if bound is None:
         return own.select("id", "vec")
     bound = bound**0.5 if metric == "sq_euclidean" else bound
@@ -109,11 +148,8 @@ def extreme_pair(rows: DataFrame, closest: bool = True, metric: str = "euclidean
     """(a, b, dist) of the closest (or farthest) pair; ties by ids."""
 
     def work(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        a, b, d = _grid(left, right, same, metric)
-        if not len(d):
-            return pd.DataFrame({"a": [], "b": [], "dist": []}).astype({"a": "int64", "b": "int64"})
-        at = np.lexsort([b, a, d if closest else -d])[0]
-        return pd.DataFrame({"a": [a[at]], "b": [b[at]], "dist": [d[at]]})
+        found = _extreme(left, right, same, metric, closest)
+        return pd.DataFrame([found] if found else [], columns=["a", "b", "dist"]).astype({"a": "int64", "b": "int64", "dist": "float64"})
 
     schema = "a long, b long, dist double"
     order = F.col("dist") if closest else F.desc("dist")
@@ -123,13 +159,13 @@ def extreme_pair(rows: DataFrame, closest: bool = True, metric: str = "euclidean
         return tiles(rows, work, schema, tile).orderBy(order, "a", "b").limit(1)
     blocks = max(1, -(-rows.count() // tile))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own")
-    within = rows.select("id", doubles("vec").alias("vec"), own).groupBy("own").applyInPandas(lambda pdf: work(pdf, pdf, True), schema)
+    within = rows.select("id", doubles("vec").alias("vec"), own).groupBy("own").applyInPandas(lambda pdf: work(pdf.sort_values("id"), pdf.sort_values("id"), True), schema)
     bound = within.agg(F.min("dist")).first()[0]
     found = tiles(rows, work, schema, tile) if bound is None else band_tiles(rows, work, schema, bound, metric, tile)
     return found.orderBy(order, "a", "b").limit(1)
 
 
-def pairs_within(rows: DataFrame, radius: float, metric: str = "euclidean", tile: int = TILE) -> DataFrame:
+def pairs_within(rows: DataFrame, radius: float, metric: str = "euclidean", tile: int = OUTER) -> DataFrame:
     """(a, b, dist) of all pairs at most ``radius`` apart."""
 
     def work(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
@@ -150,7 +186,7 @@ def pair_histogram(rows: DataFrame, width: float, metric: str = "euclidean") ->
     return pair_bins(rows, width, metric).filter("bin >= 0").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
-def pair_bins(rows: DataFrame, width: float, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_bins(rows: DataFrame, width: float, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """(bin, n) in parts, and under bin -1 how many pairs were measured.
 
     Rows fall into blocks by a tree that halves a sample.  Two blocks whose boxes' least and greatest
@@ -158,6 +194,7 @@ def pair_bins(rows: DataFrame, width: float, metric: str = "euclidean", block_ro
     halved on, and halves are counted whole, until leaves of ``LEAF_ROWS`` are left to be measured.
     """
     spark, n = rows.sparkSession, rows.count()
+    block_rows = block_rows or min(MOST_ROWS, max(BLOCK_ROWS, n // 24))  # a row goes along once for each block, so large tables take large ones
     own = located(rows, sampled_tree(rows, max(0, (n // block_rows).bit_length())))
     parts = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).alias("parts"))
     own = own.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).select("id", "vec", F.xxhash64("cell", "part").alias("block"))
@@ -239,9 +276,10 @@ def _dual(a: _Boxes, b: _Boxes | None, width: float, metric: str) -> Counter:
     """Pairs by bin between two sets of rows, or within one; -1: pairs that were measured."""
     out: Counter = Counter()
     one, b = b is None, b or a
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    i, j, ends = np.zeros(1, np.int64), np.zeros(1, np.int64), []
     while len(i):
-        first, last = _span(a.low[i], a.high[i], b.low[j], b.high[j], width, metric)
+        spans = [_span(a.low[i[c]], a.high[i[c]], b.low[j[c]], b.high[j[c]], width, metric) for c in (slice(at, at + SPANS) for at in range(0, len(i), SPANS))]
+        first, last = (np.concatenate([x[side] for x in spans]) for side in (0, 1))
         n, m = a.end[i] - a.begin[i], b.end[j] - b.begin[j]
         count = np.where(i == j, n * (n - 1) // 2, n * m) if one else n * m
         same = first == last
@@ -249,13 +287,7 @@ def _dual(a: _Boxes, b: _Boxes | None, width: float, metric: str) -> Counter:
             out[k] += c
         i, j, n, m = (v[~same] for v in (i, j, n, m))
         leaf = (a.child[i, 0] < 0) & (b.child[j, 0] < 0)
-        for u, v in zip(i[leaf].tolist(), j[leaf].tolist(), strict=True):
-            d = distances(a.x[a.begin[u] : a.end[u]], b.x[b.begin[v] : b.end[v]], metric)
-            d = d[np.triu_indices(len(d), 1)] if one and u == v else d.ravel()
-            bins, many = np.unique(np.floor(d.round(9) / width).astype(np.int64), return_counts=True)
-            for k, c in zip(bins.tolist(), many.tolist(), strict=True):
-                out[k] += c
-            out[-1] += len(d)
+        ends.append((i[leaf], j[leaf]))
         i, j, n, m = (v[~leaf] for v in (i, j, n, m))
         self_pair = (i == j) if one else np.zeros(len(i), bool)
         s = i[self_pair]
@@ -264,4 +296,52 @@ def _dual(a: _Boxes, b: _Boxes | None, width: float, metric: str) -> Counter:
         left = [a.child[s, 0], a.child[s, 1], a.child[s, 0], a.child[i[by_a], 0], a.child[i[by_a], 1], i[by_b], i[by_b]]
         right = [a.child[s, 0], a.child[s, 1], a.child[s, 1], j[by_a], j[by_a], b.child[j[by_b], 0], b.child[j[by_b], 1]]
         i, j = np.concatenate(left), np.concatenate(right)
+    i, j = (np.concatenate([e[side] for e in ends]) if ends else np.zeros(0, np.int64) for side in (0, 1))
+    by = np.argsort(i, kind="stable")
+    i, j = i[by], j[by]
+    for leaves in np.split(np.arange(len(i)), np.flatnonzero(i[1:] != i[:-1]) + 1) if len(i) else []:
+        u, others = i[leaves[0]], j[leaves]
+        if one and (others == u).any():
+            own, others = a.x[a.begin[u] : a.end[u]], others[others != u]
+            _count(out, distances(own, own, metric)[np.triu_indices(len(own), 1)].round(9), width)
+        own = a.x[a.begin[u] : a.end[u]]
+        places = np.concatenate([np.arange(b.begin[v], b.end[v]) for v in others]) if len(others) else np.zeros(0, np.int64)
+        for at in range(0, len(places), 2_048):
+            _count_between(out, own, b.x[places[at : at + 2_048]], width, metric)
     return out
+
+
+def _count(out: Counter, d: np.ndarray, width: float) -> None:
+    bins, many = np.unique(np.floor(d / width).astype(np.int64), return_counts=True)
+    for k, c in zip(bins.tolist(), many.tolist(), strict=True):
+        out[k] += c
+    out[-1] += d.size
+
+
+def _count_between(out: Counter, x: np.ndarray, y: np.ndarray, width: float, metric: str) -> None:
+    """Pairs of two sets of rows by bin: by products of matrices, measured directly where a bin's border is near."""
+    if metric != "euclidean":
+        _count(out, distances(x, y, metric).round(9).ravel(), width)
+        return
+    d, off = squares(x, y)
+    if not np.isfinite(off):
+        _count(out, distances(x, y).round(9).ravel(), width)
+        return
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
+    room = off / np.maximum(d, 1e-150) + 2e-9 if d.min() < 1e-3 else off / d.min() + 2e-9
+    d /= width
+    near = np.abs(d - np.rint(d)) <= room / width
+    bins = d.astype(np.int64)
+    if near.any():
+        u, v = np.nonzero(near)
+        bins[u, v] = np.floor(paired(x[u], y[v]).round(9) / width).astype(np.int64)
+    low = int(bins.min())
+    if bins.max() - low < 1_000_000:
+        many = np.bincount((bins - low).ravel())
+        for k in np.flatnonzero(many).tolist():
+            out[k + low] += int(many[k])
+    else:
+        found, many = np.unique(bins, return_counts=True)
+        for k, c in zip(found.tolist(), many.tolist(), strict=True):
+            out[k] += c
+    out[-1] += d.size

@@ -478,3 +478,31 @@ def test_assignment_holds_few_distances():
     assert tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
     assert (clusters.distances(x[:5], centre).argmin(1) == at[:5]).all()
+
+
+@pytest.mark.parametrize("closest", [True, False])
+def test_extreme_pair_measures_few_pairs(monkeypatch, closest):
+    """Only pairs that may be the best are measured; ties go by ids, copies and odd components included."""
+    import pandas as pd
+
+    rng, measured, plain = np.random.default_rng(14), [], pairs.paired
+    x = np.concatenate([rng.normal(size=(1_200, 16)), np.eye(16)[:2] * 40, -np.eye(16)[:2] * 40])
+    x[700], x[900] = x[3], x[3]
+    monkeypatch.setattr(pairs, "paired", lambda a, b, m: measured.append(len(a)) or plain(a, b, m))
+    both = pd.DataFrame({"id": np.arange(len(x)), "vec": list(x)})
+    a, b, d = pairs._extreme(both, both, True, "euclidean", closest)
+    assert (a, b, d) == ((3, 700, 0.0) if closest else (1_200, 1_202, 80.0)) and sum(measured) < 2_000
+    x[5, 5] = np.nan
+    assert pairs._extreme(both.assign(vec=list(x)), both.assign(vec=list(x)), True, "euclidean", closest) == (a, b, d)
+
+
+def test_histogram_by_products_counts_borders():
+    """Distances on a bin's border, between copies and of odd components fall where direct ones do."""
+    from collections import Counter
+
+    x = np.concatenate([np.arange(40.0)[:, None] * 0.25, np.full((3, 1), 2.0)])
+    for y in (x, x + 1e-10, np.r_[x, [[np.nan]]]):
+        got, want = Counter(), Counter()
+        pairs._count_between(got, x, y, 0.25, "euclidean")
+        pairs._count(want, pairs.distances(x, y).round(9).ravel(), 0.25)
+        assert got == want
