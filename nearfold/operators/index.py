@@ -219,6 +219,29 @@ def _measure(best: Best, q: np.ndarray, x: np.ndarray, ids: np.ndarray, on: np.n
             best.put(u, paired(q[u], x[v], metric).round(9), ids[v])
 
 
+def _least(q: np.ndarray, x: np.ndarray, on: np.ndarray, metric: Metric) -> np.ndarray:
+    """The least distance of each query to the rows where ``on`` holds."""
+    if np.count_nonzero(on) * 8 > on.size and not callable(metric):
+        return np.where(on, rounded(q, x, metric), np.inf).min(1)
+    out, (i, j) = np.full(len(q), np.inf), np.nonzero(on)
+    for at in range(0, len(i), GATHERED):
+        u, v = i[at : at + GATHERED], j[at : at + GATHERED]
+        np.minimum.at(out, u, paired(q[u], x[v], metric).round(9))
+    return out
+
+
+def _within(qfar: np.ndarray, far: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Where no vantage point tells a query and a row apart; points that rule out next to nothing end the search."""
+    on, left = np.ones((len(qfar), len(far)), bool), len(qfar) * len(far)
+    for j in range(far.shape[1]):
+        on &= np.abs(qfar[:, [j]] - far[None, :, j]) <= limit
+        if j % 4 == 3:
+            was, left = left, np.count_nonzero(on)
+            if left * 10 > was * 9 or not left:
+                break
+    return on
+
+
 def _near(queries: DataFrame, rows: DataFrame, k: int, metric: Metric) -> DataFrame:
     """(qid, id, dist): of each block of ``rows`` (id, vec) the k nearest to each query (qid, vec)."""
     left, right = grid(queries.select("qid", doubles("vec").alias("vec")), rows)
@@ -275,8 +298,8 @@ class VantageIndex:
     def candidates(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, id, dist): of each block of rows the k nearest to each query, exactly.
 
-        Left out are rows with max |d(v, x) - d(q, v)| above the k-th least d(v, x) + d(q, v) of the block, or above
-        the k-th distance measured so far.
+        Left out are rows with |d(v, x) - d(q, v)| for some v above the least over v of d(q, v) + the k-th least d(v, x) of
+        the block, or above the k-th distance measured so far.
         """
         metric = self.metric
 
@@ -285,19 +308,14 @@ class VantageIndex:
             if left.num_rows and right.num_rows:
                 own, q, x = names(right["id"]), *(matrix(t["vec"].combine_chunks()) for t in (left, right))
                 qfar, far = (matrix(t["far"].combine_chunks()) for t in (left, right))
+                near = np.partition(far, k - 1, axis=0)[k - 1] if len(far) >= k else np.full(far.shape[1], np.inf)
                 for a in range(0, len(q), QUERY_SLICE):
-                    qf, upper = qfar[a : a + QUERY_SLICE], Best(len(qfar[a : a + QUERY_SLICE]), k)
-                    for b in range(0, len(x), ROW_SLICE):
-                        near = np.min([qf[:, [j]] + far[None, b : b + ROW_SLICE, j] for j in range(far.shape[1])], axis=0)
-                        upper.add(near, own[b : b + ROW_SLICE])
-                    best = Best(len(qf), k)
+                    qf = qfar[a : a + QUERY_SLICE]
+                    upper, best = (qf + near).min(1), Best(len(qf), k)
                     for b in range(0, len(x), ROW_SLICE):
-                        limit = np.minimum(upper.limit, best.limit)[:, None] + SLACK
-                        gap = np.max([np.abs(qf[:, [j]] - far[None, b : b + ROW_SLICE, j]) for j in range(far.shape[1])], axis=0)
-                        i, j = np.nonzero(gap <= limit)
-                        for at in range(0, len(i), GATHERED):
-                            u, v = i[at : at + GATHERED], j[at : at + GATHERED] + b
-                            best.put(u, paired(q[a + u], x[v], metric).round(9), own[v])
+                        limit = np.minimum(upper, best.limit)[:, None] + SLACK
+                        on = _within(qf, far[b : b + ROW_SLICE], limit)
+                        _measure(best, q[a : a + QUERY_SLICE], x[b : b + ROW_SLICE], own[b : b + ROW_SLICE], on, metric)
                     parts.append(best_rows(best, qids.slice(a, QUERY_SLICE), id_type))
             return pa.concat_tables(parts or [best_rows(Best(0, k), qids.slice(0, 0), id_type)])
 
@@ -322,11 +340,9 @@ class VantageIndex:
                     for b in range(0, len(x), ROW_SLICE):
                         qf, f = qfar[a : a + QUERY_SLICE], far[b : b + ROW_SLICE]
                         on = np.all([(qf[:, [j]] > cut[a : a + QUERY_SLICE, None]) | (f[None, :, j] < 2 * qf[:, [j]]) for j in range(f.shape[1])], axis=0)
-                        i, j = np.nonzero(on)
-                        for at in range(0, len(i), GATHERED):
-                            u, v = i[at : at + GATHERED] + a, j[at : at + GATHERED] + b
-                            np.minimum.at(least, u, paired(q[u], x[v], metric).round(9))
-                            n += np.bincount(u, minlength=len(n))
+                        n[a : a + QUERY_SLICE] += np.count_nonzero(on, axis=1)
+                        own = least[a : a + QUERY_SLICE]
+                        np.minimum(own, _least(q[a : a + QUERY_SLICE], x[b : b + ROW_SLICE], on, metric), out=own)
             return pa.table([left["qid"].combine_chunks(), pa.array(n), pa.array(least)], ["qid", "candidates", "least"])
 
         found = self._blocks(queries, run, f"qid {dict(queries.dtypes)['qid']}, candidates long, least double").filter("candidates > 0")

@@ -506,3 +506,14 @@ def test_histogram_by_products_counts_borders():
         pairs._count_between(got, x, y, 0.25, "euclidean")
         pairs._count(want, pairs.distances(x, y).round(9).ravel(), 0.25)
         assert got == want
+
+
+def test_vantage_points_that_rule_out_nothing_are_few():
+    from nearfold.operators.index import _within
+
+    q, x = np.zeros((8, 40)), np.ones((30, 40))
+    q[0, 2] = 9
+    on = _within(q, x, np.full((8, 1), 5.0))
+    assert not on[0].any() and on[1:].all()
+    q[1, 39] = 9  # beyond where the search ends: the pair is measured, which is no fault
+    assert _within(q, x, np.full((8, 1), 5.0))[1].all()
