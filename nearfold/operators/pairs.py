@@ -26,6 +26,7 @@ from .trees import located, sampled_tree
 
 TILE, SLICE, OUTER = 16_384, 512, 1_024
 BLOCK_ROWS, MOST_ROWS, LEAF_ROWS, SPANS = 4_096, 32_768, 32, 16_384
+FEW_BINS, EMPTY = 24, (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def tiles(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, tile: int = TILE) -> DataFrame:
@@ -327,6 +328,19 @@ def _count_between(out: Counter, x: np.ndarray, y: np.ndarray, width: float, met
     if not np.isfinite(off):
         _count(out, distances(x, y).round(9).ravel(), width)
         return
+    low, high = np.sqrt(max(d.min(), 0)) // width, np.sqrt(max(d.max(), 0)) // width + 1
+    if high - low <= FEW_BINS and 4 * off < (width / 4) ** 2 and width > 1e-6 * (1 + high * width):
+        border = np.arange(low, high + 1) * width
+        room = off + 4e-9 * border + 1e-17
+        border *= border
+        below, upto = ([np.count_nonzero(d < e) for e in edge] for edge in (border - room, border + room))
+        for k, (a, z) in enumerate(zip(upto[:-1], below[1:], strict=True)):
+            out[int(low) + k] += z - a
+        u, v = (np.concatenate(x) for x in zip(*(np.nonzero((d >= e - r) & (d < e + r)) if z > a else EMPTY for e, r, a, z in zip(border, room, below, upto, strict=True)), strict=True))
+        out[-1] += d.size - len(u)
+        if len(u):
+            _count(out, paired(x[u], y[v]).round(9), width)
+        return
     np.sqrt(np.maximum(d, 0, out=d), out=d)
     room = off / np.maximum(d, 1e-150) + 2e-9 if d.min() < 1e-3 else off / d.min() + 2e-9
     d /= width
