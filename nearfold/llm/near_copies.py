@@ -7,16 +7,18 @@ each share at least ``ceil(4 / 9 (n + m)) - ceil(0.8 max(n, m)) + 1``, since so
 the order that both hold stand before either prefix ends.  Sample and counts only set the order, so
 they cost no pair.
 
-* Equal sets are one node from the start.  Rows are dealt by key and stand by size within it, so near
-  copies are neighbours.  Neighbours under that many keys are verified by their texts, one text of each
-  set, which joins them into components.
+* Equal sets are one node from the start.
+* Golay keys come first, as in op7: sets whose SimHash fingerprints, over the same shingles, differ in at most
+  ``simhash.RADIUS`` bits are candidates, and those that their texts confirm (one text of each set) are joined into components.
+* Prefix keys complete the links.  Rows are dealt by key and stand by size within it, so near
+  copies are neighbours.  Neighbours under that many keys that are not in one component are verified by their texts too.
 * Only keys whose sets are not in one component by then need a look.  A similar pair that shares no key
   of more than ``SMALL`` sets shares that many small ones: pairs of different components are counted, and
   those with enough verified.
 * A similar pair that shares a large key meets there, in tasks: the key is cut into blocks of ``RUN`` and
   every two blocks meet.
 
-SimHash can't do this at a radius that keys can cover: at similarity 0.8 about ten of 64 bits differ.
+Golay keys alone can't do this at a radius that they can cover: at similarity 0.8 about ten of 64 bits differ.
 
 Defined cases: a text without words (null, empty, white space) is the empty set, equal to any other;
 fewer than five words make one shingle; null and repeated doc_ids as in ``simhash``.
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import scratch, small_batches, staged, text_bytes
 from .simhash import components, named
 
@@ -58,6 +61,12 @@ def set_id(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64)) if len(h) else 0
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number; 0 for the empty one."""
+    parts = (simhash.bit_counts(h[at : at + simhash.CHUNK]) for at in range(0, len(h), simhash.CHUNK))
+    return int(simhash.majority(sum(parts, np.zeros(64, np.int64)), len(h)).view(np.int64))
+
+
 def common_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, how many sampled texts hold each) of the shingles that many texts hold."""
     share = min(1.0, sample / max(1, docs.count()))
@@ -93,21 +102,24 @@ def prefix(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return h[np.lexsort((h, often))][: len(h) - (4 * len(h) + 4) // 5 + 1] if len(h) else h
 
 
-def prints(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, fp, n, keys): the id and size of each text's set, and its prefix if ``common`` is given."""
+def prints(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None, sims: bool = False) -> DataFrame:
+    """(doc_id, fp, n, keys, sim): the id and size of each text's set, its prefix if ``common`` is given, and its fingerprint if asked for."""
     held = None if common is None else docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, n, out = [], [], []
+            fp, n, out, sim = [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t)
                 fp.append(set_id(h))
                 n.append(len(h))
                 out.append(prefix(h, held.value) if held is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "keys"])
+                sim.append(fingerprint(h) if sims else None)
+            cells = [pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64())), pa.array(sim, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "fp", "n", "keys", "sim"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    kinds = {"fp": T.LongType(), "n": T.IntegerType(), "keys": T.ArrayType(T.LongType()), "sim": T.LongType()}
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in kinds.items())])
     return docs.select("doc_id", text_bytes().alias("t")).mapInArrow(run, schema)
 
 
@@ -246,11 +258,40 @@ def _enough(grouped: DataFrame) -> DataFrame:
     return staged(of.filter("enough").select("a", "b"), "pairs")
 
 
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (sim, n, fp) sorted by all three: neighbours of one fingerprint, where they can be similar."""
+    sim, n, fp = (np.zeros(0, np.int64) for _ in range(3))
+    for batch in batches:
+        sim, n, fp = (np.concatenate([x[-1:], batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate((sim, n, fp)))
+        at = np.flatnonzero((sim[1:] == sim[:-1]) & _may(n[:-1], n[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[at], fp[at + 1])), pa.array(np.maximum(fp[at], fp[at + 1]))], ["a", "b"])
+
+
+def golay_pairs(distinct: DataFrame) -> DataFrame:
+    """Candidates (a, b) by op7's Golay keys over (fp, n, sim): fingerprints at most ``simhash.RADIUS`` bits apart, by one set
+    of each, and sets of the same fingerprint, one after the other (a fingerprint of many sets is cut into ranges)."""
+    sims = staged(distinct.select("sim", "n", "fp"), "sims")
+    same = sims.repartitionByRange("sim", "n", "fp").sortWithinPartitions("sim", "n", "fp").mapInArrow(_chain, "a long, b long")
+    one = staged(sims.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("s")).select("sim", "s.fp", "s.n"), "one_of_each")
+    x, y = (one.select(F.col("sim").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    close = simhash.links(one.select(F.col("sim").alias("fp"))).join(x, "a").join(y, "b")
+    close = close.filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+    return same.union(close.select(F.least("fp_a", "fp_b"), F.greatest("fp_a", "fp_b")))
+
+
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are not in one component; ``of``: (node, root)."""
+    x, y = (of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def links(docs: DataFrame, distinct: DataFrame, small: int = SMALL, run: int = RUN) -> DataFrame:
-    """Edges (a, b) between set ids that connect all similar sets; ``distinct`` has (fp, n, keys)."""
+    """Edges (a, b) between set ids that connect all similar sets; ``distinct`` has (fp, n, keys, sim)."""
+    first = _verified(docs, golay_pairs(distinct))
     keyed = distinct.select(F.explode("keys").alias("key"), "fp", "n")
     grouped = staged(keyed.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_neighbours, GROUPED), "groups")
-    edges = _verified(docs, _enough(grouped))
+    edges = first.union(_verified(docs, _apart(_enough(grouped), components(first))))
     # what is left: keys whose sets are not in one component by now
     of = components(edges).withColumnRenamed("node", "fp")
     members = grouped.filter("n IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("fp"), "n")
@@ -277,8 +318,8 @@ def near_copies(docs: DataFrame, small: int = SMALL, run: int = RUN) -> DataFram
     docs = small_batches(docs).select("doc_id", "text")
     common = common_shingles(docs)
     first = staged(prints(docs, common).groupBy("fp").agg(F.first("keys").alias("keys")), "first_keys")
-    rows = staged(prints(docs, refined(first, common, min(small, LARGE))), "prints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = staged(prints(docs, refined(first, common, min(small, LARGE)), sims=True), "prints")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", "sim")])
     return named(rows.select("doc_id", "fp"), distinct.select("fp", "least"), components(links(docs, distinct, small, run)))
 
 

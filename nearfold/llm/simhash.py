@@ -46,6 +46,16 @@ CHUNK = 65_536
 # --- fingerprints ---------------------------------------------------------------------------
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> np.uint64:
+    """The bits that more than half of ``n`` hashes set."""
+    return np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The SimHash of a text, as an unsigned number."""
     w = text.lower().split()
@@ -57,8 +67,8 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
         part = w[at : at + CHUNK + words - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+        total += bit_counts(h)
+    return int(majority(total, n))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -100,3 +100,19 @@ def test_scratch_tables_are_removed(spark, tmp_path, monkeypatch):
     out = near_copies.drop_copies(table(spark, [(i, f"some words that repeat here {i % 3}") for i in range(30)]))
     left = [p.name for p in (tmp_path / "nearfold").glob("*/*")]
     assert left == ["near"] and out.count() == 3
+
+
+def test_golay_keys_give_the_first_links(spark, monkeypatch):
+    """Without any pair by prefix keys, close copies are still found by their fingerprints, and others are refused by their texts."""
+    rng = np.random.default_rng(11)
+    own = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 1500))) for i in range(30)]
+    near = [(100 + i, changed(rng, t, 1)) for i, t in own]
+    want = brute(own + near)
+    monkeypatch.setattr(near_copies, "_enough", lambda grouped: grouped.select("a", "b").limit(0))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(table(spark, own + near)).collect()}
+    assert all(got[d] in (d, want[d]) for d in got)
+    assert sum(got[100 + i] == i for i, _ in own) > 20
+    # texts are asked, not fingerprints alone
+    monkeypatch.setattr(near_copies, "fingerprint", lambda h: 7)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(table(spark, own)).collect()}
+    assert got == {i: i for i, _ in own}
