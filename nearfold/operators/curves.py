@@ -6,8 +6,10 @@ A null magnitude or time is no observation; a null error counts as 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,6 +84,39 @@ def align(rows: DataFrame, first: str, second: str, within: float) -> DataFrame:
     return out.select("id", "t", "mag", F.col("o.t").alias("t2"), F.col("o.mag").alias("mag2"))
 
 
+# --- curves in tasks ------------------------------------------------------------------------
+
+
+def whole_curves(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[pa.Table, np.ndarray, list[np.ndarray]]]:
+    """Many whole curves at once from rows that stand by their first ``keys`` columns: the first row of each, where
+    each begins (and the last ends), and the other columns as arrays.  Only a curve that may go on is carried over."""
+    held, rows, need = [], 0, 0
+
+    def cut(table: pa.Table, last: bool) -> tuple[np.ndarray, int]:
+        codes = [table.column(i).combine_chunks().dictionary_encode("encode").indices.to_numpy() for i in range(keys)]
+        first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+        return (np.r_[first, table.num_rows], table.num_rows) if last else (first, int(first[-1]))
+
+    def out(table: pa.Table, start: np.ndarray) -> tuple[pa.Table, np.ndarray, list[np.ndarray]]:
+        return table.take(pa.array(start[:-1])), start, [table.column(i).to_numpy() for i in range(keys, table.num_columns)]
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows <= need:
+            continue
+        table = pa.Table.from_batches(held)
+        start, upto = cut(table, False)
+        if upto:
+            yield out(table.slice(0, upto), start)
+        held = table.slice(upto).to_batches()
+        rows = table.num_rows - upto
+        need = 2 * rows  # a long curve is looked at again when it has doubled
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield out(table, cut(table, True)[0])
+
+
 # --- features -------------------------------------------------------------------------------
 
 PLACES = (5, 10, 17, 25, 32, 40, 60, 67, 75, 82, 90, 95)
@@ -167,14 +202,17 @@ def order_features(rows: DataFrame, lags: int = LAGS) -> DataFrame:
     a2 = -F.max("n") - F.sum(rank * F.log("p") + (2 * F.col("n") - rank) * F.log(1 - F.col("p"))) / F.max("n")
     g = x.groupBy("id").agg(F.max("n").alias("n"), a2.alias("a2"))
 
-    def length(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(["t", "mag"])["mag"].to_numpy(float)
+    def first_below(y: np.ndarray) -> int | None:
         y = y - y.mean()
         square = (y * y).sum()
-        first = next((k for k in range(1, min(lags, len(y) - 1) + 1) if square > 0 and (y[:-k] * y[k:]).sum() / square < np.exp(-1)), None)
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "lag": pd.Series([first], dtype="Int64")})
+        return next((k for k in range(1, min(lags, len(y) - 1) + 1) if square > 0 and (y[:-k] * y[k:]).sum() / square < np.exp(-1)), None)
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, start, (_, mag) in whole_curves(batches):
+            found = [first_below(mag[a:z]) for a, z in zip(start[:-1], start[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([first.column(0).combine_chunks(), pa.array(found, pa.int64())], ["id", "lag"])
 
-    lag = own.groupBy("id").applyInPandas(length, f"id {dict(rows.dtypes)['id']}, lag long")
+    lag = own.repartition("id").sortWithinPartitions("id", "t", "mag").mapInArrow(lengths, f"id {dict(rows.dtypes)['id']}, lag long")
     return g.join(lag, "id", "left").select("id", "n", (1 / (1 + F.exp(-10 * (F.col("a2") - 0.3)))).alias("AndersonDarling"), F.col("lag").alias("Autocor_length"))
 
 
@@ -228,44 +266,89 @@ def colour_features(rows: DataFrame, first: str, second: str, within: float) ->
     )
 
 
-def periodogram(rows: DataFrame, frequencies: np.ndarray, chunk: int = CHUNK) -> DataFrame:
-    """(id, f, power): the normalised Lomb-Scargle power of each curve at each frequency (place ``f``).
+def _power(yc: np.ndarray, ys: np.ndarray, cc: np.ndarray, ss: np.ndarray, cs: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The normalised power from the sums over a curve of variance ``v``."""
+    turn = np.arctan2(2 * cs, cc - ss) / 2  # the shift tau makes the cross sum vanish: rotate the sums by w * tau
+    c, s = np.cos(turn), np.sin(turn)
+    both = cc * c * c + 2 * cs * c * s + ss * s * s, cc * s * s - 2 * cs * c * s + ss * c * c
+    with np.errstate(divide="ignore", invalid="ignore"):
+        total = sum(np.where(b > 1e-9, a * a / b, 0.0) for a, b in zip((yc * c + ys * s, ys * c - yc * s), both, strict=True))
+        return np.where(v > 0, total / (2 * v), 0.0)
+
+
+def _sums(start: np.ndarray, t: np.ndarray, y: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """The five sums of each curve at each frequency: (5, frequencies, curves)."""
+    out = np.zeros((5, len(omega), len(start) - 1))
+    for lo in range(0, int(start[-1]), 2_048):
+        hi = min(lo + 2_048, int(start[-1]))
+        a, z = np.searchsorted(start, lo, "right") - 1, np.searchsorted(start, hi, "left")
+        cuts = np.maximum(start[a:z], lo) - lo
+        c, s = np.cos(w := np.outer(omega, t[lo:hi])), np.sin(w)
+        p = y[lo:hi]
+        for i, x in enumerate((c * p, s * p, c * c, s * s, c * s)):
+            out[i, :, a:z] += np.add.reduceat(x, cuts, axis=1)
+    return out
+
+
+_SUMS = ("yc", "ys", "cc", "ss", "cs")
 
-    Its sums over observations are additive, so curves of more than ``chunk`` observations are dealt
-    over tasks and their sums added.
+
+def _periodogram(rows: DataFrame, frequencies: np.ndarray, chunk: int, best: bool) -> DataFrame:
+    """(id, f, power) of each frequency, or of the strongest (the first of equal ones).
+
+    The sums over observations are additive, so where there are curves of more than ``chunk`` observations they are dealt
+    over tasks and their sums added; else a curve's power is settled where its observations are.
     """
     own = observations(rows).select("id", "t", "mag")
-    s = own.groupBy("id").agg(F.avg("mag").alias("m"), F.var_pop("mag").alias("v"), F.min("t").alias("t0"), F.count(F.lit(1)).alias("n"))
-    own = own.join(s, "id").withColumn("part", F.pmod(F.xxhash64("t"), F.ceil(F.col("n") / chunk)))
-    omega = 2 * np.pi * frequencies
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, y = pdf["t"].to_numpy() - pdf["t0"].to_numpy(), pdf["mag"].to_numpy() - pdf["m"].to_numpy()
-        out = np.zeros((5, len(omega)))
-        for at in range(0, len(t), 4_096):
-            c, s = np.cos(a := np.outer(omega, t[at : at + 4_096])), np.sin(a)
-            p = y[at : at + 4_096]
-            out += [c @ p, s @ p, (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)]
-        return pd.DataFrame({"id": pdf["id"].iloc[0], "f": np.arange(len(omega)), **dict(zip(("yc", "ys", "cc", "ss", "cs"), out, strict=True))})
-
-    kind = dict(rows.dtypes)["id"]
-    parts = own.groupBy("id", "part").applyInPandas(sums, f"id {kind}, f int, yc double, ys double, cc double, ss double, cs double")
-    total = parts.groupBy("id", "f").agg(*[F.sum(c).alias(c) for c in ("yc", "ys", "cc", "ss", "cs")]).join(s.select("id", "v"), "id")
-    # the shift tau makes the cross sum vanish: rotate the sums by w * tau
-    w = F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss")) / 2
-    c, s = F.cos(w), F.sin(w)
-    yc, ys = F.col("yc") * c + F.col("ys") * s, F.col("ys") * c - F.col("yc") * s
-    cc = F.col("cc") * c * c + 2 * F.col("cs") * c * s + F.col("ss") * s * s
-    ss = F.col("cc") * s * s - 2 * F.col("cs") * c * s + F.col("ss") * c * c
-    part = lambda a, b: F.when(b > 1e-9, a * a / b).otherwise(0.0)
-    return total.select("id", "f", F.when(F.col("v") > 0, (part(yc, cc) + part(ys, ss)) / (2 * F.col("v"))).otherwise(0.0).alias("power"))
-
-
-def periods(rows: DataFrame, low: float, high: float, steps: int) -> DataFrame:
+    s = staged(own.groupBy("id").agg(F.avg("mag").alias("m"), F.var_pop("mag").alias("v"), F.min("t").alias("t0"), F.count(F.lit(1)).alias("n")), "curves")
+    omega, kind = 2 * np.pi * frequencies, dict(rows.dtypes)["id"]
+    parts = F.pmod(F.xxhash64("t"), F.ceil(F.col("n") / chunk))
+    own = own.join(s, "id").select("id", parts.alias("part"), (F.col("t") - F.col("t0")).alias("t"), (F.col("mag") - F.col("m")).alias("y"), "v")
+    one = (s.agg(F.max("n")).first()[0] or 0) <= chunk
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, start, (t, y, v) in whole_curves(batches, 2):
+            for at in range(0, len(start) - 1, 1_000):
+                cut = start[at : at + 1_001]
+                sums = _sums(cut - cut[0], t[cut[0] : cut[-1]], y[cut[0] : cut[-1]], omega)
+                own, v_of = first.column(0).slice(at, len(cut) - 1).combine_chunks(), v[cut[:-1]]
+                if one and best:
+                    power = _power(*sums, v_of)
+                    f = power.argmax(0)
+                    yield pa.RecordBatch.from_arrays([own, pa.array(f.astype(np.int32)), pa.array(power[f, np.arange(len(f))])], ["id", "f", "power"])
+                    continue
+                each = own.take(pa.array(np.repeat(np.arange(len(own)), len(omega))))
+                f = pa.array(np.tile(np.arange(len(omega), dtype=np.int32), len(own)))
+                if one:
+                    yield pa.RecordBatch.from_arrays([each, f, pa.array(_power(*sums, v_of).T.ravel())], ["id", "f", "power"])
+                else:
+                    yield pa.RecordBatch.from_arrays([each, f, *(pa.array(x.T.ravel()) for x in sums), pa.array(np.repeat(v_of, len(omega)))], ["id", "f", *_SUMS, "v"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_power(*(b.column(i).to_numpy() for i in range(2, 8))))], ["id", "f", "power"])
+
+    dealt = own.repartition("id", "part").sortWithinPartitions("id", "part")
+    if one:
+        return dealt.mapInArrow(run, f"id {kind}, f int, power double")
+    sums = dealt.mapInArrow(run, f"id {kind}, f int, " + ", ".join(f"{c} double" for c in (*_SUMS, "v")))
+    total = sums.groupBy("id", "f").agg(*[F.sum(c).alias(c) for c in _SUMS], F.max("v").alias("v"))
+    power = total.mapInArrow(settle, f"id {kind}, f int, power double")
+    if not best:
+        return power
+    found = power.groupBy("id").agg(F.max_by(F.struct("f", "power"), F.struct("power", -F.col("f"))).alias("b"))
+    return found.select("id", "b.f", "b.power")
+
+
+def periodogram(rows: DataFrame, frequencies: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+    """(id, f, power): the normalised Lomb-Scargle power of each curve at each frequency (place ``f``)."""
+    return _periodogram(rows, frequencies, chunk, best=False)
+
+
+def periods(rows: DataFrame, low: float, high: float, steps: int, chunk: int = CHUNK) -> DataFrame:
     """(id, period, power) of the strongest of ``steps`` frequencies from ``low`` to ``high`` per day."""
-    grid = np.linspace(low, high, steps)
-    best = periodogram(rows, grid).groupBy("id").agg(F.max_by(F.struct("f", "power"), F.struct("power", -F.col("f"))).alias("b"))
-    return best.select("id", (1 / (F.lit(low) + F.col("b.f") * ((high - low) / (steps - 1)))).alias("period"), F.col("b.power").alias("power"))
+    best = _periodogram(rows, np.linspace(low, high, steps), chunk, best=True)
+    return best.select("id", (1 / (F.lit(low) + F.col("f") * ((high - low) / (steps - 1)))).alias("period"), "power")
 
 
 def folded_features(rows: DataFrame) -> DataFrame:
@@ -280,6 +363,7 @@ def folded_features(rows: DataFrame) -> DataFrame:
 
 SLOT, SLOTS = 1.0, 20
 TAUS, SIGMAS, ROUNDS = 16, 12, 4
+TOGETHER = 32
 
 
 def slotted_autocorrelation(t: np.ndarray, y: np.ndarray, slot: float = SLOT, slots: int = SLOTS) -> np.ndarray:
@@ -288,70 +372,104 @@ def slotted_autocorrelation(t: np.ndarray, y: np.ndarray, slot: float = SLOT, sl
     Running sums over the later observations of a slot make it linear in observations times slots.
     """
     run = np.concatenate([[0], np.cumsum(y)])
-    out = np.full(slots, np.nan)
-    for k in range(slots):
-        lo = np.maximum(np.searchsorted(t, t + (k - 0.5) * slot), np.arange(len(t)))
-        hi = np.maximum(np.searchsorted(t, t + (k + 0.5) * slot), lo)
-        n = (hi - lo).sum()
-        out[k] = (y * (run[hi] - run[lo])).sum() / n if n else np.nan
+    out, own, step = np.full(slots, np.nan), np.arange(len(t)), max(1, 1_000_000 // max(1, len(t)))
+    for at in range(0, slots, step):  # slots together, fewer of a long curve
+        edges = (np.arange(at, min(at + step, slots) + 1) - 0.5) * slot
+        places = np.maximum(np.searchsorted(t, t + edges[:, None]), own)
+        lo, hi = places[:-1], places[1:]
+        n = (hi - lo).sum(1)
+        total = (y * (run[hi] - run[lo])).sum(1)
+        out[at : at + len(n)] = np.where(n > 0, total / np.maximum(n, 1), np.nan)
     return out / out[0] if out[0] else out * np.nan
 
 
 def autoregressive(t: np.ndarray, mag: np.ndarray, err: np.ndarray) -> tuple[float, float, float]:
-    """(mean, sigma, tau) of the continuous first-order autoregressive process of greatest likelihood.
+    """``autoregressive_fits`` of one curve."""
+    return tuple(autoregressive_fits([(t, mag, err)])[0].tolist())
+
+
+def autoregressive_fits(curves: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(mean, sigma, tau) of the continuous first-order autoregressive process of greatest likelihood, a row for each curve (t, mag, err).
 
     The likelihood comes from the usual prediction and correction over the observations, for a grid of
-    (tau, sigma) at once; the grid closes in on its best place ``ROUNDS`` times.
+    (tau, sigma) at once; the grid closes in on its best place ``ROUNDS`` times.  ``TOGETHER`` curves of like
+    length go through their observations together, the longest first, so that those that go on stand in front.
     """
-    span, spread = max(float(t[-1] - t[0]), 1e-3), max(float(mag.std()), 1e-9)
-    low, high = np.log([1e-2, spread * 1e-2]), np.log([10 * span, spread * 1e2])
-    x, noise, dt = mag - mag.mean(), err**2, np.diff(t)
-    best = (-np.inf, 0.0, 0.0)
+    out = np.zeros((len(curves), 3))
+    order = np.argsort([-len(c[0]) for c in curves], kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        some = order[at : at + TOGETHER]
+        out[some] = _fits([curves[i] for i in some])
+    return out
+
+
+def _fits(curves: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    m, size = len(curves), np.array([len(t) for t, _, _ in curves])
+    x, noise, dt = (np.zeros((size[0], m)) for _ in range(3))
+    low, high, mean = np.zeros((m, 2)), np.zeros((m, 2)), np.zeros(m)
+    for i, (t, mag, err) in enumerate(curves):
+        span, spread, mean[i] = max(float(t[-1] - t[0]), 1e-3), max(float(mag.std()), 1e-9), mag.mean()
+        low[i], high[i] = np.log([1e-2, spread * 1e-2]), np.log([10 * span, spread * 1e2])
+        x[: size[i], i], noise[: size[i], i], dt[: size[i] - 1, i] = mag - mean[i], err**2, np.diff(t)
+    live = np.searchsorted(-size, -np.arange(size[0]), "left")  # curves of more than i observations
+    best, found, own = np.full(m, -np.inf), np.zeros((m, 2)), np.arange(m)
     for _ in range(ROUNDS):
-        tau, sigma = (g.ravel() for g in np.meshgrid(np.exp(np.linspace(low[0], high[0], TAUS)), np.exp(np.linspace(low[1], high[1], SIGMAS)), indexing="ij"))
+        tau = np.exp(np.linspace(low[:, 0], high[:, 0], TAUS, axis=1))[:, :, None]
+        sigma = np.exp(np.linspace(low[:, 1], high[:, 1], SIGMAS, axis=1))[:, None, :]
         still = tau * sigma**2 / 2
-        guess, omega = np.zeros(len(tau)), still.copy()
-        total = -0.5 * (np.log(2 * np.pi * (omega + noise[0])) + x[0] ** 2 / (omega + noise[0]))
-        for i in range(1, len(x)):
-            a = np.exp(-dt[i - 1] / tau)
-            gain = omega / (omega + noise[i - 1])
-            guess = a * (guess + gain * (x[i - 1] - guess))
-            omega = still * (1 - a * a) + a * a * omega * (1 - gain)
-            total += -0.5 * (np.log(2 * np.pi * (omega + noise[i])) + (guess - x[i]) ** 2 / (omega + noise[i]))
-        at = int(np.argmax(total))
-        if total[at] > best[0]:
-            best = float(total[at]), float(tau[at]), float(sigma[at])
+        guess, omega = np.zeros_like(still), still.copy()
+        spread = omega + noise[0][:, None, None]
+        total = -0.5 * (np.log(2 * np.pi * spread) + x[0][:, None, None] ** 2 / spread)
+        for i in range(1, size[0]):
+            k = live[i]
+            if k < len(guess):
+                guess, omega, spread = guess[:k], omega[:k], spread[:k]
+            a = np.exp(-dt[i - 1, :k, None, None] / tau[:k])
+            gain = omega / spread
+            guess = a * (guess + gain * (x[i - 1, :k, None, None] - guess))
+            omega = still[:k] * (1 - a * a) + a * a * omega * (1 - gain)
+            spread = omega + noise[i, :k, None, None]
+            total[:k] += -0.5 * (np.log(2 * np.pi * spread) + (guess - x[i, :k, None, None]) ** 2 / spread)
+        flat = total.reshape(m, -1)
+        at = flat.argmax(1)
+        better = flat[own, at] > best
+        best = np.where(better, flat[own, at], best)
+        found[better] = np.stack([tau[own, at // SIGMAS, 0], sigma[own, 0, at % SIGMAS]], 1)[better]
         step = (high - low) / [TAUS - 1, SIGMAS - 1]
-        middle = np.log([best[1], best[2]])
+        middle = np.log(found)
         low, high = middle - step, middle + step
-    return float(mag.mean()) / best[1], best[2], best[1]
+    return np.stack([mean / found[:, 0], found[:, 1], found[:, 0]], 1)
 
 
-def irregular_features(rows: DataFrame) -> DataFrame:
+def irregular_features(rows: DataFrame, fits: bool = True) -> DataFrame:
     """(id, CAR_mean, CAR_sigma, CAR_tau, SlottedA_length, StetsonK_AC): those that go through a curve in order.
 
     The first lag (in days) whose slotted autocorrelation is below 1/e, Stetson's K of that function, and the
-    autoregressive fit.  Curves of fewer than three observations, or constant ones, have nulls.
+    autoregressive fit (left out on request).  Curves of fewer than three observations, or constant ones, have nulls.
     """
-    kind = dict(rows.dtypes)["id"]
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["t", "mag"])
-        t, mag, err = (own[c].to_numpy(float) for c in ("t", "mag", "err"))
-        out: list[float | None] = [None] * 5
-        if len(t) > 2 and mag.std() > 0 and t[-1] > t[0]:
-            ac = slotted_autocorrelation(t, mag - mag.mean())
-            below = np.flatnonzero(ac < np.exp(-1))
-            seen = ac[np.isfinite(ac)]
-            n, sd = len(seen), seen.std()
-            z = np.sqrt(n / (n - 1)) * (seen - seen.mean()) / sd if n > 1 and sd > 0 else np.zeros(0)
-            k = float(np.abs(z).sum() / (np.sqrt(n) * np.sqrt((z * z).sum()))) if len(z) else None
-            out = [*autoregressive(t, mag, err), float(below[0] * SLOT) if len(below) else None, k]
-        names = ["CAR_mean", "CAR_sigma", "CAR_tau", "SlottedA_length", "StetsonK_AC"]
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], **{c: pd.Series([v], dtype="float64") for c, v in zip(names, out, strict=True)}})
+    kind, names = dict(rows.dtypes)["id"], [c for c in _IRREGULAR if fits or not c.startswith("CAR_")]
+
+    def of(t: np.ndarray, mag: np.ndarray) -> tuple[float | None, float | None]:
+        ac = slotted_autocorrelation(t, mag - mag.mean())
+        below = np.flatnonzero(ac < np.exp(-1))
+        seen = ac[np.isfinite(ac)]
+        n, sd = len(seen), seen.std()
+        z = np.sqrt(n / (n - 1)) * (seen - seen.mean()) / sd if n > 1 and sd > 0 else np.zeros(0)
+        return float(below[0] * SLOT) if len(below) else None, float(np.abs(z).sum() / (np.sqrt(n) * np.sqrt((z * z).sum()))) if len(z) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, start, columns in whole_curves(batches):
+            own = [tuple(c[a:z] for c in columns) for a, z in zip(start[:-1], start[1:], strict=True)]
+            whole = [i for i, (t, mag, _) in enumerate(own) if len(t) > 2 and mag.std() > 0 and t[-1] > t[0]]
+            out: list[list[float | None]] = [[None] * len(names) for _ in own]
+            fitted = autoregressive_fits([own[i] for i in whole]).tolist() if fits else [[]] * len(whole)
+            for i, fit in zip(whole, fitted, strict=True):
+                out[i] = [*fit, *of(*own[i][:2])]
+            cells = [pa.array([None if x is None or x != x else x for x in c], pa.float64()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([first.column(0).combine_chunks(), *cells], ["id", *names])
 
     own = observations(rows).select("id", "t", "mag", "err")
-    return own.groupBy("id").applyInPandas(lambda pdf: of(pdf), f"id {kind}, CAR_mean double, CAR_sigma double, CAR_tau double, SlottedA_length double, StetsonK_AC double")
+    return own.repartition("id").sortWithinPartitions("id", "t", "mag", "err").mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} double" for c in names))
 
 
 def period_features(rows: DataFrame, low: float, high: float, steps: int) -> DataFrame:
@@ -382,7 +500,7 @@ def selected_features(rows: DataFrame, names: list[str], first: str | None = Non
             raise ValueError("features of two bands need both bands")
         parts.append(colour_features(rows, first, second, within).drop("n"))
     if wanted & set(_IRREGULAR):
-        parts.append(irregular_features(one))
+        parts.append(irregular_features(one, any(n.startswith("CAR_") for n in wanted)))
     if wanted & {*_PERIOD, *_FOLDED}:
         own = staged(period_features(one, *grid), "period")
         parts.append(own)

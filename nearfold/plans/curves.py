@@ -92,7 +92,7 @@ def lc_irregular_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lc_slotted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length of the slotted autocorrelation."""
-    return ops.irregular_features(curves(spark, sf_dir)).select("id", "SlottedA_length")
+    return ops.irregular_features(curves(spark, sf_dir), fits=False).select("id", "SlottedA_length")
 
 
 def lc_colour_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -517,3 +518,49 @@ def test_vantage_points_that_rule_out_nothing_are_few():
     assert not on[0].any() and on[1:].all()
     q[1, 39] = 9  # beyond where the search ends: the pair is measured, which is no fault
     assert _within(q, x, np.full((8, 1), 5.0))[1].all()
+
+
+def _one_at_a_time(t, mag, err):
+    """The autoregressive fit of one curve, observation by observation and grid by grid."""
+    low, high = np.log([1e-2, mag.std() * 1e-2]), np.log([10 * (t[-1] - t[0]), mag.std() * 1e2])
+    x, noise, best = mag - mag.mean(), err**2, (-np.inf, 0.0, 0.0)
+    for _ in range(curves.ROUNDS):
+        for tau in np.exp(np.linspace(low[0], high[0], curves.TAUS)):
+            for sigma in np.exp(np.linspace(low[1], high[1], curves.SIGMAS)):
+                still = omega = tau * sigma**2 / 2
+                guess, total = 0.0, -0.5 * (np.log(2 * np.pi * (omega + noise[0])) + x[0] ** 2 / (omega + noise[0]))
+                for i in range(1, len(x)):
+                    a, gain = np.exp(-(t[i] - t[i - 1]) / tau), omega / (omega + noise[i - 1])
+                    guess, omega = a * (guess + gain * (x[i - 1] - guess)), still * (1 - a * a) + a * a * omega * (1 - gain)
+                    total -= 0.5 * (np.log(2 * np.pi * (omega + noise[i])) + (guess - x[i]) ** 2 / (omega + noise[i]))
+                if total > best[0]:
+                    best = total, tau, sigma
+        step = (high - low) / [curves.TAUS - 1, curves.SIGMAS - 1]
+        low, high = np.log(best[1:]) - step, np.log(best[1:]) + step
+    return mag.mean() / best[1], best[2], best[1]
+
+
+def test_curves_are_fitted_together():
+    """Curves of any lengths go through their observations together, and each gets what it gets alone."""
+    rng = np.random.default_rng(4)
+    own = [(np.sort(rng.random(n) * 30), rng.normal(50, 30, n), rng.choice([1.0, 0.5], n)) for n in (3, 9, 20, 9, 4)]
+    got = curves.autoregressive_fits(own)
+    assert np.allclose(got, [_one_at_a_time(*c) for c in own], rtol=1e-9)
+    assert np.array_equal(got[1], curves.autoregressive(*own[1]))
+
+
+def test_whole_curves_across_batches():
+    ids = np.repeat([5, 7, 7, 9, None, 11], [3, 1, 6, 40, 2, 1]).tolist()
+    table = pa.table({"id": pa.array(ids, pa.int64()), "t": pa.array(np.arange(len(ids), dtype=float))})
+    for size in (1, 2, 7, 100):
+        out = [(i, t[a:z].tolist()) for first, start, (t,) in curves.whole_curves(iter(table.to_batches(size))) for i, a, z in zip(first["id"].to_pylist(), start[:-1], start[1:], strict=True)]
+        assert [i for i, _ in out] == [5, 7, 9, None, 11] and [len(t) for _, t in out] == [3, 7, 40, 2, 1]
+        assert [x for _, t in out for x in t] == list(range(len(ids)))
+
+
+def test_slots_need_no_fit(spark, monkeypatch):
+    """The slotted autocorrelation alone makes no autoregressive fit."""
+    rows = spark.range(60).select((F.col("id") % 2).alias("id"), F.col("id").cast("double").alias("t"), F.sin("id").alias("mag"))
+    want = {r.id: r.SlottedA_length for r in curves.irregular_features(rows).collect()}
+    monkeypatch.setattr(curves, "autoregressive_fits", None)
+    assert {r.id: r.SlottedA_length for r in curves.irregular_features(rows, fits=False).collect()} == want
