@@ -140,3 +140,68 @@ def test_context_helps_on_held_out_documents(spark, monkeypatch):
     unigram = total()
     print("held out, log10: trained", trained, "unigram", unigram)
     assert trained > 0.95 * unigram
+
+
+def test_words_are_encoded_together_as_each_by_itself():
+    voc = lm_score.read_vocabulary()
+    odd = ["a ", "　b", "x\x1cy", "'s", "n't", " ", "café", "123abc", "-", "\U0001f600\U0001f600", "z" * 3_000, "�"]
+    for words in ([], [b"the", b"'s", b"cat's", "été".encode()], [w.encode() for w in odd], [b"\xff\xfe", b"ok", b"\xc3"]):
+        ids, size = lm_score.subwords_of(words, voc)
+        each = [lm_score.subwords(w, voc) for w in words]
+        assert ids.tolist() == [i for e in each for i in e] and size.tolist() == [len(e) for e in each]
+
+
+def test_words_are_forgotten_and_read_alike(monkeypatch):
+    """Tables of words are of bounded size; what a text reads as does not depend on what was read before."""
+    monkeypatch.setattr(lm_score, "MEMO", 5)
+    m = model(3)
+    m.often, m.base = [b"the", b"cat"], np.array([-1.0, -2.0])
+    for k in range(30):
+        words = b"the cat and the other".split() + [f"word{k}".encode()] * 2
+        items, _, base, seen, rest, times = m.read(words)
+        assert items == b"".join(m.word(w)[0] for w in words)
+        assert (base, seen) == (-4.0, 3) and dict(zip(rest, times, strict=True)) == Counter(words[2:3] + words[4:])
+        assert len(m._code) <= 2 + 5 + len(set(words))
+
+
+def test_every_window_is_dealt_once():
+    m = model(4)
+    texts = [m.read(t.encode().lower().split())[0] for t in ("", "one two", " ".join(f"w{i} the" for i in range(2_000)))]
+    wanted = Counter(w.tobytes() for t in texts for w in lm_score.cut_windows(t, m.end))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array(texts, pa.binary())], ["doc_id", "items"])
+    got = Counter()
+    for r in range(lm_score.ROUNDS):
+        for out in lm_score._dealer(r, 3, m.end)(iter([batch])):
+            assert set(out.column(0).to_pylist()) <= {0, 1, 2}
+            got.update(w.tobytes() for run in out.column(1).to_pylist() for w in lm_score.windows_of(np.frombuffer(run, np.uint16)))
+    assert got == wanted
+
+
+def test_slopes_are_those_of_the_loss():
+    """The first step goes against the loss's slope, by finite differences of the plain form, in every kind of parameter."""
+    net = model(5).net
+    rng = np.random.default_rng(0)
+    windows = rng.integers(0, net.end, (6, lm_score.SPAN + 1)).astype(np.uint16)
+    windows[-1, 9:] = lm_score.PAD
+    before = {k: v.copy() for k, v in net.p.items()}
+
+    def loss():
+        ids, goal = windows[:, :-1].astype(int), windows[:, 1:].astype(int)
+        live = goal != lm_score.PAD
+        return -(net.plain(np.where(ids == lm_score.PAD, net.end, ids), np.where(live, goal, net.end)) * live).sum() / live.sum()
+
+    after = {k: v.copy() for k, v in net.fit(windows, rate=1e-3).p.items()}
+    net.p = {k: v.copy() for k, v in before.items()}
+    for k in before:
+        moved = after[k] - before[k]
+        at = np.unravel_index(np.argsort(-np.abs(before[k]) * (moved != 0), axis=None)[:3], moved.shape)
+        for i in zip(*at, strict=True):
+            ends = []
+            for e in (0.05, -0.05):
+                net.p[k][i] = before[k][i] + e
+                ends.append(loss())
+            net.p[k][i] = before[k][i]
+            slope = (ends[0] - ends[1]) / 0.1
+            assert abs(slope) < 1e-5 or np.sign(slope) == -np.sign(moved[i]), (k, i, slope, moved[i])
