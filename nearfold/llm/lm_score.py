@@ -14,19 +14,23 @@ softmax, and within a cluster a softmax over its subwords, from the same context
 Subwords that never occur share one place evenly.  So probabilities sum to one over subword
 sequences, ended by one end token.  Untrained, the model is the unigram of the counts.
 
+Reading.  When words are counted, every text is read once, many texts at a time: words get numbers, new ones are encoded in one call, and
+items, base scores and other words follow from tables by number.  Training and scoring go on from the staged items.
+
 Training.  Every training document is cut whole into windows of ``SPAN`` positions, so each of its subwords
-is learnt from once.  Windows alike are counted in a shuffle and fall, by their hash and number, into ``ROUNDS``
+is learnt from once.  Runs of ``RUN`` windows fall, by a hash of their items, their place and the doc_id, into ``ROUNDS``
 rounds and, within a round, into parts of about ``TASK_WINDOWS``.  In each round a task runs Adam over each part,
 from the same model, and the models are averaged by windows seen (chunk by chunk, in a shuffle).  So a
 corpus of any size is gone through once, in parallel.  Rounds, parts, their order and the order of
-the sums follow from the windows alone, so neither partitions nor retries change the model.
+the sums follow from doc_id and text alone, so neither partitions nor retries change the model.
 
 Scoring.  A document is cut into windows that overlap by ``CONTEXT`` positions: each token is scored
 once, in the window where it stands behind that context, and windows of many documents go through
 masked attention together.
 
 Defined cases: a null or empty text is its end token alone; rows that repeat a doc_id are scored
-each; a null doc_id is learnt from and not held out; without training documents counts are zero,
+each, and those that repeat its text too are learnt from in one part (copies under other ids, in any);
+a null doc_id is learnt from and not held out; without training documents counts are zero,
 N = V = 0, and the model is uniform; an empty table gives an empty result.
 """
 
@@ -287,7 +291,7 @@ class Attention:
         made = lambda *s: np.empty((min(batch, len(windows)), *s), np.float32)
         x1_, turned_, e_, ds_, h1_, d1_, dh_ = made(SPAN, width + 1), made(width + 1, SPAN), made(SPAN, SPAN), made(SPAN, SPAN), made(SPAN, width + 1), made(SPAN, width + 1), made(SPAN, width)
         x1_[..., -1] = h1_[..., -1] = turned_[:, -1] = 1
-        block = 1_024
+        block = 512  # positions whose classes stay in the cache
         d_, place = np.empty((block, classes), np.float32), np.arange(block) * classes
         for rows in (rng.permutation(len(windows))[at : at + batch] for _ in range(passes) for at in range(0, len(windows), batch)):
             step += 1
