@@ -309,7 +309,7 @@ def _dual(a: _Boxes, b: _Boxes | None, width: float, metric: str) -> Counter:
         places = np.concatenate([np.arange(b.begin[v], b.end[v]) for v in others]) if len(others) else np.zeros(0, np.int64)
         for at in range(0, len(places), 2_048):
             _count_between(out, own, b.x[places[at : at + 2_048]], width, metric)
-    return out
+    return +out  # bins without pairs are none
 
 
 def _count(out: Counter, d: np.ndarray, width: float) -> None:

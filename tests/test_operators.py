@@ -509,6 +509,17 @@ def test_histogram_by_products_counts_borders():
         assert got == want
 
 
+def test_pair_histogram_has_no_bins_without_pairs(spark):
+    """Copies leave bins between 0 and the others empty; like SQL's, the histogram has no rows for them, nor for a single row."""
+    points = np.repeat(np.random.default_rng(6).normal(0, 1, (60, 16)), 2, 0)
+    d = pairs.distances(points, points).round(9)[np.triu_indices(len(points), 1)]
+    bins, n = np.unique(np.floor(d / 0.25).astype(int), return_counts=True)
+    assert bins[0] == 0 and 1 not in bins
+    rows = table(spark, points).cache()
+    assert sorted(tuple(r) for r in pairs.pair_histogram(rows, 0.25).collect()) == list(zip(bins.tolist(), n.tolist(), strict=True))
+    assert pairs.pair_histogram(rows.filter("id = 0"), 0.25).collect() == []
+
+
 def test_vantage_points_that_rule_out_nothing_are_few():
     from nearfold.operators.index import _within
 
